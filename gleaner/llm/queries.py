@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from gleaner.llm import exact_dedup, langid, mixing, packing, secrets, simhash, topk
+from gleaner.llm import exact_dedup, langid, mixing, packing, quality, secrets, simhash, topk
 
 QUERIES = {
     "op1_secret_scan": secrets.op1_secret_scan,
     "op2_simhash_near_dedup": simhash.op2_simhash_near_dedup,
     "op3_exact_top_k": topk.op3_exact_top_k,
     "op4_best_fit_packing": packing.op4_best_fit_packing,
+    "op5_quality_classifier": quality.op5_quality_classifier,
     "op6_exact_dedup": exact_dedup.op6_exact_dedup,
     "op7_source_mixing": mixing.op7_source_mixing,
     "op9_language_id": langid.op9_language_id,
