@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from gleaner.llm import exact_dedup, langid, mixing, packing, quality, secrets, simhash, topk
+from gleaner.llm import exact_dedup, langid, licenses, mixing, packing, quality, secrets, simhash, substrings, topk
 
 QUERIES = {
     "op1_secret_scan": secrets.op1_secret_scan,
@@ -12,7 +12,9 @@ QUERIES = {
     "op5_quality_classifier": quality.op5_quality_classifier,
     "op6_exact_dedup": exact_dedup.op6_exact_dedup,
     "op7_source_mixing": mixing.op7_source_mixing,
+    "op8_license_scan": licenses.op8_license_scan,
     "op9_language_id": langid.op9_language_id,
+    "op10_substring_dedup": substrings.op10_substring_dedup,
 }
 
 ORACLES = {
