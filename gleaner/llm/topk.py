@@ -23,33 +23,54 @@ from pyspark.sql import functions as F
 
 from gleaner.llm.common import table
 
-DEPTHS = (16, 4, 2)
-
-
-def nra(x: np.ndarray, ranked: np.ndarray, ids: np.ndarray, q: np.ndarray, own: int, k: int) -> tuple[np.ndarray, np.ndarray]:
-    """Rows of x with the k highest inner products with q, and these. ranked: x with every column sorted."""
-    n = len(x)
-    live = np.flatnonzero(ids != own)
-    used = np.flatnonzero(q)
-    up = q[used] > 0
-    share = x[np.ix_(live, used)] * q[used] if len(live) else np.empty((0, len(used)), np.int64)
-    low = np.where(up, ranked[0, used], ranked[-1, used]) * q[used]
+#: Parts of a list's length that are read before its end.
+DEPTHS = (8, 2)
+
+
+def nra(x: np.ndarray, ids: np.ndarray, q: np.ndarray, own: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
+    """For each query (row of q) the rows of x with the k highest inner products, and these.
+
+    Whether a list's value has been read depends on its rank and the sign of the query's component only, so the bounds
+    of all rows under all queries are a few matrix products. Sums are exact: below 2**53 as doubles, else as integers.
+    """
+    n, d = x.shape
+    top = int(np.abs(x).max(initial=0)) * int(np.abs(q).max(initial=0)) * max(1, d)
+    kind = np.float64 if top < 2**53 else np.int64
+    x, up, down = x.astype(kind), np.maximum(q, 0).T.astype(kind), np.minimum(q, 0).T.astype(kind)
+    mine = ids[:, None] == own[None, :]
+    out_of_reach = -(2**62) if kind is np.int64 else -np.inf
+    order = np.argsort(x, axis=0, kind="stable")
+    rank = np.empty_like(order)
+    np.put_along_axis(rank, order, np.arange(n)[:, None], axis=0)
+    ranked = np.take_along_axis(x, order, axis=0)
+    alive = None
     for part in DEPTHS:
         t = n // part
-        if t < k or len(live) <= 4 * k:
+        if t <= k:
             break
-        last = np.where(up, ranked[n - t, used], ranked[t - 1, used]) * q[used]
-        upper = np.maximum(share, last).sum(axis=1)
-        lower = np.where(share >= last, share, low).sum(axis=1)
-        floor = np.partition(lower, len(lower) - k)[len(lower) - k]
-        stay = upper >= floor
-        live, share = live[stay], share[stay]
-    score = share.sum(axis=1)
-    best = np.lexsort((ids[live], -score))[:k]
-    return live[best], score[best]
-
-
-def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, scale: int = 1024, row_block: int = 8192, query_block: int = 1024) -> DataFrame:
+        high, low = rank >= n - t, rank < t  # read from the front of lists in falling and rising order
+        read = np.where(high, x, 0) @ up + np.where(low, x, 0) @ down
+        upper = read + (~high).astype(kind) @ (up * ranked[n - t][:, None]) + (~low).astype(kind) @ (down * ranked[t - 1][:, None])
+        lower = read + (~high).astype(kind) @ (up * ranked[0][:, None]) + (~low).astype(kind) @ (down * ranked[-1][:, None])
+        lower[mine], upper[mine] = out_of_reach, out_of_reach
+        alive = (upper >= np.partition(lower, n - k, axis=0)[n - k]) & ~mine
+        if alive.sum(axis=0).max(initial=0) <= 4 * k:
+            break  # outsiders can't qualify under any query
+        alive = None
+    out = []
+    score = None if alive is not None else x @ (up + down)
+    for j in range(len(q)):
+        at = np.flatnonzero(alive[:, j] if alive is not None else ~mine[:, j])
+        s = x[at] @ (up[:, j] + down[:, j]) if score is None else score[at, j]
+        if len(at) > k:
+            fit = s >= np.partition(s, len(s) - k)[len(s) - k]
+            at, s = at[fit], s[fit]
+        best = np.lexsort((ids[at], -s))[:k]
+        out.append((at[best], s[best].astype(np.int64)))
+    return out
+
+
+def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, scale: int = 1024, row_block: int = 8192, query_block: int = 512) -> DataFrame:
     """vectors and queries: (vec_id, embedding) -> query_id, rank, vec_id, score."""
 
     def whole(df: DataFrame) -> DataFrame:
@@ -64,16 +85,11 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, scale: int = 1024
 
     def search(a: pd.DataFrame, b: pd.DataFrame) -> pd.DataFrame:
         out = []
-        dims = a["v"].map(len).to_numpy() if len(a) else np.empty(0, int)
-        blocks = {}
-        for d in np.unique(dims):
-            part = a[dims == d].sort_values("vec_id", kind="stable")
-            x = np.stack(part["v"].to_numpy()).astype(np.int64) if d else np.zeros((len(part), 0), np.int64)
-            blocks[int(d)] = (x, np.sort(x, axis=0), part["vec_id"].to_numpy())
-        for qid, q in zip(b["vec_id"], b["v"]):
-            if len(q) in blocks:
-                x, ranked, ids = blocks[len(q)]
-                at, score = nra(x, ranked, ids, np.asarray(q, np.int64), qid, k)
+        for d in sorted(set(a["v"].map(len)) & set(b["v"].map(len))):
+            rows, asks = a[a["v"].map(len) == d], b[b["v"].map(len) == d]
+            x, q = (np.stack(p["v"].to_numpy()).astype(np.int64).reshape(len(p), d) for p in (rows, asks))
+            ids, own = rows["vec_id"].to_numpy(), asks["vec_id"].to_numpy()
+            for qid, (at, score) in zip(own, nra(x, ids, q, own, k)):
                 out.append(pd.DataFrame({"query_id": qid, "vec_id": ids[at], "score": score}))
         return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype("int64")
 
