@@ -132,10 +132,10 @@ def near_links(nodes: DataFrame, max_bits: int = 4, block: int = 1024) -> DataFr
     ]
     posts = nodes.select("fp", "node", F.explode(F.array(*keys)).alias("key"))
     long_lists = posts.groupBy("key").count().where(F.col("count") > block)
-    parts = F.least(F.lit(1 << 14), F.ceil(F.col("count") / block))
+    parts = F.when(F.col("count").isNull(), 1).otherwise(F.least(F.lit(1 << 14), F.ceil(F.col("count") / block)))
     dealt = (
         posts.join(long_lists, "key", "left")
-        .withColumn("parts", F.coalesce(parts, F.lit(1)).cast("int"))
+        .withColumn("parts", parts.cast("int"))
         .withColumn("own", F.pmod(F.hash("fp"), F.col("parts")))
         .withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1)))
         .select(
