@@ -30,12 +30,12 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import release, shuffles, slices, stash, table
+from gleaner.llm.common import release, shuffles, stash, table
 
 SYMBOLS = 1024
 NO_LANG = "\x00"
 _LOW = 2**20 - 1
-#: Shard of each middle character: of neighbouring code points all in different ones.
+#: Shards; neighbouring code points are in different ones.
 _DEAL = 8
 
 
@@ -47,21 +47,53 @@ def codes(text: str) -> np.ndarray:
     return (s[:-2] << 20) | (s[1:-1] << 10) | s[2:]
 
 
+def encode(code: np.ndarray, n: np.ndarray) -> bytes:
+    """Distinct trigrams and counts as six planes of bytes, by middle, first and last character, which compress well."""
+    over = n > 65535
+    while over.any():  # such a trigram has several entries
+        code, n = np.concatenate([code, code[over]]), np.concatenate([np.where(over, n - 65535, n), np.full(over.sum(), 65535)])
+        over = n > 65535
+    a, b, c = code >> 20, (code >> 10) & (SYMBOLS - 1), code & (SYMBOLS - 1)
+    order = np.lexsort((c, a, b))
+    a, b, c, n = a[order], b[order], c[order], n[order]
+    return np.stack([c, a, b, (a >> 8) | ((b >> 8) << 2) | ((c >> 8) << 4), n, n >> 8]).astype(np.uint8).tobytes()
+
+
+def decode(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Codes and counts of all rows of an encoded column, and where each row ends."""
+    off = np.frombuffer(column.buffers()[1], np.int32, len(column) + 1, column.offset * 4).astype(np.int64)
+    data = np.frombuffer(column.buffers()[2], np.uint8) if off[-1] > off[0] else np.empty(0, np.uint8)
+    size = np.diff(off) // 6
+    ends = np.cumsum(size)
+    at = np.repeat(off[:-1] - (ends - size), size) + np.arange(size.sum())
+    step = np.repeat(size, size)
+    c, a, b, high, n, n_high = (data[at + k * step].astype(np.int64) for k in range(6))
+    a, b, c = a | ((high & 3) << 8), b | (((high >> 2) & 3) << 8), c | ((high >> 4) << 8)
+    return (a << 20) | (b << 10) | c, n | (n_high << 8), ends
+
+
+def _encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for b in batches:
+        rows = [encode(*np.unique(codes(t), return_counts=True)) for t in b.column("text").to_pylist()]
+        yield pa.record_batch([b.column("doc_id"), b.column("lang"), pa.array(rows, pa.binary())], names=["doc_id", "lang", "grams"])
+
+
 def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for b in batches:
-        for lo, hi in slices(b, "text"):
-            part = b.slice(lo, hi - lo)
-            by_lang: dict[str, list[np.ndarray]] = {}
-            for lang, text in zip(part.column("lang").to_pylist(), part.column("text").to_pylist()):
-                by_lang.setdefault(lang, []).append(codes(text))
-            for lang, found in by_lang.items():
-                c, n = np.unique(np.concatenate(found), return_counts=True)
-                yield pa.record_batch([pa.array([lang] * len(c), pa.string()), pa.array(c), pa.array(n)], names=["lang", "code", "n"])
+        lang = np.array(b.column("lang").to_pylist(), object)
+        for at in range(0, b.num_rows, 1000):
+            code, n, ends = decode(b.column("grams").slice(at, 1000))
+            row = np.repeat(lang[at : at + 1000], np.diff(ends, prepend=0))
+            for x in sorted(set(lang[at : at + 1000])):
+                c, i = np.unique(code[row == x], return_inverse=True)
+                yield pa.record_batch([pa.array([x] * len(c), pa.string()), pa.array(c), pa.array(np.bincount(i, n[row == x], len(c)).astype(np.int64))], names=["lang", "code", "n"])
 
 
-def count_trigrams(trusted: DataFrame) -> DataFrame:
-    """(lang, text) -> lang, code, n, written to the shared folder."""
-    return stash(trusted.mapInArrow(_counted, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n")), "trigrams")
+def count_trigrams(docs: DataFrame, trusted: DataFrame) -> DataFrame:
+    """docs whose doc_id is in trusted -> lang, code, n, written to the shared folder."""
+    text = docs.select("doc_id", F.coalesce("lang", F.lit(NO_LANG)).alias("lang"), F.coalesce("text", F.lit("")).alias("text")).where("doc_id is not null")
+    rows = text.mapInArrow(_encoded, "doc_id long, lang string, grams binary").join(trusted, "doc_id", "left_semi")
+    return stash(rows.mapInArrow(_counted, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n")), "trigrams")
 
 
 def discounts(n: np.ndarray) -> np.ndarray:
@@ -102,8 +134,7 @@ class Shard:
     """log2 probabilities of the trigrams of one shard and language."""
 
     def __init__(self, code: np.ndarray, n: np.ndarray, lang: dict[str, np.ndarray]):
-        order = np.argsort(code)
-        self.code, n = code[order], n[order].astype(float)
+        self.code = code  # sorted
         self.ab, row3 = np.unique(self.code >> 10, return_inverse=True)
         own3, self.down3, _ = _level(n, row3, lang["d3"])
         self.bc, cont = np.unique(self.code & _LOW, return_counts=True)
@@ -128,13 +159,8 @@ class Shard:
         return np.log2(p + np.where(seen, self.own3[i], 0))
 
 
-_FIELDS = "shard int, salt int, kind int, doc_id long, h long, lang string, codes binary, counts binary"
-_TYPES = pa.schema([("shard", pa.int32()), ("salt", pa.int32()), ("kind", pa.int32()), ("doc_id", pa.int64()), ("h", pa.int64()), ("lang", pa.string()), ("codes", pa.binary()), ("counts", pa.binary())])
-
-
-def _steps(code: np.ndarray) -> bytes:
-    """Sorted codes as differences, which compress."""
-    return np.diff(code, prepend=0).astype("<u4").tobytes()
+_FIELDS = "shard int, salt int, kind int, doc_id long, h long, lang string, grams binary"
+_TYPES = pa.schema([("shard", pa.int32()), ("salt", pa.int32()), ("kind", pa.int32()), ("doc_id", pa.int64()), ("h", pa.int64()), ("lang", pa.string()), ("grams", pa.binary())])
 
 
 def _sent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -146,20 +172,11 @@ def _sent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 c, n = np.unique(codes(text), return_counts=True)
                 home = ((c >> 10) & (SYMBOLS - 1)) % _DEAL
                 for s in np.unique(home).tolist() if len(c) else [0]:
-                    m = home == s
-                    rows.append((s, salt, 1, doc_id, h, lang, _steps(c[m]), n[m].astype("<u4").tobytes()))
+                    rows.append((s, salt, 1, doc_id, h, lang, encode(c[home == s], n[home == s])))
             if rows:
                 yield pa.RecordBatch.from_arrays([pa.array(list(x), f.type) for x, f in zip(zip(*rows), _TYPES)], schema=_TYPES)
 
 
-def _flat(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
-    """All numbers of a binary column, and where each row ends."""
-    ends = np.frombuffer(column.buffers()[1], np.int32, len(column) + 1, column.offset * 4)
-    data = column.buffers()[2]
-    data = np.frombuffer(data, np.uint8)[ends[0] : ends[-1]] if data is not None else np.empty(0, np.uint8)
-    return np.frombuffer(data.tobytes(), "<u4").astype(np.int64), (ends[1:] - ends[0]) // 4
-
-
 def perplexities(docs: DataFrame, tri: DataFrame) -> DataFrame:
     """doc_id, h (hash of the text), lang, n (characters) and bits (null without a model) of every row."""
     spark = docs.sparkSession
@@ -170,15 +187,11 @@ def perplexities(docs: DataFrame, tri: DataFrame) -> DataFrame:
     rows = rows.withColumn("salt", F.pmod(F.xxhash64("h", "doc_id"), F.lit(salts)).cast("int")).mapInArrow(_sent, _FIELDS)
 
     def packed(p: pd.DataFrame) -> pd.DataFrame:
-        p = p.sort_values("code")
-        row = {"shard": p["shard"].iat[0], "lang": p["lang"].iat[0], "codes": _steps(p["code"].to_numpy()), "counts": p["n"].to_numpy().astype("<u4").tobytes()}
-        return pd.DataFrame([row])
+        return pd.DataFrame([{"shard": p["shard"].iat[0], "lang": p["lang"].iat[0], "grams": encode(p["code"].to_numpy(), p["n"].to_numpy())}])
 
     middle = F.shiftright("code", 10).bitwiseAND(SYMBOLS - 1)
-    packs = tri.withColumn("shard", (middle % _DEAL).cast("int")).groupBy("lang", "shard").applyInPandas(packed, "shard int, lang string, codes binary, counts binary")
-    tables = packs.select(
-        "shard", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"), F.lit(0).alias("kind"), F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("long").alias("h"), "lang", "codes", "counts"
-    )
+    packs = tri.withColumn("shard", (middle % _DEAL).cast("int")).groupBy("lang", "shard").applyInPandas(packed, "shard int, lang string, grams binary")
+    tables = packs.select("shard", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"), F.lit(0).alias("kind"), F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("long").alias("h"), "lang", "grams")
 
     def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held: dict[str, Shard] = {}
@@ -194,17 +207,16 @@ def perplexities(docs: DataFrame, tri: DataFrame) -> DataFrame:
                 part = b.slice(lo, hi - lo)
                 n_model = int((part.column("kind").to_numpy() == 0).sum())
                 for i in range(n_model):
-                    c, n = (np.frombuffer(part.column(x)[i].as_py(), "<u4").astype(np.int64) for x in ("codes", "counts"))
-                    held[part.column("lang")[i].as_py()] = Shard(np.cumsum(c), n, langs.value[part.column("lang")[i].as_py()])
+                    c, n, _ = decode(part.column("grams").slice(i, 1))
+                    c, k = np.unique(c, return_inverse=True)
+                    name = part.column("lang")[i].as_py()
+                    held[name] = Shard(c, np.bincount(k, n), langs.value[name])
                 part = part.slice(n_model)
                 if not part.num_rows:
                     continue
-                step, ends = _flat(part.column("codes"))
-                count, _ = _flat(part.column("counts"))
-                starts = np.concatenate([[0], ends[:-1]])
-                run = np.concatenate([[0], np.cumsum(step)])
-                size = ends - starts
-                code = run[1:] - np.repeat(run[starts], size)
+                code, count, ends = decode(part.column("grams"))
+                size = np.diff(ends, prepend=0)
+                starts = ends - size
                 lang = np.array(part.column("lang").to_pylist(), object)
                 bits, known = np.zeros(len(code)), np.isin(lang, list(langs.value))
                 for x in set(lang[known]):
@@ -227,8 +239,7 @@ def classify(docs: DataFrame, labels: DataFrame, low: float = 0.01, high: float
     """doc_id, h, lang, perplexity, lowest, highest, kept; one row per distinct (doc_id, lang, text)."""
     spark = docs.sparkSession
     good = labels.where("quality = 1 and coalesce(toxic, 0) = 0 and doc_id is not null").select("doc_id").distinct()
-    trusted = docs.join(good, "doc_id", "left_semi").select(F.coalesce("lang", F.lit(NO_LANG)).alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
-    tri = count_trigrams(trusted)
+    tri = count_trigrams(docs, good)
     release(spark)
     scored = perplexities(docs, tri).withColumn("x", F.when(F.col("n") > 0, F.col("bits") / F.col("n")))
     scored = stash(scored, "perplexity")
