@@ -11,7 +11,7 @@ times the disk that is allowed for it. It finds the same bytes by sampled anchor
    hash, and all but the smallest document's are covered. Only the surroundings of differences come this far.
 3. The covered ranges meet their document's text again, which gives what is left.
 
-Hashes are 64 bits of a polynomial of the whole string. Null text counts as empty. Rows with a null doc_id are left
+Hashes are 64 bits of a polynomial of the whole string; contexts are told apart by 48 bits inside one anchor's 64. Null text counts as empty. Rows with a null doc_id are left
 whole and remove nothing. Rows that share a doc_id don't remove each other's bytes; repeated rows get equal answers.
 Texts under `length` bytes stay whole. An empty table gives an empty result; further columns are ignored.
 """
@@ -145,7 +145,7 @@ def _occurrences(batches: Iterator[pa.RecordBatch], length: int, gram: int) -> I
             left, right = np.maximum(i - side, s), np.minimum(i + gram + side, e)
             ctx = _mix(t.hash(left, right) ^ _mix(((i - left) * 1024 + (right - i)).astype(U)))
             doc, tag = part.column("doc_id").to_numpy()[k], part.column("tag").to_numpy()[k]
-            parts.append((h[i], ctx, doc, (tag << _TAG) | (i - s), left - s, right - s))
+            parts.append((h[i], ctx >> U(16), doc, (tag << _TAG) | (i - s), left - s, right - s))
             held += len(i)
             if held > 4_000_000:
                 yield from _settle(parts, side, length)
@@ -216,7 +216,7 @@ def _windows(batches: Iterator[pa.RecordBatch], length: int, gram: int) -> Itera
             if n:
                 w = t.hash(starts, starts + length)
                 doc, tag = b.column("doc_id")[r].as_py(), b.column("tag")[r].as_py()
-                yield _rows(0, w, np.zeros(n, np.int64), np.full(n, doc), starts | (tag << _TAG), starts)
+                yield _rows(0, w, np.zeros(n, np.int64), np.full(n, doc), starts | (tag << _TAG), np.zeros(n, np.int64))
 
 
 def _later(batches: Iterator[pa.RecordBatch], length: int) -> Iterator[pa.RecordBatch]:
@@ -257,7 +257,9 @@ def remove_repeats(docs: DataFrame, length: int = 50, gram: int = 24, with_text:
         raise ValueError("8 <= gram < length <= gram + 120")
     spark = docs.sparkSession
     t = F.coalesce("text", F.lit("")).cast("binary")
-    rows = docs.select("doc_id", F.pmod(F.xxhash64(t), F.lit(2**20)).alias("tag"), t.alias("t"))
+    again = docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").limit(1).count() > 0
+    tag = F.pmod(F.xxhash64(t), F.lit(2**20)) if again else F.lit(0)
+    rows = docs.select("doc_id", tag.cast("long").alias("tag"), t.alias("t"))
     seen = rows.where(F.col("doc_id").isNotNull() & (F.octet_length("t") >= length))
     met = seen.mapInArrow(partial(_occurrences, length=length, gram=gram), _ROW)
     marks = met.repartition("a").sortWithinPartitions("a", "c", "doc", "at").mapInArrow(partial(_contexts, span=length), _ROW)
