@@ -40,11 +40,11 @@ def connected_components(edges: DataFrame, max_rounds: int = 200) -> DataFrame:
         .distinct()
     )
     pair = stash(pair, "cc")
-    seen = None
-    for _ in range(max_rounds):
+    seen = None if pair.limit(1).count() else (0, None)
+    for _ in range(max_rounds if seen is None else 0):
         # large-star: each larger neighbour of a node is linked to the least node around it
         both = pair.union(pair.select(F.col("v").alias("u"), F.col("u").alias("v")))
-        least = both.groupBy("u").agg(F.least(F.min("v"), F.first("u")).alias("m"))
+        least = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
         large = (
             both.join(least, "u")
             .where("v > u and v <> m")

@@ -1,10 +1,592 @@
-"""Registered queries over the driver's tables, and the SQL that must give the same rows."""
+"""Registered queries over the driver's tables, and the SQL that must give the same rows.
+
+The tables hold no postings, so each query maps their columns to the operator's input; the mapping is in its body.
+"""
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
+from dataclasses import replace
+from datetime import date
+
+from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Window as W
+from pyspark.sql import functions as F
 
-from pyspark.sql import DataFrame, SparkSession
+from gleaner.functions import urls
+from gleaner.operators import canonical, coverage, ranking, requirements, review, screening, state
+from gleaner.operators.graph import shared_dir
+from gleaner.sources import pages as html_pages
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
+TODAY = date(2001, 8, 1)
+
+
+def query(name: str, sql: str | None = None):
+    def add(f):
+        QUERIES[name] = f
+        if sql:
+            ORACLES[name] = sql
+        return f
+
+    return add
+
+
+def read(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def ns(c: str | Column) -> Column:
+    return (F.col(c) if isinstance(c, str) else c).cast("long")
+
+
+# ---------------------------------------------------------------- ranking: orders as vacancies
+POLICY = ranking.Policy(50000, 400, 25, 40, 25, 10, frozenset({"en", "nl"}), frozenset(ranking.FAMILIES))
+
+
+def vacancies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("o_orderkey")
+    pick = lambda values, by: F.element_at(F.array(*[F.lit(float(v)) for v in values]), (F.floor(k / by) % len(values) + 1).cast("int"))
+    return read(spark, sf_dir, "orders").select(
+        k.alias("id"),
+        F.concat(F.lit("order "), k).alias("title"),
+        F.concat(F.lit("https://example.com/o/"), k).alias("url"),
+        F.when(k % 13 != 0, F.date_format("o_orderdate", "yyyy-MM-dd")).alias("posted_date"),
+        (F.col("o_orderstatus") != "F").alias("fully_remote"),
+        (k % 7 != 0).alias("geography_compatible"),
+        (F.col("o_orderpriority") == "1-URGENT").alias("wordpress_related"),
+        (F.col("o_orderpriority") == "2-HIGH").alias("ai_workflow_related"),
+        (k % 31 == 0).alias("central_hard_mismatch"),
+        F.when(k % 5 == 0, "Dutch").when(k % 5 == 1, "en-GB").when(k % 5 == 2, "EN").when(k % 5 == 3, "de").alias("listing_language"),
+        F.when(k % 11 == 0, "fr").otherwise("nl").alias("application_language"),
+        F.when(k % 17 == 0, F.array(F.lit("english"), F.lit("fr"))).when(k % 17 == 1, F.lit(None)).otherwise(F.array(F.lit("english"))).alias("required_languages"),
+        F.when(k % 3 == 0, F.col("o_totalprice")).alias("salary_monthly_eur"),
+        F.when(k % 3 == 1, F.col("o_totalprice") / 2).alias("salary_min_monthly_eur"),
+        F.when(k % 6 == 1, F.col("o_totalprice")).alias("salary_max_monthly_eur"),
+        pick(ranking.CORE_STEPS, 1).alias("core_fit"),
+        pick(ranking.EVIDENCE_STEPS, 2).alias("evidence_fit"),
+        pick(ranking.WORKSTYLE_STEPS, 3).alias("workstyle_fit"),
+    )
+
+
+VACANCIES = """
+v AS (SELECT o_orderkey AS id, 'order ' || o_orderkey AS title, 'https://example.com/o/' || o_orderkey AS url,
+  CASE WHEN o_orderkey % 13 <> 0 THEN o_orderdate::DATE END AS posted, o_orderstatus <> 'F' AS remote, o_orderkey % 7 <> 0 AS geo,
+  o_orderpriority IN ('1-URGENT', '2-HIGH') AS family, o_orderkey % 31 = 0 AS mismatch,
+  CASE o_orderkey % 5 WHEN 0 THEN 'nl' WHEN 1 THEN 'en' WHEN 2 THEN 'en' WHEN 3 THEN 'de' END AS lang,
+  CASE WHEN o_orderkey % 11 = 0 THEN 'fr' ELSE 'nl' END AS app, o_orderkey % 17 AS req,
+  CASE WHEN o_orderkey % 3 = 0 THEN o_totalprice END AS exact, CASE WHEN o_orderkey % 3 = 1 THEN o_totalprice / 2 END AS lo,
+  CASE WHEN o_orderkey % 6 = 1 THEN o_totalprice END AS hi,
+  [0.0, 25.0, 40.0, 50.0][o_orderkey % 4 + 1]::DOUBLE AS core, [0.0, 10.0, 18.0, 25.0][(o_orderkey // 2) % 4 + 1]::DOUBLE AS evid,
+  [0.0, 5.0, 10.0, 15.0][(o_orderkey // 3) % 4 + 1]::DOUBLE AS work FROM orders),
+g AS (SELECT *, datediff('day', posted, DATE '2001-08-01')::INT AS age, coalesce(exact, lo, hi) IS NOT NULL AS known,
+  CASE WHEN coalesce(exact, lo, hi) IS NULL THEN 'salary_unknown' WHEN coalesce(exact, hi) < 50000 THEN 'salary_below_preference' END AS warning,
+  concat_ws(',', CASE WHEN datediff('day', posted, DATE '2001-08-01') < 0 THEN 'future_date' WHEN datediff('day', posted, DATE '2001-08-01') > 400 THEN 'older_than_max_age' END,
+    CASE WHEN NOT remote THEN 'not_remote' END, CASE WHEN NOT geo THEN 'country_restriction' END, CASE WHEN NOT family THEN 'not_target_role_family' END,
+    CASE WHEN mismatch THEN 'central_hard_mismatch' END,
+    CASE WHEN lang IS NULL THEN 'listing_language_missing' WHEN lang = 'de' THEN 'listing_language_not_allowed' END,
+    CASE WHEN app = 'fr' THEN 'application_language_not_allowed' END,
+    CASE req WHEN 0 THEN 'required_language_not_allowed' WHEN 1 THEN 'required_languages_invalid' END) AS reasons FROM v),
+s AS (SELECT *, core + evid + work + CASE WHEN age <= 14 THEN 10 WHEN age <= 30 THEN 8 WHEN age <= 60 THEN 6 WHEN age <= 90 THEN 4 ELSE 2 END AS score FROM g)
+"""
+
+
+@query(
+    "q01_ranking_top_k",
+    f"WITH {VACANCIES} SELECT id, title, score, age AS age_days, known AS salary_known FROM s WHERE reasons = '' AND age IS NOT NULL AND score >= 40 AND core >= 25 AND evid >= 10 "
+    "ORDER BY known DESC, score DESC, core DESC, evid DESC, age, url DESC, title DESC LIMIT 25",
+)
+def q01(spark, sf_dir):
+    top = ranking.top_vacancies(vacancies(spark, sf_dir), TODAY, POLICY)
+    return top.select("id", "title", "score", "gate.age_days", "gate.salary_known")
+
+
+@query("q02_eligibility_reasons", f"WITH {VACANCIES} SELECT id, reasons, concat_ws(',', CASE WHEN posted IS NULL THEN 'date_missing' END, warning) AS warnings, reasons = '' AS pass FROM g")
+def q02(spark, sf_dir):
+    g = ranking.eligibility(vacancies(spark, sf_dir), TODAY, POLICY)
+    return g.select("id", F.array_join("gate.reasons", ",").alias("reasons"), F.array_join("gate.warnings", ",").alias("warnings"), F.col("gate.pass").alias("pass"))
+
+
+@query("q03_reason_counts", f"WITH {VACANCIES} SELECT reason, count(*) AS n FROM (SELECT unnest(string_split(reasons, ',')) AS reason FROM g WHERE reasons <> '') GROUP BY reason")
+def q03(spark, sf_dir):
+    g = ranking.eligibility(vacancies(spark, sf_dir), TODAY, POLICY)
+    return g.select(F.explode("gate.reasons").alias("reason")).groupBy("reason").agg(F.count("*").alias("n"))
+
+
+@query(
+    "q04_salary_status",
+    """WITH a AS (SELECT l_orderkey, l_linenumber, CASE WHEN l_linenumber <> 2 THEN l_extendedprice END AS x, CASE WHEN l_linenumber IN (2, 3) THEN l_extendedprice * l_discount * 10 END AS lo,
+      CASE WHEN l_linenumber = 2 THEN l_extendedprice / 2 END AS hi FROM lineitem WHERE l_linenumber <= 4)
+    SELECT status, known, count(*) AS n FROM (SELECT
+      CASE WHEN (x IS NOT NULL AND (lo IS NOT NULL OR hi IS NOT NULL)) OR coalesce(lo > hi, false) THEN 'salary_invalid' WHEN coalesce(x, lo, hi) IS NULL THEN 'salary_unknown'
+           WHEN coalesce(x, hi) < 20000 THEN 'salary_below_preference' ELSE 'fine' END AS status,
+      NOT ((x IS NOT NULL AND (lo IS NOT NULL OR hi IS NOT NULL)) OR coalesce(lo > hi, false)) AND coalesce(x, lo, hi) IS NOT NULL AS known FROM a) GROUP BY ALL""",
+)
+def q04(spark, sf_dir):
+    n, p = F.col("l_linenumber"), F.col("l_extendedprice")
+    a = read(spark, sf_dir, "lineitem").where(n <= 4).select(
+        F.when(n != 2, p).alias("salary_monthly_eur"), F.when(n.isin(2, 3), p * F.col("l_discount") * 10).alias("salary_min_monthly_eur"), F.when(n == 2, p / 2).alias("salary_max_monthly_eur")
+    )
+    known, status = ranking.salary_status(a, 20000)
+    return a.groupBy(F.coalesce(status, F.lit("fine")).alias("status"), known.alias("known")).agg(F.count("*").alias("n"))
+
+
+@query(
+    "q05_recency_buckets",
+    "SELECT CASE WHEN a <= 14 THEN 10 WHEN a <= 30 THEN 8 WHEN a <= 60 THEN 6 WHEN a <= 90 THEN 4 ELSE 2 END::DOUBLE AS points, count(*) AS n FROM (SELECT datediff('day', o_orderdate::DATE, DATE '2001-08-01') AS a FROM orders) GROUP BY 1",
+)
+def q05(spark, sf_dir):
+    age = F.datediff(F.lit(TODAY), F.to_date("o_orderdate"))
+    return read(spark, sf_dir, "orders").groupBy(ranking.recency_points(age).alias("points")).agg(F.count("*").alias("n"))
+
+
+@query(
+    "q06_opportunity_score",
+    """WITH m AS (SELECT max(epoch_us(ts)) AS top FROM events), e AS (SELECT event_id, (top - epoch_us(ts)) / 3600000000.0::DOUBLE AS age, event_type,
+        CASE WHEN event_id % 9 <> 0 THEN floor(value)::BIGINT END AS applicants, CASE WHEN event_id % 4 <> 0 THEN (event_id % 500)::DOUBLE END AS deadline FROM events, m)
+    SELECT event_id, (CASE WHEN age <= 1 THEN 35 WHEN age <= 6 THEN 32 WHEN age <= 24 THEN 27 WHEN age <= 72 THEN 20 WHEN age <= 168 THEN 12 WHEN age <= 720 THEN 6 ELSE 2 END
+      + CASE event_type WHEN 'signup' THEN 25 WHEN 'purchase' THEN 23 WHEN 'click' THEN 15 ELSE 8 END
+      + CASE WHEN applicants IS NULL THEN 8 WHEN applicants <= 10 THEN 20 WHEN applicants <= 25 THEN 17 WHEN applicants <= 50 THEN 13 WHEN applicants <= 100 THEN 8 ELSE 4 END
+      + CASE WHEN deadline IS NULL THEN 4 WHEN deadline <= 72 THEN 10 WHEN deadline <= 168 THEN 8 WHEN deadline <= 336 THEN 6 ELSE 4 END
+      + CASE WHEN event_id % 2 = 0 THEN 10 ELSE 0 END)::INT AS score,
+      concat_ws(',', CASE WHEN applicants IS NULL THEN 'applicant_count_unknown' END, CASE WHEN deadline IS NULL THEN 'deadline_unknown' END) AS warnings FROM e""",
+)
+def q06(spark, sf_dir):
+    e = read(spark, sf_dir, "events")
+    top = e.agg(F.max(F.unix_micros(F.col("ts").cast("timestamp"))).alias("top"))
+    i = F.col("event_id")
+    route = F.when(F.col("event_type") == "signup", "employer").when(F.col("event_type") == "purchase", "ats").when(F.col("event_type") == "click", "job_board").otherwise("other")
+    x = e.crossJoin(F.broadcast(top)).withColumn("age", (F.col("top") - F.unix_micros(F.col("ts").cast("timestamp"))) / 3600000000.0)  # one row
+    o = ranking.opportunity(F.col("age"), route, F.when(i % 9 != 0, F.floor("value")), F.when(i % 4 != 0, (i % 500).cast("double")), i % 2 == 0)
+    return x.withColumn("o", o).select("event_id", "o.score", F.array_join("o.warnings", ",").alias("warnings"))
+
+
+@query(
+    "q07_thresholds_monotone",
+    f"WITH {VACANCIES}, t AS (SELECT *, reasons = '' AND age IS NOT NULL AND core >= 25 AND evid >= 10 AS ok FROM s) SELECT count(*) FILTER (ok AND score >= 40) AS loose, count(*) FILTER (ok AND score >= 70) AS strict, count(*) FILTER (ok AND score >= 70) AS shared FROM t",
+)
+def q07(spark, sf_dir):
+    v = vacancies(spark, sf_dir)
+    tops = [ranking.qualified(v, TODAY, replace(POLICY, min_output_score=s)).select("id") for s in (40, 70)]
+    return tops[0].join(tops[1].withColumn("strict", F.lit(1)), "id", "left").agg(F.count("*").alias("loose"), F.count("strict").alias("strict"), F.count("strict").alias("shared"))
+
+
+# ---------------------------------------------------------------- URLs and clusters
+URL_SQL = r"""u AS (SELECT page_id, url, lower(regexp_extract(url, '^([a-zA-Z]+)://', 1)) AS scheme, lower(regexp_extract(url, '^[a-zA-Z]+://([^/?#]*)', 1)) AS host,
+  regexp_extract(url, '^[a-zA-Z]+://[^/?#]*([^?#]*)', 1) AS path, regexp_extract(url, '\?([^#]*)', 1) AS query FROM pages),
+n AS (SELECT *, list_sort(list_filter(string_split(query, '&'), lambda x: x <> '' AND NOT starts_with(lower(x), 'utm_'))) AS items FROM u),
+c AS (SELECT page_id, url, host, path, scheme || '://' || host || CASE WHEN regexp_matches(path, '^/*$') THEN '/' ELSE regexp_replace(path, '/+$', '') END
+  || CASE WHEN len(items) > 0 THEN '?' || array_to_string(items, '&') ELSE '' END AS canonical FROM n)"""
+
+
+@query("q10_url_canonical", f"WITH {URL_SQL} SELECT page_id, canonical FROM c")
+def q10(spark, sf_dir):
+    return read(spark, sf_dir, "pages").select("page_id", urls.canonical(F.col("url")).alias("canonical"))
+
+
+@query("q11_url_role_specific", f"WITH {URL_SQL} SELECT page_id, len(list_filter(string_split(path, '/'), lambda x: x <> '')) > 0 AND NOT regexp_matches(lower(path), '/(jobs?|careers?|search|categories|category|tag|vacancies|openings)/*$') AS role FROM c")
+def q11(spark, sf_dir):
+    return read(spark, sf_dir, "pages").select("page_id", urls.role_specific(urls.canonical(F.col("url"))).alias("role"))
+
+
+def page_observations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    url = F.col("url")
+    host = F.regexp_extract(url, "^[a-zA-Z]+://([^/?#]*)", 1)
+    return read(spark, sf_dir, "pages").select(
+        F.col("page_id").alias("ordinal"), url, F.lit(None).cast("string").alias("canonical_url"), host.alias("source_id"), F.regexp_extract(url, "^[a-zA-Z]+://[^/?#]*/([a-z]+)", 1).alias("source_job_id")
+    )
+
+
+@query(
+    "q12_identity_keys",
+    f"WITH {URL_SQL}, k AS (SELECT page_id, 'url:' || canonical AS key FROM c UNION ALL SELECT page_id, 'source:' || host || ':' || regexp_extract(url, '^[a-zA-Z]+://[^/?#]*/([a-z]+)', 1) FROM c WHERE regexp_extract(url, '^[a-zA-Z]+://[^/?#]*/([a-z]+)', 1) <> '') SELECT page_id AS ordinal, key FROM k",
+)
+def q12(spark, sf_dir):
+    o = page_observations(spark, sf_dir)
+    return o.select("ordinal", F.explode(canonical.identity_keys(o)).alias("key"))
+
+
+PART_KEYS = "k AS (SELECT p_partkey AS id, p_brand || '|' || p_name || '|' || p_type || '|' || p_size AS key FROM part UNION ALL SELECT p_partkey, 'g' || (p_partkey // 3) FROM part)"
+
+
+@query(
+    "q13_clusters",
+    f"""WITH RECURSIVE {PART_KEYS}, l AS (SELECT key, min(id) AS m FROM k GROUP BY key), e AS (SELECT k.id AS a, l.m AS b FROM k JOIN l USING (key)),
+    s AS (SELECT a, b FROM e UNION SELECT b, a FROM e), r AS (SELECT id, id AS c FROM (SELECT p_partkey AS id FROM part) UNION SELECT s.a, r.c FROM r JOIN s ON s.b = r.id WHERE r.c < s.a)
+    SELECT id, min(c) AS cluster FROM r GROUP BY id""",
+)
+def q13(spark, sf_dir):
+    p = read(spark, sf_dir, "part")
+    rows = p.select(
+        F.col("p_partkey").alias("ordinal"), F.array(F.concat_ws("|", "p_brand", "p_name", "p_type", "p_size"), F.concat(F.lit("g"), F.floor(F.col("p_partkey") / 3))).alias("keys")
+    )
+    return canonical.clusters(rows, F.col("keys")).select(F.col("ordinal").alias("id"), "cluster")
+
+
+@query(
+    "q14_weak_fingerprint_dups",
+    "SELECT p_partkey, 'fingerprint:' || sha256(lower(p_brand) || chr(31) || lower(p_name) || chr(31) || lower(p_type)) AS fp, (count(*) OVER (PARTITION BY lower(p_brand), lower(p_name), lower(p_type)))::INT AS n FROM part",
+)
+def q14(spark, sf_dir):
+    p = read(spark, sf_dir, "part").select("p_partkey", canonical.fingerprint(F.col("p_brand"), F.col("p_name"), F.col("p_type")).alias("fp"))
+    return canonical.mark_duplicates(p, "fp").select("p_partkey", "fp", F.col("duplicate_candidate_count").alias("n"))
+
+
+@query(
+    "q15_ats_host_resolve",
+    r"""WITH a AS (SELECT page_id, CASE page_id % 4 WHEN 0 THEN 'https://jobs.lever.co/acct' || page_id || '/x' WHEN 1 THEN 'https://acct' || page_id || '.recruitee.com/o/x' ELSE url END AS url FROM pages)
+    SELECT page_id, CASE page_id % 4 WHEN 0 THEN 'lever' WHEN 1 THEN 'recruitee' END AS provider, CASE WHEN page_id % 4 < 2 THEN 'acct' || page_id END AS account FROM a""",
+)
+def q15(spark, sf_dir):
+    i = F.col("page_id")
+    url = F.when(i % 4 == 0, F.concat(F.lit("https://jobs.lever.co/acct"), i, F.lit("/x"))).when(i % 4 == 1, F.concat(F.lit("https://acct"), i, F.lit(".recruitee.com/o/x"))).otherwise(F.col("url"))
+    return read(spark, sf_dir, "pages").withColumn("a", urls.ats(url)).select("page_id", "a.provider", "a.account")
+
+
+@query("q16_html_links", """SELECT page_id, count(*) AS n, count(DISTINCT href) AS hrefs FROM (SELECT page_id, unnest(regexp_extract_all(html, '<a href="([^"]*)"', 1)) AS href FROM pages) GROUP BY page_id""")
+def q16(spark, sf_dir):
+    return html_pages.links(read(spark, sf_dir, "pages")).groupBy("page_id").agg(F.count("*").alias("n"), F.countDistinct("href").alias("hrefs"))
+
+
+@query("q17_visible_text")
+def q17(spark, sf_dir):
+    p = read(spark, sf_dir, "pages").withColumn("p", html_pages.page(F.col("html")))
+    return p.select("page_id", "p.lang", "p.text", "p.has_form", F.size("p.json_ld").alias("scripts"))
+
+
+# ---------------------------------------------------------------- state
+@query(
+    "q20_change_detection",
+    """WITH r AS (SELECT doc_id % 2 AS snap, source, text, row_number() OVER (PARTITION BY source, doc_id % 2 ORDER BY doc_id) AS r FROM documents),
+    j AS (SELECT a.text AS old, b.text AS new FROM (SELECT * FROM r WHERE snap = 0) a FULL JOIN (SELECT * FROM r WHERE snap = 1) b ON a.source = b.source AND a.r = b.r)
+    SELECT CASE WHEN old IS NULL THEN 'new' WHEN new IS NULL THEN 'missing' WHEN sha256(old) = sha256(new) THEN 'unchanged' ELSE 'updated' END AS change, count(*) AS n FROM j GROUP BY 1""",
+)
+def q20(spark, sf_dir):
+    d = read(spark, sf_dir, "documents").select("source", (F.col("doc_id") % 2).alias("snap"), "doc_id", state.content_hash(F.col("text")).alias("h"))
+    d = d.withColumn("r", F.row_number().over(W.partitionBy("source", "snap").orderBy("doc_id")))
+    old, new = (d.where(F.col("snap") == k).select("source", "r", F.col("h").alias(n)) for k, n in ((0, "old"), (1, "new")))
+    change = F.when(F.col("old").isNull(), "new").when(F.col("new").isNull(), "missing").when(F.col("old") == F.col("new"), "unchanged").otherwise("updated")
+    return old.join(new, ["source", "r"], "full").groupBy(change.alias("change")).agg(F.count("*").alias("n"))
+
+
+@query(
+    "q21_snapshots_scd",
+    "SELECT user_id::VARCHAR AS job_id, event_type || ':' || floor(value / 25)::BIGINT AS content_hash, min(epoch_us(ts))::VARCHAR AS first_seen_at, max(epoch_us(ts))::VARCHAR AS last_seen_at FROM events GROUP BY user_id, event_type, floor(value / 25)",
+)
+def q21(spark, sf_dir):
+    t = F.unix_micros(F.col("ts").cast("timestamp")).cast("string")
+    e = read(spark, sf_dir, "events").select(
+        F.col("user_id").cast("string").alias("job_id"), F.concat_ws(":", "event_type", F.floor(F.col("value") / 25)).alias("content_hash"), F.lit("").alias("payload"), t.alias("first_seen_at"), t.alias("last_seen_at")
+    )
+    return state.merge_snapshots(e).drop("payload")
+
+
+@query("q22_duplicate_in_batch", "SELECT doc_id, row_number() OVER (PARTITION BY text ORDER BY doc_id) > 1 AS duplicate FROM documents")
+def q22(spark, sf_dir):
+    d = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("ordinal"), F.array(F.sha2(F.col("text"), 256)).alias("keys"))
+    return state.duplicate_in_batch(d).select(F.col("ordinal").alias("doc_id"), "duplicate")
+
+
+MISSING = """r AS (SELECT instance, day, row_number() OVER (PARTITION BY instance ORDER BY day) AS n FROM (SELECT DISTINCT event_type AS instance, ts::DATE AS day FROM events)),
+t AS (SELECT instance, max(n) AS total FROM r GROUP BY instance), l AS (SELECT event_type AS instance, user_id AS job, max(n) AS last FROM events JOIN r ON r.instance = event_type AND r.day = ts::DATE GROUP BY ALL),
+m AS (SELECT l.instance, job, (total - last)::INT AS missing FROM l JOIN t USING (instance))"""
+
+
+def missing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    e = read(spark, sf_dir, "events").select(F.col("event_type").alias("instance"), F.col("user_id").alias("job"), F.to_date("ts").alias("run_no")).distinct()
+    return state.missing_runs(e.select("instance", "run_no").distinct(), e)
+
+
+@query("q23_missing_runs", f"WITH {MISSING} SELECT * FROM m")
+def q23(spark, sf_dir):
+    return missing(spark, sf_dir)
+
+
+@query("q24_closed_jobs", f"WITH {MISSING} SELECT job FROM m GROUP BY job HAVING bool_and(missing >= 2)")
+def q24(spark, sf_dir):
+    m = missing(spark, sf_dir).select(F.col("job").alias("job_id"), F.col("missing").alias("missing_runs"), F.lit(2).alias("close_threshold"))
+    return state.globally_missing(m).select(F.col("job_id").alias("job"))
+
+
+@query(
+    "q25_source_health",
+    """WITH s AS (SELECT user_id, max(CASE WHEN event_type <> 'error' THEN (ts, event_id) END) AS ok, max(CASE WHEN event_type = 'error' THEN (ts, event_id) END) AS bad, count(*) AS runs FROM events GROUP BY user_id),
+    f AS (SELECT e.user_id, count(*) AS streak FROM events e JOIN s USING (user_id) WHERE event_type = 'error' AND (ok IS NULL OR (ts, event_id) > ok) GROUP BY e.user_id)
+    SELECT s.user_id AS source, coalesce(streak, 0) AS consecutive_failures, CASE WHEN streak > 0 THEN least(3600, 60 * pow(2, least(streak, 20) - 1))::INT END AS retry_seconds, runs AS run_count FROM s LEFT JOIN f USING (user_id)""",
+)
+def q25(spark, sf_dir):
+    runs = read(spark, sf_dir, "events").select(
+        F.col("user_id").alias("source_instance"), F.col("event_id").alias("run_id"), F.col("ts").alias("started_at"), (F.col("event_type") != "error").alias("success"), F.lit(None).cast("int").alias("result_count"), F.lit("x").alias("failure_category")
+    )
+    return state.source_health(runs).select(F.col("source_instance").alias("source"), "consecutive_failures", "retry_seconds", "run_count")
+
+
+@query(
+    "q26_upsert_counts",
+    """WITH b AS (SELECT doc_id, sha256(text) AS key, source AS hash FROM documents), o AS (SELECT key, min(doc_id) AS d FROM b WHERE doc_id % 2 = 0 GROUP BY key),
+    st AS (SELECT key, arg_max(hash, doc_id) AS hash FROM b WHERE doc_id % 2 = 0 GROUP BY key), n AS (SELECT b.*, st.hash AS stored, lag(b.hash) OVER (PARTITION BY b.key ORDER BY doc_id) AS prev FROM b LEFT JOIN st USING (key) WHERE doc_id % 2 = 1),
+    c AS (SELECT CASE WHEN stored IS NULL AND prev IS NULL THEN 'new' WHEN coalesce(prev, stored) = hash THEN 'unchanged' ELSE 'updated' END AS change, row_number() OVER (PARTITION BY key ORDER BY doc_id) > 1 AS dup FROM n)
+    SELECT count(*) FILTER (change = 'new') AS new, count(*) FILTER (change = 'updated') AS updated, count(*) FILTER (change = 'unchanged') AS unchanged, count(*) FILTER (dup) AS duplicate, 0::BIGINT AS closed FROM c""",
+)
+def q26(spark, sf_dir):
+    d = read(spark, sf_dir, "documents").select(
+        F.col("doc_id").alias("ordinal"), F.array(F.sha2(F.col("text"), 256)).alias("keys"), F.lit(None).cast("string").alias("canonical_url"), F.col("source").alias("content_hash"), F.lit("").alias("payload"), F.lit(False).alias("snippet")
+    )
+    first, _ = state.upsert(d.where("ordinal % 2 = 0"), state.State.empty(spark), instance="a", run_id="1", now="2001-01-01")
+    first = first.save(f"{shared_dir(spark)}/state-{uuid.uuid4().hex}", "v1")
+    _, counters = state.upsert(d.where("ordinal % 2 = 1"), first, instance="a", run_id="2", now="2001-01-02")
+    return counters
+
+
+# ---------------------------------------------------------------- screening
+@query("q30_history_anti_join", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F')")
+def q30(spark, sf_dir):
+    c = read(spark, sf_dir, "customer").select(F.col("c_custkey").alias("ordinal"), F.array(F.concat(F.lit("c"), F.col("c_custkey"))).alias("keys"))
+    old = read(spark, sf_dir, "orders").where("o_orderstatus = 'F'").select(F.concat(F.lit("c"), F.col("o_custkey")).alias("key"))
+    return screening.reject_unless_new(c, old).where("not seen_before").select(F.col("ordinal").alias("c_custkey"))
+
+
+@query("q31_weak_prior_match", "SELECT c_custkey, lower(c_mktsegment) || '|' || c_nationkey IN (SELECT lower('BUILDING') || '|' || s_nationkey FROM supplier) AS weak_prior FROM customer")
+def q31(spark, sf_dir):
+    c = read(spark, sf_dir, "customer").select("c_custkey", F.col("c_mktsegment").alias("employer"), F.col("c_nationkey").cast("string").alias("title"))
+    s = read(spark, sf_dir, "supplier").select(F.lit(" Building ").alias("employer"), F.col("s_nationkey").cast("string").alias("title"))
+    return screening.weak_prior(c, s).select("c_custkey", "weak_prior")
+
+
+@query(
+    "q32_screening_cascade",
+    """WITH j AS (SELECT o_orderkey, o_orderdate, o_totalprice, CASE WHEN c_acctbal < 0 THEN 'unapproved' WHEN o_orderstatus = 'F' THEN 'previously_registered' WHEN o_orderdate::DATE < DATE '1998-01-01' THEN 'expired'
+        WHEN c_mktsegment = 'MACHINERY' THEN 'off_target' END AS reason FROM orders JOIN customer ON o_custkey = c_custkey),
+    k AS (SELECT *, CASE WHEN reason IS NULL AND row_number() OVER (PARTITION BY reason IS NULL ORDER BY o_totalprice DESC, o_orderkey) > 100 THEN 'limit' ELSE coalesce(reason, 'accepted') END AS r FROM j)
+    SELECT r AS reason, count(*) AS n FROM k GROUP BY r""",
+)
+def q32(spark, sf_dir):
+    j = read(spark, sf_dir, "orders").join(read(spark, sf_dir, "customer"), F.col("o_custkey") == F.col("c_custkey")).withColumn("ordinal", F.col("o_orderkey"))
+    rules = [
+        ("unapproved", F.col("c_acctbal") < 0),
+        ("previously_registered", F.col("o_orderstatus") == "F"),
+        ("expired", F.to_date("o_orderdate") < F.lit(date(1998, 1, 1))),
+        ("off_target", F.col("c_mktsegment") == "MACHINERY"),
+    ]
+    return screening.reason_counts(screening.cascade(j, rules, [F.desc("o_totalprice"), F.col("o_orderkey")], 100))
+
+
+@query(
+    "q33_key_propagation",
+    "WITH b AS (SELECT p_brand, p_size, string_agg(DISTINCT p_type, ',' ORDER BY p_type) AS ks FROM part GROUP BY ALL) SELECT p_partkey, ks FROM part JOIN b USING (p_brand, p_size)",
+)
+def q33(spark, sf_dir):
+    p = read(spark, sf_dir, "part").select("p_partkey", F.concat_ws("|", "p_brand", "p_size").alias("link"), F.array("p_type").alias("keys"))
+    return screening.propagate_keys(p, "link", "keys").select("p_partkey", F.array_join(F.array_sort("keys"), ",").alias("ks"))
+
+
+# ---------------------------------------------------------------- requirements
+TAGS = {"that": "that", "with": "with", "this": "this", "from": "from"}
+
+
+@query(
+    "q40_skill_tags",
+    "SELECT doc_id, concat_ws(',', " + ", ".join(f"CASE WHEN regexp_matches(lower(text), '(^|[^a-z0-9]){k}($|[^a-z0-9])') THEN '{k}' END" for k in sorted(TAGS)) + ") AS tags FROM documents",
+)
+def q40(spark, sf_dir):
+    return read(spark, sf_dir, "documents").select("doc_id", F.array_join(requirements.skill_tags(F.col("text"), TAGS), ",").alias("tags"))
+
+
+@query(
+    "q41_requirement_coverage",
+    "WITH t AS (SELECT doc_id, list_filter([" + ", ".join(f"CASE WHEN regexp_matches(lower(text), '(^|[^a-z0-9]){k}($|[^a-z0-9])') THEN '{k}' END" for k in sorted(TAGS)) + "], lambda x: x IS NOT NULL) AS tags FROM documents) "
+    "SELECT doc_id, (len(tags) > 0)::BIGINT AS required, (len(tags) > 0 AND len(list_filter(tags, lambda x: x NOT IN ('that', 'with'))) = 0)::BIGINT AS matched, (len(list_filter(tags, lambda x: x NOT IN ('that', 'with'))) > 0)::BIGINT AS unmatched FROM t",
+)
+def q41(spark, sf_dir):
+    t = read(spark, sf_dir, "documents").select(F.col("doc_id").alias("ordinal"), requirements.skill_tags(F.col("text"), TAGS).alias("tags"), F.lit(0).alias("uncertain"))
+    return requirements.requirement_counts(t, ["that", "with"]).select(F.col("ordinal").alias("doc_id"), "required", "matched", "unmatched")
+
+
+@query("q42_years_theta_join", "SELECT p_size, count(*) AS n FROM (SELECT DISTINCT p_size FROM part) JOIN (SELECT DISTINCT c_nationkey FROM customer) ON p_size <= c_nationkey GROUP BY p_size")
+def q42(spark, sf_dir):
+    # both sides are distinct small domains; the larger one is reduced to a sorted array and searched
+    has = read(spark, sf_dir, "customer").select("c_nationkey").distinct().agg(F.collect_set("c_nationkey").alias("has"))
+    need = read(spark, sf_dir, "part").select("p_size").distinct().crossJoin(F.broadcast(has))  # one row
+    return need.select("p_size", F.size(F.filter("has", lambda x: x >= F.col("p_size"))).cast("long").alias("n")).where("n > 0")
+
+
+@query(
+    "q43_section_state",
+    """WITH l AS (SELECT doc_id, unnest(string_split(text, chr(10))) AS t, unnest(range(len(string_split(text, chr(10)))))::INT AS line FROM documents),
+    s AS (SELECT doc_id, line, last_value(CASE WHEN len(t) < 40 THEN t END IGNORE NULLS) OVER (PARTITION BY doc_id ORDER BY line) AS section FROM l) SELECT doc_id, count(DISTINCT section) AS sections, count(*) FILTER (section IS NULL) AS before FROM s GROUP BY doc_id""",
+)
+def q43(spark, sf_dir):
+    lines = read(spark, sf_dir, "documents").select("doc_id", F.posexplode(F.split("text", "\n")).alias("line", "t"))
+    s = requirements.carried_section(lines, "doc_id", "line", F.when(F.length("t") < 40, F.col("t")))
+    return s.groupBy("doc_id").agg(F.countDistinct("section").alias("sections"), F.count_if(F.col("section").isNull()).alias("before"))
+
+
+@query("q44_language_gate", "SELECT lang, CASE WHEN lang IN ('en', 'nl') THEN 'allowed' ELSE 'listing_language_not_allowed' END AS verdict, count(*) AS n FROM documents GROUP BY ALL")
+def q44(spark, sf_dir):
+    from gleaner.functions.text import language
+
+    verdict = F.when(language(F.concat("lang", F.lit("-XX"))).isin("en", "nl") | language(F.col("lang")).isin("en", "nl"), "allowed").otherwise("listing_language_not_allowed")
+    return read(spark, sf_dir, "documents").groupBy("lang", verdict.alias("verdict")).agg(F.count("*").alias("n"))
+
+
+@query(
+    "q45_geography_signal",
+    "SELECT n_nationkey, CASE r_name WHEN 'EUROPE' THEN 'allowed' WHEN 'AMERICA' THEN 'unknown' WHEN 'ASIA' THEN CASE WHEN n_nationkey % 2 = 0 THEN 'restricted' ELSE 'unknown' END ELSE CASE WHEN n_nationkey % 2 = 0 THEN 'restricted' ELSE 'unknown' END END AS geo FROM nation JOIN region ON n_regionkey = r_regionkey",
+)
+def q45(spark, sf_dir):
+    j = read(spark, sf_dir, "nation").join(read(spark, sf_dir, "region"), F.col("n_regionkey") == F.col("r_regionkey"))
+    even = F.col("n_nationkey") % 2 == 0
+    place = F.when(F.col("r_name").isin("EUROPE", "AMERICA"), F.col("r_name")).when(even & (F.col("r_name") == "ASIA"), "Remote, India").when(even, "worldwide, excluding the EU").otherwise("Remote")
+    return j.select("n_nationkey", requirements.geography(place).alias("geo"))
+
+
+# ---------------------------------------------------------------- coverage and planning
+@query(
+    "q50_coverage_routes",
+    """SELECT CASE WHEN s_acctbal < 0 THEN 'excluded_inactive' WHEN s_nationkey = 7 THEN 'non_vacancy_evidence' WHEN s_suppkey % 3 = 0 THEN 'public_adapter' WHEN s_suppkey = 1 THEN 'free_google_optional'
+      WHEN s_suppkey % 5 <> 0 THEN 'google_site_discovery_only' ELSE 'missing_safe_public_site' END AS coverage_route, count(*) AS n FROM supplier GROUP BY 1""",
+)
+def q50(spark, sf_dir):
+    k = F.col("s_suppkey")
+    s = read(spark, sf_dir, "supplier").select(
+        F.when(k == 1, "google-jobs").otherwise(k.cast("string")).alias("source_id"), F.when(F.col("s_acctbal") < 0, "retired").otherwise("active").alias("status"),
+        F.when(F.col("s_nationkey") == 7, "application_evidence").otherwise("ats").alias("source_type"), (k % 3 == 0).alias("adapter"), (k % 5 != 0).alias("host"),
+    )
+    return coverage.routes(s, F.col("adapter"), F.col("host")).groupBy("coverage_route").agg(F.count("*").alias("n"))
+
+
+@query("q51_spec_division", "SELECT l_orderkey AS spec_id, bool_and(p_retailprice < 1500) AS accepted FROM lineitem JOIN part ON l_partkey = p_partkey GROUP BY l_orderkey")
+def q51(spark, sf_dir):
+    li, p = read(spark, sf_dir, "lineitem"), read(spark, sf_dir, "part")
+    known = p.select(F.col("p_partkey").alias("l_partkey"))
+    specs = li.join(known, "l_partkey", "left_semi").groupBy(F.col("l_orderkey").alias("spec_id")).agg(F.collect_set(F.col("l_partkey").cast("string")).alias("required"))
+    active = p.where("p_retailprice < 1500").select(F.col("p_partkey").cast("string").alias("source_id"))
+    return coverage.admit(specs, active).select("spec_id", "accepted")
+
+
+@query(
+    "q52_query_plan_rotation",
+    "WITH t AS (SELECT range AS turn, (range * 26) % 125 AS k FROM range(40)) SELECT turn, r_name AS a, n_name AS b FROM t JOIN region ON r_regionkey = k // 25 JOIN nation ON n_nationkey = k % 25",
+)
+def q52(spark, sf_dir):
+    r = read(spark, sf_dir, "region").select(F.col("r_regionkey").alias("i"), F.col("r_name").alias("a"))
+    n = read(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("j"), F.col("n_name").alias("b"))
+    return coverage.query_plan(r, n, 5, 25, 40)
+
+
+@query(
+    "q53_two_lane_selection",
+    """WITH r AS (SELECT p_partkey, p_size >= 45 AS lane, row_number() OVER (ORDER BY p_retailprice DESC, p_partkey) AS g, row_number() OVER (PARTITION BY p_size >= 45 ORDER BY p_retailprice DESC, p_partkey) AS l FROM part),
+    i AS (SELECT *, row_number() OVER (ORDER BY (l <= 10) DESC, g) AS f FROM r) SELECT p_partkey, g AS rank FROM i WHERE f <= 20""",
+)
+def q53(spark, sf_dir):
+    p = read(spark, sf_dir, "part").select("p_partkey", "p_size", "p_retailprice")
+    return coverage.two_lanes(p, F.col("p_size") >= 45, 20, F.desc("p_retailprice"), F.col("p_partkey")).select("p_partkey", F.col("rank").cast("long").alias("rank"))
+
+
+@query("q54_rotation_window", "SELECT s_suppkey FROM supplier WHERE (((s_suppkey - 1) - (17 * 4) % 10) % 10 + 10) % 10 < 4")
+def q54(spark, sf_dir):
+    return coverage.rotate(read(spark, sf_dir, "supplier"), F.col("s_suppkey") - 1, 10, 17, 4).select("s_suppkey")
+
+
+@query(
+    "q55_health_proposals",
+    """WITH a AS (SELECT user_id, event_type <> 'error' AS success, epoch_us(ts) AS ts, event_id FROM events WHERE event_type IN ('error', 'signup')), p AS (SELECT user_id, bool_or(success) AS ok, bool_and(success) AS every, max(ts) AS latest, bool_or(NOT success AND event_id % 2 = 0) AS a, bool_or(NOT success AND event_id % 2 = 1) AS b FROM a GROUP BY user_id),
+    m AS (SELECT min(epoch_us(ts)) + (max(epoch_us(ts)) - min(epoch_us(ts))) // 2 AS mid FROM events), v AS (SELECT *, CASE WHEN ok <> every THEN 'mixed' WHEN user_id % 3 = 0 AND mid >= latest THEN 'stale' WHEN ok THEN 'success' ELSE 'failure' END AS verdict FROM p, m)
+    SELECT user_id::VARCHAR AS source_id, verdict, CASE verdict WHEN 'success' THEN 0 WHEN 'failure' THEN 3 END::BIGINT AS failures, CASE verdict WHEN 'success' THEN '' WHEN 'failure' THEN CASE WHEN a AND NOT b THEN 'malformed result' WHEN b AND NOT a THEN 'timeout/transient network' ELSE 'other technical failure' END END AS failure_category FROM v""",
+)
+def q55(spark, sf_dir):
+    e = read(spark, sf_dir, "events").withColumn("us", F.unix_micros(F.col("ts").cast("timestamp")))
+    mid = e.agg((F.min("us") + F.floor((F.max("us") - F.min("us")) / 2)).alias("mid"))
+    a = e.where("event_type in ('error', 'signup')").select(
+        F.col("user_id").cast("string").alias("source_id"), (F.col("event_type") != "error").alias("success"), F.col("us").alias("ts"), F.when(F.col("event_id") % 2 == 0, "malformed_result").otherwise("timeout_or_network").alias("category")
+    )
+    seen = F.when(F.col("user_id") % 3 == 0, F.col("mid"))
+    register = e.select("user_id").distinct().crossJoin(F.broadcast(mid)).select(F.col("user_id").cast("string").alias("source_id"), seen.alias("last_success_at"), seen.alias("last_failure_at"), F.lit(2).alias("consecutive_failures"))
+    # the register has one time for both kinds, so an older or equal one is stale either way
+    return coverage.health_proposals(register, a).select("source_id", "verdict", "failures", "failure_category")
+
+
+@query(
+    "q56_funnel_metrics",
+    """WITH u AS (SELECT o_orderkey AS id, 'submitted' AS kind FROM orders WHERE o_orderstatus = 'F' UNION ALL SELECT l_orderkey, 'submitted' FROM lineitem WHERE l_returnflag = 'R' UNION ALL SELECT l_orderkey, 'offer' FROM lineitem WHERE l_linestatus = 'O' AND l_returnflag = 'N') SELECT kind, count(DISTINCT id) AS n FROM u GROUP BY kind""",
+)
+def q56(spark, sf_dir):
+    o, li = read(spark, sf_dir, "orders"), read(spark, sf_dir, "lineitem")
+    kinds = [
+        o.where("o_orderstatus = 'F'").select(F.col("o_orderkey").alias("id"), F.lit("submitted").alias("kind")),
+        li.where("l_returnflag = 'R'").select(F.col("l_orderkey").alias("id"), F.lit("submitted").alias("kind")),
+        li.where("l_linestatus = 'O' and l_returnflag = 'N'").select(F.col("l_orderkey").alias("id"), F.lit("offer").alias("kind")),
+    ]
+    return kinds[0].unionByName(kinds[1]).unionByName(kinds[2]).groupBy("kind").agg(F.countDistinct("id").alias("n"))
+
+
+@query(
+    "q57_attempted_vs_active",
+    "SELECT CASE WHEN b IS NULL THEN 'unexpected' WHEN a IS NULL THEN 'missing' ELSE 'both' END AS side, count(*) AS n FROM (SELECT DISTINCT s_nationkey AS a FROM supplier WHERE s_acctbal > 0) FULL JOIN (SELECT n_nationkey AS b FROM nation) ON a = b GROUP BY 1",
+)
+def q57(spark, sf_dir):
+    a = read(spark, sf_dir, "supplier").where("s_acctbal > 0").select(F.col("s_nationkey").alias("k"))
+    return coverage.half_open(a, read(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("k")), "k")
+
+
+# ---------------------------------------------------------------- leads
+@query(
+    "q60_lead_review_status",
+    """WITH m AS (SELECT max(epoch_us(ts)) / 1000000.0::DOUBLE - 86400 * 3 AS now FROM events), e AS (SELECT event_type, user_id, CASE WHEN event_id % 10 <> 0 THEN epoch_us(ts) / 1000000.0::DOUBLE END AS s, now FROM events, m)
+    SELECT CASE WHEN s > now + 86400 THEN 'date_conflict_review' WHEN now - s > 86400 * 7 THEN 'historical_review' WHEN s IS NULL THEN 'date_unknown_review' WHEN event_type = 'error' THEN 'geography_restricted_review'
+      WHEN event_type = 'click' THEN 'not_fully_remote_review' WHEN event_type = 'view' THEN 'remote_nl_unknown_review' ELSE 'needs_official_review' END AS status, count(*) AS n FROM e GROUP BY 1""",
+)
+def q60(spark, sf_dir):
+    e = read(spark, sf_dir, "events").withColumn("s", F.unix_micros(F.col("ts").cast("timestamp")) / 1000000.0)
+    now = e.agg((F.max("s") - 86400 * 3).alias("now"))
+    place = F.when(F.col("event_type") == "error", "Remote, USA only").when(F.col("event_type") == "click", "Hybrid, Europe").when(F.col("event_type") == "view", "Remote").otherwise("Remote, Europe")
+    lead = review.lead_status(F.when(F.col("event_id") % 10 != 0, F.col("s")), place, F.lit("a role"), F.col("now"), 7)
+    return e.crossJoin(F.broadcast(now)).groupBy(lead["status"].alias("status")).agg(F.count("*").alias("n"))  # one row
+
+
+@query(
+    "q61_due_sources",
+    """WITH m AS (SELECT max(epoch_us(ts)) / 1000000.0::DOUBLE AS now FROM events), u AS (SELECT user_id, max(CASE WHEN event_type <> 'error' THEN epoch_us(ts) / 1000000.0::DOUBLE END) AS ok, max(CASE WHEN event_type = 'error' THEN epoch_us(ts) / 1000000.0::DOUBLE END) AS bad, least(10, count(*) FILTER (event_type = 'error')) AS n FROM events GROUP BY user_id),
+    c AS (SELECT *, coalesce(n > 0 AND now - bad < least(240.0, 15 * pow(2, least(5, n - 1))) * 60, false) AS cooling FROM u, m) SELECT user_id, (ok IS NULL OR now - ok >= CASE WHEN user_id % 2 = 0 THEN 1440 ELSE 15 END * 60) AND NOT cooling AS ready, cooling FROM c""",
+)
+def q61(spark, sf_dir):
+    e = read(spark, sf_dir, "events").withColumn("s", F.unix_micros(F.col("ts").cast("timestamp")) / 1000000.0)
+    bad = F.col("event_type") == "error"
+    u = e.groupBy("user_id").agg(F.max(F.when(~bad, F.col("s"))).alias("ok"), F.max(F.when(bad, F.col("s"))).alias("bad"), F.count_if(bad).alias("n")).crossJoin(F.broadcast(e.agg(F.max("s").alias("now"))))
+    adapter = F.when(F.col("user_id") % 2 == 0, "himalayas").otherwise("lever")
+    return u.withColumn("d", review.due(adapter, F.col("ok"), F.col("bad"), F.col("n"), F.lit(None).cast("double"), F.col("now"))).select("user_id", "d.ready", "d.cooling")
+
+
+@query(
+    "q62_lead_dedupe_prefer",
+    "WITH d AS (SELECT d.doc_id, sha256(text) AS h, l.doc_id IS NOT NULL AS labelled FROM documents d LEFT JOIN labels l USING (doc_id)) SELECT coalesce(max(doc_id) FILTER (labelled), min(doc_id)) AS doc_id, min(doc_id) AS position FROM d GROUP BY h",
+)
+def q62(spark, sf_dir):
+    lab = read(spark, sf_dir, "labels").select("doc_id", F.lit(True).alias("labelled"))
+    d = read(spark, sf_dir, "documents").select("doc_id", F.sha2(F.col("text"), 256).alias("h")).join(lab, "doc_id", "left")
+    return screening.prefer_last_match(d, "h", F.coalesce("labelled", F.lit(False)), "doc_id").select("doc_id", "position")
+
+
+@query("q63_per_source_cap", "SELECT source, doc_id FROM (SELECT source, doc_id, row_number() OVER (PARTITION BY source ORDER BY doc_id) AS r FROM documents) WHERE r <= 12")
+def q63(spark, sf_dir):
+    return screening.cap_per_group(read(spark, sf_dir, "documents").select("source", "doc_id"), ["source"], 12, F.col("doc_id"))
+
+
+@query("q64_inventory_match", "SELECT CASE WHEN b IS NULL THEN 'unexpected' WHEN a IS NULL THEN 'missing' ELSE 'both' END AS side, count(*) AS n FROM (SELECT DISTINCT item_id AS a FROM benchmark) FULL JOIN (SELECT DISTINCT doc_id AS b FROM documents) ON a = b GROUP BY 1")
+def q64(spark, sf_dir):
+    return coverage.half_open(read(spark, sf_dir, "benchmark").select(F.col("item_id").alias("k")), read(spark, sf_dir, "documents").select(F.col("doc_id").alias("k")), "k")
+
+
+@query("q70_json_props", "SELECT event_type, sum(json_extract(props, '$.k')::BIGINT)::BIGINT AS total, count(*) AS n FROM events GROUP BY event_type")
+def q70(spark, sf_dir):
+    k = F.try_variant_get(F.try_parse_json("props"), "$.k", "bigint")
+    return read(spark, sf_dir, "events").groupBy("event_type").agg(F.sum(k).alias("total"), F.count("*").alias("n"))
+
+
+@query("q71_conversation_turns", "WITH f AS (SELECT conv_id, role, min(turn) AS t FROM conversations GROUP BY ALL) SELECT conv_id, string_agg(role, ',' ORDER BY t, role) AS roles FROM f GROUP BY conv_id")
+def q71(spark, sf_dir):
+    first = read(spark, sf_dir, "conversations").groupBy("conv_id", "role").agg(F.min("turn").alias("t"))
+    return first.groupBy("conv_id").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("t", "role"))), lambda x: x["role"]), ",").alias("roles"))
