@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import release, shuffles, stash, table
+from gleaner.llm.common import bounded_batches, release, shuffles, stash, table
 
 SYMBOLS = 1024
 NO_LANG = "\x00"
@@ -92,7 +92,7 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 def count_trigrams(docs: DataFrame, trusted: DataFrame) -> DataFrame:
     """docs whose doc_id is in trusted -> lang, code, n, written to the shared folder."""
     text = docs.select("doc_id", F.coalesce("lang", F.lit(NO_LANG)).alias("lang"), F.coalesce("text", F.lit("")).alias("text")).where("doc_id is not null")
-    rows = text.mapInArrow(_encoded, "doc_id long, lang string, grams binary").join(trusted, "doc_id", "left_semi")
+    rows = text.mapInArrow(_encoded, "doc_id long, lang string, grams binary").join(trusted.hint("merge"), "doc_id", "left_semi")
     return stash(rows.mapInArrow(_counted, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n")), "trigrams")
 
 
@@ -238,14 +238,18 @@ def perplexities(docs: DataFrame, tri: DataFrame) -> DataFrame:
 def classify(docs: DataFrame, labels: DataFrame, low: float = 0.01, high: float = 0.99, slack: float = 0.5, short: float = 2.0) -> DataFrame:
     """doc_id, h, lang, perplexity, lowest, highest, kept; one row per distinct (doc_id, lang, text)."""
     spark = docs.sparkSession
+    bounded_batches(spark)
     good = labels.where("quality = 1 and coalesce(toxic, 0) = 0 and doc_id is not null").select("doc_id").distinct()
     tri = count_trigrams(docs, good)
     release(spark)
     scored = perplexities(docs, tri).withColumn("x", F.when(F.col("n") > 0, F.col("bits") / F.col("n")))
     scored = stash(scored, "perplexity")
-    bands = (
-        scored.join(good, "doc_id", "left_semi").groupBy("lang").agg(F.percentile_approx("x", [low, high], 10000).alias("q")).select("lang", F.col("q")[0].alias("lo"), F.col("q")[1].alias("hi"))
+    bands = stash(
+        scored.join(good, "doc_id", "left_semi").groupBy("lang").agg(F.percentile_approx("x", [low, high], 10000).alias("q")).select("lang", F.col("q")[0].alias("lo"), F.col("q")[1].alias("hi")),
+        "bands",
     )
+    if bands.count() <= 10_000:  # one row per language
+        bands = F.broadcast(bands)
     wide = F.lit(slack) * (F.col("hi") - F.col("lo")) + short / F.sqrt("n")
     return (
         scored.join(bands, "lang", "left")
