@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import release, slices, stash, table
+from gleaner.llm.common import bounded_batches, release, slices, stash, table
 
 U = np.uint64
 _BASE = 0x9E3779B97F4A7C15
@@ -132,8 +132,8 @@ def _settle(parts: list[tuple], reach: int, span: int) -> Iterator[pa.RecordBatc
 
 def _occurrences(batches: Iterator[pa.RecordBatch], length: int, gram: int) -> Iterator[pa.RecordBatch]:
     side = length - gram
+    parts, held = [], 0
     for b in batches:
-        parts, held = [], 0
         for lo, hi in slices(b, "t", 1_000_000):
             part = b.slice(lo, hi - lo)
             t = Text(part.column("t").to_pylist())
@@ -147,10 +147,10 @@ def _occurrences(batches: Iterator[pa.RecordBatch], length: int, gram: int) -> I
             doc, tag = part.column("doc_id").to_numpy()[k], part.column("tag").to_numpy()[k]
             parts.append((h[i], ctx >> U(16), doc, (tag << _TAG) | (i - s), left - s, right - s))
             held += len(i)
-            if held > 4_000_000:
+            if held > 1_500_000:
                 yield from _settle(parts, side, length)
                 parts, held = [], 0
-        yield from _settle(parts, side, length)
+    yield from _settle(parts, side, length)
 
 
 def _contexts(batches: Iterator[pa.RecordBatch], span: int, most: int = 2_000_000) -> Iterator[pa.RecordBatch]:
@@ -256,6 +256,7 @@ def remove_repeats(docs: DataFrame, length: int = 50, gram: int = 24, with_text:
     if not 8 <= gram < length or length - gram > 120:
         raise ValueError("8 <= gram < length <= gram + 120")
     spark = docs.sparkSession
+    bounded_batches(spark)
     t = F.coalesce("text", F.lit("")).cast("binary")
     again = docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").limit(1).count() > 0
     tag = F.pmod(F.xxhash64(t), F.lit(2**20)) if again else F.lit(0)
