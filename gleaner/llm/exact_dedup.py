@@ -23,7 +23,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gleaner.llm.common import shuffles, stash, table
+from gleaner.llm.common import bounded_batches, shuffles, stash, table
 
 
 def _runs(batches: Iterator[pa.RecordBatch], text: str, heads_only: bool) -> Iterator[pa.RecordBatch]:
@@ -58,6 +58,7 @@ def _out(b, text, heads_only, sha, run, head, pid, tail):
 
 def _marked(rows: DataFrame, text: str, heads_only: bool, prefix: int = 64) -> DataFrame:
     """rows: (doc_id, text as binary, ...) sorted by content -> what _runs gives."""
+    bounded_batches(rows.sparkSession)
     n = max(2, shuffles(rows.sparkSession))
     keys = [F.substring(text, 1, prefix).alias("_k1"), F.xxhash64(text).alias("_k2")]
     keyed = rows.select("*", *keys)

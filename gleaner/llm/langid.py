@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import crc32_id, slices, table
+from gleaner.llm.common import bounded_batches, crc32_id, slices, table
 
 ORDER = 3
 _trees: dict[int, tuple] = {}
@@ -114,6 +114,7 @@ def training_sample(docs: DataFrame, per_lang: int = 96, max_bytes: int = 16384,
 
 def identify(docs: DataFrame, samples: dict[str, list[bytes]]) -> DataFrame:
     """doc_id, held_out, lang_pred, score of every row."""
+    bounded_batches(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(samples)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import stash, table
+from gleaner.llm.common import bounded_batches, stash, table
 
 END = "<|endoftext|>"
 _encodings: dict[str, object] = {}
@@ -73,6 +73,7 @@ def pieces(docs: DataFrame, capacity: int = 2048, vocabulary: str | None = None)
                 names=["doc_id", "piece", "start", "length", "ids_crc32"],
             )
 
+    bounded_batches(docs.sparkSession)
     return docs.select("doc_id", "text").mapInArrow(run, "doc_id long, piece int, start long, length long, ids_crc32 long")
 
 

@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import stash, table
+from gleaner.llm.common import bounded_batches, stash, table
 from gleaner.operators.graph import connected_components
 
 _xxh = partial(xxhash.xxh64_intdigest, seed=42)
@@ -66,6 +66,7 @@ def fingerprints(docs: DataFrame, width: int = 4) -> DataFrame:
             fp = [fingerprint(x, width) for x in b.column("t").to_pylist()]
             yield pa.record_batch([b.column("doc_id"), pa.array(np.array(fp, np.uint64).view(np.int64))], names=["doc_id", "fp"])
 
+    bounded_batches(docs.sparkSession)
     return docs.select("doc_id", F.col("text").cast("binary").alias("t")).mapInArrow(run, "doc_id long, fp long")
 
 
