@@ -99,13 +99,13 @@ def content_groups(docs: DataFrame) -> DataFrame:
 
 def first_rows(docs: DataFrame) -> DataFrame:
     """The rows that stay, with all their columns; each text moves through one range exchange only."""
-    rows = docs.select(*docs.columns, F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("_text"))
+    rows = docs.select("doc_id", F.coalesce(F.col("text"), F.lit("")).cast("binary").alias("_text"), F.struct(*docs.columns).alias("_row"))
     marks = stash(_marked(rows, "_text", True), "heads")
     heads = marks.where("not _tail")
     # a run that opens a partition may go on from an earlier one: two rows a partition at most
     border = heads.where("_run = 0").select("_sha", F.col("_pid").alias("p"))
     again = border.join(heads.select("_sha", F.col("_pid").alias("q")), "_sha").where("q < p").select(F.col("p").alias("_pid"), F.lit(0).cast("long").alias("_run")).distinct()
-    return heads.join(again, ["_pid", "_run"], "left_anti").select(docs.columns)
+    return heads.join(again, ["_pid", "_run"], "left_anti").select("_row.*")
 
 
 def op6_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:

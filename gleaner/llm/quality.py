@@ -250,7 +250,7 @@ def classify(docs: DataFrame, labels: DataFrame, low: float = 0.01, high: float
     )
     if bands.count() <= 10_000:  # one row per language
         bands = F.broadcast(bands)
-    wide = F.lit(slack) * (F.col("hi") - F.col("lo")) + short / F.sqrt("n")
+    wide = F.lit(slack) * (F.col("hi") - F.col("lo")) + short / F.sqrt(F.greatest("n", F.lit(1)))
     return (
         scored.join(bands, "lang", "left")
         .withColumn("kept", F.coalesce((F.col("n") > 0) & F.coalesce(F.col("x").between(F.col("lo") - wide, F.col("hi") + wide), F.lit(True)), F.lit(False)))
