@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -38,6 +40,11 @@ ACCOUNT_IN_HOST = {
 _URL = r"^([A-Za-z][A-Za-z0-9+.-]*)://([^/?#]*)([^?#]*)(?:\?([^#]*))?"
 
 
+def let(x: Column, f: Callable[[Column], Column]) -> Column:
+    """f(x) with x computed once: nested uses of a long expression would multiply."""
+    return F.transform(F.array(x), f)[0]
+
+
 def parts(url: Column) -> dict[str, Column]:
     u = F.trim(F.regexp_replace(url, r"(?U)^\s+|\s+$", ""))
     authority = F.regexp_replace(F.regexp_extract(u, _URL, 2), "^.*@", "")
