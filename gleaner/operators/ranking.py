@@ -138,7 +138,12 @@ def eligibility(df: DataFrame, today: date, policy: Policy) -> DataFrame:
     posted = iso_date(raw)
     age = F.datediff(F.lit(today), posted)
     known, status = salary_status(df, policy.min_monthly_salary_eur)
-    family = F.arrays_overlap(role_families(df), F.array(*[F.lit(x) for x in sorted(policy.target_role_families)]))
+    family = F.lit(False)
+    for column, name in FAMILY_FLAGS.items():
+        if name in policy.target_role_families and column in df.columns:
+            family = family | is_true(F.col(column))
+    if "role_families" in df.columns:
+        family = family | is_true(F.arrays_overlap(role_families(df), F.array(*[F.lit(x) for x in sorted(policy.target_role_families)])))
     checks = [
         F.when(raw.isNotNull() & posted.isNull(), "date_invalid")
         .when(age < 0, "future_date")
@@ -162,9 +167,11 @@ def eligibility(df: DataFrame, today: date, policy: Policy) -> DataFrame:
             F.when(codes.isNull() | F.exists(codes, lambda c: c.isNull()), "required_languages_invalid").when(F.exists(codes, lambda c: ~c.isin(*allowed)), "required_language_not_allowed")
         )
     checks.append(F.when(status == "salary_invalid", status))
-    reasons = F.array_compact(F.array(*checks))
-    warnings = F.array_compact(F.array(F.when(raw.isNull(), F.lit("date_missing")), F.when(status != "salary_invalid", status)))
-    return df.withColumn("gate", F.struct((F.size(reasons) == 0).alias("pass"), reasons.alias("reasons"), warnings.alias("warnings"), age.alias("age_days"), known.alias("salary_known")))
+    # joined and split again: this leaves out nulls inside generated code, which array filters are not part of
+    said = F.concat_ws(",", *checks)
+    hints = F.concat_ws(",", F.when(raw.isNull(), F.lit("date_missing")), F.when(status != "salary_invalid", status))
+    listed = lambda x: F.when(x == "", F.array().cast("array<string>")).otherwise(F.split(x, ","))
+    return df.withColumn("gate", F.struct((said == "").alias("pass"), listed(said).alias("reasons"), listed(hints).alias("warnings"), age.alias("age_days"), known.alias("salary_known")))
 
 
 def score(age: Column) -> Column:
