@@ -40,10 +40,11 @@ def triples() -> list[tuple[int, int, int]]:
     return sorted(out)
 
 
-def fingerprint(text: bytes | None, width: int = 4) -> int:
+def hashed_shingles(text: bytes | None, width: int = 4) -> np.ndarray:
+    """Hashes of all runs of `width` words, in order; a text of fewer words is one run, one without words has none."""
     words = (text or b"").lower().split()
     if not words:
-        return 0
+        return np.empty(0, np.uint64)
     joined = b" ".join(words)
     if len(words) <= width:
         grams = [joined]
@@ -51,7 +52,13 @@ def fingerprint(text: bytes | None, width: int = 4) -> int:
         ends = np.cumsum(np.fromiter(map(len, words), np.int64, len(words)) + 1)
         starts = [0, *ends[:-width].tolist()]
         grams = [joined[a:b] for a, b in zip(starts, (ends[width - 1 :] - 1).tolist())]
-    h = np.fromiter(map(_xxh, grams), np.uint64, len(grams))
+    return np.fromiter(map(_xxh, grams), np.uint64, len(grams))
+
+
+def fingerprint(text: bytes | None, width: int = 4) -> int:
+    h = hashed_shingles(text, width)
+    if not len(h):
+        return 0
     ones = np.zeros(64, np.int64)
     for at in range(0, len(h), 65536):
         ones += np.unpackbits(h[at : at + 65536].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
@@ -169,6 +176,8 @@ def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies the document with the smallest id stays."""
-    gone = near_duplicates(docs).where("doc_id <> component_id").select("doc_id")
+    """Of each group of near copies (Jaccard similarity of 5-word shingles >= 0.8) the document with the smallest id stays."""
+    from gleaner.llm.jaccard import near_copies
+
+    gone = near_copies(docs).where("doc_id <> component_id").select("doc_id")
     return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
