@@ -1,6 +1,6 @@
 """Quality classifier: interpolated modified Kneser-Ney character trigrams, trained on trusted text.
 
-Trusted text is every document that `labels` marks as good and not toxic, all of it. Its trigrams are counted per
+Trusted text is every document that `labels` marks as good and not toxic. Its trigrams are counted per
 language by map-side sums and one aggregation; discounts come from the counts of counts, lower orders from
 continuation counts. Characters are 1,024 symbols: code points under 768 are their own, the others share 255.
 
@@ -11,9 +11,13 @@ often they occur. Shards are dealt again over `salts` copies by document, so tha
 task streams its rows, counts first, and holds one shard's counts at a time. The log-probabilities meet again per
 document and give its perplexity.
 
+Every language has a model per fold of the texts (`FOLDS`, by a hash of the text): it counts the trusted text of the
+other folds. All documents, trusted ones too, are scored by their fold's model, which has not seen them or their copies.
+
 A document is kept if its log-perplexity lies in its language's band: from the `low` to the `high` quantile over the
-language's trusted documents, widened by `slack` times their distance and by `short` over the root of its length, as
-short texts scatter more.
+language's trusted documents, widened by `slack` times their distance, by `short` over the root of its length, as short
+texts scatter more, and by `few` bits over the number of trusted documents: the fewer they are the less is rejected, up
+to nothing where there are none.
 
 Null text counts as empty; a text without characters has no perplexity and is rejected. Null lang is a language of its
 own. Documents of a language without trusted text can't be judged and are kept. Equal rows get equal answers. Empty
@@ -27,7 +31,7 @@ from collections.abc import Iterator
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleaner.llm.common import bounded_batches, release, shuffles, stash, table
@@ -37,6 +41,8 @@ NO_LANG = "\x00"
 _LOW = 2**20 - 1
 #: Shards; neighbouring code points are in different ones.
 _DEAL = 8
+#: Every text is scored by a model from which its own fold of the trusted texts is left out.
+FOLDS = 5
 
 
 def codes(text: str) -> np.ndarray:
@@ -89,11 +95,19 @@ def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 yield pa.record_batch([pa.array([x] * len(c), pa.string()), pa.array(c), pa.array(np.bincount(i, n[row == x], len(c)).astype(np.int64))], names=["lang", "code", "n"])
 
 
+def model_name() -> Column:
+    """lang and a digit, the fold. Equal texts are in one fold, so a text's copies don't tell a model about it."""
+    return F.concat(F.coalesce("lang", F.lit(NO_LANG)), F.pmod(F.xxhash64(F.coalesce("text", F.lit("")), F.lit("fold")), F.lit(FOLDS)).cast("string"))
+
+
 def count_trigrams(docs: DataFrame, trusted: DataFrame) -> DataFrame:
-    """docs whose doc_id is in trusted -> lang, code, n, written to the shared folder."""
-    text = docs.select("doc_id", F.coalesce("lang", F.lit(NO_LANG)).alias("lang"), F.coalesce("text", F.lit("")).alias("text")).where("doc_id is not null")
+    """docs whose doc_id is in trusted -> lang (with the fold that is left out), code, n, written to the shared folder."""
+    text = docs.select("doc_id", model_name().alias("lang"), F.coalesce("text", F.lit("")).alias("text")).where("doc_id is not null")
     rows = text.mapInArrow(_encoded, "doc_id long, lang string, grams binary").join(trusted.hint("merge"), "doc_id", "left_semi")
-    return stash(rows.mapInArrow(_counted, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n")), "trigrams")
+    folds = stash(rows.mapInArrow(_counted, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n")), "folds")
+    every = F.explode(F.array(*[F.lit(str(k)) for k in range(FOLDS)]))
+    left = folds.withColumn("without", every).where("without <> right(lang, 1)").withColumn("lang", F.expr("concat(left(lang, length(lang) - 1), without)"))
+    return stash(left.groupBy("lang", "code").agg(F.sum("n").alias("n")), "trigrams")
 
 
 def discounts(n: np.ndarray) -> np.ndarray:
@@ -183,7 +197,7 @@ def perplexities(docs: DataFrame, tri: DataFrame) -> DataFrame:
     langs = spark.sparkContext.broadcast(language_table(tri))
     salts = max(1, -(-shuffles(spark) // 2))
     text = F.coalesce("text", F.lit(""))
-    rows = docs.select("doc_id", F.xxhash64(text).alias("h"), F.coalesce("lang", F.lit(NO_LANG)).alias("lang"), text.alias("text"))
+    rows = docs.select("doc_id", F.xxhash64(text).alias("h"), model_name().alias("lang"), text.alias("text"))
     rows = rows.withColumn("salt", F.pmod(F.xxhash64("h", "doc_id"), F.lit(salts)).cast("int")).mapInArrow(_sent, _FIELDS)
 
     def packed(p: pd.DataFrame) -> pd.DataFrame:
@@ -232,10 +246,11 @@ def perplexities(docs: DataFrame, tri: DataFrame) -> DataFrame:
                 )
 
     parts = rows.unionByName(tables).repartition("shard", "salt").sortWithinPartitions("shard", "salt", "kind").mapInArrow(score, "doc_id long, h long, lang string, n long, bits double")
-    return parts.groupBy("doc_id", "h", "lang").agg(F.sum("n").alias("n"), F.sum("bits").alias("bits"))
+    sums = parts.groupBy("doc_id", "h", "lang").agg(F.sum("n").alias("n"), F.sum("bits").alias("bits"))
+    return sums.withColumn("lang", F.expr("left(lang, length(lang) - 1)"))
 
 
-def classify(docs: DataFrame, labels: DataFrame, low: float = 0.01, high: float = 0.99, slack: float = 0.5, short: float = 2.0) -> DataFrame:
+def classify(docs: DataFrame, labels: DataFrame, low: float = 0.01, high: float = 0.99, slack: float = 0.5, short: float = 2.0, few: float = 8.0) -> DataFrame:
     """doc_id, h, lang, perplexity, lowest, highest, kept; one row per distinct (doc_id, lang, text)."""
     spark = docs.sparkSession
     bounded_batches(spark)
@@ -245,12 +260,12 @@ def classify(docs: DataFrame, labels: DataFrame, low: float = 0.01, high: float
     scored = perplexities(docs, tri).withColumn("x", F.when(F.col("n") > 0, F.col("bits") / F.col("n")))
     scored = stash(scored, "perplexity")
     bands = stash(
-        scored.join(good, "doc_id", "left_semi").groupBy("lang").agg(F.percentile_approx("x", [low, high], 10000).alias("q")).select("lang", F.col("q")[0].alias("lo"), F.col("q")[1].alias("hi")),
+        scored.join(good, "doc_id", "left_semi").groupBy("lang").agg(F.percentile_approx("x", [low, high], 10000).alias("q"), F.count("x").alias("texts")).where("texts > 0").select("lang", "texts", F.col("q")[0].alias("lo"), F.col("q")[1].alias("hi")),
         "bands",
     )
     if bands.count() <= 10_000:  # one row per language
         bands = F.broadcast(bands)
-    wide = F.lit(slack) * (F.col("hi") - F.col("lo")) + short / F.sqrt(F.greatest("n", F.lit(1)))
+    wide = F.lit(slack) * (F.col("hi") - F.col("lo")) + short / F.sqrt(F.greatest("n", F.lit(1))) + few / F.col("texts")
     return (
         scored.join(bands, "lang", "left")
         .withColumn("kept", F.coalesce((F.col("n") > 0) & F.coalesce(F.col("x").between(F.col("lo") - wide, F.col("hi") + wide), F.lit(True)), F.lit(False)))

@@ -4,7 +4,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from gleaner.llm import jaccard, simhash
+from gleaner.llm import jaccard, quality, simhash
 
 
 def invented(n, seed):
@@ -41,3 +41,13 @@ def test_pipeline_near_dedup_reaches_jaccard(spark, block):
     if block > 500:
         kept = simhash.stage_near_dedup(spark, df.withColumn("x", F.lit(1)), "")
         assert kept.columns == ["doc_id", "text", "x"] and sorted(r.doc_id for r in kept.collect()) == sorted(set(label))
+
+
+@pytest.mark.parametrize("trusted", [1, 3])
+def test_few_trusted_documents_reject_no_clean_ones(spark, trusted):
+    rng = np.random.default_rng(8)
+    words = ["".join(rng.choice(list("aeiounrstlmdc"), rng.integers(2, 9))) for _ in range(400)]
+    rows = [(i, " ".join(rng.choice(words, 150)), "es") for i in range(60)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(trusted)], "doc_id long, quality int, toxic int")
+    assert sum(r.kept for r in quality.classify(docs, labels).collect()) >= 57
