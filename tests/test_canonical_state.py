@@ -1,3 +1,4 @@
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -13,6 +14,38 @@ def test_components_of_chains_and_stars(spark):
     assert graph.connected_components(spark.createDataFrame([], "src long, dst long")).count() == 0
 
 
+@pytest.mark.parametrize("chunk", [3, 500_000])
+def test_components_with_a_hub(spark, chunk):
+    r = np.random.default_rng(3)
+    edges = [(int(a), int(b)) for a, b in zip(r.integers(1000, 4000, 900), r.integers(1000, 4000, 900))]
+    edges += [(7, int(x)) for x in r.choice(np.arange(1000, 4000), 1000, replace=False)] + [(9000 + i, 9001 + i) for i in range(60)] + [(10**6, 9000), (10**6, 9030)]
+    root = {}
+
+    def top(x):
+        while root.setdefault(x, x) != x:
+            x = root[x]
+        return x
+
+    for a, b in edges:
+        a, b = sorted((top(a), top(b)))
+        root[b] = a
+    linked = {x for a, b in edges if a != b for x in (a, b)}
+    df = spark.createDataFrame(edges, "src long, dst long").repartition(7)
+    got = sorted(map(tuple, graph.connected_components(df, chunk=chunk).collect()))
+    assert got == sorted((x, top(x)) for x in linked)
+
+
+def test_components_that_do_not_end_are_an_error(spark):
+    chain = spark.createDataFrame([(i, i + 1) for i in range(500)], "src long, dst long").repartition(5)
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 20)
+    try:
+        with pytest.raises(ValueError, match="not complete"):
+            graph.connected_components(chain, max_rounds=0, chunk=1)
+        assert graph.connected_components(chain, chunk=1).select("component").distinct().count() == 1
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
+
+
 def test_canonicalize(spark):
     rows = [
         (0, "b", "search", "1", None, "https://x.example/j/1?utm_source=a", "Dev", "Acme", None, None, "2026-01-02", "2026-01-03"),
