@@ -42,16 +42,5 @@ def bounded_batches(spark: SparkSession, size: str = "4m") -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
 
 
-def release(spark: SparkSession) -> None:
-    """Let Spark remove the shuffle files of tables that were written and are no longer referred to."""
-    import gc
-    import time
-
-    for _ in range(2):  # the files go in the background, once the driver has found that nothing needs them
-        gc.collect()
-        spark.sparkContext._jvm.System.gc()
-        time.sleep(1)
-
-
 def crc32_id(column: str = "doc_id"):
     return F.crc32(F.col(column).cast("string").cast("binary"))

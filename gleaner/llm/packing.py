@@ -6,10 +6,13 @@ plan is made from the table of lengths (at most `capacity` rows, whatever the co
 capacity meet at most in pairs, each with the longest partner that fits, longest first; the others go, longest first,
 to the open sequence with the smallest gap that holds them. Sequences of one filling are kept as ranges, so the plan is
 a short list of (length, ranks, sequences, offset). Rows find their place by their rank among equal lengths, counted in
-`buckets` per length, so that a length that many copies share is counted in many tasks.
+buckets of about `bucket_rows` rows per length, so that a length that many copies share is counted in many tasks. Pieces
+of full length are sequences as they are.
 
 Ids equal those of the `tokenizers` library for the same vocabulary, in which the end-of-text string is a special
-token; the `tiktoken` form of the vocabulary is used because it is four times as fast (a test compares the two).
+token; the `tiktoken` form of the vocabulary is used because it is four times as fast (a test compares the two). Texts
+with a run of `RUN` or more characters of one class, white space above all, for which its pattern matcher has too little
+stack, go to `tokenizers` itself.
 
 Null and empty texts are the single id 0. Repeated rows are packed each. Empty tables give an empty result; further
 columns are ignored.
@@ -19,6 +22,7 @@ from __future__ import annotations
 
 import base64
 import bisect
+import re
 import zlib
 from collections.abc import Iterator
 
@@ -31,6 +35,8 @@ from pyspark.sql import functions as F
 from gleaner.llm.common import bounded_batches, stash, table
 
 END = "<|endoftext|>"
+RUN = 50_000
+_CLASSES = re.compile(r"\s+|\w+|[^\w\s]+")
 _encodings: dict[str, object] = {}
 
 
@@ -47,7 +53,18 @@ def encoding(vocabulary: str | None = None):
     return _encodings[path]
 
 
+def _long_run(text: str) -> bool:
+    return len(text) >= RUN and any(m.end() - m.start() >= RUN for m in _CLASSES.finditer(text))
+
+
 def token_ids(enc, text: str) -> np.ndarray:
+    if _long_run(text):
+        import public_tokenizers
+        from tokenizers import Tokenizer
+
+        if "json" not in _encodings:
+            _encodings["json"] = Tokenizer.from_file(public_tokenizers.path("byte_bpe_50k.json"))
+        return np.array([*_encodings["json"].encode(text, add_special_tokens=False).ids, 0], dtype="<u4")
     ids = enc.encode(text, allowed_special={END}, disallowed_special=()) if END in text else enc.encode_ordinary(text)
     return np.array([*ids, 0], dtype="<u4")
 
@@ -134,26 +151,30 @@ def plan(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, int
     return out
 
 
-def pack(items: DataFrame, capacity: int = 2048, buckets: int = 256, most_broadcast: int = 200_000) -> DataFrame:
+def pack(items: DataFrame, capacity: int = 2048, bucket_rows: int = 100_000) -> DataFrame:
     """items with doc_id, piece, length -> the same with sequence_id and offset. items must be stable: it is read three times."""
     spark = items.sparkSession
-    placed = items.withColumn("_b", F.pmod(F.xxhash64("doc_id", "piece", "start"), F.lit(buckets)))
+    # at most `capacity` rows; the plan has at most a few for each
+    counts = {r["length"]: r["n"] for r in items.groupBy("length").agg(F.count("*").alias("n")).collect()}
+    counts.pop(capacity, None)
+    rows = plan(counts, capacity)
+    made = max((first + bins for _, _, _, first, bins, _ in rows), default=0)
+    full = items.where(F.col("length") == capacity).withColumn("sequence_id", made + F.monotonically_increasing_id()).withColumn("offset", F.lit(0).cast("long"))
+    buckets = max(1, -(-max(counts.values(), default=1) // bucket_rows))
+    placed = items.where(F.col("length") < capacity).withColumn("_b", F.pmod(F.xxhash64("doc_id", "piece", "start"), F.lit(buckets)))
     per = placed.groupBy("length", "_b").agg(F.count("*").alias("_n"))
     along = W.partitionBy("length").orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
     offsets = per.select("length", "_b", F.coalesce(F.sum("_n").over(along), F.lit(0)).alias("_before"))
-    counts = {r["length"]: r["n"] for r in items.groupBy("length").agg(F.count("*").alias("n")).collect()}  # at most `capacity` rows
-    rows = plan(counts, capacity)
-    steps = spark.createDataFrame(rows, "length long, lo long, hi long, first long, bins long, off long")
-    if len(rows) <= most_broadcast:
-        steps = F.broadcast(steps)
+    steps = F.broadcast(spark.createDataFrame(rows, "_l long, lo long, hi long, first long, bins long, off long"))
     inside = W.partitionBy("length", "_b").orderBy("doc_id", "piece", "ids_crc32")
     ranked = placed.withColumn("_r", F.row_number().over(inside) - 1).join(offsets, ["length", "_b"]).withColumn("_r", F.col("_r") + F.col("_before"))
     at = F.col("_r") - F.col("lo")
     return (
-        ranked.join(steps.withColumnRenamed("length", "_l"), (F.col("length") == F.col("_l")) & (F.col("_r") >= F.col("lo")) & (F.col("_r") < F.col("hi")))
+        ranked.join(steps, (F.col("length") == F.col("_l")) & (F.col("_r") >= F.col("lo")) & (F.col("_r") < F.col("hi")))
         .withColumn("sequence_id", F.col("first") + at % F.col("bins"))
         .withColumn("offset", (F.col("off") + F.floor(at / F.col("bins")) * F.col("length")).cast("long"))
         .select(*items.columns, "sequence_id", "offset")
+        .union(full)
     )
 
 

@@ -7,9 +7,10 @@ bytes of each pair are tallied, pairs with fewer than four are dropped, and the
 longer than `block` is dealt into blocks that meet pairwise in separate tasks; a task emits a star per connected part,
 not its pairs.
 
-Nulls and texts without words have fingerprint 0 and are linked like any other. Equal fingerprints are one node, so
-repeated rows and large groups of copies cost nothing after the first pass. component_id is the smallest non-null
-doc_id reachable (null if there is none). An empty table gives an empty result; further columns are ignored.
+Nulls and texts without words have fingerprint 0 and are linked like any other. Each fingerprint is one node, whichever
+rows hold it, so repeated rows and large groups of copies cost nothing after the first pass, and rows without doc_id
+link others like any row. component_id is the smallest non-null doc_id of the component (null if there is none). An
+empty table gives an empty result; further columns are ignored.
 """
 
 from __future__ import annotations
@@ -56,7 +57,10 @@ def hashed_shingles(text: bytes | None, width: int = 4) -> np.ndarray:
 
 
 def fingerprint(text: bytes | None, width: int = 4) -> int:
-    h = hashed_shingles(text, width)
+    return fingerprint_of(hashed_shingles(text, width))
+
+
+def fingerprint_of(h: np.ndarray) -> int:
     if not len(h):
         return 0
     ones = np.zeros(64, np.int64)
@@ -140,7 +144,7 @@ def near_links(nodes: DataFrame, max_bits: int = 4, block: int = 1024) -> DataFr
     ]
     posts = nodes.select("fp", "node", F.explode(F.array(*keys)).alias("key"))
     long_lists = posts.groupBy("key").count().where(F.col("count") > block)
-    parts = F.when(F.col("count").isNull(), 1).otherwise(F.least(F.lit(1 << 14), F.ceil(F.col("count") / block)))
+    parts = F.when(F.col("count").isNull(), 1).otherwise(F.ceil(F.col("count") / block))
     dealt = (
         posts.join(long_lists, "key", "left")
         .withColumn("parts", parts.cast("int"))
@@ -149,8 +153,8 @@ def near_links(nodes: DataFrame, max_bits: int = 4, block: int = 1024) -> DataFr
         .select(
             "fp",
             "node",
-            # key: 29 bits; two block numbers of 14 bits each
-            (F.col("key") * 2**28 + F.least("own", "other") * 2**14 + F.greatest("own", "other")).alias("unit"),
+            # a hash, so that any number of blocks fits; lists that met by chance would be compared in vain, no more
+            F.xxhash64("key", F.least("own", "other"), F.greatest("own", "other")).alias("unit"),
         )
     )
     return (
@@ -164,10 +168,11 @@ def near_links(nodes: DataFrame, max_bits: int = 4, block: int = 1024) -> DataFr
 def near_duplicates(docs: DataFrame, width: int = 4, max_bits: int = 4) -> DataFrame:
     """doc_id, fp, component_id of every row of docs."""
     fps = stash(fingerprints(docs, width), "fp")
-    nodes = fps.groupBy("fp").agg(F.min("doc_id").alias("node"))
-    comps = connected_components(near_links(nodes.where("node is not null"), max_bits))
-    ids = nodes.join(comps, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
-    return fps.join(ids, "fp").select("doc_id", "fp", "component_id")
+    nodes = fps.groupBy("fp").agg(F.min("doc_id").alias("least"))
+    comps = connected_components(near_links(nodes.select("fp", F.col("fp").alias("node")), max_bits))
+    parts = nodes.join(comps.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
+    ids = parts.groupBy("component").agg(F.min("least").alias("component_id"))
+    return fps.join(parts.select("fp", "component"), "fp").join(ids, "component").select("doc_id", "fp", "component_id")
 
 
 def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -176,8 +181,16 @@ def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage_near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of near copies (Jaccard similarity of 5-word shingles >= 0.8) the document with the smallest id stays."""
-    from gleaner.llm.jaccard import near_copies
-
-    gone = near_copies(docs).where("doc_id <> component_id").select("doc_id")
-    return docs.join(gone, "doc_id", "left_anti").select(docs.columns)
+    """Of each group of near copies (Jaccard similarity of 5-word shingles >= 0.8) one row stays, whole.
+
+    It is the one with the smallest doc_id, a null one only where the group has no other; of rows that share it, the one
+    with the least hash of the text; of rows equal in both, any one. Null texts count as empty. A repeated doc_id means
+    nothing: rows are told apart by doc_id and text. Columns are carried as they are, whatever their names.
+    """
+    from gleaner.llm.jaccard import near_copies, text_hash
+
+    rows = docs.select(F.struct(*docs.columns).alias("_row"), F.col("doc_id").isNull().alias("_none"), F.coalesce("doc_id", F.lit(0)).alias("_id"), text_hash().alias("_h"))
+    own = rows.select("_none", "_id", "_h").groupBy("_h").agg(F.min(F.struct("_none", "_id", "_h")).alias("best"))
+    groups = own.join(near_copies(docs).withColumnRenamed("node", "_h"), "_h", "left").groupBy(F.coalesce("component", "_h").alias("c")).agg(F.min("best").alias("best"))
+    kept = rows.join(groups.select("best.*"), ["_none", "_id", "_h"])
+    return kept.groupBy("_none", "_id", "_h").agg(F.first("_row").alias("_row")).select("_row.*")

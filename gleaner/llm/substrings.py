@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import bounded_batches, release, slices, stash, table
+from gleaner.llm.common import bounded_batches, slices, stash, table
 
 U = np.uint64
 _BASE = 0x9E3779B97F4A7C15
@@ -265,13 +265,11 @@ def remove_repeats(docs: DataFrame, length: int = 50, gram: int = 24, with_text:
     met = seen.mapInArrow(partial(_occurrences, length=length, gram=gram), _ROW)
     marks = met.repartition("a").sortWithinPartitions("a", "c", "doc", "at").mapInArrow(partial(_contexts, span=length), _ROW)
     marks = stash(marks.select("kind", "doc", "at", "upto"), "anchors")
-    release(spark)
     tag = F.shiftright("at", _TAG)
     asked = marks.where("kind = 2").groupBy(F.col("doc").alias("doc_id"), tag.alias("tag")).agg(F.collect_list("at").alias("places"))
     windows = seen.join(asked, ["doc_id", "tag"]).mapInArrow(partial(_windows, length=length, gram=gram), _ROW)
     later = windows.repartition("a").sortWithinPartitions("a", "doc").mapInArrow(partial(_later, length=length), _ROW)
     later = stash(later.select("kind", "doc", "at", "upto"), "windows")
-    release(spark)
     ranges = marks.where("kind = 1").unionByName(later)
     per_doc = ranges.groupBy(F.col("doc").alias("doc_id"), tag.alias("tag")).agg(F.collect_list("at").alias("los"), F.collect_list("upto").alias("his"))
     schema = "doc_id long, n_bytes long, n_removed long, n_spans long, kept_sha256 string, kept binary"

@@ -149,6 +149,44 @@ def test_long_posting_lists_lose_no_link(spark):
         assert parts.count() == len(rows) and parts.select("component").distinct().count() == 1
 
 
+def test_rows_without_id_link_others(spark, monkeypatch):
+    rows = [(1, "a", 0), (2, "b", 0xFF), (None, "c", 0x0F), (None, "d", 0xFFFF << 30), (5, "e", 0), (5, "f", 1 << 63)]
+    table = spark.createDataFrame([(i, f if f < 2**63 else f - 2**64) for i, _, f in rows], "doc_id long, fp long")
+    monkeypatch.setattr(simhash, "fingerprints", lambda docs, width: table)
+    got = simhash.near_duplicates(table).collect()
+    assert sorted((str(r.doc_id), r.fp % 2**64, str(r.component_id)) for r in got) == sorted((str(i), f, "None" if f == 0xFFFF << 30 else "1") for i, _, f in rows)
+
+
+def test_op2_and_op4_queries_by_brute_force(spark, docs, small, tmp_path):
+    """The registered queries over a folder of tables: every column against a plain version."""
+    from tokenizers import Tokenizer
+    import public_tokenizers as P
+
+    tok = Tokenizer.from_file(P.path("byte_bpe_50k.json"))
+    docs.select("doc_id", "text", "lang", "source", "n_chars").union(small.limit(60).select("doc_id", "text", "lang", "source", "n_chars")).write.parquet(str(tmp_path / "documents.parquet"))
+    rows = pairs(spark.read.parquet(str(tmp_path / "documents.parquet")))
+    got = simhash.op2_simhash_near_dedup(spark, str(tmp_path)).collect()
+    assert sorted((str(r.doc_id), r.fingerprint) for r in got) == sorted((str(i), f"{plain_fingerprint(t):016x}") for i, t in rows)
+    packed = packing.op4_best_fit_packing(spark, str(tmp_path)).collect()
+    want = []
+    for i, t in rows:
+        ids = [*tok.encode(t or "", add_special_tokens=False).ids, 0]
+        first = len(ids) % 2048 or 2048
+        cuts = [0, *range(first, len(ids) + 1, 2048)]
+        want += [(str(i), k, a, e - a, zlib.crc32(struct.pack(f"<{e - a}I", *ids[a:e]))) for k, (a, e) in enumerate(zip(cuts, cuts[1:]))]
+    assert sorted((str(r.doc_id), r.piece, r.start, r.length, r.ids_crc32) for r in packed) == sorted(want)
+    bins = {}
+    for r in packed:
+        bins.setdefault(r.sequence_id, []).append((r.offset, r.length))
+    for b in bins.values():
+        ends = [0]
+        for at, n in sorted(b):
+            assert at == ends[-1]
+            ends.append(at + n)
+        assert ends[-1] <= 2048
+    assert len(bins) <= 1.05 * sum(x[3] for x in want) / 2048 + 2
+
+
 def test_simhash_of_nothing(none):
     assert simhash.near_duplicates(none).count() == 0
 
@@ -175,12 +213,13 @@ def test_ids_are_those_of_the_other_library(small, docs):
     from tokenizers import Tokenizer
 
     t, enc = Tokenizer.from_file(P.path("byte_bpe_50k.json")), packing.encoding()
-    for _, text in pairs(small)[:60] + pairs(docs) + [(0, "a<|endoftext|>b <|endoftext|>")]:
+    runs = ["a" + " " * 1_000_000 + "b", "\n" * 1_000_000, "x " + "1" * 1_000_000, "ab" * 500_000, "-" * 1_000_000, " \t" * 40_000]
+    for _, text in pairs(small)[:60] + pairs(docs) + [(0, "a<|endoftext|>b <|endoftext|>")] + [(0, r) for r in runs]:
         assert [*t.encode(text or "", add_special_tokens=False).ids, 0] == packing.token_ids(enc, text or "").tolist()
 
 
 def test_packing(docs, none):
-    rows = packing.pack(packing.stash(packing.pieces(docs, 64)), 64, buckets=3).collect()
+    rows = packing.pack(packing.stash(packing.pieces(docs, 64)), 64, bucket_rows=2).collect()
     enc, by_doc, by_seq = packing.encoding(), {}, {}
     for r in rows:
         by_doc.setdefault(r.doc_id, []).append(r)
@@ -469,6 +508,23 @@ def test_queries_agree_with_sql(spark):
         assert sorted(map(str, got[cols].values.tolist())) == sorted(map(str, want[cols].values.tolist())), name
 
 
+def shingles(text, n=5):
+    w = re.findall(r"[^\x20\x09-\x0D]+", re.sub("[A-Z]", lambda m: m[0].lower(), text or ""))
+    return {tuple(w[i : i + n]) for i in range(max(1, len(w) - n + 1))}
+
+
+def near_losers(sets, close):
+    """Every id but the smallest of each connected group."""
+    label = {i: i for i in sets}
+    ids = sorted(sets)
+    for k, i in enumerate(ids):
+        for j in ids[:k]:
+            if close(sets[i], sets[j]) and label[i] != label[j]:
+                a, b = sorted((label[i], label[j]))
+                label = {x: a if y == b else y for x, y in label.items()}
+    return {i for i in ids if label[i] != i}
+
+
 def test_pipeline(spark):
     import corpus_pipeline
 
@@ -480,7 +536,10 @@ def test_pipeline(spark):
     start, good, exact, near, mix, packed = seen
     assert set(r.doc_id for r in good.collect()) <= set(r.doc_id for r in start.collect())
     assert exact.count() == good.select("text").distinct().count() and near.count() <= exact.count()
-    assert near.count() == simhash.near_duplicates(exact).select("component_id").distinct().count()
+    gone = set(r.doc_id for r in exact.collect()) - set(r.doc_id for r in near.collect())
+    sets = {r.doc_id: shingles(r.text) for r in exact.collect()}
+    close = lambda a, b: len(a & b) >= 0.8 * len(a | b)
+    assert gone == near_losers(sets, close)
     per = mix.groupBy("doc_id").count().agg(F.max("count")).first()[0]
     assert per <= 3
     assert packed.select("doc_id").distinct().count() == mix.select("doc_id").distinct().count()
