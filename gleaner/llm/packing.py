@@ -151,7 +151,7 @@ def plan(counts: dict[int, int], capacity: int) -> list[tuple[int, int, int, int
     return out
 
 
-def pack(items: DataFrame, capacity: int = 2048, bucket_rows: int = 100_000) -> DataFrame:
+def pack(items: DataFrame, capacity: int = 2048, bucket_rows: int = 1000) -> DataFrame:
     """items with doc_id, piece, length -> the same with sequence_id and offset. items must be stable: it is read three times."""
     spark = items.sparkSession
     # at most `capacity` rows; the plan has at most a few for each
@@ -160,8 +160,8 @@ def pack(items: DataFrame, capacity: int = 2048, bucket_rows: int = 100_000) ->
     rows = plan(counts, capacity)
     made = max((first + bins for _, _, _, first, bins, _ in rows), default=0)
     full = items.where(F.col("length") == capacity).withColumn("sequence_id", made + F.monotonically_increasing_id()).withColumn("offset", F.lit(0).cast("long"))
-    buckets = max(1, -(-max(counts.values(), default=1) // bucket_rows))
-    placed = items.where(F.col("length") < capacity).withColumn("_b", F.pmod(F.xxhash64("doc_id", "piece", "start"), F.lit(buckets)))
+    dealt = F.broadcast(spark.createDataFrame([(k, -(-n // bucket_rows)) for k, n in counts.items()], "length long, _buckets long"))
+    placed = items.where(F.col("length") < capacity).join(dealt, "length").withColumn("_b", F.pmod(F.xxhash64("doc_id", "piece", "start"), F.col("_buckets")))
     per = placed.groupBy("length", "_b").agg(F.count("*").alias("_n"))
     along = W.partitionBy("length").orderBy("_b").rowsBetween(W.unboundedPreceding, -1)
     offsets = per.select("length", "_b", F.coalesce(F.sum("_n").over(along), F.lit(0)).alias("_before"))

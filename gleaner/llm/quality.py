@@ -1,113 +1,235 @@
-"""Quality classifier: interpolated modified Kneser-Ney character trigrams, trained on trusted text.
-
-Trusted text is every document that `labels` marks as good and not toxic. Its trigrams are counted per
-language by map-side sums and one aggregation; discounts come from the counts of counts, lower orders from
-continuation counts. Characters are 1,024 symbols: code points under 768 are their own, the others share 255.
-
-Scoring is a sharded count join. A trigram's middle character decides its shard, so a shard has the counts of all
-trigrams, contexts and bigrams that its trigrams' probabilities need; only the 1,024 character probabilities and three
-discounts a language are sent to all. A document sends each shard one row with its distinct trigrams there and how
-often they occur. Shards are dealt again over `salts` copies by document, so that tasks shrink as machines are added; a
-task streams its rows, counts first, and holds one shard's counts at a time. The log-probabilities meet again per
-document and give its perplexity.
-
-Every language has a model per fold of the texts (`FOLDS`, by a hash of the text): it counts the trusted text of the
-other folds. All documents, trusted ones too, are scored by their fold's model, which has not seen them or their copies.
-
-A document is kept if its log-perplexity lies in its language's band: from the `low` to the `high` quantile over the
-language's trusted documents, widened by `slack` times their distance, by `short` over the root of its length, as short
-texts scatter more, and by `few` bits over the number of trusted documents: the fewer they are the less is rejected, up
-to nothing where there are none.
-
-Null text counts as empty; a text without characters has no perplexity and is rejected. Null lang is a language of its
-own. Documents of a language without trusted text can't be judged and are kept. Equal rows get equal answers. Empty
-tables give empty results; further columns are ignored by the query and carried by the stage.
+"""Quality classifier: interpolated modified Kneser-Ney word bigrams, trained on trusted text.
+
+Trusted text is every document that `labels` marks as good and not toxic. Words are what white space separates, case
+and signs included; a word is told by 40 bits of its hash. Bigrams are counted per language and per half of the texts
+(by a hash of the text), so what is gathered grows with the trusted text. A document is scored by its language's model
+of the other half, which has seen neither it nor its copies; trusted documents too, so bands come from held-out scores.
+
+The model in the form of a table of summands: an unknown word costs log p(unknown), a known word x gives
+v(x) = log p1(x) + log b(x), where b(x) is the mass that x hands down as a context, and a known bigram adds
+w(x, y) = log(1 + own(x, y) / (b(x) p1(y))), own being its discounted share. The sum over a text's words and bigrams is
+its log-probability under the interpolated model, and each summand can be looked up by itself.
+
+Scoring is a sharded count join. A bigram's first word decides its shard; the most frequent words (at most `HOT`, found
+in a bounded sample, which moves work and changes no result) are split by the second word. Documents meet the shards in
+blocks of `BLOCK` words: per shard one row with the distinct words of the block and its texts as numbers of these. A
+Bloom filter of fixed size (`FILTER_MB`) over the model's words and bigrams goes to the blocks, so that what no trusted
+text holds need not be sent; a full filter sends more and changes no result. Each shard answers a block with one sum per
+document, and these are added up per block.
+
+A document is kept if its log-perplexity is at most its language's bound: the `high` quantile over the language's
+trusted documents, and beyond it `slack` times the distance from their median, `short` over the root of its number of
+words, as short texts scatter more, and `few` bits over the number of trusted documents: the fewer they are the less is
+rejected, up to nothing where there are none. Low perplexity is no fault: copies of trusted text have it.
+
+Null text counts as empty; a text without words has no perplexity and is rejected. Null lang is a language of its own.
+Documents whose language has no trusted text in the other half can't be judged and are kept. Every row gets an answer,
+equal rows the same. Null doc_ids are not trusted. Empty tables give empty results; further columns are ignored by the
+query and carried by the stage.
 """
 
 from __future__ import annotations
 
+from collections import Counter, defaultdict
 from collections.abc import Iterator
+from itertools import count
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import xxhash
+import zstandard
+from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from gleaner.llm.common import bounded_batches, shuffles, stash, table
 
-SYMBOLS = 1024
 NO_LANG = "\x00"
-_LOW = 2**20 - 1
-#: Shards; neighbouring code points are in different ones.
-_DEAL = 8
-#: Every text is scored by a model from which its own fold of the trusted texts is left out.
-FOLDS = 5
-
-
-def codes(text: str) -> np.ndarray:
-    """The trigrams of a text after two boundary symbols: ((a * 1024) + b) * 1024 + c, below 2 ** 30."""
-    cp = np.frombuffer(text.encode("utf-32-le", "surrogatepass"), np.uint32)
-    s = np.where(cp < 768, cp, 768 + cp % 255).astype(np.int64)
-    s = np.concatenate([[SYMBOLS - 1] * 2, s])
-    return (s[:-2] << 20) | (s[1:-1] << 10) | s[2:]
-
-
-def encode(code: np.ndarray, n: np.ndarray) -> bytes:
-    """Distinct trigrams and counts as six planes of bytes, by middle, first and last character, which compress well."""
-    over = n > 65535
-    while over.any():  # such a trigram has several entries
-        code, n = np.concatenate([code, code[over]]), np.concatenate([np.where(over, n - 65535, n), np.full(over.sum(), 65535)])
-        over = n > 65535
-    a, b, c = code >> 20, (code >> 10) & (SYMBOLS - 1), code & (SYMBOLS - 1)
-    order = np.lexsort((c, a, b))
-    a, b, c, n = a[order], b[order], c[order], n[order]
-    return np.stack([c, a, b, (a >> 8) | ((b >> 8) << 2) | ((c >> 8) << 4), n, n >> 8]).astype(np.uint8).tobytes()
-
-
-def decode(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Codes and counts of all rows of an encoded column, and where each row ends."""
-    off = np.frombuffer(column.buffers()[1], np.int32, len(column) + 1, column.offset * 4).astype(np.int64)
-    data = np.frombuffer(column.buffers()[2], np.uint8) if off[-1] > off[0] else np.empty(0, np.uint8)
-    size = np.diff(off) // 6
-    ends = np.cumsum(size)
-    at = np.repeat(off[:-1] - (ends - size), size) + np.arange(size.sum())
-    step = np.repeat(size, size)
-    c, a, b, high, n, n_high = (data[at + k * step].astype(np.int64) for k in range(6))
-    a, b, c = a | ((high & 3) << 8), b | (((high >> 2) & 3) << 8), c | ((high >> 4) << 8)
-    return (a << 20) | (b << 10) | c, n | (n_high << 8), ends
-
-
-def _encoded(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        rows = [encode(*np.unique(codes(t), return_counts=True)) for t in b.column("text").to_pylist()]
-        yield pa.record_batch([b.column("doc_id"), b.column("lang"), pa.array(rows, pa.binary())], names=["doc_id", "lang", "grams"])
-
-
-def _counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        lang = np.array(b.column("lang").to_pylist(), object)
-        for at in range(0, b.num_rows, 1000):
-            code, n, ends = decode(b.column("grams").slice(at, 1000))
-            row = np.repeat(lang[at : at + 1000], np.diff(ends, prepend=0))
-            for x in sorted(set(lang[at : at + 1000])):
-                c, i = np.unique(code[row == x], return_inverse=True)
-                yield pa.record_batch([pa.array([x] * len(c), pa.string()), pa.array(c), pa.array(np.bincount(i, n[row == x], len(c)).astype(np.int64))], names=["lang", "code", "n"])
-
-
-def model_name() -> Column:
-    """lang and a digit, the fold. Equal texts are in one fold, so a text's copies don't tell a model about it."""
-    return F.concat(F.coalesce("lang", F.lit(NO_LANG)), F.pmod(F.xxhash64(F.coalesce("text", F.lit("")), F.lit("fold")), F.lit(FOLDS)).cast("string"))
-
-
-def count_trigrams(docs: DataFrame, trusted: DataFrame) -> DataFrame:
-    """docs whose doc_id is in trusted -> lang (with the fold that is left out), code, n, written to the shared folder."""
-    text = docs.select("doc_id", model_name().alias("lang"), F.coalesce("text", F.lit("")).alias("text")).where("doc_id is not null")
-    rows = text.mapInArrow(_encoded, "doc_id long, lang string, grams binary").join(trusted.hint("merge"), "doc_id", "left_semi")
-    folds = stash(rows.mapInArrow(_counted, "lang string, code long, n long").groupBy("lang", "code").agg(F.sum("n").alias("n")), "folds")
-    every = F.explode(F.array(*[F.lit(str(k)) for k in range(FOLDS)]))
-    left = folds.withColumn("without", every).where("without <> right(lang, 1)").withColumn("lang", F.expr("concat(left(lang, length(lang) - 1), without)"))
-    return stash(left.groupBy("lang", "code").agg(F.sum("n").alias("n")), "trigrams")
+BLOCK, HOT, FAN, FILTER_MB = 1_500_000, 64, 16, 16
+#: Numbers of the start and the end of a text, which no word has.
+START, END = 1, 2
+U = np.uint64
+_MASK = U(2**40 - 1)
+
+
+def _mix(x: np.ndarray) -> np.ndarray:
+    x = (x ^ (x >> U(33))) * U(0xFF51AFD7ED558CCD)
+    x = (x ^ (x >> U(33))) * U(0xC4CEB9FE1A85EC53)
+    return x ^ (x >> U(33))
+
+
+def word_numbers(words: list[str]) -> np.ndarray:
+    return (np.fromiter(map(xxhash.xxh64_intdigest, words), U, len(words)) >> U(24)) | U(4)
+
+
+def pair_keys(b: np.ndarray, c: np.ndarray) -> np.ndarray:
+    return _mix(_mix(b) + c)
+
+
+def pack(*columns: tuple[np.ndarray, int]) -> bytes:
+    """Columns of whole numbers as planes of bytes (width each), compressed."""
+    planes = [np.ascontiguousarray(a.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :w].T).tobytes() for a, w in columns]
+    return zstandard.ZstdCompressor(level=1).compress(b"".join(planes))
+
+
+def unpack(data: bytes, *widths: int) -> list[np.ndarray]:
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
+    n, at, out = len(raw) // sum(widths), 0, []
+    for w in widths:
+        a = np.zeros((n, 8), np.uint8)
+        a[:, :w] = raw[at : at + n * w].reshape(w, n).T
+        out.append(a.reshape(-1).view("<u8"))
+        at += n * w
+    return out
+
+
+class Deal:
+    """Which shard has a bigram, and which have a word."""
+
+    def __init__(self, shards: int, hot: np.ndarray):
+        self.shards, self.hot = shards, np.sort(hot)
+
+    def _is_hot(self, b: np.ndarray) -> np.ndarray:
+        if not len(self.hot):
+            return np.zeros(len(b), bool)
+        return self.hot[np.minimum(np.searchsorted(self.hot, b), len(self.hot) - 1)] == b
+
+    def shard(self, b: np.ndarray, c: np.ndarray) -> np.ndarray:
+        part = np.where(self._is_hot(b), c % U(FAN), U(0))
+        return (_mix(b + part * U(0x9E3779B97F4A7C15)) % U(self.shards)).astype(np.int64)
+
+    def copies(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Every shard at which x can be a first word: (positions in x, shards)."""
+        hot = np.flatnonzero(self._is_hot(x))
+        at = np.concatenate([np.arange(len(x)), np.repeat(hot, FAN - 1)])
+        part = np.concatenate([np.zeros(len(x), U), np.tile(np.arange(1, FAN, dtype=U), len(hot))])
+        return at, self.shard(x[at], part)
+
+
+class Block:
+    """Texts gathered up to a number of words, as numbers of the block's distinct words."""
+
+    def __init__(self):
+        self.words: dict[str, int] = defaultdict(count(2).__next__)  # 0 and 1 are start and end
+        self.ids: list[np.ndarray] = []
+        self.size = 0
+
+    def add(self, text: str) -> int:
+        w = text.split()
+        self.ids.append(np.fromiter(map(self.words.__getitem__, w), np.int64, len(w)))
+        self.size += len(w) + 2
+        return len(w)
+
+    def pairs(self) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """Numbers of the words; document, first and second word of every bigram."""
+        n = np.array([len(x) for x in self.ids])
+        width = n + 2
+        seq = np.zeros(width.sum(), np.int64)
+        ends = np.cumsum(width)
+        inner = np.ones(len(seq), bool)
+        inner[ends - 1] = inner[ends - width] = False
+        if n.sum():
+            seq[inner] = np.concatenate(self.ids)
+        seq[ends - 1] = 1
+        doc = np.repeat(np.arange(len(n)), width)
+        keep = np.ones(len(seq), bool)
+        keep[ends - 1] = False
+        return np.concatenate([np.array([START, END], U), word_numbers(list(self.words))]), doc[keep], seq[keep], np.concatenate([seq[1:], [0]])[keep]
+
+
+def model_name(other: bool) -> Column:
+    """lang and the half of the texts that this one is in, or the other half. Copies are in one half."""
+    half = F.pmod(F.xxhash64(F.coalesce("text", F.lit("")), F.lit("half")), F.lit(2))
+    return F.concat(F.coalesce("lang", F.lit(NO_LANG)), (1 - half if other else half).cast("string"))
+
+
+def _group(keys: np.ndarray) -> Iterator[tuple[int, np.ndarray]]:
+    order = np.argsort(keys, kind="stable")
+    cut = np.flatnonzero(np.diff(keys[order])) + 1
+    for part in np.split(order, cut) if len(order) else ():
+        yield int(keys[part[0]]), part
+
+
+def _merged(b: np.ndarray, c: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    order = np.lexsort((c, b))
+    b, c, n = b[order], c[order], n[order]
+    new = np.flatnonzero(np.concatenate([[True], (b[1:] != b[:-1]) | (c[1:] != c[:-1])]))
+    return b[new], c[new], np.add.reduceat(n, new)
+
+
+_GRAMS = "shard int, m string, grams binary"
+
+
+def _batch(rows: list[tuple], names: tuple[str, ...], types: tuple) -> pa.RecordBatch:
+    cols = list(zip(*rows)) if rows else [()] * len(names)
+    return pa.record_batch([pa.array(list(c), t) for c, t in zip(cols, types)], names=list(names))
+
+
+def _counted(batches: Iterator[pa.RecordBatch], deal: Deal) -> Iterator[pa.RecordBatch]:
+    """(m, z: compressed text) -> bigram counts per shard and model."""
+    blocks: dict[str, Block] = {}
+    unzip = zstandard.ZstdDecompressor()
+
+    def out(m: str, block: Block) -> pa.RecordBatch:
+        words, _, b, c = block.pairs()
+        pair, n = np.unique(b * len(words) + c, return_counts=True)
+        b, c = words[pair // len(words)], words[pair % len(words)]
+        rows = []
+        for s, k in _group(deal.shard(b, c)):
+            x, y, z = _merged(b[k], c[k], n[k])
+            rows.append((s, m, pack((x, 5), (y, 5), (z, 4))))
+        return _batch(rows, ("shard", "m", "grams"), (pa.int32(), pa.string(), pa.binary()))
+
+    for batch in batches:
+        for m, z in zip(batch.column("m").to_pylist(), batch.column("z").to_pylist()):
+            block = blocks.setdefault(m, Block())
+            block.add(unzip.decompress(z).decode() if z else "")
+            if sum(b.size for b in blocks.values()) >= BLOCK:
+                for name in list(blocks):
+                    yield out(name, blocks.pop(name))
+    for name, block in blocks.items():
+        yield out(name, block)
+
+
+def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by shard and model -> one row for each."""
+    at, held = None, []
+
+    def out():
+        b, c, n = _merged(*(np.concatenate(x) for x in zip(*held)))
+        return _batch([(*at, pack((b, 5), (c, 5), (n, 4)))], ("shard", "m", "grams"), (pa.int32(), pa.string(), pa.binary()))
+
+    for batch in batches:
+        for s, m, g in zip(*(batch.column(x).to_pylist() for x in ("shard", "m", "grams"))):
+            if (s, m) != at:
+                if held:
+                    yield out()
+                at, held = (s, m), []
+            held.append(unpack(g, 5, 5, 4))
+            if len(held) > 64:
+                held = [_merged(*(np.concatenate(x) for x in zip(*held)))]
+    if held:
+        yield out()
+
+
+_WORDS = "shard int, m string, x long, total long, n1 long, n2 long, n3 long, cont long"
+
+
+def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """Of every word of a shard and model: as a context its total and its bigrams counted once, twice, more; as a second
+    word its bigrams. Word -1 has the numbers of bigrams counted 1, 2, 3 and 4 times."""
+    for batch in batches:
+        for s, m, g in zip(*(batch.column(x).to_pylist() for x in ("shard", "m", "grams"))):
+            b, c, n = unpack(g, 5, 5, 4)
+            x, at = np.unique(np.concatenate([b, c]), return_inverse=True)
+            ib, ic = at[: len(b)], at[len(b) :]
+            size = len(x)
+            cols = [np.bincount(ib, n, size), *(np.bincount(ib[(n == k) if k < 3 else (n >= 3)], minlength=size) for k in (1, 2, 3)), np.bincount(ic, minlength=size)]
+            few = [int((n == k).sum()) for k in (1, 2, 3, 4)]
+            cols = [np.concatenate([v.astype(np.int64), [e]]) for v, e in zip(cols, [*few, 0])]
+            x = np.concatenate([x.astype(np.int64), [-1]])
+            names = [f.split()[0] for f in _WORDS.split(", ")]
+            yield pa.record_batch([pa.array(np.full(len(x), s, np.int32)), pa.array([m] * len(x), pa.string()), pa.array(x), *map(pa.array, cols)], names=names)
 
 
 def discounts(n: np.ndarray) -> np.ndarray:
@@ -117,158 +239,324 @@ def discounts(n: np.ndarray) -> np.ndarray:
     return np.clip(d, 0.05, [1, 2, 3])
 
 
-def language_table(tri: DataFrame) -> dict[str, dict[str, np.ndarray]]:
-    """Per language the discounts of orders 2 and 3 and the character probabilities: 1,030 numbers."""
-    bc, c = F.col("code").bitwiseAND(_LOW), F.col("bc").bitwiseAND(SYMBOLS - 1)
-    bi = tri.groupBy("lang", bc.alias("bc")).agg(F.count("*").alias("n"))
-    few = [F.count(F.when(F.col("n") == k, 1)).alias(f"n{k}") for k in (1, 2, 3, 4)]
-    out: dict[str, dict[str, np.ndarray]] = {}
-    for name, counts in (("d3", tri), ("d2", bi)):
-        for r in counts.groupBy("lang").agg(*few).collect():
-            out.setdefault(r["lang"], {})[name] = discounts(np.array([r[f"n{k}"] for k in (1, 2, 3, 4)], float))
-    uni: dict[str, np.ndarray] = {x: np.zeros(SYMBOLS) for x in out}
-    for r in bi.groupBy("lang", c.alias("c")).agg(F.count("*").alias("n")).collect():  # at most 1,024 rows a language
-        uni[r["lang"]][r["c"]] = r["n"]
-    for lang, n in uni.items():
-        own, down, _ = _level(n[n > 0], np.zeros(np.count_nonzero(n), int), discounts(np.bincount(np.minimum(n, 5).astype(int), minlength=6)[1:5].astype(float)))
-        p = np.full(SYMBOLS, down[0] / SYMBOLS)
-        p[n > 0] += own
-        out[lang]["p1"] = p
+def constants(words: DataFrame) -> dict[str, dict]:
+    """Per model: discounts of both orders, total of continuations, mass and probability of unknown words. A dozen numbers each."""
+    real = F.col("x") >= 0
+    few = [F.sum(F.when(~real, F.col(k)).otherwise(0)).alias(f"k{i}") for i, k in enumerate(("total", "n1", "n2", "n3"))]
+    few += [F.count(F.when(real & (F.col("cont") == k), 1)).alias(f"c{k}") for k in (1, 2, 3, 4)]
+    out = {}
+    rows = words.groupBy("m").agg(*few, F.count(F.when(real & (F.col("cont") > 0), 1)).alias("vocab"), F.sum("cont").alias("cont"), F.count(F.when(real & (F.col("cont") >= 3), 1)).alias("c3up"), F.sum(F.when(F.col("x") == END, F.col("cont")).otherwise(0)).alias("end")).collect()
+    for r in rows:
+        d1 = discounts(np.array([r[f"c{k}"] for k in (1, 2, 3, 4)], float))
+        mass = float(d1 @ [r["c1"], r["c2"], r["c3up"]]) / r["cont"]
+        k = out[r["m"]] = {"d1": d1, "d2": discounts(np.array([r[f"k{i}"] for i in range(4)], float)), "cont": r["cont"], "base": mass / (r["vocab"] + 1)}
+        k["end"] = float(np.log2(p1(np.array([r["end"]]), k)[0]))  # the end is no first word, so no shard has it
     return out
 
 
-def _level(n: np.ndarray, context: np.ndarray, d: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Discounted shares, and per context what it hands down and its total."""
-    off = d[np.minimum(n, 3).astype(int) - 1]
-    total = np.bincount(context, n)
-    return (n - off) / total[context], np.bincount(context, off) / total, total
-
-
-class Shard:
-    """log2 probabilities of the trigrams of one shard and language."""
-
-    def __init__(self, code: np.ndarray, n: np.ndarray, lang: dict[str, np.ndarray]):
-        self.code = code  # sorted
-        self.ab, row3 = np.unique(self.code >> 10, return_inverse=True)
-        own3, self.down3, _ = _level(n, row3, lang["d3"])
-        self.bc, cont = np.unique(self.code & _LOW, return_counts=True)
-        self.b, row2 = np.unique(self.bc >> 10, return_inverse=True)
-        own2, self.down2, _ = _level(cont.astype(float), row2, lang["d2"])
-        self.p1 = lang["p1"]
-        self.own2, self.own3 = own2, own3
-
-    @staticmethod
-    def _find(keys: np.ndarray, want: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        i = np.minimum(np.searchsorted(keys, want), len(keys) - 1)
-        return i, keys[i] == want
-
-    def log2(self, code: np.ndarray) -> np.ndarray:
-        i, seen = self._find(self.b, (code >> 10) & (SYMBOLS - 1))
-        p = self.p1[code & (SYMBOLS - 1)] * np.where(seen, self.down2[i], 1)
-        i, seen = self._find(self.bc, code & _LOW)
-        p = p + np.where(seen, self.own2[i], 0)
-        i, seen = self._find(self.ab, code >> 10)
-        p = p * np.where(seen, self.down3[i], 1)
-        i, seen = self._find(self.code, code)
-        return np.log2(p + np.where(seen, self.own3[i], 0))
-
-
-_FIELDS = "shard int, salt int, kind int, doc_id long, h long, lang string, grams binary"
-_TYPES = pa.schema([("shard", pa.int32()), ("salt", pa.int32()), ("kind", pa.int32()), ("doc_id", pa.int64()), ("h", pa.int64()), ("lang", pa.string()), ("grams", pa.binary())])
-
-
-def _sent(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    for b in batches:
-        for at in range(0, b.num_rows, 1000):
-            rows = []
-            part = b.slice(at, 1000)
-            for doc_id, h, lang, salt, text in zip(*(part.column(n).to_pylist() for n in ("doc_id", "h", "lang", "salt", "text"))):
-                c, n = np.unique(codes(text), return_counts=True)
-                home = ((c >> 10) & (SYMBOLS - 1)) % _DEAL
-                for s in np.unique(home).tolist() if len(c) else [0]:
-                    rows.append((s, salt, 1, doc_id, h, lang, encode(c[home == s], n[home == s])))
-            if rows:
-                yield pa.RecordBatch.from_arrays([pa.array(list(x), f.type) for x, f in zip(zip(*rows), _TYPES)], schema=_TYPES)
-
-
-def perplexities(docs: DataFrame, tri: DataFrame) -> DataFrame:
-    """doc_id, h (hash of the text), lang, n (characters) and bits (null without a model) of every row."""
+def p1(cont: np.ndarray, k: dict) -> np.ndarray:
+    off = np.where(cont > 0, k["d1"][np.clip(cont, 1, 3) - 1], 0)
+    return (cont - off) / k["cont"] + k["base"]
+
+
+def handed_down(total: np.ndarray, n1: np.ndarray, n2: np.ndarray, n3: np.ndarray, k: dict) -> np.ndarray:
+    d = k["d2"]
+    return np.where(total > 0, (d[0] * n1 + d[1] * n2 + d[2] * n3) / np.maximum(total, 1), 1.0)
+
+
+_MODEL = "shard int, m string, kind int, grams binary"
+_MODEL_TYPES = (pa.int32(), pa.string(), pa.int32(), pa.binary())
+
+
+def _bits(x: np.ndarray) -> np.ndarray:
+    return x.astype(np.float32).view(np.uint32)
+
+
+def _weights(batches: Iterator[pa.RecordBatch], known: dict[str, dict], deal: Deal, segment: int) -> Iterator[pa.RecordBatch]:
+    """Words (kind 0, one row each) before bigrams (kind 1) of a shard and model -> summands, and the shard's part of the filter."""
+    at, held, ready, filters = None, [], None, {}
+    names = ("shard", "m", "kind", "grams")
+
+    def mark(s, keys):
+        bits = filters.setdefault(s, np.zeros(segment, bool))
+        for p in filter_places(keys, segment):
+            bits[p] = True
+
+    def words() -> pa.RecordBatch:
+        """All words of (s, m) are there: their summands, and what the bigrams need."""
+        nonlocal ready
+        (s, m), k = at, known[at[1]]
+        x, total, n1, n2, n3, cont = (np.concatenate(v) for v in zip(*held))
+        x, first = np.unique(x.astype(U), return_index=True)
+        total, n1, n2, n3, cont = (v[first] for v in (total, n1, n2, n3, cont))
+        down, p = handed_down(total, n1, n2, n3, k), p1(cont, k)
+        of, where = deal.copies(x)
+        mine = np.unique(of[where == s])
+        v = np.where(x == START, 0, np.log2(p)) + np.log2(down)
+        mark(s, _mix(x[mine]))
+        ready = x, total, down, p
+        return _batch([(s, m, 0, pack((x[mine], 5), (_bits(v[mine]), 4)))], names, _MODEL_TYPES)
+
+    for batch in batches:
+        shard, m_, kind = (batch.column(x).to_pylist() for x in ("shard", "m", "kind"))
+        cut = [i for i in range(batch.num_rows) if i == 0 or (shard[i], m_[i], kind[i]) != (shard[i - 1], m_[i - 1], kind[i - 1])]
+        for lo, hi in zip(cut, [*cut[1:], batch.num_rows]):
+            if (shard[lo], m_[lo]) != at:
+                if at and ready is None:
+                    yield words()
+                at, held, ready = (shard[lo], m_[lo]), [], None
+            part = batch.slice(lo, hi - lo)
+            if kind[lo] == 0:
+                held.append([part.column(n).to_numpy() for n in ("x", "total", "n1", "n2", "n3", "cont")])
+                continue
+            if ready is None:
+                yield words()
+            (s, m), k, (x, total, down, p) = at, known[at[1]], ready
+            for g in part.column("grams").to_pylist():
+                b, c, n = unpack(g, 5, 5, 4)
+                ib, ic = np.searchsorted(x, b), np.searchsorted(x, c)
+                own = (n - k["d2"][np.minimum(n, 3).astype(int) - 1]) / total[ib]
+                yield _batch([(s, m, 1, pack((b, 5), (c, 5), (_bits(np.log2(1 + own / (down[ib] * p[ic]))), 4)))], names, _MODEL_TYPES)
+                mark(s, pair_keys(b, c))
+    if at and ready is None:
+        yield words()
+    yield _batch([(s, None, 9, zstandard.compress(np.packbits(bits).tobytes())) for s, bits in filters.items()], names, _MODEL_TYPES)
+
+
+def filter_places(keys: np.ndarray, segment: int) -> Iterator[np.ndarray]:
+    for k in range(3):
+        yield ((keys >> U(16 * k)) * U(0x9E3779B1) % U(segment)).astype(np.int64)
+
+
+class Model:
+    """Summands of log2 probabilities by shard and model, the filter, and where everything lies."""
+
+    def __init__(self, rows: DataFrame, known: dict[str, dict], deal: Deal, segment: int):
+        self.rows, self.known, self.deal, self.segment = rows, known, deal, segment
+
+
+def hot_words(docs: DataFrame, sample_docs: int = 256, chars: int = 20_000) -> np.ndarray:
+    """The most frequent words of some documents; only used to deal work."""
+    found: Counter[str] = Counter()
+    for r in docs.select(F.substring("text", 1, chars).alias("t")).where("t is not null").limit(sample_docs).collect():
+        found.update(r["t"].split())
+    return np.unique(np.concatenate([np.array([START], U), word_numbers([w for w, _ in found.most_common(HOT - 1)])]))
+
+
+def train(docs: DataFrame, trusted: DataFrame) -> Model:
+    """All docs whose doc_id is in `trusted` are counted."""
     spark = docs.sparkSession
-    langs = spark.sparkContext.broadcast(language_table(tri))
-    salts = max(1, -(-shuffles(spark) // 2))
-    text = F.coalesce("text", F.lit(""))
-    rows = docs.select("doc_id", F.xxhash64(text).alias("h"), model_name().alias("lang"), text.alias("text"))
-    rows = rows.withColumn("salt", F.pmod(F.xxhash64("h", "doc_id"), F.lit(salts)).cast("int")).mapInArrow(_sent, _FIELDS)
-
-    def packed(p: pd.DataFrame) -> pd.DataFrame:
-        return pd.DataFrame([{"shard": p["shard"].iat[0], "lang": p["lang"].iat[0], "grams": encode(p["code"].to_numpy(), p["n"].to_numpy())}])
+    shards = max(8, shuffles(spark))
+    deal = Deal(shards, hot_words(docs))
+    segment = FILTER_MB * 2**23 // shards
 
-    middle = F.shiftright("code", 10).bitwiseAND(SYMBOLS - 1)
-    packs = tri.withColumn("shard", (middle % _DEAL).cast("int")).groupBy("lang", "shard").applyInPandas(packed, "shard int, lang string, grams binary")
-    tables = packs.select("shard", F.explode(F.sequence(F.lit(0), F.lit(salts - 1))).alias("salt"), F.lit(0).alias("kind"), F.lit(None).cast("long").alias("doc_id"), F.lit(None).cast("long").alias("h"), "lang", "grams")
-
-    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[str, Shard] = {}
-        at = None
+    def zipped(batches):
+        z = zstandard.ZstdCompressor(level=1)
         for b in batches:
-            unit = np.stack([b.column("shard").to_numpy(), b.column("salt").to_numpy()])
-            cut = np.flatnonzero((np.diff(unit) != 0).any(axis=0)) + 1
-            for lo, hi in zip([0, *cut.tolist()], [*cut.tolist(), b.num_rows]):
-                if hi == lo:
-                    continue
-                if at != (here := tuple(unit[:, lo].tolist())):
-                    held, at = {}, here
-                part = b.slice(lo, hi - lo)
-                n_model = int((part.column("kind").to_numpy() == 0).sum())
-                for i in range(n_model):
-                    c, n, _ = decode(part.column("grams").slice(i, 1))
-                    c, k = np.unique(c, return_inverse=True)
-                    name = part.column("lang")[i].as_py()
-                    held[name] = Shard(c, np.bincount(k, n), langs.value[name])
-                part = part.slice(n_model)
-                if not part.num_rows:
-                    continue
-                code, count, ends = decode(part.column("grams"))
-                size = np.diff(ends, prepend=0)
-                starts = ends - size
-                lang = np.array(part.column("lang").to_pylist(), object)
-                bits, known = np.zeros(len(code)), np.isin(lang, list(langs.value))
-                for x in set(lang[known]):
-                    m = np.repeat(lang == x, size)
-                    if x in held:
-                        bits[m] = held[x].log2(code[m])
-                    else:  # none of the shard's characters was seen as a context
-                        bits[m] = np.log2(langs.value[x]["p1"][code[m] & (SYMBOLS - 1)])
-                total, seen = (np.concatenate([[0], np.cumsum(v)]) for v in (bits * count, count))
-                yield pa.record_batch(
-                    [part.column("doc_id"), part.column("h"), part.column("lang"), pa.array(seen[ends] - seen[starts]), pa.array(np.where(known, total[starts] - total[ends], np.nan), from_pandas=True)],
-                    names=["doc_id", "h", "lang", "n", "bits"],
-                )
-
-    parts = rows.unionByName(tables).repartition("shard", "salt").sortWithinPartitions("shard", "salt", "kind").mapInArrow(score, "doc_id long, h long, lang string, n long, bits double")
-    sums = parts.groupBy("doc_id", "h", "lang").agg(F.sum("n").alias("n"), F.sum("bits").alias("bits"))
-    return sums.withColumn("lang", F.expr("left(lang, length(lang) - 1)"))
-
-
-def classify(docs: DataFrame, labels: DataFrame, low: float = 0.01, high: float = 0.99, slack: float = 0.5, short: float = 2.0, few: float = 8.0) -> DataFrame:
-    """doc_id, h, lang, perplexity, lowest, highest, kept; one row per distinct (doc_id, lang, text)."""
+            yield pa.record_batch([b.column("doc_id"), b.column("m"), pa.array([z.compress(t.encode()) if t else b"" for t in b.column("text").to_pylist()], pa.binary())], names=["doc_id", "m", "z"])
+
+    text = docs.where("doc_id is not null").select("doc_id", model_name(False).alias("m"), F.coalesce("text", F.lit("")).alias("text"))
+    rows = text.mapInArrow(zipped, "doc_id long, m string, z binary").join(trusted.hint("merge"), "doc_id", "left_semi")
+    counted = rows.select("m", "z").mapInArrow(lambda it: _counted(it, deal), _GRAMS)
+    grams = stash(counted.repartition(shards, "shard").sortWithinPartitions("shard", "m").mapInArrow(_summed, _GRAMS), "bigrams")
+    seen = grams.mapInArrow(_word_counts, _WORDS)
+    sums = [F.sum(c).alias(c) for c in ("total", "n1", "n2", "n3", "cont")]
+    words = stash(seen.groupBy("m", "x").agg(*sums), "words")
+    known = constants(words)
+    of, where = deal.copies(deal.hot)  # every part of a hot word needs it, whether it occurs there or not
+    hot = spark.createDataFrame(sorted({(int(deal.hot[i]), int(s)) for i, s in zip(of, where)}), "x long, shard int")
+    asked = seen.where("x >= 0").select("shard", "m", "x")
+    cols = ("shard", "m", "x", *(f.split()[0] for f in _WORDS.split(", ")[3:]))
+    whole = asked.join(words, ["m", "x"]).select(*cols).union(words.join(F.broadcast(hot), "x").select(*cols)).withColumn("kind", F.lit(0))
+    both = whole.unionByName(grams.withColumn("kind", F.lit(1)), allowMissingColumns=True)
+    model = both.repartition(shards, "shard").sortWithinPartitions("shard", "m", "kind").mapInArrow(lambda it: _weights(it, known, deal, segment), _MODEL)
+    return Model(stash(model, "model"), known, deal, segment)
+
+
+_SENT = "shard int, kind int, m string, block string, grams binary, bv binary, cv binary, docs binary, toks binary"
+_SENT_NAMES = tuple(f.split()[0] for f in _SENT.split(", "))
+_SENT_TYPES = (pa.int32(), pa.int32(), pa.string(), pa.string(), *[pa.binary()] * 5)
+
+
+def _sent(batches: Iterator[pa.RecordBatch], names: list[str], bloom, deal: Deal, segment: int) -> Iterator[pa.RecordBatch]:
+    """Documents -> rows of blocks for the shards (kind 3), and one (kind 4) with the block's documents."""
+    number = {m: i for i, m in enumerate(names)}
+    filters = {s: np.unpackbits(np.frombuffer(zstandard.decompress(z), np.uint8))[:segment].view(bool) for s, z in bloom.items()}
+    nothing = np.zeros(segment, bool)
+    pid, made = TaskContext.get().partitionId(), 0
+    block, info = Block(), []
+
+    def known(shard, keys):
+        ok = np.zeros(len(keys), bool)
+        for s, k in _group(shard):
+            bits = filters.get(s, nothing)
+            fine = np.ones(len(k), bool)
+            for p in filter_places(keys[k], segment):
+                fine &= bits[p]
+            ok[k] = fine
+        return ok
+
+    def out():
+        words, doc, b, c = block.pairs()
+        judged = np.array([i[3] in number for i in info])
+        keep = judged[doc]
+        doc, b, c = doc[keep], b[keep], c[keep]
+        pair, inv = np.unique((b << 32) | c, return_inverse=True)
+        pb, pc = words[pair >> 32], words[pair & 0xFFFFFFFF]
+        at = deal.shard(pb, pc)
+        fine, both, shard = known(at, _mix(pb)), known(at, pair_keys(pb, pc)), at[inv]
+        ok, c = fine[inv], np.where(both[inv], c, -1)
+        unknown = np.bincount(doc[~ok], minlength=len(info))
+        doc, b, c, shard = doc[ok], b[ok], c[ok], shard[ok]
+        name, rows = f"{pid}-{made}", []
+        model = np.array([number.get(i[3], 0) for i in info])
+        for s, k in _group(shard):
+            k = k[np.lexsort((c[k], b[k], doc[k]))]
+            bw, bi = np.unique(b[k], return_inverse=True)
+            has = c[k] >= 0
+            cw, ci = np.unique(c[k][has], return_inverse=True)
+            second = np.zeros(len(k), np.int64)
+            second[has] = ci + 1
+            d, n = np.unique(doc[k], return_counts=True)
+            rows.append((s, 3, None, name, None, pack((words[bw], 5)), pack((words[cw], 5)), pack((d, 4), (model[d], 4), (n, 4)), pack((bi, 4), (second, 4))))
+        ids, h, n, m = zip(*info)
+        has_id = np.array([i is not None for i in ids])
+        heads = np.array([i or 0 for i in ids], np.int64).view(U)
+        docs = pack((heads, 8), (has_id, 1), (np.array(h, np.int64).view(U), 8), (np.array(n), 8), (judged, 1), (unknown, 8))
+        rows.append((int(pid + made) % deal.shards, 4, None, name, None, None, None, docs, "\x01".join(m).encode()))
+        return _batch(rows, _SENT_NAMES, _SENT_TYPES)
+
+    for batch in batches:
+        for doc_id, h, m, text in zip(*(batch.column(x).to_pylist() for x in ("doc_id", "h", "m", "text"))):
+            info.append((doc_id, h, block.add(text), m))
+            if block.size >= BLOCK or len(info) >= 50_000:
+                yield out()
+                made, block, info = made + 1, Block(), []
+    if info:
+        yield out()
+
+
+_SUMS = "block string, kind int, docs binary, toks binary"
+_SUM_TYPES = (pa.string(), pa.int32(), pa.binary(), pa.binary())
+
+
+def _found(keys: np.ndarray, want: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    if not len(keys):
+        return np.zeros(len(want), np.int64), np.zeros(len(want), bool)
+    i = np.minimum(np.searchsorted(keys, want), len(keys) - 1)
+    return i, keys[i] == want
+
+
+def _scored(batches: Iterator[pa.RecordBatch], names: list[str], known: dict[str, dict]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by shard and kind: the shard's model, then blocks -> a sum per document of each block."""
+    at, word, gram = None, {}, {}
+    for batch in batches:
+        rows = []
+        for s, kind, m, block, grams, bv, cv, docs, toks in zip(*(batch.column(x).to_pylist() for x in _SENT_NAMES)):
+            if s != at:
+                at, word, gram = s, {}, {}
+            if kind == 0:
+                x, v = unpack(grams, 5, 4)
+                word[m] = (x, v.astype(np.uint32).view(np.float32))
+            elif kind == 1:
+                b, c, w = unpack(grams, 5, 5, 4)
+                key = pair_keys(b, c)
+                order = np.argsort(key)
+                old = gram.get(m)
+                key, w = key[order], w.astype(np.uint32).view(np.float32)[order]
+                if old:
+                    key, w = np.concatenate([old[0], key]), np.concatenate([old[1], w])
+                    order = np.argsort(key)
+                    key, w = key[order], w[order]
+                gram[m] = (key, w)
+            elif kind == 4:
+                rows.append((block, 0, docs, toks))
+            else:
+                bv, cv = unpack(bv, 5)[0], unpack(cv, 5)[0]
+                d, model, n = (x.astype(np.int64) for x in unpack(docs, 4, 4, 4))
+                b, c = (x.astype(np.int64) for x in unpack(toks, 4, 4))
+                bits, mine = np.zeros(len(b)), np.repeat(model, n)
+                for i in np.unique(model).tolist():
+                    k = np.flatnonzero(mine == i) if len(model) > 1 else np.arange(len(b))
+                    x, v = word.get(names[i], (np.empty(0, U), np.empty(0, np.float32)))
+                    j, ok = _found(x, bv)
+                    each = np.where(ok, v[j] if len(v) else 0.0, np.log2(known[names[i]]["base"]))
+                    got = each[b[k]]
+                    two = k[c[k] > 0]
+                    if len(two) and names[i] in gram:
+                        keys, w = gram[names[i]]
+                        pair, inv = np.unique((b[two] << 32) | c[two], return_inverse=True)
+                        j, ok = _found(keys, pair_keys(bv[pair >> 32], cv[(pair & 0xFFFFFFFF) - 1]))
+                        add = np.zeros(len(b))
+                        add[two] = np.where(ok, w[j], 0.0)[inv]
+                        got = got + add[k]
+                    bits[k] = got
+                ends = np.cumsum(n)
+                total = np.concatenate([[0.0], np.cumsum(bits)])
+                sums = total[ends] - total[ends - n]
+                rows.append((block, 1, pack((d, 4)), sums.astype(np.float64).tobytes()))
+        if rows:
+            yield _batch(rows, ("block", "kind", "docs", "toks"), _SUM_TYPES)
+
+
+def _added(batches: Iterator[pa.RecordBatch], known: dict[str, dict]) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by block and kind: the documents, then the shards' sums."""
+    held = None
+
+    def out():
+        (ids, has, h, n, judged, unknown), names, total = held
+        each = {m: (np.log2(k["base"]), k["end"]) for m, k in known.items()}
+        oov, end = np.array([each.get(m, (0.0, 0.0)) for m in names]).T
+        bits = -(total + unknown.astype(np.int64) * oov + end)
+        cols = [
+            pa.array(ids.view(np.int64), mask=has == 0), pa.array(h.view(np.int64)), pa.array([m[:-1] for m in names], pa.string()), pa.array(n.astype(np.int64)),
+            pa.array(bits, mask=judged == 0),
+        ]
+        return pa.record_batch(cols, names=["doc_id", "h", "lang", "n", "bits"])
+
+    for batch in batches:
+        for _, kind, docs, toks in zip(*(batch.column(x).to_pylist() for x in ("block", "kind", "docs", "toks"))):
+            if kind == 0:
+                if held:
+                    yield out()
+                cols = unpack(docs, 8, 1, 8, 8, 1, 8)
+                held = (cols, toks.decode().split("\x01"), np.zeros(len(cols[0])))
+            else:
+                held[2][unpack(docs, 4)[0].astype(np.int64)] += np.frombuffer(toks, np.float64)
+    if held:
+        yield out()
+
+
+def perplexities(docs: DataFrame, model: Model) -> DataFrame:
+    """doc_id, h (hash of the text), lang, n (words) and bits (of the words and the end; null without a model) of every row."""
     spark = docs.sparkSession
-    bounded_batches(spark)
+    names, known, deal, segment = sorted(model.known), model.known, model.deal, model.segment
+    bloom = spark.sparkContext.broadcast({r["shard"]: bytes(r["grams"]) for r in model.rows.where("kind = 9").collect()})  # FILTER_MB at most
+    text = F.coalesce("text", F.lit(""))
+    rows = docs.select("doc_id", F.xxhash64(text).alias("h"), model_name(True).alias("m"), text.alias("text"))
+    sent = rows.mapInArrow(lambda it: _sent(it, names, bloom.value, deal, segment), _SENT)
+    shards = model.rows.where("kind < 9").select("shard", "kind", "m", "grams")
+    both = sent.unionByName(shards, allowMissingColumns=True)
+    sums = both.repartition(deal.shards, "shard").sortWithinPartitions("shard", "kind").mapInArrow(lambda it: _scored(it, names, known), _SUMS)
+    added = sums.repartition("block").sortWithinPartitions("block", "kind")
+    return added.mapInArrow(lambda it: _added(it, known), "doc_id long, h long, lang string, n long, bits double")
+
+
+def classify(docs: DataFrame, labels: DataFrame, high: float = 0.99, slack: float = 0.2, short: float = 4.0, few: float = 8.0) -> DataFrame:
+    """doc_id, h, lang, perplexity, highest, kept, n of every row of docs."""
+    bounded_batches(docs.sparkSession)
     good = labels.where("quality = 1 and coalesce(toxic, 0) = 0 and doc_id is not null").select("doc_id").distinct()
-    tri = count_trigrams(docs, good)
-    scored = perplexities(docs, tri).withColumn("x", F.when(F.col("n") > 0, F.col("bits") / F.col("n")))
+    scored = perplexities(docs, train(docs, good)).withColumn("x", F.when(F.col("n") > 0, F.col("bits") / (F.col("n") + 1)))
     scored = stash(scored, "perplexity")
     bands = stash(
-        scored.join(good, "doc_id", "left_semi").groupBy("lang").agg(F.percentile_approx("x", [low, high], 10000).alias("q"), F.count("x").alias("texts")).where("texts > 0").select("lang", "texts", F.col("q")[0].alias("lo"), F.col("q")[1].alias("hi")),
+        scored.join(good, "doc_id", "left_semi").groupBy("lang").agg(F.percentile_approx("x", [0.5, high], 10000).alias("q"), F.count("x").alias("texts")).where("texts > 0").select("lang", "texts", F.col("q")[0].alias("mid"), F.col("q")[1].alias("hi")),
         "bands",
     )
-    if bands.count() <= 10_000:  # one row per language
-        bands = F.broadcast(bands)
-    wide = F.lit(slack) * (F.col("hi") - F.col("lo")) + short / F.sqrt(F.greatest("n", F.lit(1))) + few / F.col("texts")
+    wide = F.lit(slack) * (F.col("hi") - F.col("mid")) + short / F.sqrt(F.greatest("n", F.lit(1))) + few / F.col("texts")
     return (
         scored.join(bands, "lang", "left")
-        .withColumn("kept", F.coalesce((F.col("n") > 0) & F.coalesce(F.col("x").between(F.col("lo") - wide, F.col("hi") + wide), F.lit(True)), F.lit(False)))
-        .select("doc_id", "h", F.nullif("lang", F.lit(NO_LANG)).alias("lang"), F.pow(F.lit(2.0), "x").alias("perplexity"), F.pow(F.lit(2.0), F.col("lo") - wide).alias("lowest"), F.pow(F.lit(2.0), F.col("hi") + wide).alias("highest"), "kept", "n")
+        .withColumn("kept", F.coalesce((F.col("n") > 0) & F.coalesce(F.col("x") <= F.col("hi") + wide, F.lit(True)), F.lit(False)))
+        .select("doc_id", "h", F.nullif("lang", F.lit(NO_LANG)).alias("lang"), F.pow(F.lit(2.0), "x").alias("perplexity"), F.pow(F.lit(2.0), F.col("hi") + wide).alias("highest"), "kept", "n")
     )
 
 
@@ -277,7 +565,9 @@ def op5_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier rejects go."""
-    gone = classify(docs, table(spark, sf_dir, "labels")).where("not kept").select(F.col("doc_id").alias("_d"), F.col("h").alias("_h")).distinct()
-    on = docs["doc_id"].eqNullSafe(F.col("_d")) & (F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == F.col("_h"))
-    return docs.join(gone, on, "left_anti")
+    """Rows that the classifier rejects go; rows are told apart by doc_id, lang and text, and columns carried as they are."""
+    gone = classify(docs, table(spark, sf_dir, "labels")).where("not kept").select("doc_id", "lang", "h").distinct()
+    gone = gone.select(F.struct(F.col("doc_id").alias("a"), F.col("lang").alias("b"), F.col("h").alias("c")).alias("_gone"))
+    key = F.struct(F.col("doc_id").alias("a"), F.col("lang").alias("b"), F.xxhash64(F.coalesce("text", F.lit(""))).alias("c"))
+    rows = docs.select(F.struct(*docs.columns).alias("_row"), key.alias("_key"))
+    return rows.join(gone, F.col("_key").eqNullSafe(F.col("_gone")), "left_anti").select("_row.*")

@@ -171,8 +171,14 @@ def near_duplicates(docs: DataFrame, width: int = 4, max_bits: int = 4) -> DataF
     nodes = fps.groupBy("fp").agg(F.min("doc_id").alias("least"))
     comps = connected_components(near_links(nodes.select("fp", F.col("fp").alias("node")), max_bits))
     parts = nodes.join(comps.withColumnRenamed("node", "fp"), "fp", "left").withColumn("component", F.coalesce("component", "fp"))
-    ids = parts.groupBy("component").agg(F.min("least").alias("component_id"))
-    return fps.join(parts.select("fp", "component"), "fp").join(ids, "component").select("doc_id", "fp", "component_id")
+    parts = stash(parts, "components")
+    ids = parts.groupBy("component").agg(F.min("least").alias("component_id"), F.count("*").alias("n"))
+    # components of more than `limit` nodes, about 1,000 at most, are joined by broadcast: no task gets all of one
+    limit = max(64, parts.count() // 1000)
+    large = F.broadcast(ids.where(F.col("n") > limit))
+    named = parts.join(large, "component").select("fp", "component_id")
+    named = named.union(parts.join(large, "component", "left_anti").join(ids.where(F.col("n") <= limit), "component").select("fp", "component_id"))
+    return fps.join(named, "fp").select("doc_id", "fp", "component_id")
 
 
 def op2_simhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
