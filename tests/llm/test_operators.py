@@ -77,18 +77,59 @@ def test_secrets(spark, docs, none):
     assert secrets.scan(none, secrets.train(none)).count() == 0
 
 
-def test_field_finds_what_patterns_do_not():
+def drawn(rng, letters, n):
+    return "".join(rng.choice(list(letters), n))
+
+
+def test_field_finds_a_kind_it_was_not_shown():
+    """Trained on assignments and hex strings, the field tags access keys and bearer tokens in held-out lines."""
     rng = np.random.default_rng(1)
-    make = lambda: "".join(rng.choice(list("0123456789abcdef"), 40))
+    hexed, upper, mixed = "0123456789abcdef", "ABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789", "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789"
+    plain = lambda i: f"{prose(8, i)} on 2024-01-{i % 28 + 1:02d} chapter {1000 + i} of item_{i} at https://example.org/a{i} tel 0612345678 {rng.integers(10**15)} src/lib/mod_{i}.py"
     data = []
-    for i in range(200):
-        t = f"see {'token' if i % 2 else 'passwd'} = \"{make()}\" in chapter 12345678 of 2024-01-02"
-        b = secrets.base_spans(t)
-        data += [(f, secrets.labels(s, b)) for s, f in secrets.runs(t)]
-    model = secrets.fit(data, rounds=8)
-    hidden = make().upper()[:38]
-    _, every = secrets.all_spans(f"auth_key = \"{hidden}\" near 12345678", model)
-    assert [k for k, _, _ in every] == ["crf"]
+    for i in range(240):
+        t = plain(i) + "\n" + (f"{prose(3, i)} api_key = \"{drawn(rng, mixed, 30)}\" {prose(3, i)}" if i % 2 else f"{prose(4, i)} {drawn(rng, hexed, 40)} {prose(2, i)}")
+        data += [(f, y, 1) for f, y in secrets.examples(t, ("assign", "hex"))]
+    model = secrets.fit(data)
+    hits = wrong = 0
+    for i in range(1000, 1100):
+        lead, value = ("use ", "AKIA" + drawn(rng, upper, 16)) if i % 2 else ("authorization: Bearer ", drawn(rng, mixed, 32))
+        text = plain(i) + "\n" + prose(3, i) + " " + lead + value + " " + prose(3, i)
+        model_only = []
+        for spans, features in secrets.runs(text):
+            tags = model.decode([sum(f, []) for f in features])
+            model_only += [s for s, t in zip(spans, tags) if t]
+        at = text.index(value)
+        hits += (at, at + len(value)) in model_only
+        wrong += sum(s != (at, at + len(value)) for s in model_only)
+        patterns, every = secrets.all_spans(text, model)
+        assert set(patterns) <= set(every) and (i % 2 or any(k == "crf" for k, _, _ in every) or (at, at + len(value)) not in model_only)
+    assert hits >= 90 and hits / (hits + wrong) >= 0.9, (hits, wrong)
+
+
+def test_op1_query_by_brute_force(spark, docs, small, tmp_path):
+    docs.select("doc_id", "text", "lang", "source", "n_chars").union(small.select("doc_id", "text", "lang", "source", "n_chars")).write.parquet(str(tmp_path / "documents.parquet"))
+    df = spark.read.parquet(str(tmp_path / "documents.parquet"))
+    want = []
+    for i, t in pairs(df):
+        b = base(t or "")
+        want.append((str(i), *(sum(x.startswith(k + ":") for x in b) for k in ("assign", "access", "hex")), hashlib.sha256(",".join(b).encode()).hexdigest()))
+    got = secrets.op1_secret_scan(spark, str(tmp_path)).collect()
+    assert sorted((str(r.doc_id), r.n_assign, r.n_access, r.n_hex, r.base_sha256) for r in got) == sorted(want)
+    for r in got:
+        spans = r.spans.split(",") if r.spans else []
+        assert spans == sorted(spans, key=lambda s: (int(s.split(":")[1]), secrets.KINDS.index(s.split(":")[0])))
+        assert hashlib.sha256(",".join(s for s in spans if not s.startswith("crf")).encode()).hexdigest() == r.base_sha256
+
+
+def test_many_spans_take_linear_time():
+    import time
+
+    text = "password=abcdef12 " * 60_000
+    t = time.time()
+    base_, every = secrets.all_spans(text, None)
+    secrets.labels([(a, e) for _, a, e in base_], secrets.Covered(secrets.secrets_of(text, base_)))
+    assert len(base_) == 60_000 and time.time() - t < 20
 
 
 def test_viterbi_is_exact():
