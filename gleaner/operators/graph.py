@@ -40,6 +40,14 @@ def stash(df: DataFrame, label: str = "t", files: int | None = None) -> DataFram
     return spark.read.schema(df.schema).parquet(path)
 
 
+def discard(*tables: DataFrame) -> None:
+    """Empty tables that stash() wrote, once nothing reads them any more."""
+    for df in tables:
+        spark = df.sparkSession
+        for folder in {f.rsplit("/", 1)[0] for f in df.inputFiles()}:
+            spark.createDataFrame([], df.schema).write.mode("overwrite").parquet(folder)
+
+
 def _roots(a: np.ndarray, b: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     """Edges -> every node that is not the least of its part, and that least node."""
     ids, at = np.unique(np.concatenate([a, b]), return_inverse=True)
