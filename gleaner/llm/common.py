@@ -6,7 +6,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.operators.graph import shared_dir, stash  # noqa: F401
+from gleaner.operators.graph import discard, shared_dir, stash  # noqa: F401
 
 #: Word separators of the contracts: space and the bytes 09 to 0D.
 WORD = "[^\\x20\\x09-\\x0D]+"

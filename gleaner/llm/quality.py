@@ -42,10 +42,10 @@ from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import bounded_batches, shuffles, stash, table
+from gleaner.llm.common import bounded_batches, discard, shuffles, stash, table
 
 NO_LANG = "\x00"
-BLOCK, HOT, FAN, FILTER_MB = 1_500_000, 64, 16, 16
+BLOCK, HOT, FAN, FILTER_MB = 1_000_000, 64, 16, 16
 #: Numbers of the start and the end of a text, which no word has.
 START, END = 1, 2
 U = np.uint64
@@ -89,18 +89,18 @@ class Deal:
     def __init__(self, shards: int, hot: np.ndarray):
         self.shards, self.hot = shards, np.sort(hot)
 
-    def _is_hot(self, b: np.ndarray) -> np.ndarray:
+    def is_hot(self, b: np.ndarray) -> np.ndarray:
         if not len(self.hot):
             return np.zeros(len(b), bool)
         return self.hot[np.minimum(np.searchsorted(self.hot, b), len(self.hot) - 1)] == b
 
     def shard(self, b: np.ndarray, c: np.ndarray) -> np.ndarray:
-        part = np.where(self._is_hot(b), c % U(FAN), U(0))
+        part = np.where(self.is_hot(b), c % U(FAN), U(0))
         return (_mix(b + part * U(0x9E3779B97F4A7C15)) % U(self.shards)).astype(np.int64)
 
     def copies(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Every shard at which x can be a first word: (positions in x, shards)."""
-        hot = np.flatnonzero(self._is_hot(x))
+        hot = np.flatnonzero(self.is_hot(x))
         at = np.concatenate([np.arange(len(x)), np.repeat(hot, FAN - 1)])
         part = np.concatenate([np.zeros(len(x), U), np.tile(np.arange(1, FAN, dtype=U), len(hot))])
         return at, self.shard(x[at], part)
@@ -213,23 +213,50 @@ def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 _WORDS = "shard int, m string, x long, total long, n1 long, n2 long, n3 long, cont long"
+_WORD_NAMES = tuple(f.split()[0] for f in _WORDS.split(", "))
 
 
-def _word_counts(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Of every word of a shard and model: as a context its total and its bigrams counted once, twice, more; as a second
-    word its bigrams. Word -1 has the numbers of bigrams counted 1, 2, 3 and 4 times."""
+def context_counts(index: np.ndarray, n: np.ndarray, size: int) -> list[np.ndarray]:
+    """Of every first word its total, and its bigrams counted once, twice, more often."""
+    return [np.bincount(index, n, size).astype(np.int64), *(np.bincount(index[(n == k) if k < 3 else (n >= 3)], minlength=size) for k in (1, 2, 3))]
+
+
+def _word_counts(batches: Iterator[pa.RecordBatch], deal: Deal) -> Iterator[pa.RecordBatch]:
+    """Of every word of a shard and model its bigrams as a second word; of hot first words, which have several shards,
+    also the shard's context counts. Word -1 has the numbers of bigrams counted 1, 2, 3 and 4 times."""
     for batch in batches:
         for s, m, g in zip(*(batch.column(x).to_pylist() for x in ("shard", "m", "grams"))):
             b, c, n = unpack(g, 5, 5, 4)
             x, at = np.unique(np.concatenate([b, c]), return_inverse=True)
-            ib, ic = at[: len(b)], at[len(b) :]
-            size = len(x)
-            cols = [np.bincount(ib, n, size), *(np.bincount(ib[(n == k) if k < 3 else (n >= 3)], minlength=size) for k in (1, 2, 3)), np.bincount(ic, minlength=size)]
+            hot = deal.is_hot(x)
+            cols = [np.where(hot, v, 0) for v in context_counts(at[: len(b)], n, len(x))] + [np.bincount(at[len(b) :], minlength=len(x))]
             few = [int((n == k).sum()) for k in (1, 2, 3, 4)]
             cols = [np.concatenate([v.astype(np.int64), [e]]) for v, e in zip(cols, [*few, 0])]
             x = np.concatenate([x.astype(np.int64), [-1]])
-            names = [f.split()[0] for f in _WORDS.split(", ")]
-            yield pa.record_batch([pa.array(np.full(len(x), s, np.int32)), pa.array([m] * len(x), pa.string()), pa.array(x), *map(pa.array, cols)], names=names)
+            yield pa.record_batch([pa.array(np.full(len(x), s, np.int32)), pa.array([m] * len(x), pa.string()), pa.array(x), *map(pa.array, cols)], names=_WORD_NAMES)
+
+
+def _packed_words(batches: Iterator[pa.RecordBatch], most: int = 500_000) -> Iterator[pa.RecordBatch]:
+    """(shard, m, x, cont) -> a row per shard and model of what is gathered."""
+    held: list[pa.RecordBatch] = []
+
+    def out():
+        t = pa.Table.from_batches(held).combine_chunks()
+        m = t["m"].combine_chunks().dictionary_encode()
+        shard, x, cont = (t[k].to_numpy() for k in ("shard", "x", "cont"))
+        name, rows = m.dictionary.to_pylist(), []
+        for key, k in _group(shard.astype(np.int64) * len(name) + m.indices.to_numpy()):
+            k = k[np.argsort(x[k])]
+            rows.append((key // len(name), name[key % len(name)], pack((x[k], 5), (cont[k], 5))))
+        return _batch(rows, ("shard", "m", "grams"), (pa.int32(), pa.string(), pa.binary()))
+
+    for b in batches:
+        held.append(b)
+        if sum(x.num_rows for x in held) >= most:
+            yield out()
+            held = []
+    if held:
+        yield out()
 
 
 def discounts(n: np.ndarray) -> np.ndarray:
@@ -239,18 +266,21 @@ def discounts(n: np.ndarray) -> np.ndarray:
     return np.clip(d, 0.05, [1, 2, 3])
 
 
-def constants(words: DataFrame) -> dict[str, dict]:
-    """Per model: discounts of both orders, total of continuations, mass and probability of unknown words. A dozen numbers each."""
-    real = F.col("x") >= 0
-    few = [F.sum(F.when(~real, F.col(k)).otherwise(0)).alias(f"k{i}") for i, k in enumerate(("total", "n1", "n2", "n3"))]
-    few += [F.count(F.when(real & (F.col("cont") == k), 1)).alias(f"c{k}") for k in (1, 2, 3, 4)]
+def constants(seen: DataFrame, words: DataFrame, deal: Deal) -> dict[str, dict]:
+    """Per model: discounts of both orders, total of continuations, probability of unknown words, context counts of the
+    hot words: some hundred numbers each."""
+    cont = F.col("cont")
+    few = [F.count(F.when(cont == k, 1)).alias(f"c{k}") for k in (1, 2, 3, 4)]
+    few += [F.count(F.when(cont > 0, 1)).alias("vocab"), F.sum(cont).alias("cont"), F.count(F.when(cont >= 3, 1)).alias("c3up"), F.sum(F.when(F.col("x") == END, cont).otherwise(0)).alias("end")]
+    special = seen.where(F.col("x").isin([-1, *map(int, deal.hot)])).groupBy("m", "x").agg(*[F.sum(k).alias(k) for k in ("total", "n1", "n2", "n3")]).collect()
+    special = {(r["m"], r["x"]): [r["total"], r["n1"], r["n2"], r["n3"]] for r in special}
     out = {}
-    rows = words.groupBy("m").agg(*few, F.count(F.when(real & (F.col("cont") > 0), 1)).alias("vocab"), F.sum("cont").alias("cont"), F.count(F.when(real & (F.col("cont") >= 3), 1)).alias("c3up"), F.sum(F.when(F.col("x") == END, F.col("cont")).otherwise(0)).alias("end")).collect()
-    for r in rows:
+    for r in words.groupBy("m").agg(*few).collect():
         d1 = discounts(np.array([r[f"c{k}"] for k in (1, 2, 3, 4)], float))
         mass = float(d1 @ [r["c1"], r["c2"], r["c3up"]]) / r["cont"]
-        k = out[r["m"]] = {"d1": d1, "d2": discounts(np.array([r[f"k{i}"] for i in range(4)], float)), "cont": r["cont"], "base": mass / (r["vocab"] + 1)}
+        k = out[r["m"]] = {"d1": d1, "d2": discounts(np.array(special[r["m"], -1], float)), "cont": r["cont"], "base": mass / (r["vocab"] + 1)}
         k["end"] = float(np.log2(p1(np.array([r["end"]]), k)[0]))  # the end is no first word, so no shard has it
+        k["hot"] = np.array([special.get((r["m"], int(x)), [0] * 4) for x in deal.hot]).reshape(-1, 4)
     return out
 
 
@@ -273,8 +303,8 @@ def _bits(x: np.ndarray) -> np.ndarray:
 
 
 def _weights(batches: Iterator[pa.RecordBatch], known: dict[str, dict], deal: Deal, segment: int) -> Iterator[pa.RecordBatch]:
-    """Words (kind 0, one row each) before bigrams (kind 1) of a shard and model -> summands, and the shard's part of the filter."""
-    at, held, ready, filters = None, [], None, {}
+    """Words (kind 0) and bigrams (kind 1) of a shard and model -> summands, and the shard's part of the filter."""
+    at, held, grams, filters = None, [], [], {}
     names = ("shard", "m", "kind", "grams")
 
     def mark(s, keys):
@@ -282,45 +312,56 @@ def _weights(batches: Iterator[pa.RecordBatch], known: dict[str, dict], deal: De
         for p in filter_places(keys, segment):
             bits[p] = True
 
-    def words() -> pa.RecordBatch:
-        """All words of (s, m) are there: their summands, and what the bigrams need."""
-        nonlocal ready
+    def summands() -> Iterator[pa.RecordBatch]:
+        """All rows of (s, m) are there."""
         (s, m), k = at, known[at[1]]
-        x, total, n1, n2, n3, cont = (np.concatenate(v) for v in zip(*held))
-        x, first = np.unique(x.astype(U), return_index=True)
-        total, n1, n2, n3, cont = (v[first] for v in (total, n1, n2, n3, cont))
-        down, p = handed_down(total, n1, n2, n3, k), p1(cont, k)
+        x, cont = (np.concatenate(v) for v in zip(*held)) if held else (np.empty(0, U), np.empty(0, U))
+        x, at_first = np.unique(x, return_index=True)
+        cont = cont[at_first].astype(np.int64)
+        b, c, n = (np.concatenate(v) for v in zip(*grams)) if grams else [np.empty(0, U)] * 3
+        first = np.searchsorted(x, b)
+        context = context_counts(first, n, len(x))
+        i, is_hot = _found(deal.hot, x)
+        for e, v in enumerate(context):
+            v[is_hot] = k["hot"][i[is_hot], e]
+        down, p = handed_down(*context, k), p1(cont, k)
         of, where = deal.copies(x)
         mine = np.unique(of[where == s])
         v = np.where(x == START, 0, np.log2(p)) + np.log2(down)
         mark(s, _mix(x[mine]))
-        ready = x, total, down, p
-        return _batch([(s, m, 0, pack((x[mine], 5), (_bits(v[mine]), 4)))], names, _MODEL_TYPES)
+        yield _batch([(s, m, 0, pack((x[mine], 5), (_bits(v[mine]), 4)))], names, _MODEL_TYPES)
+        if len(b):
+            own = (n - k["d2"][np.minimum(n, 3).astype(int) - 1]) / context[0][first]
+            w = np.log2(1 + own / (down[first] * p[np.searchsorted(x, c)]))
+            key = pair_keys(b, c)
+            mark(s, key)
+            yield _batch([(s, m, 1, packed_pairs(key, w))], names, _MODEL_TYPES)
 
     for batch in batches:
-        shard, m_, kind = (batch.column(x).to_pylist() for x in ("shard", "m", "kind"))
-        cut = [i for i in range(batch.num_rows) if i == 0 or (shard[i], m_[i], kind[i]) != (shard[i - 1], m_[i - 1], kind[i - 1])]
-        for lo, hi in zip(cut, [*cut[1:], batch.num_rows]):
-            if (shard[lo], m_[lo]) != at:
-                if at and ready is None:
-                    yield words()
-                at, held, ready = (shard[lo], m_[lo]), [], None
-            part = batch.slice(lo, hi - lo)
-            if kind[lo] == 0:
-                held.append([part.column(n).to_numpy() for n in ("x", "total", "n1", "n2", "n3", "cont")])
-                continue
-            if ready is None:
-                yield words()
-            (s, m), k, (x, total, down, p) = at, known[at[1]], ready
-            for g in part.column("grams").to_pylist():
-                b, c, n = unpack(g, 5, 5, 4)
-                ib, ic = np.searchsorted(x, b), np.searchsorted(x, c)
-                own = (n - k["d2"][np.minimum(n, 3).astype(int) - 1]) / total[ib]
-                yield _batch([(s, m, 1, pack((b, 5), (c, 5), (_bits(np.log2(1 + own / (down[ib] * p[ic]))), 4)))], names, _MODEL_TYPES)
-                mark(s, pair_keys(b, c))
-    if at and ready is None:
-        yield words()
-    yield _batch([(s, None, 9, zstandard.compress(np.packbits(bits).tobytes())) for s, bits in filters.items()], names, _MODEL_TYPES)
+        for s, m, kind, g in zip(*(batch.column(x).to_pylist() for x in ("shard", "m", "kind", "grams"))):
+            if (s, m) != at:
+                if at:
+                    yield from summands()
+                at, held, grams = (s, m), [], []
+            (held if kind == 0 else grams).append(unpack(g, 5, 5) if kind == 0 else unpack(g, 5, 5, 4))
+    if at:
+        yield from summands()
+    yield _batch([(s, None, 9, zstandard.compress(np.packbits(bits, bitorder="little").tobytes())) for s, bits in filters.items()], names, _MODEL_TYPES)
+
+
+#: Bits of a bigram's key that are kept, and steps of its summand: 1 / 1,000 bit.
+_KEY, _STEP = 48, 1000
+
+
+def packed_pairs(key: np.ndarray, w: np.ndarray) -> bytes:
+    key = key >> U(64 - _KEY)
+    order = np.argsort(key)
+    return pack((np.diff(key[order], prepend=U(0)), 6), (np.round(w[order] * _STEP).astype(U), 2))
+
+
+def unpacked_pairs(data: bytes) -> tuple[np.ndarray, np.ndarray]:
+    key, w = unpack(data, 6, 2)
+    return np.cumsum(key, dtype=U), w.astype(np.float32) / _STEP
 
 
 def filter_places(keys: np.ndarray, segment: int) -> Iterator[np.ndarray]:
@@ -346,7 +387,7 @@ def hot_words(docs: DataFrame, sample_docs: int = 256, chars: int = 20_000) -> n
 def train(docs: DataFrame, trusted: DataFrame) -> Model:
     """All docs whose doc_id is in `trusted` are counted."""
     spark = docs.sparkSession
-    shards = max(8, shuffles(spark))
+    shards = max(8, shuffles(spark) // 6)  # few, as every block sends each its words
     deal = Deal(shards, hot_words(docs))
     segment = FILTER_MB * 2**23 // shards
 
@@ -359,18 +400,18 @@ def train(docs: DataFrame, trusted: DataFrame) -> Model:
     rows = text.mapInArrow(zipped, "doc_id long, m string, z binary").join(trusted.hint("merge"), "doc_id", "left_semi")
     counted = rows.select("m", "z").mapInArrow(lambda it: _counted(it, deal), _GRAMS)
     grams = stash(counted.repartition(shards, "shard").sortWithinPartitions("shard", "m").mapInArrow(_summed, _GRAMS), "bigrams")
-    seen = grams.mapInArrow(_word_counts, _WORDS)
-    sums = [F.sum(c).alias(c) for c in ("total", "n1", "n2", "n3", "cont")]
-    words = stash(seen.groupBy("m", "x").agg(*sums), "words")
-    known = constants(words)
+    seen = grams.mapInArrow(lambda it: _word_counts(it, deal), _WORDS)
+    words = stash(seen.where("x >= 0").groupBy("m", "x").agg(F.sum("cont").alias("cont")), "words")
+    known = constants(seen, words, deal)
     of, where = deal.copies(deal.hot)  # every part of a hot word needs it, whether it occurs there or not
     hot = spark.createDataFrame(sorted({(int(deal.hot[i]), int(s)) for i, s in zip(of, where)}), "x long, shard int")
-    asked = seen.where("x >= 0").select("shard", "m", "x")
-    cols = ("shard", "m", "x", *(f.split()[0] for f in _WORDS.split(", ")[3:]))
-    whole = asked.join(words, ["m", "x"]).select(*cols).union(words.join(F.broadcast(hot), "x").select(*cols)).withColumn("kind", F.lit(0))
-    both = whole.unionByName(grams.withColumn("kind", F.lit(1)), allowMissingColumns=True)
-    model = both.repartition(shards, "shard").sortWithinPartitions("shard", "m", "kind").mapInArrow(lambda it: _weights(it, known, deal, segment), _MODEL)
-    return Model(stash(model, "model"), known, deal, segment)
+    asked = seen.where("x >= 0").select("m", "x", "shard")
+    whole = asked.join(words, ["m", "x"]).union(words.join(F.broadcast(hot), "x").select("m", "x", "shard", "cont"))
+    asked = stash(whole.select("shard", "m", "x", "cont").mapInArrow(_packed_words, _GRAMS), "asked")
+    both = asked.withColumn("kind", F.lit(0)).unionByName(grams.withColumn("kind", F.lit(1)))
+    model = stash(both.repartition(shards, "shard").sortWithinPartitions("shard", "m", "kind").mapInArrow(lambda it: _weights(it, known, deal, segment), _MODEL), "model")
+    discard(grams, words, asked)
+    return Model(model, known, deal, segment)
 
 
 _SENT = "shard int, kind int, m string, block string, grams binary, bv binary, cv binary, docs binary, toks binary"
@@ -381,8 +422,8 @@ _SENT_TYPES = (pa.int32(), pa.int32(), pa.string(), pa.string(), *[pa.binary()]
 def _sent(batches: Iterator[pa.RecordBatch], names: list[str], bloom, deal: Deal, segment: int) -> Iterator[pa.RecordBatch]:
     """Documents -> rows of blocks for the shards (kind 3), and one (kind 4) with the block's documents."""
     number = {m: i for i, m in enumerate(names)}
-    filters = {s: np.unpackbits(np.frombuffer(zstandard.decompress(z), np.uint8))[:segment].view(bool) for s, z in bloom.items()}
-    nothing = np.zeros(segment, bool)
+    filters = {s: np.frombuffer(zstandard.decompress(z), np.uint8) for s, z in bloom.items()}
+    nothing = np.zeros(segment // 8 + 1, np.uint8)
     pid, made = TaskContext.get().partitionId(), 0
     block, info = Block(), []
 
@@ -392,7 +433,7 @@ def _sent(batches: Iterator[pa.RecordBatch], names: list[str], bloom, deal: Deal
             bits = filters.get(s, nothing)
             fine = np.ones(len(k), bool)
             for p in filter_places(keys[k], segment):
-                fine &= bits[p]
+                fine &= (bits[p >> 3] >> (p & 7)) & 1 > 0
             ok[k] = fine
         return ok
 
@@ -459,16 +500,7 @@ def _scored(batches: Iterator[pa.RecordBatch], names: list[str], known: dict[str
                 x, v = unpack(grams, 5, 4)
                 word[m] = (x, v.astype(np.uint32).view(np.float32))
             elif kind == 1:
-                b, c, w = unpack(grams, 5, 5, 4)
-                key = pair_keys(b, c)
-                order = np.argsort(key)
-                old = gram.get(m)
-                key, w = key[order], w.astype(np.uint32).view(np.float32)[order]
-                if old:
-                    key, w = np.concatenate([old[0], key]), np.concatenate([old[1], w])
-                    order = np.argsort(key)
-                    key, w = key[order], w[order]
-                gram[m] = (key, w)
+                gram[m] = unpacked_pairs(grams)
             elif kind == 4:
                 rows.append((block, 0, docs, toks))
             else:
@@ -486,7 +518,7 @@ def _scored(batches: Iterator[pa.RecordBatch], names: list[str], known: dict[str
                     if len(two) and names[i] in gram:
                         keys, w = gram[names[i]]
                         pair, inv = np.unique((b[two] << 32) | c[two], return_inverse=True)
-                        j, ok = _found(keys, pair_keys(bv[pair >> 32], cv[(pair & 0xFFFFFFFF) - 1]))
+                        j, ok = _found(keys, pair_keys(bv[pair >> 32], cv[(pair & 0xFFFFFFFF) - 1]) >> U(64 - _KEY))
                         add = np.zeros(len(b))
                         add[two] = np.where(ok, w[j], 0.0)[inv]
                         got = got + add[k]
@@ -546,8 +578,10 @@ def classify(docs: DataFrame, labels: DataFrame, high: float = 0.99, slack: floa
     """doc_id, h, lang, perplexity, highest, kept, n of every row of docs."""
     bounded_batches(docs.sparkSession)
     good = labels.where("quality = 1 and coalesce(toxic, 0) = 0 and doc_id is not null").select("doc_id").distinct()
-    scored = perplexities(docs, train(docs, good)).withColumn("x", F.when(F.col("n") > 0, F.col("bits") / (F.col("n") + 1)))
+    model = train(docs, good)
+    scored = perplexities(docs, model).withColumn("x", F.when(F.col("n") > 0, F.col("bits") / (F.col("n") + 1)))
     scored = stash(scored, "perplexity")
+    discard(model.rows)
     bands = stash(
         scored.join(good, "doc_id", "left_semi").groupBy("lang").agg(F.percentile_approx("x", [0.5, high], 10000).alias("q"), F.count("x").alias("texts")).where("texts > 0").select("lang", "texts", F.col("q")[0].alias("mid"), F.col("q")[1].alias("hi")),
         "bands",

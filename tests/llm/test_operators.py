@@ -340,7 +340,7 @@ def half(spark, rows):
 
 @pytest.mark.parametrize("shards", [8, 23])
 def test_perplexities_are_those_of_a_plain_model(spark, docs, monkeypatch, shards):
-    monkeypatch.setattr(quality, "shuffles", lambda spark: shards)
+    monkeypatch.setattr(quality, "shuffles", lambda spark: 6 * shards)
     monkeypatch.setattr(quality, "BLOCK", 700)
     rows = [(i, t, ["en", "fr", None][i % 3], "s", 0) for i, t in enumerate(texts()[:-1] * 3)] + [(None, prose(30, 8), "en", "s", 0)] * 2
     rows += [(100 + i, prose(50, i % 30) + f" word{i}", "en", "s", 0) for i in range(60)] + [(300, "no model " + prose(9, 4), "xx", "s", 0)]
@@ -365,7 +365,7 @@ def test_perplexities_are_those_of_a_plain_model(spark, docs, monkeypatch, shard
     key = lambda r: (r[0], r[1], r[2], r[3] or 0)
     mine = sorted(((str(r.doc_id), r.n, r.lang, r.bits) for r in got), key=key)
     for a, b in zip(mine, sorted(want, key=key)):
-        assert a[:3] == b[:3] and (a[3] is None) == (b[3] is None) and (b[3] is None or a[3] == pytest.approx(b[3], rel=1e-5))
+        assert a[:3] == b[:3] and (a[3] is None) == (b[3] is None) and (b[3] is None or a[3] == pytest.approx(b[3], rel=1e-4))
     assert sum(b[3] is None for b in want) < 5
 
 
