@@ -496,17 +496,94 @@ def test_licenses(spark, none):
     assert licenses.scan(none.select(F.col("doc_id").alias("id"), F.col("source").alias("path"), "text")).count() == 0
 
 
-def test_prefix_filter_loses_no_match(small):
-    texts_ = [t for _, t in pairs(small)]
-    seen = {}
+def wrapped(text, sign="", width=70):
+    import textwrap
+
+    return "\n".join((sign + " " + line).strip() for line in textwrap.wrap(text, width))
+
+
+def licence_files():
+    t = {n: [x for m, x in licenses.TEMPLATES if m == n] for n, _ in licenses.TEMPLATES}
+    bsd = lambda three: "\n\n".join(["Copyright (c) 2019, Jane Roe", licenses._BSD_OPEN, "1. " + licenses._BSD_1, "2. " + licenses._BSD_2, *(["3. " + licenses._BSD_3] if three else []), licenses._BSD_AS_IS])
+    code = "\n\nint main(void) { return compute(17); }\n"
+    return [
+        ("MIT", "MIT License\n\nCopyright (c) 2020 Jane Roe\n\n" + wrapped(licenses._MIT) + "\n\n" + wrapped(licenses._AS_IS)),
+        ("MIT", wrapped(licenses._MIT, "//") + code),
+        ("ISC", "ISC License\n\nCopyright 2021 Jane Roe\n\n" + wrapped(licenses._ISC) + "\n\n" + wrapped(licenses._ISC_AS_IS)),
+        ("BSD-2-Clause", bsd(False)), ("BSD-3-Clause", bsd(True)),
+        ("Apache-2.0", "/*\n * Copyright 2018 Jane Roe\n *\n" + wrapped(licenses._APACHE, " *") + "\n */" + code),
+        ("Apache-2.0", "Apache License\nVersion 2.0, January 2004\nhttp://www.apache.org/licenses/\n\nTERMS AND CONDITIONS FOR USE, REPRODUCTION, AND DISTRIBUTION\n\n" + prose(300, 1)),
+        ("GPL-3.0", wrapped(t["GPL-3.0"][1], "#") + code), ("GPL-2.0", wrapped(t["GPL-2.0"][1], " *") + code),
+        ("GPL-3.0", "GNU GENERAL PUBLIC LICENSE\nVersion 3, 29 June 2007\n\nCopyright (C) 2007 Free Software Foundation, Inc.\n" + licenses._VERBATIM + "\n\n" + prose(200, 2)),
+        ("LGPL-3.0", wrapped(t["LGPL-3.0"][1], "#") + code), ("AGPL-3.0", wrapped(t["AGPL-3.0"][1], "#") + code),
+        ("MPL-2.0", wrapped(t["MPL-2.0"][1], "//") + code), ("MIT", "# SPDX-License-Identifier: MIT" + code), ("Apache-2.0", "// SPDX-License-Identifier: Apache-2.0" + code),
+        ("GPL-2.0", "/* SPDX-License-Identifier: GPL-2.0-or-later */" + code), ("CC-BY-4.0", prose(30, 3) + "\nLicensed under CC BY 4.0."),
+        (None, "Permission to copy was not given, and the software is not free of charge to any person." + prose(40, 4)), (None, "The licence of the driver expired; a copy of the permit must be included."),
+        (None, "SPDX-License-Identifier: LicenseRef-Other"), (None, "merchantability and noninfringement are two long words"), (None, prose(500, 5)), (None, ""), (None, None),
+    ]
+
+
+def plain_best(texts_, threshold=0.7):
+    """Cosine of every unit with every template, without filters or bounds."""
+    from collections import Counter
+
+    seen = Counter(w for t in texts_ for w in set(licenses.words(t or "")))
+    weigh = lambda t: {w: n * licenses.idf(len(texts_), seen[w]) for w, n in Counter(licenses.words(t)).items()}
+    norm = lambda v: sum(x * x for x in v.values()) ** 0.5
+    temps = [(n, weigh(t)) for n, t in licenses.TEMPLATES]
+    out = []
     for t in texts_:
-        for w in set(licenses.words(t)) & set(licenses.vocabulary()):
-            seen[w] = seen.get(w, 0) + 1
-    m = licenses.Matcher(len(texts_), seen, 0.7)
-    full = licenses.Matcher(len(texts_), seen, 0.7)
-    full.prefix = licenses.vocabulary()
-    for t in texts_ + [x for _, x in licenses.TEMPLATES]:
-        assert m.best(t) == full.best(t)
+        best = (None, 0.0)
+        for u in licenses.units(t or ""):
+            v = weigh(u)
+            for n, w in temps if v else ():
+                s = round(sum(x * w.get(k, 0) for k, x in v.items()) / norm(v) / norm(w), 6)
+                if s >= threshold and (best[0] is None or (-s, n) < (-best[1], best[0])):
+                    best = (n, s)
+        out.append(best)
+    return out
+
+
+def test_licence_texts_and_headers(spark, small):
+    made = licence_files()
+    rows = [(i, f"p{i}/x.txt", t) for i, (_, t) in enumerate(made)] + [(1000 + i, f"q/{i}.txt", t) for i, (_, t) in enumerate(pairs(small))]
+    got = {r.id: (r.own, r.score) for r in licenses.own_licenses(spark.createDataFrame(rows, "id long, path string, text string")).collect()}
+    want = plain_best([t for _, _, t in rows])
+    for (i, _, _), (name, score) in zip(rows, want):
+        assert got[i][0] == name and got[i][1] == pytest.approx(score, abs=2e-6), (i, got[i], name, score)
+    assert [got[i][0] for i in range(len(made))] == [n for n, _ in made]
+
+
+def test_nearest_ancestor_by_walking(spark, tmp_path):
+    rng = np.random.default_rng(3)
+    says = [None, "Released under the MIT License.", "Licensed under the Apache License, Version 2.0.", None, "Released under the ISC License."]
+    rows = []
+    for i in range(300):
+        folder = "/".join(rng.choice(list("ab"), int(rng.integers(0, 5))))
+        file = str(rng.choice(["LICENSE", "license.md", "x.py", "y.txt", "z.c", "COPYING"]))
+        rows.append((i, f"{folder}/{file}" if folder else file, says[int(rng.integers(5))]))
+    rows += [(900, None, None), (901, None, says[1])]
+    df = spark.createDataFrame(rows, "id long, path string, text string")
+    own = {r.id: (r.own, r.score) for r in licenses.own_licenses(df).collect()}
+    folder = lambda p: p.rsplit("/", 1)[0] if "/" in p else ""
+    has = {}
+    for i, p, _ in rows:
+        if p and own[i][0] and re.match(licenses.LICENSE_FILES, p.rsplit("/", 1)[-1]):
+            has.setdefault(folder(p), []).append((-own[i][1], own[i][0], p))
+    for r in licenses.scan(df).collect():
+        want, at = own[r.id][0], None
+        if want is None and r.path is not None:
+            d = folder(r.path)
+            while True:
+                if d in has:
+                    want, at = min(has[d])[1], d
+                    break
+                if not d:
+                    break
+                d = folder(d)
+        assert (r.license, r.from_dir, r.declared) == (want, at, own[r.id][0] is not None)
+    docs_ = spark.createDataFrame([(i, "t", "en", "s", 0) for i in (0, 1, 50, 1000, 1051)] + [(None, "t", "en", None, 0)], DOCS)
+    assert [r.path for r in licenses.document_files(docs_).collect()] == ["s/0/LICENSE", "s/0/0/1.txt", "s/0/1/LICENSE", "s/1/LICENSE", "s/1/21/1051.txt", None]
 
 
 # ------------------------------------------------------------------ 9
