@@ -233,7 +233,9 @@ def _word_counts(batches: Iterator[pa.RecordBatch], deal: Deal) -> Iterator[pa.R
             few = [int((n == k).sum()) for k in (1, 2, 3, 4)]
             cols = [np.concatenate([v.astype(np.int64), [e]]) for v, e in zip(cols, [*few, 0])]
             x = np.concatenate([x.astype(np.int64), [-1]])
-            yield pa.record_batch([pa.array(np.full(len(x), s, np.int32)), pa.array([m] * len(x), pa.string()), pa.array(x), *map(pa.array, cols)], names=_WORD_NAMES)
+            for lo in range(0, len(x), 50_000):
+                part = [v[lo : lo + 50_000] for v in (x, *cols)]
+                yield pa.record_batch([pa.array(np.full(len(part[0]), s, np.int32)), pa.array([m] * len(part[0]), pa.string()), *map(pa.array, part)], names=_WORD_NAMES)
 
 
 def _packed_words(batches: Iterator[pa.RecordBatch], most: int = 500_000) -> Iterator[pa.RecordBatch]:
@@ -387,7 +389,7 @@ def hot_words(docs: DataFrame, sample_docs: int = 256, chars: int = 20_000) -> n
 def train(docs: DataFrame, trusted: DataFrame) -> Model:
     """All docs whose doc_id is in `trusted` are counted."""
     spark = docs.sparkSession
-    shards = max(8, shuffles(spark) // 6)  # few, as every block sends each its words
+    shards = max(8, shuffles(spark) // 3)  # few, as every block sends each its words
     deal = Deal(shards, hot_words(docs))
     segment = FILTER_MB * 2**23 // shards
 

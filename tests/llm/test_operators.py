@@ -340,7 +340,7 @@ def half(spark, rows):
 
 @pytest.mark.parametrize("shards", [8, 23])
 def test_perplexities_are_those_of_a_plain_model(spark, docs, monkeypatch, shards):
-    monkeypatch.setattr(quality, "shuffles", lambda spark: 6 * shards)
+    monkeypatch.setattr(quality, "shuffles", lambda spark: 3 * shards)
     monkeypatch.setattr(quality, "BLOCK", 700)
     rows = [(i, t, ["en", "fr", None][i % 3], "s", 0) for i, t in enumerate(texts()[:-1] * 3)] + [(None, prose(30, 8), "en", "s", 0)] * 2
     rows += [(100 + i, prose(50, i % 30) + f" word{i}", "en", "s", 0) for i in range(60)] + [(300, "no model " + prose(9, 4), "xx", "s", 0)]
