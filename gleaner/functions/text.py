@@ -28,8 +28,7 @@ def language(x: Column) -> Column:
     """Two-letter code of a language name or tag; null for blank values."""
     v = F.nullif(F.translate(F.lower(F.trim(F.regexp_replace(x, r"(?U)^\s+|\s+$", ""))), "_", "-"), F.lit(""))
     pairs = [F.lit(t) for kv in LANGUAGE_ALIASES.items() for t in kv]
-    named = F.coalesce(F.create_map(*pairs)[v], v)
-    return F.when(named.startswith("nl-"), F.lit("nl")).when(named.startswith("en-"), F.lit("en")).otherwise(named)
+    return F.regexp_replace(F.coalesce(F.create_map(*pairs)[v], v), "(?s)^(nl|en)-.*$", "$1")
 
 
 def choose_language(*options: Column) -> Column:

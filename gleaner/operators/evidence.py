@@ -37,11 +37,27 @@ def page_exclusion(today: date, policy: Policy) -> Column:
     )
 
 
+#: Travel with its share, words by which a share is no duty, and wording that takes residents of other regions only.
+TRAVEL = r"\b(?:travelling|traveling|travel)\b[^\n.!?]{0,120}?\b(\d{1,3})\s*(?:[-–—]\s*\d{1,3})?\s*%"
+NO_TRAVEL = r"up to|\b(?:optional|costs?|expenses?|reimburs\w*|discounts?|subsid\w*|allowances?|benefits?)\b"
+REGION = r"(?:north\s+america|united\s+states|u\.s\.a?\.?|usa|canada|australia|india|brazil|mexico|philippines|south\s+africa)"
+ONLY_RESIDENTS = (
+    r"\b(?:only|exclusively)\s+(?:consider(?:ing)?|accept(?:ing)?|hir(?:e|ing)|recruit(?:ing)?)\s+(?:[\w'-]+\s+){0,4}?(?:candidates?|applicants?|people|employees?)\s+"
+    r"(?:[\w'-]+\s+){0,4}?(?:based|located|residing|living)\s+(?:in\s+)?(?:the\s+)?" + REGION + r"\b"
+)
+MUST_RESIDE = r"\b(?:applicants?|candidates?|employees?)\s+must\s+(?:currently\s+)?(?:be\s+)?(?:based|located|residing|living)\s+(?:in\s+)?(?:the\s+)?" + REGION + r"\b"
+
+
 def substantial_travel(text: Column) -> Column:
     """Required travel of a fifth or more; optional, capped and paid-for travel does not count."""
-    found = F.regexp_extract_all(F.lower(F.substring(text, 1, 25_000)), F.lit(r"([^.]{0,40}\b\d{1,3}\s*%[^.]{0,25}\btravel\b|[^.]{0,40}\btravel\b[^.]{0,40}\b\d{1,3}\s*%)"), F.lit(1))
-    share = lambda s: F.regexp_extract(s, r"(\d{1,3})\s*%", 1).cast("int")
-    return F.coalesce(F.exists(found, lambda s: (share(s) >= 20) & ~s.rlike(r"\b(?:up to|optional|reimburse|cost|expenses?|no travel)\b")), F.lit(False))
+    found = F.regexp_extract_all(F.substring(text, 1, 25_000), F.lit(f"(?iu){TRAVEL}"), F.lit(0))
+    share = lambda s: F.regexp_extract(s, f"(?iu){TRAVEL}", 1).cast("int")
+    return F.coalesce(F.exists(found, lambda s: (share(s) >= 20) & ~s.rlike(f"(?iu){NO_TRAVEL}")), F.lit(False))
+
+
+def exclusive_residency(text: Column) -> Column:
+    """The page takes residents of another region only."""
+    return F.coalesce(F.substring(text, 1, 25_000).rlike(f"(?iu){ONLY_RESIDENTS}|{MUST_RESIDE}"), F.lit(False))
 
 
 def blockers(today: date, policy: Policy) -> Column:
@@ -56,6 +72,7 @@ def blockers(today: date, policy: Policy) -> Column:
         (is_true(F.col("expired")), "unexpired_official_role"),
         (not_((F.col("remote_check") == "confirmed") & F.col("remote_signal")), "fully_remote_from_first_party"),
         (page & substantial_travel(F.col("visible_text")), "substantial_required_travel"),
+        (page & exclusive_residency(F.col("visible_text")), "exclusive_non_nl_residence_on_official_page"),
         (not_((F.col("netherlands") == "allowed") & (geography(F.array_join("applicant_locations", ", ")) == "allowed")), "netherlands_executable_from_employer"),
         (not_((F.col("apply_http_status") == 200) & F.col("form_detected")), "verified_application_form_at_exact_route"),
     ]

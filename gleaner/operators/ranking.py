@@ -1,6 +1,7 @@
 """Deterministic gate, score and top-k of vacancies.
 
-Everything is a narrow projection and one TakeOrderedAndProject: no shuffle of the input, no Python.
+Everything is a few narrow projections and one TakeOrderedAndProject: no shuffle of the input, no Python. Parts that are
+used more than once are columns of a projection of their own, so that the optimizer does not copy them into every use.
 """
 
 from __future__ import annotations
@@ -108,9 +109,17 @@ def _amount(df: DataFrame, name: str) -> tuple[Column, Column]:
     return given, F.when(value >= 0, value)
 
 
-def salary_status(df: DataFrame, minimum: float) -> tuple[Column, Column]:
-    """(known, status): an exact amount or a range, not both."""
-    (has_x, x), (has_lo, lo), (has_hi, hi) = (_amount(df, f"salary_{k}monthly_eur") for k in ("", "min_", "max_"))
+def _amounts(df: DataFrame) -> dict[str, Column]:
+    """Columns `_given_*` and `_value_*` of the exact amount and both ends of a range."""
+    out = {}
+    for k in ("", "min_", "max_"):
+        out[f"_given_{k}"], out[f"_value_{k}"] = _amount(df, f"salary_{k}monthly_eur")
+    return out
+
+
+def _salary(minimum: float) -> tuple[Column, Column]:
+    """(known, status) from the columns of _amounts."""
+    (has_x, x), (has_lo, lo), (has_hi, hi) = ((F.col(f"_given_{k}"), F.col(f"_value_{k}")) for k in ("", "min_", "max_"))
     wrong = (has_x & (has_lo | has_hi)) | (has_x & x.isNull()) | (has_lo & lo.isNull()) | (has_hi & hi.isNull()) | F.coalesce(lo > hi, F.lit(False))
     status = (
         F.when(wrong, "salary_invalid")
@@ -120,6 +129,12 @@ def salary_status(df: DataFrame, minimum: float) -> tuple[Column, Column]:
     return ~wrong & (has_x | has_lo | has_hi), status
 
 
+def salary_status(df: DataFrame, minimum: float) -> DataFrame:
+    """df with salary_known and salary_status: an exact amount or a range, not both."""
+    known, status = _salary(minimum)
+    return df.withColumns(_amounts(df)).select(*df.columns, known.alias("salary_known"), status.alias("salary_status"))
+
+
 def recency_points(age: Column) -> Column:
     return F.when(age <= 14, 10.0).when(age <= 30, 8.0).when(age <= 60, 6.0).when(age <= 90, 4.0).otherwise(2.0)
 
@@ -134,18 +149,23 @@ def role_families(df: DataFrame) -> Column:
 
 def eligibility(df: DataFrame, today: date, policy: Policy) -> DataFrame:
     """df with gate: struct(pass, reasons, warnings, age_days, salary_known); reasons in the order of the rules."""
-    raw = _has(df, "posted_date", "string")
-    posted = iso_date(raw)
-    age = F.datediff(F.lit(today), posted)
-    known, status = salary_status(df, policy.min_monthly_salary_eur)
     family = F.lit(False)
     for column, name in FAMILY_FLAGS.items():
         if name in policy.target_role_families and column in df.columns:
             family = family | is_true(F.col(column))
     if "role_families" in df.columns:
         family = family | is_true(F.arrays_overlap(role_families(df), F.array(*[F.lit(x) for x in sorted(policy.target_role_families)])))
+    need = _has(df, "required_languages", "array<string>")
+    if dict(df.dtypes).get("required_languages") == "string":
+        items = F.filter(F.split(need, ","), lambda i: F.trim(i) != "")
+        need = F.when(F.size(items) > 0, items)
+    raw = _has(df, "posted_date", "string")
+    parts = {"_dated": raw.isNotNull(), "_posted": iso_date(raw), "_codes": F.transform(need, language)}
+    parts |= {f"_{n}": language(_has(df, n, "string")) for n in ("listing_language", "application_language")} | _amounts(df)
+    known, status = _salary(policy.min_monthly_salary_eur)
+    age = F.col("_age")
     checks = [
-        F.when(raw.isNotNull() & posted.isNull(), "date_invalid")
+        F.when(F.col("_dated") & F.col("_posted").isNull(), "date_invalid")
         .when(age < 0, "future_date")
         .when(F.lit(policy.max_posting_age_days > 0) & (age > policy.max_posting_age_days), "older_than_max_age"),
         F.when(~is_true(_has(df, "fully_remote", "boolean")), "not_remote"),
@@ -156,22 +176,28 @@ def eligibility(df: DataFrame, today: date, policy: Policy) -> DataFrame:
     if policy.allowed_listing_languages is not None:
         allowed = sorted(policy.allowed_listing_languages)
         for name in ("listing_language", "application_language"):
-            code = language(_has(df, name, "string"))
+            code = F.col(f"_{name}")
             checks.append(F.when(code.isNull(), f"{name}_missing").when(~code.isin(*allowed), f"{name}_not_allowed"))
-        need = _has(df, "required_languages", "array<string>")
-        if dict(df.dtypes).get("required_languages") == "string":
-            items = F.filter(F.split(need, ","), lambda i: F.trim(i) != "")
-            need = F.when(F.size(items) > 0, items)
-        codes = F.transform(need, language)
+        codes = F.col("_codes")
+        # by array functions, which are part of generated code, as filters over arrays are not
         checks.append(
-            F.when(codes.isNull() | F.exists(codes, lambda c: c.isNull()), "required_languages_invalid").when(F.exists(codes, lambda c: ~c.isin(*allowed)), "required_language_not_allowed")
+            F.when(codes.isNull() | is_true(F.array_size(F.array_compact(codes)) < F.array_size(codes)), "required_languages_invalid").when(
+                F.size(F.array_except(codes, F.array(*map(F.lit, allowed)))) > 0, "required_language_not_allowed"
+            )
+        )
+    checks.append(F.when(F.col("_status") == "salary_invalid", F.col("_status")))
+    hints = (F.when(~F.col("_dated"), F.lit("date_missing")), F.when(F.col("_status") != "salary_invalid", F.col("_status")))
+    listed = lambda x: F.when(F.col(x) == "", F.array().cast("array<string>")).otherwise(F.split(x, ","))
+    return (
+        df.withColumns(parts)
+        .withColumns({"_age": F.datediff(F.lit(today), F.col("_posted")), "_known": known, "_status": status})
+        # joined and split again, which leaves out nulls inside generated code
+        .withColumns({"_said": F.concat_ws(",", *checks), "_hints": F.concat_ws(",", *hints)})
+        .select(
+            *df.columns,
+            F.struct((F.col("_said") == "").alias("pass"), listed("_said").alias("reasons"), listed("_hints").alias("warnings"), age.alias("age_days"), F.col("_known").alias("salary_known")).alias("gate"),
         )
-    checks.append(F.when(status == "salary_invalid", status))
-    # joined and split again: this leaves out nulls inside generated code, which array filters are not part of
-    said = F.concat_ws(",", *checks)
-    hints = F.concat_ws(",", F.when(raw.isNull(), F.lit("date_missing")), F.when(status != "salary_invalid", status))
-    listed = lambda x: F.when(x == "", F.array().cast("array<string>")).otherwise(F.split(x, ","))
-    return df.withColumn("gate", F.struct((said == "").alias("pass"), listed(said).alias("reasons"), listed(hints).alias("warnings"), age.alias("age_days"), known.alias("salary_known")))
+    )
 
 
 def score(age: Column) -> Column:

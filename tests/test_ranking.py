@@ -73,3 +73,10 @@ def test_opportunity_edges(spark):
     got = df.select(ranking.opportunity(F.col("age"), F.col("route"), F.col("n"), F.col("deadline"), F.col("ok")).alias("o")).select("o.score", "o.warnings").collect()
     assert [r.score for r in got] == [100, 32 + 23 + 17 + 8, 8 + 8 + 8 + 4]
     assert got[2].warnings == ["freshness_unknown", "applicant_count_unknown", "deadline_unknown"]
+
+
+def test_gate_plan_holds_each_part_once(spark):
+    from gleaner.plans import catalog
+
+    plan = catalog.QUERIES["q02_eligibility_reasons"](spark, "/root/testdata/sf0.001")._jdf.queryExecution().executedPlan().toString()
+    assert len(plan) < 15_000 and plan.count("ArrowEvalPython") == 0 and "Exchange" not in plan
