@@ -45,7 +45,7 @@ from pyspark.sql import functions as F
 from gleaner.llm.common import bounded_batches, discard, shuffles, stash, table
 
 NO_LANG = "\x00"
-BLOCK, HOT, FAN, FILTER_MB = 1_000_000, 64, 16, 16
+BLOCK, HOT, FAN, FILTER_MB = 1_800_000, 64, 16, 16
 #: Numbers of the start and the end of a text, which no word has.
 START, END = 1, 2
 U = np.uint64
@@ -63,7 +63,8 @@ def word_numbers(words: list[str]) -> np.ndarray:
 
 
 def pair_keys(b: np.ndarray, c: np.ndarray) -> np.ndarray:
-    return _mix(_mix(b) + c)
+    """Of the second word 32 bits are enough, as it only has to be told from others that follow the first."""
+    return _mix(_mix(b) + (c & U(2**32 - 1)))
 
 
 def pack(*columns: tuple[np.ndarray, int]) -> bytes:
@@ -116,7 +117,7 @@ class Block:
 
     def add(self, text: str) -> int:
         w = text.split()
-        self.ids.append(np.fromiter(map(self.words.__getitem__, w), np.int64, len(w)))
+        self.ids.append(np.fromiter(map(self.words.__getitem__, w), np.int32, len(w)))
         self.size += len(w) + 2
         return len(w)
 
@@ -124,17 +125,17 @@ class Block:
         """Numbers of the words; document, first and second word of every bigram."""
         n = np.array([len(x) for x in self.ids])
         width = n + 2
-        seq = np.zeros(width.sum(), np.int64)
+        seq = np.zeros(width.sum(), np.int32)
         ends = np.cumsum(width)
         inner = np.ones(len(seq), bool)
         inner[ends - 1] = inner[ends - width] = False
         if n.sum():
             seq[inner] = np.concatenate(self.ids)
         seq[ends - 1] = 1
-        doc = np.repeat(np.arange(len(n)), width)
         keep = np.ones(len(seq), bool)
         keep[ends - 1] = False
-        return np.concatenate([np.array([START, END], U), word_numbers(list(self.words))]), doc[keep], seq[keep], np.concatenate([seq[1:], [0]])[keep]
+        last = np.roll(keep, 1)  # all but the texts' starts
+        return np.concatenate([np.array([START, END], U), word_numbers(list(self.words))]), np.repeat(np.arange(len(n), dtype=np.int32), width - 1), seq[keep], seq[last]
 
 
 def model_name(other: bool) -> Column:
@@ -172,7 +173,7 @@ def _counted(batches: Iterator[pa.RecordBatch], deal: Deal) -> Iterator[pa.Recor
 
     def out(m: str, block: Block) -> pa.RecordBatch:
         words, _, b, c = block.pairs()
-        pair, n = np.unique(b * len(words) + c, return_counts=True)
+        pair, n = np.unique(b.astype(np.int64) * len(words) + c, return_counts=True)
         b, c = words[pair // len(words)], words[pair % len(words)]
         rows = []
         for s, k in _group(deal.shard(b, c)):
@@ -300,10 +301,6 @@ _MODEL = "shard int, m string, kind int, grams binary"
 _MODEL_TYPES = (pa.int32(), pa.string(), pa.int32(), pa.binary())
 
 
-def _bits(x: np.ndarray) -> np.ndarray:
-    return x.astype(np.float32).view(np.uint32)
-
-
 def _weights(batches: Iterator[pa.RecordBatch], known: dict[str, dict], deal: Deal, segment: int) -> Iterator[pa.RecordBatch]:
     """Words (kind 0) and bigrams (kind 1) of a shard and model -> summands, and the shard's part of the filter."""
     at, held, grams, filters = None, [], [], {}
@@ -331,7 +328,7 @@ def _weights(batches: Iterator[pa.RecordBatch], known: dict[str, dict], deal: De
         mine = np.unique(of[where == s])
         v = np.where(x == START, 0, np.log2(p)) + np.log2(down)
         mark(s, _mix(x[mine]))
-        yield _batch([(s, m, 0, pack((x[mine], 5), (_bits(v[mine]), 4)))], names, _MODEL_TYPES)
+        yield _batch([(s, m, 0, pack((np.diff(x[mine], prepend=U(0)), 5), (np.round(-v[mine] * _STEP).astype(U), 2)))], names, _MODEL_TYPES)
         if len(b):
             own = (n - k["d2"][np.minimum(n, 3).astype(int) - 1]) / context[0][first]
             w = np.log2(1 + own / (down[first] * p[np.searchsorted(x, c)]))
@@ -351,18 +348,18 @@ def _weights(batches: Iterator[pa.RecordBatch], known: dict[str, dict], deal: De
     yield _batch([(s, None, 9, zstandard.compress(np.packbits(bits, bitorder="little").tobytes())) for s, bits in filters.items()], names, _MODEL_TYPES)
 
 
-#: Bits of a bigram's key that are kept, and steps of its summand: 1 / 1,000 bit.
-_KEY, _STEP = 48, 1000
+#: Bits of a bigram's key that are kept, and steps of summands: 1 / 500 bit.
+_KEY, _STEP = 40, 500
 
 
 def packed_pairs(key: np.ndarray, w: np.ndarray) -> bytes:
     key = key >> U(64 - _KEY)
     order = np.argsort(key)
-    return pack((np.diff(key[order], prepend=U(0)), 6), (np.round(w[order] * _STEP).astype(U), 2))
+    return pack((np.diff(key[order], prepend=U(0)), 5), (np.round(w[order] * _STEP).astype(U), 2))
 
 
 def unpacked_pairs(data: bytes) -> tuple[np.ndarray, np.ndarray]:
-    key, w = unpack(data, 6, 2)
+    key, w = unpack(data, 5, 2)
     return np.cumsum(key, dtype=U), w.astype(np.float32) / _STEP
 
 
@@ -442,14 +439,17 @@ def _sent(batches: Iterator[pa.RecordBatch], names: list[str], bloom, deal: Deal
     def out():
         words, doc, b, c = block.pairs()
         judged = np.array([i[3] in number for i in info])
-        keep = judged[doc]
-        doc, b, c = doc[keep], b[keep], c[keep]
-        pair, inv = np.unique((b << 32) | c, return_inverse=True)
+        if not judged.all():
+            keep = judged[doc]
+            doc, b, c = doc[keep], b[keep], c[keep]
+        pair, inv = np.unique((b.astype(np.int64) << 32) | c, return_inverse=True)
+        inv = inv.astype(np.int32)
         pb, pc = words[pair >> 32], words[pair & 0xFFFFFFFF]
         at = deal.shard(pb, pc)
-        fine, both, shard = known(at, _mix(pb)), known(at, pair_keys(pb, pc)), at[inv]
-        ok, c = fine[inv], np.where(both[inv], c, -1)
+        fine, both, shard = known(at, _mix(pb)), known(at, pair_keys(pb, pc)), at.astype(np.int32)[inv]
+        ok, c = fine[inv], np.where(both[inv], c, np.int32(-1))
         unknown = np.bincount(doc[~ok], minlength=len(info))
+        del pair, pb, pc, at, inv
         doc, b, c, shard = doc[ok], b[ok], c[ok], shard[ok]
         name, rows = f"{pid}-{made}", []
         model = np.array([number.get(i[3], 0) for i in info])
@@ -461,7 +461,7 @@ def _sent(batches: Iterator[pa.RecordBatch], names: list[str], bloom, deal: Deal
             second = np.zeros(len(k), np.int64)
             second[has] = ci + 1
             d, n = np.unique(doc[k], return_counts=True)
-            rows.append((s, 3, None, name, None, pack((words[bw], 5)), pack((words[cw], 5)), pack((d, 4), (model[d], 4), (n, 4)), pack((bi, 4), (second, 4))))
+            rows.append((s, 3, None, name, None, pack((words[bw], 5)), pack((words[cw] & U(2**32 - 1), 4)), pack((d, 4), (model[d], 4), (n, 4)), pack((bi, 4), (second, 4))))
         ids, h, n, m = zip(*info)
         has_id = np.array([i is not None for i in ids])
         heads = np.array([i or 0 for i in ids], np.int64).view(U)
@@ -499,14 +499,14 @@ def _scored(batches: Iterator[pa.RecordBatch], names: list[str], known: dict[str
             if s != at:
                 at, word, gram = s, {}, {}
             if kind == 0:
-                x, v = unpack(grams, 5, 4)
-                word[m] = (x, v.astype(np.uint32).view(np.float32))
+                x, v = unpack(grams, 5, 2)
+                word[m] = (np.cumsum(x, dtype=U), v.astype(np.float32) / -_STEP)
             elif kind == 1:
                 gram[m] = unpacked_pairs(grams)
             elif kind == 4:
                 rows.append((block, 0, docs, toks))
             else:
-                bv, cv = unpack(bv, 5)[0], unpack(cv, 5)[0]
+                bv, cv = unpack(bv, 5)[0], unpack(cv, 4)[0]
                 d, model, n = (x.astype(np.int64) for x in unpack(docs, 4, 4, 4))
                 b, c = (x.astype(np.int64) for x in unpack(toks, 4, 4))
                 bits, mine = np.zeros(len(b)), np.repeat(model, n)

@@ -365,7 +365,7 @@ def test_perplexities_are_those_of_a_plain_model(spark, docs, monkeypatch, shard
     key = lambda r: (r[0], r[1], r[2], r[3] or 0)
     mine = sorted(((str(r.doc_id), r.n, r.lang, r.bits) for r in got), key=key)
     for a, b in zip(mine, sorted(want, key=key)):
-        assert a[:3] == b[:3] and (a[3] is None) == (b[3] is None) and (b[3] is None or a[3] == pytest.approx(b[3], rel=1e-4))
+        assert a[:3] == b[:3] and (a[3] is None) == (b[3] is None) and (b[3] is None or a[3] == pytest.approx(b[3], rel=1e-3, abs=0.01))
     assert sum(b[3] is None for b in want) < 5
 
 
