@@ -49,7 +49,6 @@ BLOCK, HOT, FAN, FILTER_MB = 1_800_000, 64, 16, 16
 #: Numbers of the start and the end of a text, which no word has.
 START, END = 1, 2
 U = np.uint64
-_MASK = U(2**40 - 1)
 
 
 def _mix(x: np.ndarray) -> np.ndarray:
@@ -562,18 +561,28 @@ def _added(batches: Iterator[pa.RecordBatch], known: dict[str, dict]) -> Iterato
 
 
 def perplexities(docs: DataFrame, model: Model) -> DataFrame:
-    """doc_id, h (hash of the text), lang, n (words) and bits (of the words and the end; null without a model) of every row."""
+    """doc_id, h (hash of the text), lang, n (words) and bits (of the words and the end; null without a model) of every row.
+
+    The halves of the texts, which have different models, are scored one after the other and written, so that one half's
+    shuffle files are gone before the other's are there.
+    """
     spark = docs.sparkSession
-    names, known, deal, segment = sorted(model.known), model.known, model.deal, model.segment
+    deal, segment = model.deal, model.segment
     bloom = spark.sparkContext.broadcast({r["shard"]: bytes(r["grams"]) for r in model.rows.where("kind = 9").collect()})  # FILTER_MB at most
     text = F.coalesce("text", F.lit(""))
     rows = docs.select("doc_id", F.xxhash64(text).alias("h"), model_name(True).alias("m"), text.alias("text"))
-    sent = rows.mapInArrow(lambda it: _sent(it, names, bloom.value, deal, segment), _SENT)
-    shards = model.rows.where("kind < 9").select("shard", "kind", "m", "grams")
-    both = sent.unionByName(shards, allowMissingColumns=True)
-    sums = both.repartition(deal.shards, "shard").sortWithinPartitions("shard", "kind").mapInArrow(lambda it: _scored(it, names, known), _SUMS)
-    added = sums.repartition("block").sortWithinPartitions("block", "kind")
-    return added.mapInArrow(lambda it: _added(it, known), "doc_id long, h long, lang string, n long, bits double")
+
+    def scored(half: str) -> DataFrame:
+        known = {m: k for m, k in model.known.items() if m.endswith(half)}
+        names = sorted(known)
+        sent = rows.where(F.col("m").endswith(half)).mapInArrow(lambda it: _sent(it, names, bloom.value, deal, segment), _SENT)
+        shards = model.rows.where(F.col("m").endswith(half)).select("shard", "kind", "m", "grams")
+        both = sent.unionByName(shards, allowMissingColumns=True)
+        sums = both.repartition(deal.shards, "shard").sortWithinPartitions("shard", "kind").mapInArrow(lambda it: _scored(it, names, known), _SUMS)
+        added = sums.repartition("block").sortWithinPartitions("block", "kind")
+        return stash(added.mapInArrow(lambda it: _added(it, known), "doc_id long, h long, lang string, n long, bits double"), "perplexity")
+
+    return scored("0").union(scored("1"))
 
 
 def classify(docs: DataFrame, labels: DataFrame, high: float = 0.99, slack: float = 0.2, short: float = 4.0, few: float = 8.0) -> DataFrame:
@@ -582,7 +591,6 @@ def classify(docs: DataFrame, labels: DataFrame, high: float = 0.99, slack: floa
     good = labels.where("quality = 1 and coalesce(toxic, 0) = 0 and doc_id is not null").select("doc_id").distinct()
     model = train(docs, good)
     scored = perplexities(docs, model).withColumn("x", F.when(F.col("n") > 0, F.col("bits") / (F.col("n") + 1)))
-    scored = stash(scored, "perplexity")
     discard(model.rows)
     bands = stash(
         scored.join(good, "doc_id", "left_semi").groupBy("lang").agg(F.percentile_approx("x", [0.5, high], 10000).alias("q"), F.count("x").alias("texts")).where("texts > 0").select("lang", "texts", F.col("q")[0].alias("mid"), F.col("q")[1].alias("hi")),
