@@ -15,7 +15,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from gleaner.functions import urls
-from gleaner.operators import canonical, coverage, ranking, requirements, review, screening, state
+from gleaner.operators import assessment, canonical, coverage, ranking, requirements, review, screening, state
 from gleaner.operators.graph import shared_dir
 from gleaner.sources import pages as html_pages
 
@@ -250,10 +250,15 @@ def q16(spark, sf_dir):
     return html_pages.links(read(spark, sf_dir, "pages")).groupBy("page_id").agg(F.count("*").alias("n"), F.countDistinct("href").alias("hrefs"))
 
 
-@query("q17_visible_text")
+@query(
+    "q17_visible_text",
+    r"""WITH b AS (SELECT page_id, html, regexp_replace(regexp_replace(html, '(?is)<script\b.*?</script\s*>|<style\b.*?</style\s*>|<noscript\b.*?</noscript\s*>|<template\b.*?</template\s*>', '', 'g'), '(?s)<!--.*?-->|<![^>]*>', '', 'g') AS h FROM pages),
+    t AS (SELECT page_id, html, replace(replace(replace(replace(replace(replace(replace(regexp_replace(h, '(?s)<[^>]*>', ' ', 'g'), '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&nbsp;', ' '), '&copy;', '©'), '&middot;', '·'), '&amp;', '&') AS x FROM b)
+    SELECT page_id, trim(regexp_replace(x, '\s+', ' ', 'g')) AS text, html ILIKE '%<form%' AS has_form FROM t""",
+)
 def q17(spark, sf_dir):
     p = read(spark, sf_dir, "pages").withColumn("p", html_pages.page(F.col("html")))
-    return p.select("page_id", "p.lang", "p.text", "p.has_form", F.size("p.json_ld").alias("scripts"))
+    return p.select("page_id", "p.text", "p.has_form")
 
 
 # ---------------------------------------------------------------- state
@@ -485,6 +490,93 @@ def q45(spark, sf_dir):
     return j.select("n_nationkey", requirements.geography(place).alias("geo"))
 
 
+# ---------------------------------------------------------------- official pages and assessments
+@query("q80_proof_digest", """SELECT o_orderkey, sha256('{"key":' || o_orderkey || ',"nested":{"a":null,"status":"' || o_orderstatus || '"},"who":[' || o_custkey || ']}') AS digest FROM orders""")
+def q80(spark, sf_dir):
+    text = F.format_string('{"who": [%s],  "nested": {"status": "%s", "a": null}, "key": %s}', "o_custkey", "o_orderstatus", "o_orderkey")
+    return read(spark, sf_dir, "orders").select("o_orderkey", assessment.proof_digest(text).alias("digest"))
+
+
+def job_pages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A job page per customer: every sixth of another kind."""
+    k, name = F.col("c_custkey"), F.col("c_name")
+    ld = lambda title, org: F.concat(F.lit('<script type="application/ld+json">{"@graph": [{"@type": "JobPosting", "title": "'), title, F.lit('", "hiringOrganization": {"name": "'), org, F.lit('"}}]}</script>'))
+    right = ld(F.lit("PHP-Developer"), name)
+    scripts = F.when(k % 6 == 1, F.concat(right, right)).when(k % 6 == 2, ld(F.lit("Cook"), name)).when(k % 6 == 3, F.lit("")).otherwise(right)
+    body = F.when(k % 6 == 4, "<h1 hidden>php developer</h1>").otherwise("<h1>PHP&#32;developer</h1>")
+    return read(spark, sf_dir, "customer").select(k, F.concat(F.lit("<html lang=nl><body>"), body, scripts, F.lit("</body></html>")).alias("html"), F.lit("php developer").alias("title"), F.upper(name).alias("employer"))
+
+
+@query(
+    "q81_official_page_identity",
+    """SELECT c_custkey, 'nl' AS page_language, CASE c_custkey % 6 WHEN 0 THEN 'matching_first_party_jobposting' WHEN 5 THEN 'matching_first_party_jobposting' WHEN 4 THEN 'structured_role_not_visible_on_page'
+      ELSE 'no_unique_matching_first_party_jobposting' END AS status, CASE WHEN c_custkey % 6 IN (0, 5) THEN 'PHP-Developer' END AS title FROM customer""",
+)
+def q81(spark, sf_dir):
+    return assessment.page_signals(job_pages(spark, sf_dir)).select("c_custkey", "page_language", "status", F.col("structured.title").alias("title"))
+
+
+@query(
+    "q82_official_routes",
+    """SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN 'matching_first_party_jobposting' WHEN 1 THEN 'closed_at_exact_ats_route' WHEN 2 THEN 'application_route_unverified' WHEN 3 THEN 'unverified' ELSE 'matching_first_party_jobposting' END AS status,
+      p_partkey % 5 = 0 AS form FROM part""",
+)
+def q82(spark, sf_dir):
+    k = F.col("p_partkey")
+    url = F.concat(F.lit("https://jobs.lever.co/acme/"), k, F.lit("-dev"))
+    rows = read(spark, sf_dir, "part").select(
+        url.alias("canonical_url"), F.when(k % 5 == 2, F.concat(F.lit("https://jobs.lever.co/acme/"), k + 1, F.lit("-dev/apply"))).when(k % 5 == 4, F.concat(url, F.lit("/apply"))).alias("apply_url"),
+        F.lit("Dev").alias("title"), F.col("p_name").alias("employer"), F.when(k % 5 != 3, "lever").alias("provider"), F.lit("acme").alias("account"), k,
+    )
+    page = F.concat(F.lit('<p>Dev</p><script type="application/ld+json">{"@type":"JobPosting","title":"dev","hiringOrganization":"'), F.col("p_name"), F.lit('"}</script><form><input type=email><input name=cv type=file><button>go</button></form>'))
+    fetched = read(spark, sf_dir, "part").select(url.alias("url"), F.when(k % 5 == 1, 404).otherwise(200).alias("http_status"), page.alias("html"))
+    return assessment.official_evidence(rows, fetched).join(rows.select("canonical_url", k), "canonical_url").select("p_partkey", "status", F.col("application_form_detected").alias("form"))
+
+
+@query(
+    "q83_assessment_validation",
+    """SELECT p_partkey, CASE p_partkey % 8 WHEN 0 THEN 'verified' WHEN 5 THEN 'ineligible' ELSE 'pending' END AS status,
+      (['', 'specialist_evidence_assessment', 'current_exact_role_assessment', 'assessment_inputs_changed', 'mandatory_requirement_unknown', '', 'verified_anchor:core_fit', 'verified_material_role_family'])[p_partkey % 8 + 1] AS missing,
+      CASE WHEN p_partkey % 8 = 5 THEN 'verified_mandatory_requirement_mismatch' END AS reasons FROM part""",
+)
+def q83(spark, sf_dir):
+    k = F.col("p_partkey")
+    url = F.concat(F.lit("https://jobs.lever.co/acme/"), k, F.lit("-dev"))
+    part, today = read(spark, sf_dir, "part"), "2001-08-01"
+    digests = {f"{n}_sha256": F.sha2(F.concat(F.lit(n), k).cast("binary"), 256) for n in ("policy", "candidate_evidence", "observation", "official_page")}
+    said = F.lit("fully remote, from the Netherlands, posted in July, apply in English, you speak English, you know WordPress")
+    rows = part.select(
+        url.alias("canonical_url"), F.lit("Dev").alias("title"), F.lit("Acme").alias("employer"), F.lit("").alias("description"), said.alias("visible_text"), F.lit("").alias("application_visible_text"),
+        F.lit("2001-07-01").alias("page_date_posted"), F.lit("en").alias("page_language"), F.array().cast("array<string>").alias("blockers"), F.lit(True).alias("account_verified"),
+        F.array(F.lit("wordpress_ecosystem")).alias("role_family_hints"), *[v.alias(n) for n, v in digests.items()], k,
+    )
+    who, claim = F.concat(F.lit("e"), k % 25), F.concat(F.lit("Built WordPress sites, "), k % 25)
+    fact = lambda v, q: F.struct(v.alias("value"), F.lit(q).alias("quote"))
+    ref = F.array(F.struct(who.alias("evidence_id"), assessment.claim_digest(claim).alias("claim_sha256"), F.lit("repo").alias("source_ref"), F.lit("verified").alias("source_status"), F.lit(today).alias("source_checked_on")))
+    need = lambda i, kind, outcome, language=None: F.struct(F.lit(i).alias("id"), F.lit(kind).alias("kind"), F.lit(True).alias("mandatory"), outcome.alias("outcome"), F.lit("you know WordPress").alias("quote"), F.lit("seen").alias("rationale"), F.lit(language).cast("string").alias("language"), ref.alias("candidate_evidence"))
+    anchor = lambda v, i: F.struct(v.alias("value"), F.lit("seen").alias("rationale"), F.array(F.lit(i)).alias("requirement_ids"))
+    met = F.lit("met")
+    text = F.to_json(F.struct(
+        F.lit(1).alias("schema_version"), F.lit(assessment.REVIEWER).alias("reviewer"), F.when(k % 8 == 2, "2001-07-31").otherwise(today).alias("reviewed_on"), url.alias("canonical_url"),
+        *[(F.when(k % 8 == 3, "0").otherwise(v) if n == "policy_sha256" else v).alias(n) for n, v in digests.items()],
+        F.struct(F.lit("verified").alias("status"), F.lit(today).alias("checked_on"), F.lit("https://acme.nl/").alias("employer_url"), url.alias("official_role_url"), F.lit("imprint").alias("ownership_evidence")).alias("employer_verification"),
+        F.struct(fact(F.lit(True), "fully remote").alias("fully_remote"), fact(F.lit(True), "from the Netherlands").alias("netherlands_execution"), fact(F.lit("2001-07-01"), "posted in July").alias("original_publication"),
+                 fact(F.lit("en"), "apply in English").alias("application_language"), fact(F.array(F.lit("en")), "you speak English").alias("required_languages")).alias("facts"),
+        F.lit(True).alias("requirements_complete"), F.array(*map(F.lit, assessment.DIMENSIONS)).alias("reviewed_dimensions"),
+        F.array(need("r1", "skills", met), need("r2", "languages", met, "en"), need("r3", "workstyle", met), need("r4", "experience", F.when(k % 8 == 4, "unknown").when(k % 8 == 5, "not_met").otherwise(met))).alias("requirements"),
+        F.struct(anchor(F.when(k % 8 == 6, 49).otherwise(50), "r1").alias("core_fit"), anchor(F.lit(25), "r1").alias("evidence_fit"), anchor(F.lit(15), "r3").alias("workstyle_fit")).alias("anchors"),
+        F.array(F.when(k % 8 == 7, "web_design_development").otherwise("wordpress_ecosystem")).alias("role_families"),
+    ))
+    notes = part.where(k % 8 != 1).select(url.alias("canonical_url"), text.alias("assessment"))
+    n = F.col("n_nationkey")
+    evidence = read(spark, sf_dir, "nation").select(
+        F.concat(F.lit("e"), n).alias("evidence_id"), F.concat(F.lit("Built WordPress sites, "), n).alias("claim"), F.lit("github").alias("source_type"), F.lit("repo").alias("source_ref"),
+        F.lit("README").alias("source_locator"), F.lit("high").alias("confidence"), F.lit("TRUE").alias("active"), F.lit("2001-07-01").alias("verified_at"),
+    )
+    out = assessment.validate(rows, notes, evidence, TODAY, POLICY).join(rows.select("canonical_url", k), "canonical_url")
+    return out.select("p_partkey", "status", F.array_join("missing", ",").alias("missing"), F.array_join("reasons", ",").alias("reasons"))
+
+
 # ---------------------------------------------------------------- coverage and planning
 @query(
     "q50_coverage_routes",

@@ -1,11 +1,14 @@
-"""HTML pages: anchors, visible text, language, structured data. The standard library's parser in Arrow batches.
+"""HTML pages: anchors, visible text, language, forms, structured data.
 
-SQL's xpath needs well-formed markup, so pages go through a parser that never fails.
+SQL's xpath needs well-formed markup, so whole pages go through the standard library's parser, which never fails, in
+Arrow batches. Anchors alone are cut out by pattern, some ten times as fast.
 """
 
 from __future__ import annotations
 
+import html as entities
 import json
+import re
 from html.parser import HTMLParser
 
 import pandas as pd
@@ -13,8 +16,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-VOID = frozenset(("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr"))
-SILENT = frozenset(("script", "style", "noscript", "template", "head", "title"))
+VOID = frozenset(("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"))
+SILENT = frozenset(("script", "style", "noscript", "template"))
+#: Names of fields by which a form is one for candidates, and page languages that are told apart.
+CANDIDATE_FIELDS = frozenset(("first_name", "firstname", "last_name", "lastname", "full_name", "fullname", "resume", "cv"))
+EMAIL_FIELDS = frozenset(("email", "email_address"))
+LANGUAGES = frozenset(("en", "nl", "de", "fr", "es", "pt"))
+MOST_TEXT, MOST_SCRIPTS = 100_000, 12
 _TEXT = T.StringType()
 _ANCHOR = T.StructType([T.StructField("href", _TEXT), T.StructField("label", _TEXT)])
 _PAGE = T.StructType(
@@ -22,7 +30,8 @@ _PAGE = T.StructType(
         T.StructField("lang", _TEXT),
         T.StructField("text", _TEXT),
         T.StructField("has_form", T.BooleanType()),
-        T.StructField("anchors", T.ArrayType(_ANCHOR)),
+        T.StructField("application_form", T.BooleanType()),
+        T.StructField("candidate_form", T.BooleanType()),
         T.StructField("json_ld", T.ArrayType(_TEXT)),
     ]
 )
@@ -33,64 +42,102 @@ class _Page(HTMLParser):
         super().__init__(convert_charrefs=True)
         self.lang: str | None = None
         self.words: list[str] = []
-        self.anchors: list[list] = []
+        self.size = 0
         self.scripts: list[str] = []
-        self.form = False
-        self.open: list[tuple[str, bool]] = []
-        self.hidden = 0
         self.script: list[str] | None = None
+        self.form = self.applies = self.for_candidates = False
+        self.forms: list[set[str]] = []
+        self.open: list[tuple[str, bool, bool]] = []
+        self.hidden = self.disabled = 0
 
     def handle_starttag(self, tag: str, attrs: list) -> None:
-        a = dict(attrs)
+        a = {k: v or "" for k, v in attrs}
+        style = re.sub(r"\s+", "", a.get("style", "").lower())
+        hides = tag in SILENT or "hidden" in a or a.get("aria-hidden", "").lower() == "true" or "display:none" in style or "visibility:hidden" in style
         if tag == "html" and self.lang is None:
-            self.lang = (a.get("lang") or "").strip() or None
-        hides = tag in SILENT or "hidden" in a or (a.get("aria-hidden") or "").lower() == "true" or "display:none" in (a.get("style") or "").replace(" ", "").lower()
-        if tag == "script" and (a.get("type") or "").strip().lower() == "application/ld+json" and len(self.scripts) < 12:
+            known = a.get("lang", "").strip().lower().split("-")[0]
+            self.lang = known if known in LANGUAGES else None
+        if tag == "script" and a.get("type", "").lower() == "application/ld+json":
             self.script = []
-        if tag == "form" and not (self.hidden or hides):
-            self.form = True
-        if tag == "a" and a.get("href"):
-            self.anchors.append([a["href"], []])
         if tag not in VOID:
-            self.open.append((tag, hides))
+            off = tag == "fieldset" and "disabled" in a
+            self.open.append((tag, hides, off))
             self.hidden += hides
+            self.disabled += off
+        if tag == "form" and not self.hidden:
+            self.form = True
+            self.forms.append(set())
+        elif self.forms and not (self.hidden or hides or self.disabled or "disabled" in a):
+            self.forms[-1] |= self.field(tag, a.get("type", "").lower(), a.get("name", "").lower())
+
+    @staticmethod
+    def field(tag: str, kind: str, name: str) -> set[str]:
+        if tag == "button":
+            return {"submit"} if kind in ("submit", "") else set()
+        if tag != "input" or kind == "hidden":
+            return set()
+        checks = {"candidate": kind == "file" or name in CANDIDATE_FIELDS, "email": kind == "email" or name in EMAIL_FIELDS, "submit": kind == "submit"}
+        return {k for k, holds in checks.items() if holds}
 
     def handle_endtag(self, tag: str) -> None:
         if tag == "script" and self.script is not None:
-            self.scripts.append("".join(self.script))
+            text = "".join(self.script)
+            if len(text) <= MOST_TEXT and len(self.scripts) < MOST_SCRIPTS:
+                self.scripts.append(text)
             self.script = None
-        if any(t == tag for t, _ in self.open):
+        if tag == "form" and self.forms:
+            has = self.forms.pop()
+            self.applies |= {"email", "submit"} <= has
+            self.for_candidates |= {"email", "submit", "candidate"} <= has
+        if any(t == tag for t, _, _ in self.open):
             while self.open:
-                t, hides = self.open.pop()
+                t, hides, off = self.open.pop()
                 self.hidden -= hides
+                self.disabled -= off
                 if t == tag:
                     break
 
     def handle_data(self, data: str) -> None:
         if self.script is not None:
             self.script.append(data)
-        elif not self.hidden:
+        elif not self.hidden and self.size < MOST_TEXT:
             self.words.append(data)
-            if self.anchors and any(t == "a" for t, _ in self.open):
-                self.anchors[-1][1].append(data)
+            self.size += len(data)
 
 
 def read_page(html: str | None) -> tuple:
     p = _Page()
     p.feed(html or "")
     p.close()
-    fold = lambda parts: " ".join(" ".join(parts).split())
-    return p.lang, fold(p.words), p.form, [(h, fold(t)) for h, t in p.anchors], p.scripts
+    return p.lang, " ".join(" ".join(p.words).split()), p.form, p.applies, p.for_candidates, p.scripts
 
 
 @F.pandas_udf(_PAGE)
 def page(html: pd.Series) -> pd.DataFrame:
-    rows = [read_page(h) for h in html]
-    out = pd.DataFrame(rows, columns=["lang", "text", "has_form", "anchors", "json_ld"])
-    out["anchors"] = [[{"href": h, "label": t} for h, t in r[3]] for r in rows]
+    return pd.DataFrame([read_page(h) for h in html], columns=[f.name for f in _PAGE.fields])
+
+
+_UNREAD = re.compile(r"(?is)<!--.*?-->|<(script|style)\b.*?</\1\s*>")
+_A = re.compile(r"""(?is)<a\b((?:[^>"']|"[^"]*"|'[^']*')*)>(.*?)(?=</a\s*>|<a\b|\Z)""")
+_HREF = re.compile(r"""(?is)(?:^|\s)href\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""")
+_TAG = re.compile(r"(?s)<[^>]*>")
+
+
+def read_anchors(html: str | None) -> list[dict[str, str]]:
+    out = []
+    for attrs, inner in _A.findall(_UNREAD.sub(" ", html or "")):
+        m = _HREF.search(attrs)
+        href = entities.unescape(m[1] or m[2] or m[3] or "") if m else ""
+        if href:
+            out.append({"href": href, "label": " ".join(entities.unescape(_TAG.sub("", inner)).split())})
     return out
 
 
+@F.pandas_udf(T.ArrayType(_ANCHOR))
+def anchors(html: pd.Series) -> pd.Series:
+    return html.map(read_anchors)
+
+
 def _postings(node: object, depth: int = 6) -> list[dict]:
     if isinstance(node, list):
         return [x for n in node for x in _postings(n, depth)]
@@ -118,8 +165,8 @@ def job_postings(scripts: pd.Series) -> pd.Series:
 
 
 def links(pages: DataFrame, html: str = "html") -> DataFrame:
-    """pages with one row per anchor: position, href, label; the parser runs once per page."""
-    return pages.withColumn("_page", page(F.col(html))).select(*[c for c in pages.columns if c != html], F.posexplode("_page.anchors").alias("position", "_a")).select("*", "_a.href", "_a.label").drop("_a")
+    """pages with one row per anchor: position, href, label."""
+    return pages.withColumn("_a", anchors(F.col(html))).select(*[c for c in pages.columns if c != html], F.posexplode("_a").alias("position", "_a")).select("*", "_a.href", "_a.label").drop("_a")
 
 
 def posting_signals(posting: Column) -> Column:

@@ -18,6 +18,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from gleaner.functions.text import clean, stringify
+from gleaner.functions.urls import parts
 from gleaner.operators.canonical import fingerprint
 
 CONTRACT = "1.1"
@@ -104,6 +105,32 @@ def as_json(path: str) -> Callable[[Column], Column]:
     return lambda v: F.when(F.schema_of_variant(F.try_variant_get(v, path, "variant")).startswith("OBJECT"), F.to_json(F.try_variant_get(v, path, "variant")))
 
 
+#: Public feeds and the hosts that their postings may be at; the one whose odd records are put aside.
+FEED_HOSTS = {
+    "arbeitnow-api": ("www.arbeitnow.com", "arbeitnow.com", "www.arbeitnow.co.uk"),
+    "remote-landers-api": ("remotelanders.com",),
+    "remotejobs-org": ("remotejobs.org",),
+}
+QUARANTINED_SOURCE = "arbeitnow-api"
+#: Providers that return all they have, so that what is missing is gone.
+COMPLETE = ("greenhouse", "lever", "ashby", "smartrecruiters", "workable", "personio")
+MOST_FEED_RECORDS = 120
+
+
+def feed_problem(adapter: Column, source: Column, url: Column) -> Column:
+    """What is wrong with a public feed's posting URL: malformed, untrusted_host, uk_apex; null for others and if all is well."""
+    host, form = parts(url)["host"], url.rlike(r"^https://[^/?#@\\\s]+([/?#]|$)")
+    known = F.lit(False)
+    for name, hosts in FEED_HOSTS.items():
+        known = known | ((source == name) & host.isin(*hosts))
+    nomads = url.rlike(r"^https://www\.workingnomads\.com/job/go/[0-9]+/?$")
+    listed = source.isin(*FEED_HOSTS)
+    return F.when((adapter == "workingnomads") & ~nomads, "malformed").when(
+        (adapter == "publicfeed") & listed,
+        F.when(~form, "malformed").when(~known, F.when((source == QUARANTINED_SOURCE) & (host == "arbeitnow.co.uk"), "uk_apex").otherwise("untrusted_host")),
+    )
+
+
 REMOTE_BOARD = {"remote": const(True), "workplace_type": const("remote")}
 PROVIDERS: dict[str, Provider] = {
     "greenhouse": Provider(
@@ -183,12 +210,17 @@ PROVIDERS: dict[str, Provider] = {
         salary=pay("$.salary_min", "$.salary_max", zero_is_null=True),
     ),
     "publicfeed": Provider(
-        ("$.data", "$.jobs", "$"), at("$.url", "$.link", "$.apply_url"), at("$.title", "$.position", "$.name"), at("$.id", "$.slug", "$.url"), "https://",
+        ("$.data", "$.jobs", "$"), at("$.url"), at("$.title"), at("$.id", "$.slug", "$.url"), "https://",
         keep=lambda v: F.coalesce(flag(v, "$.remote"), F.lit(True)),
         fields=REMOTE_BOARD | {
-            "employer": at("$.company_name", "$.company.name", "$.company"), "location": or_else(at("$.location", "$.candidate_required_location"), "Remote"),
-            "description": rich("$.description", "$.content"), "published_at": at("$.created_at", "$.pub_date", "$.published_at"),
+            "employer": at("$.company_name", "$.company.name", "$.company"), "location": or_else(at("$.location"), "Remote (location unverified)"), "description": rich("$.description"),
+            "published_at": at("$.posted_at", "$.postedDate"), "employment_type": at("$.type"), "apply_url": at("$.url"),
         },
+        salary=at("$.salary_text", "$.salary"),
+    ),
+    "workingnomads": Provider(
+        ("$",), at("$.url"), at("$.title"), lambda v: F.regexp_extract(text(v, "$.url"), "/([0-9]+)/?$", 1), "https://www.workingnomads.com/api/exposed_jobs/",
+        fields={"employer": at("$.company_name"), "location": at("$.location"), "description": rich("$.description"), "apply_url": const(None)},
     ),
 }
 
@@ -211,59 +243,78 @@ def rfc2822(x: Column) -> Column:
     return F.date_format(F.to_utc_timestamp(moment, F.current_timezone()), "yyyy-MM-dd'T'HH:mm:ss'+00:00'")
 
 
-def _frame(df: DataFrame, records: Column, ordinal: str = "pos") -> DataFrame:
-    """One row per record, in page and record order, up to the source's cap."""
-    rows = df.select("*", F.posexplode(records).alias(ordinal, "rec"))
-    order = W.partitionBy("source_id", "account").orderBy("page", ordinal)
-    return rows.withColumn("ordinal", F.row_number().over(order)).where(F.col("ordinal") <= F.coalesce("max_jobs", F.lit(2**31 - 1)))
+_OBSERVED = ("url", "title", "job_id", *_TARGET, "salary", "remote", "source_url")
+
 
+def _frame(df: DataFrame, records: Column) -> DataFrame:
+    """One row per record with its place among its source's records, in page and record order."""
+    rows = df.select("*", F.posexplode(records).alias("pos", "rec"))
+    return rows.withColumn("ordinal", F.row_number().over(W.partitionBy("source_id", "account").orderBy("page", "pos")))
 
-def parse_json(raw: DataFrame, adapter: str) -> DataFrame:
-    p = PROVIDERS[adapter]
-    doc = raw.where(F.col("adapter") == adapter).withColumn("v", F.try_parse_json("payload"))
-    records = F.coalesce(*[F.try_variant_get("v", c, "array<variant>") for c in p.records])
-    failed = doc.withColumn("error", F.when(F.col("v").isNull(), "malformed_json").when(records.isNull(), "missing_collection"))
-    rows = _frame(failed.where("error is null"), records)
-    v = F.col("rec")
+
+def _per_adapter(options: dict[str, Column]) -> Column:
+    """The option of a row's adapter; one expression over all adapters, so that the payloads are read once."""
+    return F.coalesce(*[F.when(F.col("adapter") == a, x) for a, x in options.items()])
+
+
+def _read(p: Provider, v: Column) -> Column:
     url, title, job = p.url(v), p.title(v), p.job_id(v)
-    keep = p.keep(v) & title.isNotNull() & (url.isNotNull() if p.needs_url else job.isNotNull())
-    own = {k: p.fields[k](v) if k in p.fields else F.lit(None).cast("string") for k in _TARGET}
-    own["employer"] = F.coalesce(p.fields["employer"](v), F.lit(None)) if "employer" in p.fields else F.coalesce("employer", "account")
-    own["apply_url"] = F.coalesce(own["apply_url"], url)
+    none = F.lit(None).cast("string")
+    own = {k: p.fields[k](v) if k in p.fields else none for k in _TARGET}
+    own["employer"] = own["employer"] if "employer" in p.fields else F.coalesce("employer", "account")
+    if "apply_url" not in p.fields:
+        own["apply_url"] = url
+    elif p.source_url.endswith("://"):
+        own["apply_url"] = F.coalesce(own["apply_url"], url)
     remote = p.fields["remote"](v).cast("boolean") if "remote" in p.fields else F.lit(None).cast("boolean")
-    source_url = F.coalesce("endpoint", F.concat(F.lit(p.source_url), F.col("account")) if p.source_url.endswith("://") else F.lit(p.source_url))
-    return _observation(rows, adapter, keep, url, title, job, own, remote, p.salary(v) if p.salary else F.lit(None).cast("string"), source_url)
+    source = F.coalesce("endpoint", F.concat(F.lit(p.source_url), F.col("account")) if p.source_url.endswith("://") else F.lit(p.source_url))
+    said = {"url": url, "title": title, "job_id": job, **own, "salary": p.salary(v) if p.salary else none, "remote": remote, "source_url": source}
+    object_ = F.schema_of_variant(v).startswith("OBJECT")
+    keep = F.coalesce(object_ & p.keep(v) & title.isNotNull() & (url.isNotNull() if p.needs_url else job.isNotNull()), F.lit(False))
+    return F.struct(keep.alias("keep"), *[(x if k == "remote" else x.cast("string")).alias(k) for k, x in said.items()])
 
 
-def parse_rss(raw: DataFrame, adapter: str) -> DataFrame:
-    doc = raw.where(F.col("adapter") == adapter).withColumn("x", F.from_xml("payload", _RSS, {"rowTag": "rss", "mode": "PERMISSIVE"}))
-    rows = _frame(doc, F.col("x.channel.item"))
+def parse_json(raw: DataFrame) -> DataFrame:
+    """Records of all JSON providers, and one row per page that failed, with error."""
+    doc = raw.where(F.col("adapter").isin(*PROVIDERS)).withColumn("v", F.try_parse_json("payload"))
+    records = _per_adapter({a: F.coalesce(*[F.try_variant_get("v", c, "array<variant>") for c in p.records]) for a, p in PROVIDERS.items()})
+    doc = doc.withColumn("records", records).withColumn("error", F.when(F.col("v").isNull(), "malformed_json").when(F.col("records").isNull(), "missing_collection")).drop("v", "payload")
+    rows = _frame(doc, F.coalesce("records", F.array().cast("array<variant>"))).drop("records")
+    return _joined(doc.drop("records"), rows.withColumn("o", _per_adapter({a: _read(p, F.col("rec")) for a, p in PROVIDERS.items()})))
+
+
+def parse_rss(raw: DataFrame) -> DataFrame:
+    doc = raw.where(F.col("adapter").isin(*RSS)).withColumn("x", F.from_xml("payload", _RSS, {"rowTag": "rss", "mode": "PERMISSIVE"})).drop("payload")
+    doc = doc.withColumn("error", F.when(F.col("x.channel").isNull(), "malformed_feed"))
     r = {k: clean(F.col(f"rec.{k}")) for k in ("title", "link", "guid", "pubDate", "description", "company", "region", "location", "type", "remoteStatus")}
+    is_ = lambda a: F.col("adapter") == a
     url, split = F.coalesce(r["link"], r["guid"]), F.split(r["title"], ": ", 2)
-    named = r["company"].isNull() & r["title"].contains(": ") & F.lit(adapter == "weworkremotely")
-    own = {k: F.lit(None).cast("string") for k in _TARGET} | {
+    named = r["company"].isNull() & r["title"].contains(": ") & is_("weworkremotely")
+    none = F.lit(None).cast("string")
+    own = {k: none for k in _TARGET} | {
         "employer": F.when(named, clean(split[0])).otherwise(F.coalesce(r["company"], F.col("employer"))),
         "location": F.coalesce(r["region"], r["location"], F.lit("Remote")),
         "description": html_text(r["description"]),
         "published_at": rfc2822(r["pubDate"]),
         "employment_type": r["type"],
         "apply_url": url,
-        "workplace_type": F.lit("remote") if adapter != "wordpressjobs" else F.lit(None).cast("string"),
+        "workplace_type": F.when(~is_("wordpressjobs"), "remote"),
     }
-    keep = r["title"].isNotNull() & url.isNotNull()
-    if adapter == "teamtailor":
-        keep = keep & url.rlike("/jobs/[0-9]+") & ~F.coalesce(F.lower(r["remoteStatus"]).isin("none", "hybrid", "temporary"), F.lit(False))
-    remote = F.lit(None if adapter == "wordpressjobs" else True).cast("boolean")
+    pinned = url.rlike("/jobs/[0-9]+") & ~F.coalesce(F.lower(r["remoteStatus"]).isin("none", "hybrid", "temporary"), F.lit(False))
+    keep = r["title"].isNotNull() & url.isNotNull() & (~is_("teamtailor") | pinned)
     title = F.when(named, F.coalesce(clean(split[1]), r["title"])).otherwise(r["title"])
-    return _observation(rows, adapter, keep, url, title, F.coalesce(r["guid"], url), own, remote, F.lit(None).cast("string"), F.col("endpoint"))
+    said = {"url": url, "title": title, "job_id": F.coalesce(r["guid"], url), **own, "salary": none, "remote": F.when(~is_("wordpressjobs"), True), "source_url": F.col("endpoint")}
+    rows = _frame(doc, F.col("x.channel.item")).drop("x")
+    return _joined(doc.drop("x"), rows.withColumn("o", F.struct(F.coalesce(keep, F.lit(False)).alias("keep"), *[x.alias(k) for k, x in said.items()])))
 
 
 def parse_personio(raw: DataFrame) -> DataFrame:
-    doc = raw.where("adapter = 'personio'").withColumn("x", F.from_xml("payload", _PERSONIO, {"rowTag": "workzag-jobs", "mode": "PERMISSIVE"}))
-    rows = _frame(doc, F.col("x.position"))
+    doc = raw.where("adapter = 'personio'").withColumn("x", F.from_xml("payload", _PERSONIO, {"rowTag": "workzag-jobs", "mode": "PERMISSIVE"})).drop("payload")
+    doc = doc.withColumn("error", F.when(F.col("x.position").isNull(), "malformed_feed"))
     job, title, office = (clean(F.col(f"rec.{k}")) for k in ("id", "name", "office"))
     url = F.concat(F.lit("https://"), F.col("account"), F.lit(".jobs.personio.de/job/"), job)
-    own = {k: F.lit(None).cast("string") for k in _TARGET} | {
+    none = F.lit(None).cast("string")
+    own = {k: none for k in _TARGET} | {
         "employer": F.coalesce("employer", "account"),
         "location": office,
         "description": html_text(F.array_join(F.transform("rec.jobDescriptions.jobDescription", lambda s: F.concat_ws("\n", s["name"], s["value"])), "\n")),
@@ -271,47 +322,110 @@ def parse_personio(raw: DataFrame) -> DataFrame:
         "employment_type": clean(F.col("rec.employmentType")),
         "apply_url": url,
     }
-    remote = F.when(F.lower(office).rlike(r"\bremote\b"), True)
-    return _observation(rows, "personio", title.isNotNull() & job.isNotNull(), url, title, job, own, remote, F.lit(None).cast("string"), F.col("endpoint"))
-
-
-def _observation(rows, adapter, keep, url, title, job, own, remote, salary, source_url) -> DataFrame:
-    return rows.where(F.coalesce(keep, F.lit(False))).select(
-        "source_id",
-        "source_type",
-        F.concat_ws(":", "account", job).alias("source_job_id"),
-        F.concat_ws(":", F.lit(adapter), "account").alias("source_instance"),
-        source_url.alias("source_url"),
-        url.alias("canonical_url"),
-        url.alias("url"),
-        title.alias("title"),
-        *[own[k].alias(k) for k in _TARGET],
-        salary.alias("salary"),
-        "listing_language",
-        remote.alias("remote"),
-        F.lit(adapter).alias("provider"),
-        "ordinal",
-    )
+    keep = F.coalesce(title.isNotNull() & job.isNotNull(), F.lit(False))
+    said = {"url": url, "title": title, "job_id": job, **own, "salary": none, "remote": F.when(F.lower(office).rlike(r"\bremote\b"), True), "source_url": F.col("endpoint")}
+    rows = _frame(doc, F.col("x.position")).drop("x")
+    return _joined(doc.drop("x"), rows.withColumn("o", F.struct(keep.alias("keep"), *[x.alias(k) for k, x in said.items()])))
 
 
-ADAPTERS: dict[str, Callable[[DataFrame], DataFrame]] = {
-    **{a: (lambda raw, a=a: parse_json(raw, a)) for a in PROVIDERS},
-    **{a: (lambda raw, a=a: parse_rss(raw, a)) for a in RSS},
-    "personio": parse_personio,
-}
+_SOURCE = ("source_id", "source_type", "adapter", "account", "listing_language", "max_jobs", "page")
 
 
-def observations(raw: DataFrame, now: str, adapters: list[str] | None = None) -> DataFrame:
-    """All providers' records as one table, stamped; rows that name neither a URL nor a job are left out."""
+def _joined(doc: DataFrame, rows: DataFrame) -> DataFrame:
+    none = {"ordinal": "int", "o": dict(rows.dtypes)["o"]}
+    failed = doc.where("error is not null").select(*_SOURCE, "error", *[F.lit(None).cast(t).alias(n) for n, t in none.items()])
+    return rows.select(*_SOURCE, "error", "ordinal", "o").where("error is null").union(failed)
+
+
+PARSERS = {parse_json: tuple(PROVIDERS), parse_rss: RSS, parse_personio: ("personio",)}
+ADAPTERS: dict[str, Callable[[DataFrame], DataFrame]] = {a: f for f, names in PARSERS.items() for a in names}
+
+
+def records(raw: DataFrame, now: str, adapters: list[str] | None = None) -> DataFrame:
+    """All providers' records up to each source's cap, with problem (null: an observation), and pages that failed, with error.
+
+    Each kind of payload is read in one pass, whatever the number of providers. Problems: filtered (what a provider says
+    is not listed, or lacks a title, URL or id), repeated (a feed's record under an id that came before), no_identity,
+    and those of feed_problem(), which fail the source unless it is the one whose odd records are put aside.
+    """
+    wanted = set(adapters or ADAPTERS)
     out = None
-    for a in adapters or list(ADAPTERS):
-        one = ADAPTERS[a](raw)
-        out = one if out is None else out.unionByName(one)
+    for parser, names in PARSERS.items():
+        if wanted & set(names):
+            one = parser(raw.where(F.col("adapter").isin(*(wanted & set(names)))))
+            out = one if out is None else out.unionByName(one)
+    feed = F.col("adapter").isin("publicfeed", "workingnomads")
+    key = F.when(feed & F.col("o.keep"), F.coalesce("o.job_id", "o.url"))
+    first = F.row_number().over(W.partitionBy("source_id", "account", F.coalesce(key, F.concat(F.lit("\x00"), "ordinal"))).orderBy("ordinal"))
+    within = F.col("ordinal") <= F.least(F.coalesce("max_jobs", F.lit(2**31 - 1)), F.when(feed, MOST_FEED_RECORDS).otherwise(2**31 - 1))
+    rows = out.withColumn("_first", F.when(F.col("error").isNull() & feed, first).otherwise(1)).where(F.col("error").isNotNull() | within)
+    job, url = F.concat_ws(":", "account", "o.job_id"), F.col("o.url")
+    problem = F.when(
+        F.col("error").isNull(),
+        F.coalesce(
+            F.when(~F.col("o.keep"), "filtered"),
+            feed_problem(F.col("adapter"), F.col("source_id"), url),
+            F.when(F.col("_first") > 1, "repeated"),
+            F.when(url.isNull() & (F.col("source_id").isNull() | F.col("o.job_id").isNull()), "no_identity"),
+        ),
+    )
     content = ["employer", "title", "location", "description", "published_at", "valid_through", "employment_type", "salary", "apply_url", "listing_language"]
+    shown = rows.select(
+        "source_id", "source_type", F.when(F.col("o.job_id").isNotNull(), job).alias("source_job_id"), F.concat_ws(":", "adapter", "account").alias("source_instance"), "o.source_url",
+        url.alias("canonical_url"), url.alias("url"), "o.title", *[f"o.{k}" for k in _TARGET], "o.salary", "listing_language", "o.remote", F.col("adapter").alias("provider"), "ordinal", "max_jobs",
+        "error", problem.alias("problem"),
+    )
     return (
-        out.where("url is not null or (source_id is not null and source_job_id is not null)")
-        .withColumn("observation_contract_version", F.lit(CONTRACT))
+        shown.withColumn("observation_contract_version", F.lit(CONTRACT))
         .withColumns({c: F.lit(now) for c in ("ingestion_timestamp", "first_seen_at", "last_seen_at")})
         .withColumn("duplicate_candidate_fingerprint", fingerprint(F.col("employer"), F.col("title"), F.col("location")))
         .withColumn("content_hash", F.sha2(F.to_json(F.struct(*content), {"ignoreNullFields": "false"}), 256))
     )
+
+
+def observations(raw: DataFrame, now: str, adapters: list[str] | None = None) -> DataFrame:
+    """The observations among records()."""
+    return records(raw, now, adapters).where("error is null and problem is null").drop("error", "problem", "max_jobs")
+
+
+def runs(rows: DataFrame, started_at: str, registry_ids: Column | None = None) -> DataFrame:
+    """One row per source of records(): whether it succeeded and why not, its counts, and whether it was complete.
+
+    A source whose page failed, or with a record of a kind that is not put aside, fails as a whole; the others go on. Only
+    a provider that returns all, below its cap and with nothing put aside, says by silence that a posting is gone.
+    """
+    odd = F.col("problem").isin("malformed", "untrusted_host", "uk_apex")
+    aside = odd & (F.col("source_id") == QUARANTINED_SOURCE)
+    fetched = F.count_if(F.col("error").isNull() & F.coalesce(F.col("problem") != "repeated", F.lit(True)))
+    per = rows.groupBy("source_instance", "source_id", "provider").agg(
+        fetched.alias("fetched"), F.count_if(F.col("error").isNull() & F.col("problem").isNull()).alias("normalized"), F.count_if(F.coalesce(aside, F.lit(False))).alias("quarantine_count"),
+        F.min(F.coalesce("error", F.when(odd & ~aside, F.concat(F.lit("Unexpected public feed job URL: "), "problem")))).alias("failure_message"), F.max("max_jobs").alias("max_jobs"),
+    )
+    ok = F.col("failure_message").isNull()
+    ids = registry_ids if registry_ids is not None else F.array("source_id")
+    return per.select(
+        "source_instance", ok.alias("success"), F.when(ok, F.col("fetched")).otherwise(0).alias("fetched"), F.when(ok, F.col("normalized")).otherwise(0).alias("normalized"), ids.alias("registry_source_ids"),
+        F.when(~ok, "parsing_or_adapter_failure").alias("failure_category"), "failure_message", F.when(ok, F.col("quarantine_count")).otherwise(0).alias("quarantine_count"),
+        (ok & (F.col("quarantine_count") == 0) & F.col("provider").isin(*COMPLETE) & (F.col("fetched") < F.coalesce("max_jobs", F.lit(2**31 - 1)))).alias("complete_snapshot"), F.lit(started_at).alias("started_at"),
+    )
+
+
+def batch_document(run_table: DataFrame, rows: DataFrame, changes: DataFrame) -> DataFrame:
+    """One row: sources, successes, runs, review queue and observations of a batch, for write.json.
+
+    rows: records() of the batch; changes: rows with ingestion_change, of which new and updated ones are for review.
+    Observations of failed sources stay out. The nested lists are one document's, so their size is what a reader asked for.
+    """
+    fine = rows.where("error is null and problem is null").join(run_table.where("success").select("source_instance"), "source_instance", "left_semi")
+    pack = lambda df: df.agg(F.collect_list(F.struct(*df.columns)).alias("x"))
+    counts = run_table.agg(F.count("*").alias("sources"), F.count_if("success").alias("successes"), F.collect_list(F.struct(*run_table.columns)).alias("runs"))
+    queue = pack(changes.where("ingestion_change in ('new', 'updated')")).select(F.size("x").alias("review_queue_count"), F.col("x").alias("review_queue"))
+    return counts.crossJoin(queue).crossJoin(pack(fine.drop("error", "problem", "max_jobs")).select(F.col("x").alias("observations")))  # one row each
+
+
+def spec_registry_ids(source_id: Column, registry_source_id: Column) -> Column:
+    """Sorted ids of the register that a source spec needs: its own, and those of its option, a text or a list (VARIANT)."""
+    one = F.when(F.schema_of_variant(registry_source_id) == "STRING", F.array(F.try_variant_get(registry_source_id, "$", "string")))
+    many = F.try_variant_get(registry_source_id, "$", "array<string>")
+    every = F.concat(F.array(source_id), F.coalesce(one, many, F.array().cast("array<string>")))
+    return F.array_sort(F.array_distinct(F.filter(F.transform(every, lambda x: F.trim(x)), lambda x: x != "")))

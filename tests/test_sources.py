@@ -18,6 +18,7 @@ PAYLOADS = {
     "remotive": {"jobs": [{"id": 6, "title": "Dev", "url": "https://x.example/r", "company_name": "Acme"}]},
     "remoteok": [{"legal": "x"}, {"id": "7", "position": "Dev", "url": "https://x.example/o", "company": "Acme", "salary_min": 0, "salary_max": 0}],
     "publicfeed": {"data": [{"slug": "p", "title": "Dev", "url": "https://x.example/p", "company_name": "Acme", "remote": True}, {"slug": "q", "title": "Office", "url": "https://x.example/q", "remote": False}]},
+    "workingnomads": [{"url": "https://www.workingnomads.com/job/go/123/", "title": "Dev", "company_name": "Acme", "pub_date": "2026-09-01"}],
     "personio": "<workzag-jobs><position><id>3</id><name>Dev</name><office>Remote NL</office><jobDescriptions><jobDescription><name>You</name><value>&lt;b&gt;PHP&lt;/b&gt;</value></jobDescription></jobDescriptions></position></workzag-jobs>",
     "weworkremotely": RSS, "wordpressjobs": RSS, "teamtailor": RSS, "jobicy_rss": RSS,
 }
@@ -40,9 +41,9 @@ def test_every_provider(spark):
 
 def test_pages(spark):
     html = '<html lang="nl"><head><title>t</title><script type="application/ld+json">{"@graph":[{"@type":"JobPosting","title":"Dev","hiringOrganization":{"name":"Acme"},"employmentType":["B","A","A"]}]}</script></head><body><p>See &eacute;n<div hidden>no <form></form></div><a href="/a">one <b>two</b></a><br></body>'
-    df = spark.createDataFrame([(1, html), (2, None), (3, "<a <<<")], "page_id int, html string").withColumn("p", pages.page(F.col("html")))
-    r = df.where("page_id = 1").select("p.*", pages.job_postings(F.col("p.json_ld")).alias("j")).first()
-    assert (r.lang, r.text, r.has_form, [tuple(a) for a in r.anchors], len(r.j)) == ("nl", "See én one two", False, [("/a", "one two")], 1)
+    df = spark.createDataFrame([(1, html), (2, None), (3, "<a <<<")], "page_id int, html string").withColumn("p", pages.page(F.col("html"))).withColumn("a", pages.anchors(F.col("html")))
+    r = df.where("page_id = 1").select("p.*", "a", pages.job_postings(F.col("p.json_ld")).alias("j")).first()
+    assert (r.lang, r.text, r.has_form, [tuple(a) for a in r.a], len(r.j)) == ("nl", "t See én one two", False, [("/a", "one two")], 1)
     s = df.where("page_id = 1").select(pages.posting_signals(pages.job_postings(F.col("p.json_ld"))[0]).alias("s")).first().s
     assert (s.title, s.organization, s.employment_types) == ("Dev", "Acme", ["A", "B"])
     assert df.count() == 3
@@ -60,3 +61,27 @@ def test_requirements_and_geography(spark):
     assert {r.l: r.g for r in df.collect()} == geo
     cells = spark.createDataFrame([("=1+1",), ("ok",), (None,)], "x string").select(review.safe_cell(F.col("x")).alias("y"))
     assert [r.y for r in cells.collect()] == ["'=1+1", "ok", ""]
+
+
+def test_quarantine_and_runs(spark):
+    good = lambda k: {"slug": k, "title": "Dev", "url": f"https://www.arbeitnow.com/jobs/{k}", "remote": True}
+    odd = [{**good("a"), "slug": s, "url": u} for s, u in (("x", "https://evil.example/jobs"), ("y", "https://arbeitnow.co.uk/j"), ("z", "http://www.arbeitnow.com/j"))]
+    feed = {"data": [good("a"), good("a"), *odd, {"slug": "n"}, "text", good("b")]}
+    rows = [
+        ("arbeitnow-api", "board", "publicfeed", "main", None, None, "en", 50, 0, json.dumps(feed)), ("remotejobs-org", "board", "publicfeed", "main", None, None, "en", 50, 0, json.dumps(feed)),
+        ("greenhouse", "ats", "greenhouse", "acme", None, None, "en", 2, 0, json.dumps(PAYLOADS["greenhouse"])), ("lever", "ats", "lever", "acme", None, None, "en", 9, 0, json.dumps(PAYLOADS["lever"])),
+        ("ashby", "ats", "ashby", "acme", None, None, "en", 9, 0, "{broken"),
+    ]
+    got = providers.records(spark.createDataFrame(rows, RAW), "2026-09-06T00:00:00+00:00").cache()
+    problems = sorted((r.source_id, str(r.problem)) for r in got.where("provider = 'publicfeed' and source_id = 'arbeitnow-api'").collect())
+    assert [p for _, p in problems] == sorted(["None", "repeated", "untrusted_host", "uk_apex", "malformed", "filtered", "filtered", "None"])
+    by = {r.source_instance + r.registry_source_ids[0]: r for r in providers.runs(got, "2026-09-06").collect()}
+    a, b, g, v, h = (by[k] for k in ("publicfeed:mainarbeitnow-api", "publicfeed:mainremotejobs-org", "greenhouse:acmegreenhouse", "lever:acmelever", "ashby:acmeashby"))
+    assert (a.success, a.normalized, a.quarantine_count, a.complete_snapshot) == (True, 2, 3, False)
+    assert (b.success, b.normalized, b.failure_message) == (False, 0, "Unexpected public feed job URL: malformed")
+    assert (g.success, g.fetched, g.complete_snapshot, v.complete_snapshot) == (True, 2, False, True)
+    assert (h.success, h.failure_category, h.failure_message) == (False, "parsing_or_adapter_failure", "malformed_json")
+    doc = providers.batch_document(providers.runs(got, "x"), got, got.where("problem is null").withColumn("ingestion_change", F.lit("new"))).first()
+    assert (doc.sources, doc.successes, len(doc.runs)) == (5, 3, 5) and {o.source_id for o in doc.observations} == {"arbeitnow-api", "greenhouse", "lever"}
+    ids = spark.createDataFrame([("s", '"x"'), ("s", '["b", " a ", "s", ""]'), ("s", None), ("s", "{}")], "i string, o string").select(providers.spec_registry_ids(F.col("i"), F.try_parse_json("o")).alias("r"))
+    assert [r.r for r in ids.collect()] == [["s", "x"], ["a", "b", "s"], ["s"], ["s"]]
