@@ -99,12 +99,17 @@ def query_plan(left: DataFrame, right: DataFrame, n_left: int, n_right: int, bud
 
 
 def two_lanes(specs: DataFrame, lane: Column, limit: int, *order: Column) -> DataFrame:
-    """Half of the limit from lane true, the rest from the others, then filled up in the common order."""
-    ranked = specs.withColumn("_lane", lane).withColumn("_g", F.row_number().over(W.orderBy(*order))).withColumn("_l", F.row_number().over(W.partitionBy("_lane").orderBy(*order)))
+    """Half of the limit from lane true, the rest from the others, then filled up in the common order; with rank in it.
+
+    Only the first rows of each lane can be chosen, so all but these are left to a top-k per lane.
+    """
+    x = specs.withColumn("_lane", lane)
+    top = x.where("_lane").orderBy(*order).limit(limit).union(x.where("not _lane").orderBy(*order).limit(limit))
+    ranked = top.withColumn("_g", F.row_number().over(W.orderBy(*order))).withColumn("_l", F.row_number().over(W.partitionBy("_lane").orderBy(*order)))
     half = max(1, limit // 2)
     first = ranked.withColumn("_in", F.col("_l") <= F.when(F.col("_lane"), half).otherwise(limit - half))
     filled = first.withColumn("_f", F.row_number().over(W.orderBy(F.desc("_in"), "_g"))).where(F.col("_f") <= limit)
-    return filled.drop("_lane", "_l", "_in", "_f").withColumnRenamed("_g", "rank")
+    return filled.withColumn("rank", F.row_number().over(W.orderBy("_g"))).drop("_lane", "_l", "_in", "_f", "_g")
 
 
 def half_open(reported: DataFrame, registered: DataFrame, key: str) -> DataFrame:

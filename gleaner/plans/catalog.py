@@ -15,7 +15,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from gleaner.functions import urls
-from gleaner.operators import assessment, canonical, coverage, ranking, requirements, review, screening, state
+from gleaner.operators import assessment, canonical, coverage, planning, ranking, requirements, review, screening, state
 from gleaner.operators.graph import shared_dir
 from gleaner.sources import pages as html_pages
 
@@ -490,6 +490,59 @@ def q45(spark, sf_dir):
     return j.select("n_nationkey", requirements.geography(place).alias("geo"))
 
 
+# ---------------------------------------------------------------- providers: parts as postings of every provider
+def payloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """raw payloads: every provider lists the parts of each size."""
+    k, name, city = F.col("p_partkey").cast("string"), F.col("p_name"), F.col("p_brand")
+    url = F.concat(F.lit("https://jobs.example.org/j/"), k)
+    obj = lambda **kw: F.struct(*[v.alias(n) for n, v in kw.items()])
+    html = F.concat(F.lit("<p>"), name, F.lit(" &amp; more</p>"))
+    own = {
+        "greenhouse": ("jobs", obj(id=k, title=name, absolute_url=url, location=obj(name=city), content=html)),
+        "lever": ("", obj(id=k, text=name, hostedUrl=url, categories=obj(location=city), workplaceType=F.lit("remote"), description=html)),
+        "ashby": ("jobs", obj(id=k, title=name, jobUrl=url, location=city, workplaceType=F.when(F.col("p_partkey") % 2 == 0, "Remote").otherwise("Hybrid"), descriptionHtml=html)),
+        "smartrecruiters": ("content", obj(id=k, name=name, applyUrl=url, location=obj(city=city, remote=F.col("p_partkey") % 2 == 0))),
+        "workable": ("results", obj(shortcode=k, title=name, url=url, locations=F.array(obj(city=city), obj(city=F.lit("X"))), description=html)),
+        "himalayas": ("jobs", obj(guid=k, title=name, applicationLink=url, companyName=F.col("p_type"), locationRestrictions=F.array(city, F.lit("BE")), description=html)),
+        "jobicy": ("jobs", obj(id=k, jobTitle=name, url=url, companyName=F.col("p_type"), jobGeo=city, jobDescription=html)),
+        "remotive": ("jobs", obj(id=k, title=name, url=url, company_name=F.col("p_type"), candidate_required_location=city, description=html)),
+        "remoteok": ("", obj(id=k, position=name, url=url, company=F.col("p_type"), location=city, description=html)),
+        "publicfeed": ("data", obj(slug=k, title=name, url=F.concat(F.lit("https://remotejobs.org/j/"), k), company_name=F.col("p_type"), location=city, description=html, remote=F.lit(True))),
+        "workingnomads": ("", obj(title=name, url=F.concat(F.lit("https://www.workingnomads.com/job/go/"), k), company_name=F.col("p_type"), location=city, description=html)),
+    }
+    tag = lambda n, x: F.concat(F.lit(f"<{n}>"), x, F.lit(f"</{n}>"))
+    safe = F.lit("&lt;p&gt;"), name, F.lit(" &amp;amp; more&lt;/p&gt;")
+    item = tag("item", F.concat(tag("title", name), tag("link", F.concat(url, F.lit("/jobs/"), k)), tag("guid", k), tag("company", F.col("p_type")), tag("region", city), tag("description", F.concat(*safe))))
+    position = tag("position", F.concat(tag("id", k), tag("name", name), tag("office", F.concat(F.lit("Remote "), city)), tag("jobDescriptions", tag("jobDescription", F.concat(tag("name", F.lit("You")), tag("value", F.concat(*safe)))))))
+    part, out = read(spark, sf_dir, "part"), None
+    xml = {**{a: ("<rss><channel>", item, "</channel></rss>") for a in ("weworkremotely", "wordpressjobs", "teamtailor", "jobicy_rss")}, "personio": ("<workzag-jobs>", position, "</workzag-jobs>")}
+    made = [F.collect_list(x).alias(a) for a, (_, x) in own.items()] + [F.array_join(F.collect_list(x), "").alias(a) for a, (_, x, _) in xml.items()]
+    lists = part.groupBy("p_size", (F.col("p_partkey") % 20).alias("p_page")).agg(*made)  # a provider's page; real ones are bounded by the provider
+    text = {a: F.concat(F.lit(f'{{"{w}":' if w else ""), F.to_json(a), F.lit("}" if w else "")) for a, (w, _) in own.items()} | {a: F.concat(F.lit(b), F.col(a), F.lit(e)) for a, (b, _, e) in xml.items()}
+    every = lists.select(F.concat_ws("-", "p_size", "p_page").alias("account"), F.explode(F.create_map(*[x for a, t in text.items() for x in (F.lit(a), t)])).alias("adapter", "payload"))
+    return every.select(
+        F.when(F.col("adapter") == "publicfeed", "remotejobs-org").otherwise(F.concat(F.lit("s-"), "adapter")).alias("source_id"), F.lit("ats").alias("source_type"), "adapter", "account",
+        F.lit(None).cast("string").alias("employer"), F.lit(None).cast("string").alias("endpoint"), F.lit("en").alias("listing_language"), F.lit(None).cast("int").alias("max_jobs"), F.lit(0).alias("page"), "payload",
+    )
+
+
+@query(
+    "q84_provider_observations",
+    """WITH a AS (SELECT unnest(['greenhouse', 'lever', 'ashby', 'smartrecruiters', 'workable', 'himalayas', 'jobicy', 'remotive', 'remoteok', 'publicfeed', 'workingnomads', 'weworkremotely', 'wordpressjobs', 'teamtailor', 'jobicy_rss', 'personio']) AS provider),
+    ranked AS (SELECT *, p_size || '-' || p_partkey % 20 AS account FROM part)
+    SELECT provider, account || ':' || p_partkey AS source_job_id, p_name AS title,
+      CASE WHEN provider IN ('greenhouse', 'lever', 'ashby', 'smartrecruiters', 'workable', 'personio') THEN account ELSE p_type END AS employer,
+      CASE provider WHEN 'workable' THEN p_brand || ' / X' WHEN 'himalayas' THEN p_brand || ', BE' WHEN 'personio' THEN 'Remote ' || p_brand ELSE p_brand END AS location,
+      CASE WHEN provider IN ('greenhouse', 'workable', 'workingnomads', 'wordpressjobs') THEN NULL WHEN provider IN ('ashby', 'smartrecruiters') THEN p_partkey % 2 = 0 ELSE true END AS remote,
+      CASE provider WHEN 'smartrecruiters' THEN NULL WHEN 'personio' THEN 'You ' || p_name || ' & more' ELSE p_name || ' & more' END AS description
+    FROM ranked, a""",
+)
+def q84(spark, sf_dir):
+    from gleaner.sources import providers
+
+    return providers.observations(payloads(spark, sf_dir), "2001-08-01T00:00:00+00:00").select("provider", "source_job_id", "title", "employer", "location", "remote", "description")
+
+
 # ---------------------------------------------------------------- official pages and assessments
 @query("q80_proof_digest", """SELECT o_orderkey, sha256('{"key":' || o_orderkey || ',"nested":{"a":null,"status":"' || o_orderstatus || '"},"who":[' || o_custkey || ']}') AS digest FROM orders""")
 def q80(spark, sf_dir):
@@ -614,7 +667,7 @@ def q52(spark, sf_dir):
 @query(
     "q53_two_lane_selection",
     """WITH r AS (SELECT p_partkey, p_size >= 45 AS lane, row_number() OVER (ORDER BY p_retailprice DESC, p_partkey) AS g, row_number() OVER (PARTITION BY p_size >= 45 ORDER BY p_retailprice DESC, p_partkey) AS l FROM part),
-    i AS (SELECT *, row_number() OVER (ORDER BY (l <= 10) DESC, g) AS f FROM r) SELECT p_partkey, g AS rank FROM i WHERE f <= 20""",
+    i AS (SELECT *, row_number() OVER (ORDER BY (l <= 10) DESC, g) AS f FROM r) SELECT p_partkey, row_number() OVER (ORDER BY g) AS rank FROM i WHERE f <= 20""",
 )
 def q53(spark, sf_dir):
     p = read(spark, sf_dir, "part").select("p_partkey", "p_size", "p_retailprice")
@@ -667,6 +720,89 @@ def q57(spark, sf_dir):
     return coverage.half_open(a, read(spark, sf_dir, "nation").select(F.col("n_nationkey").alias("k")), "k")
 
 
+def spec_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("s_suppkey")
+    return read(spark, sf_dir, "supplier").select(F.concat(F.lit("src:"), k).alias("instance"), F.concat(F.lit("src"), k).alias("source_id"), F.when(k % 3 == 0, "ats").otherwise("board").alias("source_type"), F.when(k % 2 == 0, "high").otherwise("low").alias("priority"), (-k).alias("position"))
+
+
+@query(
+    "q58_batch_plan",
+    """WITH s AS (SELECT 'src:' || s_suppkey AS instance, s_suppkey % 3 = 0 AS ats, row_number() OVER (ORDER BY s_suppkey % 3 <> 0, s_suppkey % 2 <> 0, s_suppkey DESC) AS g FROM supplier),
+    n AS (SELECT count(*) FILTER (ats) AS a, count(*) FILTER (NOT ats) AS f FROM s),
+    l AS (SELECT *, row_number() OVER (PARTITION BY ats ORDER BY g) - 1 AS i FROM s),
+    x AS (SELECT *, CASE WHEN ats THEN f ELSE a END AS theirs FROM l, n),
+    y AS (SELECT *, theirs // 3 AS full_turns, theirs % 3 AS left_over, i - (theirs // 3) * 3 AS over FROM x),
+    p AS (SELECT *, CASE WHEN over < 0 THEN i // 3 WHEN over < 6 - left_over THEN full_turns ELSE full_turns + 1 + (over - (6 - left_over)) // 6 END AS turn FROM y),
+    o AS (SELECT instance, row_number() OVER (ORDER BY turn, NOT ats, i) - 1 AS k, count(*) OVER () AS total FROM p),
+    w AS (SELECT instance, (((k - (2 * 12) % total) % total) + total) % total AS turn FROM o)
+    SELECT instance, turn, turn // 6 AS batch FROM w WHERE turn < 12""",
+)
+def q58(spark, sf_dir):
+    order = planning.spec_order(["ats", "board"], [])
+    return planning.plan_batches(spec_table(spark, sf_dir), F.col("source_type") == "ats", order, max_sources=12, size=6, round_index=2).select("instance", "turn", "batch")
+
+
+def source_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    k = F.col("c_custkey")
+    c = read(spark, sf_dir, "customer").select(k, F.concat(F.lit("s"), k).alias("source_id"), F.when(k % 11 == 0, "retired").when(k % 13 == 0, "odd").otherwise("active").alias("status"), F.when(k % 7 == 0, "application_evidence").otherwise("company").alias("source_type"))
+    routed = coverage.routes(c, k % 3 == 0, k % 3 == 1)
+    return routed.withColumn("execution", F.when((F.col("coverage_route") == "google_site_discovery_only") & (k % 2 == 0), "google_query_planned_not_executed").otherwise(F.col("execution")))
+
+
+_SOURCES = """src AS (SELECT c_custkey AS k, 's' || c_custkey AS source_id, CASE WHEN c_custkey % 11 = 0 THEN 'retired' WHEN c_custkey % 13 = 0 THEN 'odd' ELSE 'active' END AS status,
+  CASE WHEN c_custkey % 11 = 0 THEN 'excluded_inactive' WHEN c_custkey % 13 = 0 THEN 'excluded_unrecognized_status' WHEN c_custkey % 7 = 0 THEN 'non_vacancy_evidence' WHEN c_custkey % 3 = 0 THEN 'public_adapter'
+    WHEN c_custkey % 3 = 1 THEN 'google_site_discovery_only' ELSE 'missing_safe_public_site' END AS route FROM customer),
+  att AS (SELECT 's' || o_custkey AS source_id, o_orderstatus <> 'F' AS ok, o_orderkey % 5 = 0 AS probe, (o_orderkey % 10) AS links FROM orders),
+  per AS (SELECT source_id, bool_or(ok) AS ok, bool_or(probe) AS probe, bool_or(ok AND links > 0) AS found FROM att GROUP BY source_id)"""
+
+
+def attempt_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    o = read(spark, sf_dir, "orders")
+    k = F.col("o_orderkey")
+    return o.select(
+        (F.col("o_orderstatus") != "F").alias("success"), F.when(k % 5 == 0, "public_landing_probe_only").otherwise("api").alias("attempt_kind"), (k % 10).alias("candidate_links_unverified"),
+        F.when(k % 2 == 0, F.array(F.concat(F.lit("s"), "o_custkey"))).alias("registry_source_ids"), F.concat(F.lit("s"), "o_custkey", F.lit(":main")).alias("source_instance"),
+    )
+
+
+@query(
+    "q59_coverage_completion",
+    f"""WITH {_SOURCES}, e AS (SELECT src.source_id, CASE
+      WHEN route = 'public_adapter' AND ok IS NOT NULL THEN CASE WHEN ok THEN 'direct_attempt_succeeded' ELSE 'direct_attempt_failed' END WHEN route = 'public_adapter' THEN 'not_selected_within_round_limit'
+      WHEN coalesce(probe, false) THEN CASE WHEN found THEN 'public_job_links_discovered_unverified' WHEN ok THEN 'public_landing_reachable_listing_unverified' ELSE 'public_landing_probe_failed' END
+      WHEN route = 'google_site_discovery_only' AND k % 2 = 0 THEN 'google_query_not_executed_or_provider_blocked' WHEN route IN ('excluded_inactive', 'excluded_unrecognized_status') THEN 'excluded'
+      WHEN route = 'non_vacancy_evidence' THEN 'not_applicable' ELSE 'not_attempted' END AS execution FROM src LEFT JOIN per ON src.source_id = per.source_id)
+    SELECT execution, count(*) AS sources FROM e GROUP BY execution""",
+)
+def q59(spark, sf_dir):
+    return planning.execution_counts(planning.complete(source_table(spark, sf_dir), attempt_table(spark, sf_dir), "blocked", "run"))
+
+
+@query(
+    "q65_coverage_summary",
+    f"""WITH {_SOURCES} SELECT count(*) AS registered_total, count(*) FILTER (status = 'active') AS active_total, count(*) FILTER (status = 'retired') AS inactive_total, count(*) FILTER (route = 'public_adapter') AS adapter_registered,
+      count(*) FILTER (route = 'google_site_discovery_only') AS google_site_eligible, count(*) FILTER (route = 'google_site_discovery_only' AND k % 2 = 0) AS google_site_planned,
+      count(*) FILTER (route = 'google_site_discovery_only' AND k % 2 <> 0) AS google_site_unplanned, count(*) FILTER (route = 'non_vacancy_evidence') AS non_vacancy, count(*) FILTER (route = 'missing_safe_public_site') AS unavailable_public_site FROM src""",
+)
+def q65(spark, sf_dir):
+    return planning.coverage_summary(source_table(spark, sf_dir))
+
+
+@query(
+    "q66_unmeasured_sources",
+    f"""WITH {_SOURCES}, seen AS (SELECT DISTINCT 's' || o_custkey AS source_id FROM orders WHERE o_orderkey % 4 = 0 AND o_orderdate >= TIMESTAMP '1995-01-01') SELECT route AS coverage_route, count(*) AS sources FROM src WHERE status = 'active' AND source_id NOT IN (SELECT source_id FROM seen) GROUP BY route""",
+)
+def q66(spark, sf_dir):
+    from datetime import datetime, timezone
+
+    k, day = F.col("o_orderkey"), F.date_format(F.add_months("o_orderdate", 12 * 25), "yyyy-MM-dd")
+    attempts = read(spark, sf_dir, "orders").select(
+        F.when(k % 4 == 0, F.parse_json(F.lit("true"))).otherwise(F.parse_json(F.lit('"yes"'))).alias("success"),
+        F.concat(day, F.lit("T10:00:00+02:00")).alias("started_at"), F.array(F.concat(F.lit("s"), "o_custkey")).alias("registry_source_ids"), F.lit("x").alias("source_instance"), (k % 1000).alias("fetched"),
+    )
+    return planning.unmeasured(source_table(spark, sf_dir), planning.valid_attempts(attempts, datetime(2030, 1, 1, tzinfo=timezone.utc)))
+
+
 # ---------------------------------------------------------------- leads
 @query(
     "q60_lead_review_status",
