@@ -212,51 +212,64 @@ def _summed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield out()
 
 
-_WORDS = "shard int, m string, x long, total long, n1 long, n2 long, n3 long, cont long"
-_WORD_NAMES = tuple(f.split()[0] for f in _WORDS.split(", "))
-
-
 def context_counts(index: np.ndarray, n: np.ndarray, size: int) -> list[np.ndarray]:
     """Of every first word its total, and its bigrams counted once, twice, more often."""
     return [np.bincount(index, n, size).astype(np.int64), *(np.bincount(index[(n == k) if k < 3 else (n >= 3)], minlength=size) for k in (1, 2, 3))]
 
 
-def _word_counts(batches: Iterator[pa.RecordBatch], deal: Deal) -> Iterator[pa.RecordBatch]:
-    """Of every word of a shard and model its bigrams as a second word; of hot first words, which have several shards,
-    also the shard's context counts. Word -1 has the numbers of bigrams counted 1, 2, 3 and 4 times."""
+_ASKED = "home int, m string, shard int, grams binary"
+_ASKED_NAMES, _ASKED_TYPES = ("home", "m", "shard", "grams"), (pa.int32(), pa.string(), pa.int32(), pa.binary())
+#: In place of a shard: context counts of hot words and numbers of bigrams by count; figures of a home's words.
+SPECIAL, FIGURES = -1, -2
+
+
+def _asked(batches: Iterator[pa.RecordBatch], deal: Deal) -> Iterator[pa.RecordBatch]:
+    """A shard's words and their bigrams there as second words, for the words' homes."""
     for batch in batches:
         for s, m, g in zip(*(batch.column(x).to_pylist() for x in ("shard", "m", "grams"))):
             b, c, n = unpack(g, 5, 5, 4)
             x, at = np.unique(np.concatenate([b, c]), return_inverse=True)
-            hot = deal.is_hot(x)
-            cols = [np.where(hot, v, 0) for v in context_counts(at[: len(b)], n, len(x))] + [np.bincount(at[len(b) :], minlength=len(x))]
-            few = [int((n == k).sum()) for k in (1, 2, 3, 4)]
-            cols = [np.concatenate([v.astype(np.int64), [e]]) for v, e in zip(cols, [*few, 0])]
-            x = np.concatenate([x.astype(np.int64), [-1]])
-            for lo in range(0, len(x), 50_000):
-                part = [v[lo : lo + 50_000] for v in (x, *cols)]
-                yield pa.record_batch([pa.array(np.full(len(part[0]), s, np.int32)), pa.array([m] * len(part[0]), pa.string()), *map(pa.array, part)], names=_WORD_NAMES)
-
-
-def _packed_words(batches: Iterator[pa.RecordBatch], most: int = 500_000) -> Iterator[pa.RecordBatch]:
-    """(shard, m, x, cont) -> a row per shard and model of what is gathered."""
-    held: list[pa.RecordBatch] = []
+            cont = np.bincount(at[len(b) :], minlength=len(x))
+            home = (_mix(x) % U(deal.shards)).astype(np.int64)
+            rows = [(h, m, s, pack((x[k], 5), (cont[k], 5))) for h, k in _group(home)]
+            hot = np.flatnonzero(deal.is_hot(x))
+            few = np.array([[(n == k).sum()] for k in (1, 2, 3, 4)])
+            own = np.concatenate([np.array([v[hot] for v in context_counts(at[: len(b)], n, len(x))]).reshape(4, -1), few], axis=1).astype(np.int64)
+            names = np.concatenate([x[hot], np.zeros(1, U)])  # no word has number 0: the numbers of bigrams counted 1 to 4 times
+            rows.append((s % deal.shards, m, SPECIAL, pack((names, 8), *((v.view(U), 8) for v in own))))
+            yield _batch(rows, _ASKED_NAMES, _ASKED_TYPES)
+
+
+def _answered(batches: Iterator[pa.RecordBatch], deal: Deal) -> Iterator[pa.RecordBatch]:
+    """Rows sorted by home and model -> what every shard asked for, in full, and figures."""
+    at, held = None, []
 
     def out():
-        t = pa.Table.from_batches(held).combine_chunks()
-        m = t["m"].combine_chunks().dictionary_encode()
-        shard, x, cont = (t[k].to_numpy() for k in ("shard", "x", "cont"))
-        name, rows = m.dictionary.to_pylist(), []
-        for key, k in _group(shard.astype(np.int64) * len(name) + m.indices.to_numpy()):
-            k = k[np.argsort(x[k])]
-            rows.append((key // len(name), name[key % len(name)], pack((x[k], 5), (cont[k], 5))))
-        return _batch(rows, ("shard", "m", "grams"), (pa.int32(), pa.string(), pa.binary()))
+        (_, m), rows = at, []
+        special = [(0, m, SPECIAL, g) for s, g in held if s == SPECIAL]
+        parts = [(s, *unpack(g, 5, 5)) for s, g in held if s != SPECIAL]
+        if parts:
+            x, inv = np.unique(np.concatenate([p[1] for p in parts]), return_inverse=True)
+            cont = np.bincount(inv, np.concatenate([p[2] for p in parts])).astype(np.int64)
+            lo = 0
+            for s, own, _ in parts:
+                rows.append((0, m, s, pack((own, 5), (cont[inv[lo : lo + len(own)]], 5))))
+                lo += len(own)
+            hot = x[deal.is_hot(x)]
+            of, where = deal.copies(hot)  # every part of a hot word needs it, whether it occurs there or not
+            have = cont[np.searchsorted(x, hot)]
+            rows += [(0, m, int(s), pack((hot[i : i + 1], 5), (have[i : i + 1], 5))) for i, s in zip(of, where)]
+            figures = [(cont == k).sum() for k in (1, 2, 3, 4)] + [(cont > 0).sum(), cont.sum(), (cont >= 3).sum(), cont[x == END].sum()]
+            rows.append((0, m, FIGURES, np.array(figures, np.int64).tobytes()))
+        return _batch(rows + special, _ASKED_NAMES, _ASKED_TYPES)
 
-    for b in batches:
-        held.append(b)
-        if sum(x.num_rows for x in held) >= most:
-            yield out()
-            held = []
+    for batch in batches:
+        for h, m, s, g in zip(*(batch.column(x).to_pylist() for x in _ASKED_NAMES)):
+            if (h, m) != at:
+                if held:
+                    yield out()
+                at, held = (h, m), []
+            held.append((s, g))
     if held:
         yield out()
 
@@ -268,21 +281,25 @@ def discounts(n: np.ndarray) -> np.ndarray:
     return np.clip(d, 0.05, [1, 2, 3])
 
 
-def constants(seen: DataFrame, words: DataFrame, deal: Deal) -> dict[str, dict]:
+def constants(answers: DataFrame, deal: Deal) -> dict[str, dict]:
     """Per model: discounts of both orders, total of continuations, probability of unknown words, context counts of the
-    hot words: some hundred numbers each."""
-    cont = F.col("cont")
-    few = [F.count(F.when(cont == k, 1)).alias(f"c{k}") for k in (1, 2, 3, 4)]
-    few += [F.count(F.when(cont > 0, 1)).alias("vocab"), F.sum(cont).alias("cont"), F.count(F.when(cont >= 3, 1)).alias("c3up"), F.sum(F.when(F.col("x") == END, cont).otherwise(0)).alias("end")]
-    special = seen.where(F.col("x").isin([-1, *map(int, deal.hot)])).groupBy("m", "x").agg(*[F.sum(k).alias(k) for k in ("total", "n1", "n2", "n3")]).collect()
-    special = {(r["m"], r["x"]): [r["total"], r["n1"], r["n2"], r["n3"]] for r in special}
+    hot words: some hundred numbers each, from a row per home and shard."""
+    figures: dict[str, np.ndarray] = {}
+    special: dict[tuple[str, int], np.ndarray] = {}
+    for r in answers.where("shard < 0").select("m", "shard", "grams").collect():
+        if r["shard"] == FIGURES:
+            figures[r["m"]] = figures.get(r["m"], 0) + np.frombuffer(r["grams"], np.int64)
+        else:
+            x, *counts = unpack(r["grams"], 8, 8, 8, 8, 8)
+            for word, v in zip(x.tolist(), np.array(counts, np.int64).T):
+                special[r["m"], word] = special.get((r["m"], word), 0) + v
     out = {}
-    for r in words.groupBy("m").agg(*few).collect():
-        d1 = discounts(np.array([r[f"c{k}"] for k in (1, 2, 3, 4)], float))
-        mass = float(d1 @ [r["c1"], r["c2"], r["c3up"]]) / r["cont"]
-        k = out[r["m"]] = {"d1": d1, "d2": discounts(np.array(special[r["m"], -1], float)), "cont": r["cont"], "base": mass / (r["vocab"] + 1)}
-        k["end"] = float(np.log2(p1(np.array([r["end"]]), k)[0]))  # the end is no first word, so no shard has it
-        k["hot"] = np.array([special.get((r["m"], int(x)), [0] * 4) for x in deal.hot]).reshape(-1, 4)
+    for m, f in figures.items():
+        d1 = discounts(f[:4].astype(float))
+        mass = float(d1 @ [f[0], f[1], f[6]]) / f[5]
+        k = out[m] = {"d1": d1, "d2": discounts(special[m, 0].astype(float)), "cont": int(f[5]), "base": mass / (int(f[4]) + 1)}
+        k["end"] = float(np.log2(p1(f[7:8], k)[0]))  # the end is no first word, so no shard has it
+        k["hot"] = np.array([special.get((m, int(x)), np.zeros(4, np.int64)) for x in deal.hot]).reshape(-1, 4)
     return out
 
 
@@ -398,17 +415,12 @@ def train(docs: DataFrame, trusted: DataFrame) -> Model:
     rows = text.mapInArrow(zipped, "doc_id long, m string, z binary").join(trusted.hint("merge"), "doc_id", "left_semi")
     counted = rows.select("m", "z").mapInArrow(lambda it: _counted(it, deal), _GRAMS)
     grams = stash(counted.repartition(shards, "shard").sortWithinPartitions("shard", "m").mapInArrow(_summed, _GRAMS), "bigrams")
-    seen = grams.mapInArrow(lambda it: _word_counts(it, deal), _WORDS)
-    words = stash(seen.where("x >= 0").groupBy("m", "x").agg(F.sum("cont").alias("cont")), "words")
-    known = constants(seen, words, deal)
-    of, where = deal.copies(deal.hot)  # every part of a hot word needs it, whether it occurs there or not
-    hot = spark.createDataFrame(sorted({(int(deal.hot[i]), int(s)) for i, s in zip(of, where)}), "x long, shard int")
-    asked = seen.where("x >= 0").select("m", "x", "shard")
-    whole = asked.join(words, ["m", "x"]).union(words.join(F.broadcast(hot), "x").select("m", "x", "shard", "cont"))
-    asked = stash(whole.select("shard", "m", "x", "cont").mapInArrow(_packed_words, _GRAMS), "asked")
-    both = asked.withColumn("kind", F.lit(0)).unionByName(grams.withColumn("kind", F.lit(1)))
+    asked = grams.mapInArrow(lambda it: _asked(it, deal), _ASKED).repartition(shards, "home").sortWithinPartitions("home", "m")
+    answers = stash(asked.mapInArrow(lambda it: _answered(it, deal), _ASKED), "words")
+    known = constants(answers, deal)
+    both = answers.where("shard >= 0").select("shard", "m", "grams", F.lit(0).alias("kind")).unionByName(grams.withColumn("kind", F.lit(1)))
     model = stash(both.repartition(shards, "shard").sortWithinPartitions("shard", "m", "kind").mapInArrow(lambda it: _weights(it, known, deal, segment), _MODEL), "model")
-    discard(grams, words, asked)
+    discard(grams, answers)
     return Model(model, known, deal, segment)
 
 
