@@ -66,14 +66,24 @@ def pair_keys(b: np.ndarray, c: np.ndarray) -> np.ndarray:
     return _mix(_mix(b) + (c & U(2**32 - 1)))
 
 
+_tools: dict = {}
+
+
+def _tool(kind, **options):
+    """One compressor a process: each holds megabytes."""
+    if kind not in _tools:
+        _tools[kind] = kind(**options)
+    return _tools[kind]
+
+
 def pack(*columns: tuple[np.ndarray, int]) -> bytes:
     """Columns of whole numbers as planes of bytes (width each), compressed."""
     planes = [np.ascontiguousarray(a.astype("<u8").view(np.uint8).reshape(-1, 8)[:, :w].T).tobytes() for a, w in columns]
-    return zstandard.ZstdCompressor(level=1).compress(b"".join(planes))
+    return _tool(zstandard.ZstdCompressor, level=1).compress(b"".join(planes))
 
 
 def unpack(data: bytes, *widths: int) -> list[np.ndarray]:
-    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(data), np.uint8)
+    raw = np.frombuffer(_tool(zstandard.ZstdDecompressor).decompress(data), np.uint8)
     n, at, out = len(raw) // sum(widths), 0, []
     for w in widths:
         a = np.zeros((n, 8), np.uint8)
@@ -168,7 +178,7 @@ def _batch(rows: list[tuple], names: tuple[str, ...], types: tuple) -> pa.Record
 def _counted(batches: Iterator[pa.RecordBatch], deal: Deal) -> Iterator[pa.RecordBatch]:
     """(m, z: compressed text) -> bigram counts per shard and model."""
     blocks: dict[str, Block] = {}
-    unzip = zstandard.ZstdDecompressor()
+    unzip = _tool(zstandard.ZstdDecompressor)
 
     def out(m: str, block: Block) -> pa.RecordBatch:
         words, _, b, c = block.pairs()
@@ -407,7 +417,7 @@ def train(docs: DataFrame, trusted: DataFrame) -> Model:
     segment = FILTER_MB * 2**23 // shards
 
     def zipped(batches):
-        z = zstandard.ZstdCompressor(level=1)
+        z = _tool(zstandard.ZstdCompressor, level=1)
         for b in batches:
             yield pa.record_batch([b.column("doc_id"), b.column("m"), pa.array([z.compress(t.encode()) if t else b"" for t in b.column("text").to_pylist()], pa.binary())], names=["doc_id", "m", "z"])
 

@@ -1,14 +1,22 @@
 """Exact top-k search by no-random-access aggregation over sorted lists.
 
 Vectors are dealt into blocks of rows; each block is searched by each block of queries in a task of its own, and a
-query's block winners are merged by rank. Inside a block every dimension is a list sorted by its share of the score.
-Lists are read to growing depths; what has been read gives each row a lower bound (unread shares at the list's least)
-and an upper bound (unread shares at the list's last value read). Rows whose upper bound is under the k-th lower bound
-are outsiders; when few enough rows are left the scores of these are resolved in full.
+query's block winners are merged by rank. So rows and queries are sent once per block of the other side, and work is
+rows x queries at worst.
+
+Inside a block every dimension is a list sorted by its share of the score. A query reads its lists in growing steps,
+those first that hold most of what is unknown.
+What it has read of a row gives a lower bound (unread shares at their lists' worst) and an upper bound (unread shares at
+the last value read); rows not met at all have the sum of the last values as upper bound. Rows whose upper bound is
+under the k-th lower bound are outsiders and are not looked at again. Once rows not met are outsiders and few others
+are left, the scores of these are resolved and the query stops. A query that has met half of the block reads to the
+end, which is one product of the whole block; when the first `TRIES` queries of a block all do so, as on vectors without
+structure, the others start there.
 
 Vectors that are null or hold null, NaN or infinite components take no part, nor do vectors of another dimension than
 the query's. Repeated vec_ids: one query each (the smallest vector), every row with another id is a candidate. Ties go
-to the smaller vec_id. Further columns are ignored; an empty table gives an empty result.
+to the smaller vec_id. Components or scores beyond 64 bits are an error. Further columns are ignored; an empty table
+gives an empty result.
 """
 
 from __future__ import annotations
@@ -23,51 +31,81 @@ from pyspark.sql import functions as F
 
 from gleaner.llm.common import table
 
-#: Parts of a list's length that are read before its end.
-DEPTHS = (8, 2)
-
-
-def nra(x: np.ndarray, ids: np.ndarray, q: np.ndarray, own: np.ndarray, k: int) -> list[tuple[np.ndarray, np.ndarray]]:
-    """For each query (row of q) the rows of x with the k highest inner products, and these.
-
-    Whether a list's value has been read depends on its rank and the sign of the query's component only, so the bounds
-    of all rows under all queries are a few matrix products. Sums are exact: below 2**53 as doubles, else as integers.
-    """
-    n, d = x.shape
-    top = int(np.abs(x).max(initial=0)) * int(np.abs(q).max(initial=0)) * max(1, d)
-    kind = np.float64 if top < 2**53 else np.int64
-    x, up, down = x.astype(kind), np.maximum(q, 0).T.astype(kind), np.minimum(q, 0).T.astype(kind)
-    mine = ids[:, None] == own[None, :]
-    out_of_reach = -(2**62) if kind is np.int64 else -np.inf
-    order = np.argsort(x, axis=0, kind="stable")
-    rank = np.empty_like(order)
-    np.put_along_axis(rank, order, np.arange(n)[:, None], axis=0)
-    ranked = np.take_along_axis(x, order, axis=0)
-    alive = None
-    for part in DEPTHS:
-        t = n // part
-        if t <= k:
-            break
-        high, low = rank >= n - t, rank < t  # read from the front of lists in falling and rising order
-        read = np.where(high, x, 0) @ up + np.where(low, x, 0) @ down
-        upper = read + (~high).astype(kind) @ (up * ranked[n - t][:, None]) + (~low).astype(kind) @ (down * ranked[t - 1][:, None])
-        lower = read + (~high).astype(kind) @ (up * ranked[0][:, None]) + (~low).astype(kind) @ (down * ranked[-1][:, None])
-        lower[mine], upper[mine] = out_of_reach, out_of_reach
-        alive = (upper >= np.partition(lower, n - k, axis=0)[n - k]) & ~mine
-        if alive.sum(axis=0).max(initial=0) <= 4 * k:
-            break  # outsiders can't qualify under any query
-        alive = None
-    out = []
-    score = None if alive is not None else x @ (up + down)
+FIRST_DEPTH, TRIES = 16, 16
+
+
+class Lists:
+    """A block's vectors with every dimension's sorted list."""
+
+    def __init__(self, x: np.ndarray, ids: np.ndarray, largest_query: int):
+        top = int(np.abs(x).max(initial=0)) * largest_query * max(1, x.shape[1])
+        if top >= 2**63:
+            raise OverflowError("inner products do not fit 64 bits")
+        # sums are exact: below 2**53 as doubles, else as integers
+        self.x, self.ids = x.astype(np.float64 if top < 2**53 else np.int64), ids
+        self.order = np.argsort(x, axis=0, kind="stable")
+        self.rank = np.empty_like(self.order)
+        np.put_along_axis(self.rank, self.order, np.arange(len(x))[:, None], axis=0)
+        self.ranked = np.take_along_axis(self.x, self.order, axis=0)
+
+    def stop_early(self, q: np.ndarray, own: int, k: int) -> np.ndarray | None:
+        """Rows that hold the k best of one query, found without reading all; None if the lists would be read to the end."""
+        n, d = self.x.shape
+        use = np.flatnonzero(q)
+        q, up = q[use].astype(self.x.dtype), q[use] > 0
+        worst = np.where(up, self.ranked[0, use], self.ranked[-1, use])
+        best = np.where(up, self.ranked[-1, use], self.ranked[0, use])
+        out = np.zeros(n, bool)
+        t = np.zeros(len(use), np.int64)
+        while True:
+            at = np.maximum(t, 1)
+            edge = np.where(t > 0, self.ranked[np.where(up, n - at, at - 1), use], best)
+            unknown = np.abs((edge - worst) * q)
+            deeper = unknown * 4 * len(use) >= unknown.sum()
+            if not deeper.any() or not unknown.any():
+                return None
+            t = np.where(deeper, np.minimum(n, np.maximum(FIRST_DEPTH, 4 * t)), t)
+            parts = [self.order[n - m :, i] if rising else self.order[:m, i] for i, m, rising in zip(use, t.tolist(), up) if m]
+            met = np.unique(np.concatenate(parts))
+            if 2 * len(met) > n:
+                return None
+            met = met[(self.ids[met] != own) & ~out[met]]
+            at = np.maximum(t, 1)
+            edge = np.where(t > 0, self.ranked[np.where(up, n - at, at - 1), use], best)
+            r, v = self.rank[np.ix_(met, use)], self.x[np.ix_(met, use)]
+            read = np.where(up, r >= n - t, r < t)
+            upper, lower = np.where(read, v, edge) @ q, np.where(read, v, worst) @ q
+            if len(met) > k:
+                bar = np.partition(lower, len(met) - k)[len(met) - k]
+                out[met[upper < bar]] = True
+                left = met[upper >= bar]
+                if edge @ q < bar and len(left) <= max(8 * k, n // 50):
+                    return left
+
+
+def nra(x: np.ndarray, ids: np.ndarray, q: np.ndarray, own: np.ndarray, k: int) -> tuple[list[tuple[np.ndarray, np.ndarray]], int]:
+    """For each query (row of q) the rows of x with the k highest inner products, and these; how many stopped early."""
+    lists = Lists(x, ids, int(np.abs(q).max(initial=0)))
+    found: list[np.ndarray | None] = []
+    early = 0
     for j in range(len(q)):
-        at = np.flatnonzero(alive[:, j] if alive is not None else ~mine[:, j])
-        s = x[at] @ (up[:, j] + down[:, j]) if score is None else score[at, j]
+        found.append(None if j >= TRIES and not early else lists.stop_early(q[j], own[j], k))
+        early += found[-1] is not None
+    rest = [j for j, f in enumerate(found) if f is None]
+    whole = dict(zip(rest, (lists.x @ q[rest].T.astype(lists.x.dtype)).T)) if rest else {}
+    out = []
+    for j, at in enumerate(found):
+        if at is None:
+            at = np.flatnonzero(ids != own[j])
+            s = whole[j][at]
+        else:
+            s = lists.x[at] @ q[j].astype(lists.x.dtype)
         if len(at) > k:
             fit = s >= np.partition(s, len(s) - k)[len(s) - k]
             at, s = at[fit], s[fit]
         best = np.lexsort((ids[at], -s))[:k]
         out.append((at[best], s[best].astype(np.int64)))
-    return out
+    return out, early
 
 
 def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, scale: int = 1024, row_block: int = 8192, query_block: int = 512) -> DataFrame:
@@ -75,7 +113,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, scale: int = 1024
 
     def whole(df: DataFrame) -> DataFrame:
         fine = "vec_id is not null and embedding is not null and forall(embedding, x -> x is not null and not isnan(x) and abs(cast(x as double)) < double('infinity'))"
-        return df.where(fine).select("vec_id", F.expr(f"transform(embedding, x -> cast(floor({scale} * cast(x as double)) as bigint))").alias("v"))
+        return df.where(fine).select("vec_id", F.expr(f"transform(embedding, x -> if(abs({scale} * cast(x as double)) < 9e18D, cast(floor({scale} * cast(x as double)) as bigint), cast(raise_error('a component does not fit 64 bits') as bigint)))").alias("v"))
 
     rows, asked = whole(vectors), whole(queries).groupBy("vec_id").agg(F.min("v").alias("v"))
     n_rows, n_asked = rows.count(), asked.count()
@@ -89,7 +127,7 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 10, scale: int = 1024
             rows, asks = a[a["v"].map(len) == d], b[b["v"].map(len) == d]
             x, q = (np.stack(p["v"].to_numpy()).astype(np.int64).reshape(len(p), d) for p in (rows, asks))
             ids, own = rows["vec_id"].to_numpy(), asks["vec_id"].to_numpy()
-            for qid, (at, score) in zip(own, nra(x, ids, q, own, k)):
+            for qid, (at, score) in zip(own, nra(x, ids, q, own, k)[0]):
                 out.append(pd.DataFrame({"query_id": qid, "vec_id": ids[at], "score": score}))
         return pd.concat(out) if out else pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype("int64")
 

@@ -248,6 +248,28 @@ def test_top_k(spark):
     assert topk.top_k(e.limit(0), e.limit(0)).count() == 0
 
 
+def test_lists_are_read_in_part_where_vectors_have_structure():
+    rng = np.random.default_rng(6)
+    n, d, k = 6000, 32, 10
+    ids = np.arange(n)
+    for decay, least in ((0.5, 25), (1.0, 0)):
+        x = np.floor(1024 * rng.standard_t(3, (n, d)) * decay ** np.arange(d)).astype(np.int64)
+        q, own = x[:50], ids[:50]
+        got, early = topk.nra(x, ids, q, own, k)
+        assert early >= least
+        for j, (at, score) in enumerate(got):
+            s = x @ q[j]
+            s[j] = -(2**62)
+            best = np.lexsort((ids, -s))[:k]
+            assert at.tolist() == best.tolist() and score.tolist() == s[best].tolist()
+
+
+def test_scores_beyond_64_bits_are_an_error(spark):
+    e = spark.createDataFrame([(100, [1e17, 1.0]), (1, [1.0, 1.0])], "vec_id long, embedding array<double>")
+    with pytest.raises(Exception, match="64 bits"):
+        topk.top_k(e, e.where("vec_id = 100")).collect()
+
+
 # ------------------------------------------------------------------ 4
 def test_ids_are_those_of_the_other_library(small, docs):
     import public_tokenizers as P
