@@ -543,6 +543,73 @@ def q84(spark, sf_dir):
     return providers.observations(payloads(spark, sf_dir), "2001-08-01T00:00:00+00:00").select("provider", "source_job_id", "title", "employer", "location", "remote", "description")
 
 
+@query(
+    "q85_importer_leads",
+    """WITH a AS (SELECT unnest(['greenhouse', 'ashby', 'lever', 'smartrecruiters', 'remoteok', 'himalayas', 'jobicy', 'remotive', 'personio', 'weworkremotely', 'wordpressjobs']) AS adapter),
+    p AS (SELECT *, p_size || '-' || p_partkey % 20 AS account FROM part)
+    SELECT adapter, account || ':' || p_partkey AS job_id, account AS employer, p_name AS title,
+      CASE adapter WHEN 'personio' THEN 'https://' || account || '.jobs.personio.com/job/' || p_partkey WHEN 'weworkremotely' THEN 'https://jobs.example.org/j/' || p_partkey || '/jobs/' || p_partkey
+        WHEN 'wordpressjobs' THEN 'https://jobs.example.org/j/' || p_partkey || '/jobs/' || p_partkey ELSE 'https://jobs.example.org/j/' || p_partkey END AS url,
+      CASE adapter WHEN 'himalayas' THEN p_brand || ', BE' WHEN 'personio' THEN 'Remote ' || p_brand WHEN 'weworkremotely' THEN '' WHEN 'wordpressjobs' THEN '' ELSE p_brand END AS location
+    FROM p, a WHERE NOT (adapter = 'ashby' AND p_partkey % 2 = 1)""",
+)
+def q85(spark, sf_dir):
+    from gleaner.sources import importer
+
+    return importer.candidates(payloads(spark, sf_dir)).select("adapter", "job_id", "employer", "title", "url", "location")
+
+
+@query(
+    "q86_lead_urls",
+    """WITH u AS (SELECT o_orderkey, 'https://jobs.example.org/' || CASE o_orderkey % 4 WHEN 0 THEN 'careers' WHEN 1 THEN 'jobs/page/2' ELSE 'r/' || o_orderkey END AS base FROM orders)
+    SELECT o_orderkey, base || '?b=' || o_orderkey || '&a=1' AS url, o_orderkey % 4 < 2 AS shared, CASE WHEN o_orderkey % 4 < 2 THEN 'web:s:' || base || '?b=' || o_orderkey || '&a=1:role:acme%3A%3Adev%20' || o_orderkey ELSE 'web:s:' || o_orderkey END AS key FROM u""",
+)
+def q86(spark, sf_dir):
+    from gleaner.sources import importer
+
+    k = F.col("o_orderkey")
+    path = F.when(k % 4 == 0, "careers/").when(k % 4 == 1, "jobs/page/2/").otherwise(F.concat(F.lit("r/"), k))
+    raw = F.concat(F.lit("https://jobs.example.org/"), path, F.lit("?utm_source=x&b="), k, F.lit("&gclid=1&a=1#top"))
+    o = read(spark, sf_dir, "orders").select("o_orderkey", importer.lead_url(raw).alias("url"))
+    job = F.when(k % 4 >= 2, k.cast("string"))
+    return o.select("o_orderkey", "url", importer.shared_page(F.col("url")).alias("shared"), importer.observation_key(F.lit("web"), F.lit("s"), job, F.col("url"), F.lit("ACME"), F.concat(F.lit("Dev #"), k)).alias("key"))
+
+
+@query(
+    "q87_landing_scan",
+    """SELECT s_suppkey, s_suppkey % 3 <> 0 AS success, CASE s_suppkey % 3 WHEN 0 THEN 'public_landing_probe_failed' WHEN 1 THEN 'public_html_job_link_discovery' ELSE 'public_landing_probe_only' END AS attempt_kind,
+      CASE WHEN s_suppkey % 3 = 0 THEN 'rate_limited' END AS failure_category, CASE WHEN s_suppkey % 3 = 1 THEN 1 ELSE 0 END::BIGINT AS links FROM supplier WHERE s_nationkey % 5 <> 0""",
+)
+def q87(spark, sf_dir):
+    from gleaner.sources import importer
+
+    k = F.col("s_suppkey")
+    s = read(spark, sf_dir, "supplier").select(
+        k, F.concat(F.lit("s"), k).alias("source_id"), F.lit("employer_direct").alias("source_type"), F.col("s_name").alias("source_name"), F.concat(F.lit("https://s"), k, F.lit(".example.com/jobs")).alias("base_url"),
+        F.lit("active").alias("status"), (F.col("s_nationkey") % 5 == 0).alias("covered"),
+    )
+    link = F.concat(F.lit('<a href="/vacancy/'), k, F.lit('-wp">WordPress <b>developer</b></a><a href="/about">WordPress news</a><a href="/x">Developer</a>'))
+    fetched = s.select(F.col("base_url").alias("url"), F.when(k % 3 == 0, 429).otherwise(200).alias("http_status"), F.lit("text/html").alias("content_type"), F.when(k % 3 == 1, link).otherwise("<p>nothing</p>").alias("html"))
+    attempts, _ = importer.landing_scan(s.drop("covered"), s.where("covered"), fetched, "2001-08-01")
+    ids = s.select("source_id", k)
+    return attempts.select(F.col("registry_source_ids")[0].alias("source_id"), "success", "attempt_kind", "failure_category", F.col("candidate_links_unverified").cast("long").alias("links")).join(ids, "source_id").drop("source_id")
+
+
+@query(
+    "q88_register_sheet",
+    """SELECT c_custkey, c_mktsegment AS segment, coalesce(CASE WHEN c_custkey % 3 <> 0 THEN c_name END, '') AS phone FROM customer WHERE c_custkey % 7 <> 0""",
+)
+def q88(spark, sf_dir):
+    from gleaner.sources import register
+
+    k = F.col("c_custkey")
+    c = read(spark, sf_dir, "customer")
+    blank = k % 7 == 0
+    cells = c.select(k.alias("row"), F.explode(F.array(*[F.struct(F.lit(i).alias("column"), v.alias("value")) for i, v in enumerate((F.when(~blank, k.cast("string")), F.when(~blank, F.col("c_mktsegment")), F.when(~blank & (k % 3 != 0), F.col("c_name"))))])).alias("c")).select("row", "c.*")
+    head = spark.createDataFrame([(0, 0, "c_custkey"), (0, 1, "segment "), (0, 2, "phone")], "row long, column int, value string")
+    return register.checked_table(head.union(cells), ("c_custkey",)).select(F.col("c_custkey").cast("long").alias("c_custkey"), "segment", "phone")
+
+
 # ---------------------------------------------------------------- official pages and assessments
 @query("q80_proof_digest", """SELECT o_orderkey, sha256('{"key":' || o_orderkey || ',"nested":{"a":null,"status":"' || o_orderstatus || '"},"who":[' || o_custkey || ']}') AS digest FROM orders""")
 def q80(spark, sf_dir):
