@@ -115,7 +115,8 @@ def connected_components(edges: DataFrame, max_rounds: int = 200, chunk: int = 5
         .select(F.col("u").cast("long"), F.col("v").cast("long"))
     )
     shrink = lambda df: df.mapInArrow(lambda it: _contracted(it, chunk), "u long, v long")
-    pair = stash(shrink(shrink(pair).hint("rebalance")), "cc")
+    files = max(1, int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 8)  # contracted edges are few and short
+    pair = stash(shrink(shrink(pair).hint("rebalance")), "cc", files)
     rounds = 0
     while _unfinished(pair):
         if (rounds := rounds + 1) > max_rounds:
@@ -128,6 +129,6 @@ def connected_components(edges: DataFrame, max_rounds: int = 200, chunk: int = 5
         small = _with_least(large, limit).select(
             F.explode(F.array(F.struct("u", F.col("m").alias("v")), F.struct(F.col("v").alias("u"), F.col("m").alias("v")))).alias("e")
         )
-        pair = stash(shrink(small.select("e.*").where("u <> v").distinct()), "cc")
+        pair = stash(shrink(small.select("e.*").where("u <> v").distinct()), "cc", files)
     stars = pair.select(F.col("u").alias("node"), F.col("v").alias("component"))
     return stars.union(stars.select(F.col("component"), F.col("component"))).distinct()
