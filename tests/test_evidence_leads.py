@@ -12,7 +12,7 @@ GOOD = (1, "confirmed_current_public_ats", evidence.MATCHING, "2026-09-01", Fals
 
 
 def test_blockers_and_exclusion(spark):
-    bad = (2, None, evidence.MATCHING, "2026-07-01", True, "confirmed", None, "You spend 40% of your time on travel.", "allowed", ["India"], 404, True, "de", None, None, None)
+    bad = (2, None, evidence.MATCHING, "2026-07-01", True, "confirmed", None, "You travel 40% of your time.", "allowed", ["India"], 404, True, "de", None, None, None)
     closed = (3, None, "closed_at_exact_ats_route", *[None] * 13)
     df = spark.createDataFrame([GOOD, bad, closed], PAGE).select("id", evidence.blockers(TODAY, POLICY).alias("b"), evidence.page_exclusion(TODAY, POLICY).alias("x")).orderBy("id").collect()
     assert df[0].b == ["employer_required_work_languages", "verified_core_duties_and_score_anchors"] and df[0].x is None
@@ -24,6 +24,15 @@ def test_blockers_and_exclusion(spark):
     assert (df[1].x, df[2].x) == ("official_job_expired", "official_job_route_closed") and "original_publication_date" in df[2].b
 
 
+def test_travel_and_residency(spark):
+    travel = [("Travelling for customers 25-30 % of the time", True), ("Travel up to 50%.", False), ("travel costs: 100% reimbursed", False), ("travel 15%", False), ("20% of the team likes travel", False), ("travel. Also 40%", False), (None, False), ("travel 10%, later travel 20%", True)]
+    got = spark.createDataFrame(travel, "t string, want boolean").select("want", evidence.substantial_travel(F.col("t")).alias("x")).collect()
+    assert [r.x for r in got] == [r.want for r in got]
+    live = [("We are only considering experienced candidates based in the United States.", True), ("Applicants must currently be located in Canada", True), ("Our office is in Canada", False), ("Employees must reside in the EU", False), (None, False)]
+    got = spark.createDataFrame(live, "t string, want boolean").select("want", evidence.exclusive_residency(F.col("t")).alias("x")).collect()
+    assert [r.x for r in got] == [r.want for r in got]
+
+
 def test_official_status(spark):
     df = spark.createDataFrame([(True, "Remote, Europe", None, None, "2026-07-01", "en"), (False, "x", True, None, None, None), (True, "Hybrid", None, "x", "2026-09-09", "de")], "from_official_feed boolean, location string, remote boolean, workplace_type string, published_at string, listing_language string")
     got = [tuple(r[0]) for r in df.select(evidence.official_status(TODAY, POLICY).alias("s")).collect()]

@@ -85,3 +85,47 @@ def test_quarantine_and_runs(spark):
     assert (doc.sources, doc.successes, len(doc.runs)) == (5, 3, 5) and {o.source_id for o in doc.observations} == {"arbeitnow-api", "greenhouse", "lever"}
     ids = spark.createDataFrame([("s", '"x"'), ("s", '["b", " a ", "s", ""]'), ("s", None), ("s", "{}")], "i string, o string").select(providers.spec_registry_ids(F.col("i"), F.try_parse_json("o")).alias("r"))
     assert [r.r for r in ids.collect()] == [["s", "x"], ["a", "b", "s"], ["s"], ["s"]]
+
+
+def test_clauses_languages_and_years(spark):
+    ask = lambda f, x: spark.createDataFrame([(x,)], "x string").select(f(F.col("x")).alias("y")).first().y
+    spec = lambda x, candidate=False: [tuple(s) for s in ask(lambda c: requirements.language_specs(c, candidate), x)]
+    assert spec("Fluent English and Dutch B2") == [("en", "fluent"), ("nl", "b2")] and spec("English, Dutch") == [("en", "unparsed"), ("nl", "unparsed")] and spec("English C1 or native") == [("en", "unparsed")]
+    assert spec("English is nice") == [("en", "unspecified")] and spec("English is nice", True) == [] and spec("I speak English", True) == [("en", "unspecified")] and spec("English, Dutch", True) == [] and spec("PHP") == []
+    years = lambda x: ask(requirements.scoped_years, x)
+    assert tuple(years("3+ years of experience with PHP")) == (3.0, "php") and tuple(years("2.5 jaar ervaring met Docker")) == (2.5, "docker") and tuple(years("4 years of strong PHP experience")) == (4.0, "php")
+    assert years("3 years of experience with PHP or Python") is None and years("3 years PHP, 2 years Docker") is None and years("PHP, 5 years old") is None and years("3 years of experience with PHP and Docker") is None
+    level = spark.createDataFrame([("c1", "c2", True), ("c2", "c1", False), ("fluent", "fluent", True), ("fluent", "c2", False), ("unspecified", "a1", True), ("unparsed", "unparsed", False)], "r string, h string, want boolean")
+    assert all(x.want == x.got for x in level.select("want", requirements.level_matches(F.col("r"), F.col("h")).alias("got")).collect())
+    tags = lambda x: ask(requirements.skill_tags, x)
+    assert tags("git_flow and github") == ["git"] and tags("git-flow") == ["git"] and tags("legit") == []
+
+
+def test_evidence_and_dimensions(spark):
+    kind = "evidence_id string, claim string, source_type string, source_ref string, source_locator string, confidence string, active string, verified_at string"
+    row = lambda i, claim="Built WordPress plugins", **kw: tuple({**dict(evidence_id=i, claim=claim, source_type="github", source_ref="r", source_locator="l", confidence="high", active="TRUE", verified_at="2026-01-01"), **kw}.values())
+    rows = [row("a"), row("b"), row("b"), row("c", confidence="low"), row("d", active="no"), row("e", verified_at="2027-01-01"), row("f", claim="No experience with php"), row("g", source_type="library_cv"), row("h", source_type="library_cv", source_ref="file_" + "0" * 32), row("i", source_type="canonical_cv"), row("j", claim="I plan to learn PHP"), row("k", verified_at="soon")]
+    df = spark.createDataFrame(rows, kind)
+    assert sorted(r.evidence_id for r in requirements.verified_evidence(df, "2026-09-06").collect()) == ["a", "h"]
+    assert sorted(r.evidence_id for r in requirements.verified_evidence(df, "2026-09-06", "r").collect()) == ["a", "h", "i"]
+    assert requirements.strong_evidence_count(df, ["wordpress_ecosystem"]).first()[0] == 6
+    text = "About us\nWe like Python.\nRequirements: 3 years of experience with PHP. Fluent English and Dutch B2. Portfolio of WordPress projects. No experience required with Ruby.\nNice to have: Docker.\nResponsibilities: You build WordPress plugins. We are async-first."
+    said = spark.createDataFrame([("I have 4 years of experience with PHP.",), ("I speak native English. Dutch C1.",), ("Built WordPress plugins.",), ("Not familiar with Docker",)], "claim string")
+    got = {(r.dimension, r.item or (r.skills or [""])[0], r.level): r.candidate_evidence for r in requirements.requirement_dimensions(spark.createDataFrame([(1, text)], "ordinal int, description string"), said).collect()}
+    assert got == {
+        ("mandatory_skills", "php", None): "present", ("mandatory_skills", "wordpress", None): "present", ("experience_years", "php", None): "present", ("languages", "en", "fluent"): "unknown", ("languages", "nl", "b2"): "present",
+        ("projects", "wordpress", None): "present", ("optional_skills", "docker", None): "unknown", ("responsibilities", "develop", None): "present", ("work_style", "asynchronous_collaboration", None): "unknown",
+    }
+    place = lambda loc, rest, text, kind="board", ats=False: spark.createDataFrame([(loc, rest, text, kind)], "l string, r array<string>, d string, k string").select(requirements.region_conflict(F.col("l"), F.col("r"), F.col("d"), F.col("k"), ats).alias("x")).first().x
+    assert place("Remote", ["USA", "Canada"], "") == "explicit_discovery_region_list" and place("India", None, "") == "restricted_discovery_location" and place("Remote", ["USA", "Europe"], "") is None
+    assert place("Remote", None, "We only hire people in Brazil") == "explicit_discovery_residency_requirement" and place("Europe", None, "We only hire people in Brazil") is None
+    assert place("India", None, "", "ats") is None and place("India", None, "", "ats", True) == "restricted_discovery_location"
+
+
+def test_relevance_and_reasons(spark):
+    rel = lambda t, d: spark.createDataFrame([(t, d)], "t string, d string").select(review.relevant(F.col("t"), F.col("d"), F.lit("")).alias("x")).first().x
+    assert rel("Web developer", "work with WordPress") and not rel("Web developer", "WordPress is what we work with") and rel("Web developer", "WordPress sites to build") and not rel("Head of WordPress", "")
+    lead = lambda loc, d: spark.createDataFrame([(loc, d)], "l string, d string").select(review.lead_status(F.lit(1000.0), F.col("l"), F.col("d"), F.lit(2000.0)).alias("x")).first().x
+    assert tuple(lead("Remote", "work anywhere in Europe")) == ("remote_nl_unknown_review", False, "Full remote and NL eligibility still unverified")
+    assert tuple(lead("Remote", "work from anywhere in Europe")) == ("needs_official_review", True, "Recent remote/NL signal; official verification still required")
+    assert lead("Hybrid, Utrecht", "").reason == "Location indicates hybrid/on-site"
