@@ -7,8 +7,9 @@ length under a tree is the exact sum over all its bytes; the shortest one wins,
 and the score is its share of probability against the other languages. Bytes that no sample holds are one symbol, as
 all trees treat them alike, so a context's tables are dense and texts are scored whole with three look-ups a byte.
 
-Sample: per language `per_lang` documents at most, of `max_bytes` bytes at most, the first by a hash of the id; no
-document with crc32(doc_id) mod 4 = 2 is among them. Both bounds limit what the driver holds.
+Sample: per language `per_lang` documents at most, the first by a hash of the id and text, and of each at most its first
+`max_bytes` bytes, so that languages of long documents are learned too; no document with crc32(doc_id) mod 4 = 2 is
+among them. Both bounds limit what the driver holds for a language; a repeated doc_id counts by row.
 
 Text that is null or has no letter gives `und` and score 0, as does every text when nothing could be learned. A null
 doc_id is not held out and not learned from. Repeated rows are answered each; further columns are ignored.
@@ -94,19 +95,15 @@ def predict(model: tuple, data: np.ndarray, starts: np.ndarray, ends: np.ndarray
 
 
 def training_sample(docs: DataFrame, per_lang: int = 96, max_bytes: int = 16384, salts: int = 16) -> dict[str, list[bytes]]:
-    """Bounded by languages x per_lang x max_bytes. Picked by id first, so that texts are not shuffled."""
-    fit = docs.where(F.col("lang").isNotNull() & F.col("text").rlike("\\p{L}") & (crc32_id() % 4 != 2) & (F.octet_length("text") <= max_bytes))
-    key = F.xxhash64(F.col("doc_id"), F.lit("langid"))
+    """Bounded by languages x per_lang x max_bytes. Picked by id and hash first, so that texts are not shuffled."""
+    fit = docs.where(F.col("lang").isNotNull() & F.col("text").rlike("\\p{L}") & (crc32_id() % 4 != 2))
+    key = F.xxhash64(F.col("doc_id"), F.lit("langid"), F.col("text"))
     order = W.partitionBy("lang", "salt").orderBy("key", "doc_id")
-    ids = (
-        fit.select("lang", "doc_id", key.alias("key"), F.pmod(key, F.lit(salts)).alias("salt"))
-        .withColumn("r", F.row_number().over(order))
-        .where(F.col("r") <= max(1, per_lang // salts))
-        .select("doc_id")
-        .distinct()
-    )
+    keyed = fit.select("lang", "doc_id", key.alias("key"), F.pmod(key, F.lit(salts)).alias("salt"))
+    ids = keyed.withColumn("r", F.row_number().over(order)).where(F.col("r") <= max(1, per_lang // salts)).select("doc_id", "key").distinct()
     out: dict[str, list[bytes]] = {}
-    rows = fit.join(F.broadcast(ids), "doc_id").select("lang", "doc_id", F.col("text").cast("binary").alias("t")).collect()
+    part = F.substring(F.col("text").cast("binary"), 1, max_bytes).alias("t")
+    rows = fit.withColumn("key", key).join(F.broadcast(ids), ["doc_id", "key"]).select("lang", "doc_id", part).distinct().collect()
     for r in sorted(rows, key=lambda r: (r["lang"], r["doc_id"], bytes(r["t"]))):
         out.setdefault(r["lang"], []).append(bytes(r["t"]))
     return out

@@ -9,7 +9,7 @@ row at the cut is taken in part.
 Targets share the mix in proportion to the weights 1, 2, 3, 1, ... (sources by code point, null last), up to
 `max_epochs` times a source's own size; what is over goes to the others by weight until none is above.
 
-Null and empty texts have size 0 and are taken 0 times; a source without words has target 0. Rows with equal id and
+The windows over all sources hold one row per source. Null and empty texts have size 0 and are taken 0 times; a source without words has target 0. Rows with equal id and
 source tie by size and then stand in any order, which gives the same set of rows. Empty tables give empty results.
 """
 
@@ -55,14 +55,15 @@ def targets(sizes: DataFrame, share: float = 1.0, weights: tuple[int, ...] = (1,
     return rest.select(*_SRC, "source_size", target.alias("target"))
 
 
-def mix(docs: DataFrame, share: float = 1.0, weights: tuple[int, ...] = (1, 2, 3), max_epochs: int = 3, seed: str = "mix") -> DataFrame:
-    """doc_id, source, size, source_size, target, taken of every row."""
+def mix(docs: DataFrame, share: float = 1.0, weights: tuple[int, ...] = (1, 2, 3), max_epochs: int = 3, seed: str = "mix", keep: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id, source, size, source_size, target, taken of every row, and the columns `keep`."""
     digits = 3  # 4096 ranges of the key
     rows = docs.select(
         "doc_id",
         F.col("source").isNull().alias("no_source"),
         F.coalesce("source", F.lit("")).alias("src"),
         word_count(F.col("text")).alias("size"),
+        *[F.col(c).alias(f"keep_{c}") for c in keep],
     ).withColumn("key", F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit("")), "src").cast("binary")))
     rows = rows.withColumn("range", F.substring("key", 1, digits))
     per_range = rows.groupBy(*_SRC, "range").agg(F.sum("size").alias("range_size"))
@@ -84,6 +85,7 @@ def mix(docs: DataFrame, share: float = 1.0, weights: tuple[int, ...] = (1, 2, 3
             "source_size",
             "target",
             taken.cast("long").alias("taken"),
+            *[F.col(f"keep_{c}").alias(c) for c in keep],
         )
     )
 
@@ -120,14 +122,14 @@ ORACLE_OP7 = "WITH " + ORACLE_MIX.format(docs="documents") + "SELECT doc_id, siz
 def stage_mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Each row as often as its taken words hold it whole, half a document or more counting as one.
 
-    A source that has too few words repeats its documents, so ids can repeat after this stage.
+    A source that has too few words repeats its documents, so ids can repeat after this stage. Rows are told apart by id,
+    source and text; of rows equal in all three every one is taken alike. Null and empty texts, of size 0, go. Columns are
+    carried as they are, whatever their names.
     """
-    plan = mix(docs)
-    # taken never depends on the columns carried, so ids and sources are enough to find a row's copies
-    copies = plan.where("size > 0").select("doc_id", "source", "size", F.floor(F.col("taken") / F.col("size") + 0.5).cast("int").alias("_n"))
-    copies = copies.where("_n > 0")
-    rows = docs.withColumn("size", word_count(F.col("text"))) if "size" not in docs.columns else docs.withColumn("_size", word_count(F.col("text")))
-    size = "size" if "size" not in docs.columns else "_size"
-    c = copies.select(F.col("doc_id").alias("_d"), F.col("source").alias("_s"), F.col("size").alias("_z"), "_n").groupBy("_d", "_s", "_z").agg(F.max("_n").alias("_n"))
-    on = rows["doc_id"].eqNullSafe(c["_d"]) & rows["source"].eqNullSafe(c["_s"]) & (rows[size] == c["_z"])
-    return rows.join(c, on).withColumn("_k", F.explode(F.sequence(F.lit(1), F.col("_n")))).select(docs.columns)
+    text = F.xxhash64(F.coalesce("text", F.lit("")))
+    rows = docs.select(F.struct(*docs.columns).alias("_row"), F.struct(F.col("doc_id").alias("a"), F.col("source").alias("b"), text.alias("c")).alias("_key"))
+    plan = mix(docs.select("doc_id", "source", "text", text.alias("h")), keep=("h",))
+    copies = plan.where("size > 0").select(F.struct(F.col("doc_id").alias("a"), F.col("source").alias("b"), F.col("h").alias("c")).alias("_of"), F.floor(F.col("taken") / F.col("size") + 0.5).cast("int").alias("_n"))
+    copies = copies.groupBy("_of").agg(F.max("_n").alias("_n")).where("_n > 0")
+    taken = rows.join(copies, F.col("_key").eqNullSafe(F.col("_of")))
+    return taken.select("_row", F.explode(F.sequence(F.lit(1), F.col("_n")))).select("_row.*")

@@ -183,4 +183,5 @@ def op4_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def stage_packing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The last stage: places of all pieces of all rows, repeated ones each; texts are found by doc_id in the stage before."""
     return pack(stash(pieces(docs), "pieces"))

@@ -71,3 +71,57 @@ def test_near_dedup_goes_by_row(spark):
     assert kept.columns == df.columns
     assert sorted(map(str, got)) == sorted(map(str, [(1, a), (1, b), (None, rows[4][1]), (3, None)]))
     assert simhash.stage_near_dedup(spark, df.limit(0), "").count() == 0
+
+
+ODD = "doc_id long, text string, lang string, source string, n_chars long, _n long, _of int, _row string, size long"
+
+
+def odd_rows(spark):
+    prose = lambda n, k: invented(n, k)
+    rows = [(None, prose(60, 1), "en", "a", 1), (None, prose(60, 2), "en", None, 1), (1, None, None, "a", 1), (2, "", "en", "b", 1), (3, prose(60, 3), "en", "b", 1), (3, prose(60, 4), "en", "b", 1), (3, prose(60, 4), "en", "b", 2)]
+    rows += [(10 + i, prose(60, 10 + i), "en", ["a", "b", None, "\u00e9"][i % 4], 1) for i in range(20)] + [(50, prose(4000, 50), "en", "a", 1)]
+    return spark.createDataFrame([(*r, 7, 8, "r", 9) for r in rows], ODD)
+
+
+def test_mixing_stage_takes_whole_rows(spark):
+    from gleaner.llm import mixing
+
+    df = odd_rows(spark)
+    out = mixing.stage_mixing(spark, df, "")
+    assert out.columns == df.columns
+    want = {}
+    plan = mixing.mix(df.select("doc_id", "source", "text", F.xxhash64("text").alias("h")), keep=("h",)).collect()
+    for r in plan:
+        if r["size"]:
+            key = (r.doc_id, r.source, r.h)
+            want[key] = max(want.get(key, 0), int(r.taken / r["size"] + 0.5))
+    got = {}
+    for r in out.select("doc_id", "source", F.xxhash64("text").alias("h"), "n_chars").collect():
+        got[r.doc_id, r.source, r.h, r.n_chars] = got.get((r.doc_id, r.source, r.h, r.n_chars), 0) + 1
+    have = {(r.doc_id, r.source, r.h, r.n_chars) for r in df.select("doc_id", "source", F.xxhash64("text").alias("h"), "n_chars").collect()}
+    assert got == {k: want[k[:3]] for k in have if want.get(k[:3])}
+    assert mixing.stage_mixing(spark, df.limit(0), "").count() == 0
+
+
+def test_pipeline_with_odd_tables(spark, tmp_path):
+    """Null and repeated ids, null texts, clashing columns, very long texts; and empty tables."""
+    import corpus_pipeline
+
+    for name, df in (("odd", odd_rows(spark)), ("none", odd_rows(spark).limit(0))):
+        folder = str(tmp_path / name)
+        df.write.parquet(f"{folder}/documents.parquet")
+        spark.createDataFrame([(10 + i, 1, 0) for i in range(20)], "doc_id long, quality int, toxic int").write.parquet(f"{folder}/labels.parquet")
+        rows = corpus_pipeline.run(spark, folder).collect()
+        assert bool(rows) == (name == "odd")
+        if rows:
+            ids = {r.doc_id for r in rows}
+            assert {3, None, 50} <= ids and not {1, 2} & ids
+            assert sum(r.length for r in rows if r.sequence_id == rows[0].sequence_id) <= 2048
+
+
+def test_long_documents_are_learned_from(spark):
+    from gleaner.llm import langid
+
+    rows = [(i, invented(9000, i), "xx") for i in range(12)] + [(100 + i, "de het een van en " * 40, "nl") for i in range(12)] + [(5, invented(9000, 5), "xx")] * 3
+    sample = langid.training_sample(spark.createDataFrame(rows, "doc_id long, text string, lang string"), max_bytes=1000)
+    assert set(sample) == {"xx", "nl"} and max(map(len, sample["xx"])) == 1000 and len(sample["xx"]) <= 12
