@@ -1,4 +1,7 @@
-"""Command line: rank a JSON document from standard input, or time an ingest of synthetic records."""
+"""Command line: rank a JSON document from standard input, ingest payloads, filter specs, show coverage and state, time an ingest.
+
+Files are read and written by Spark, so any path that it knows will do; JSON files hold one object a line or one array.
+"""
 
 from __future__ import annotations
 
@@ -13,7 +16,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from gleaner.operators import ranking, state
+from gleaner import runner
+from gleaner.operators import planning, ranking, state
+from gleaner.sources import register
 
 _FLAGS = ("fully_remote", "geography_compatible", "wordpress_related", "ai_workflow_related", "web_design_related", "central_hard_mismatch")
 _TEXT = ("title", "url", "canonical_url", "posted_date", "listing_language", "application_language")
@@ -53,13 +58,63 @@ def synthetic(spark: SparkSession, n: int) -> DataFrame:
     )
 
 
+#: Commands over files and their options; a question mark ends those that can be left out.
+COMMANDS = {
+    "ingest": ("payloads", "state", "now", "out?"),
+    "filter-specs": ("specs", "register", "out"),
+    "source-coverage": ("specs", "register", "out"),
+    "export": ("state", "out"),
+}
+RAW = "source_id string, source_type string, adapter string, account string, employer string, endpoint string, listing_language string, max_jobs int, page int, payload string"
+SPECS = "source_id string, source_type string, adapter string, account string, options variant"
+
+
+def read_json(spark: SparkSession, path: str, schema: str) -> DataFrame:
+    return spark.read.schema(schema).option("multiLine", "true").json(path)
+
+
+def serve(spark: SparkSession, args: argparse.Namespace) -> int:
+    """0 if all that was asked for could be done, 2 if a source failed or was blocked."""
+    show = lambda df: print(json.dumps([json.loads(r[0]) for r in df.select(F.to_json(F.struct(*df.columns))).collect()]))
+    if args.command == "export":
+        for name, df in runner.export(state.State.load(spark, args.state)).items():
+            df.coalesce(1).write.mode("overwrite").json(f"{args.out}/{name}")
+        return 0
+    if args.command == "ingest":
+        old = state.State.load(spark, args.state)
+        raw = read_json(spark, args.payloads, RAW).withColumn("page", F.coalesce("page", F.lit(0)))
+        run = runner.ingest(spark, raw, old, f"run-{args.now}", args.now)
+        run.state.save(args.state, "v" + "".join(c for c in args.now if c.isdigit()))
+        if args.out:
+            run.document().coalesce(1).write.mode("overwrite").json(args.out)
+        show(planning.attempt_audit(run.runs))
+        return 0 if run.runs.where("not success").limit(1).count() == 0 else 2
+    specs = read_json(spark, args.specs, SPECS)
+    active = register.active_sources(read_json(spark, args.register, "source_id string, status string, source_type string"))
+    if args.command == "filter-specs":
+        fine, blocked = runner.admitted(specs, active)
+        fine.drop("spec_id", "required", "missing", "accepted").coalesce(1).write.mode("overwrite").json(args.out)
+        show(blocked.select("source_id", "account", "missing"))
+        return 0 if fine.limit(1).count() else 2
+    modes = runner.source_coverage(specs, active)
+    modes.coalesce(1).write.mode("overwrite").json(args.out)
+    show(modes.groupBy("execution_mode").agg(F.count("*").alias("sources")))
+    return 0 if modes.where("execution_mode = 'blocked'").limit(1).count() == 0 else 2
+
+
 def main(argv: list[str] | None = None) -> int:
     parser = argparse.ArgumentParser(prog="gleaner")
     sub = parser.add_subparsers(dest="command", required=True)
     sub.add_parser("rank")
     sub.add_parser("benchmark").add_argument("--records", type=int, default=10_000)
+    for name, options in COMMANDS.items():
+        p = sub.add_parser(name)
+        for o in options:
+            p.add_argument(f"--{o.rstrip('?')}", required=not o.endswith("?"))
     args = parser.parse_args(argv)
     spark = SparkSession.builder.appName("gleaner").getOrCreate()
+    if args.command in COMMANDS:
+        return serve(spark, args)
     if args.command == "rank":
         print(json.dumps(rank(spark, json.load(sys.stdin))))
         return 0
