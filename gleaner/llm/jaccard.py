@@ -107,7 +107,7 @@ def _links(batches: Iterator[pa.RecordBatch], least: float) -> Iterator[pa.Recor
         yield links()
 
 
-def near_copies(docs: DataFrame, width: int = 5, least: float = 0.8, block: int = 1 << 20) -> DataFrame:
+def near_copies(docs: DataFrame, width: int = 5, least: float = 0.8, block: int = 1 << 19) -> DataFrame:
     """node, component of the texts that have near copies; component is the smallest node (text_hash()) of the group."""
     bounded_batches(docs.sparkSession)
     text = docs.select(text_hash().alias("node"), F.coalesce("text", F.lit("")).cast("binary").alias("t"))

@@ -134,7 +134,7 @@ def _links(batches: Iterator[pa.RecordBatch], least: int, bits: int) -> Iterator
         yield links(*kept)
 
 
-def near_links(nodes: DataFrame, max_bits: int = 4, block: int = 1024) -> DataFrame:
+def near_links(nodes: DataFrame, max_bits: int = 4, block: int = 512) -> DataFrame:
     """(fp, node), one row per fingerprint -> edges (src, dst) that connect what links of at most max_bits connect."""
     if not 0 <= max_bits <= 4:
         raise ValueError("the index of three positional bytes is complete up to 4 differing bits")
