@@ -8,6 +8,9 @@ from pyspark.sql import functions as F
 
 from gleaner.operators.graph import discard, shared_dir, stash  # noqa: F401
 
+# Arrow's own pools keep what was freed; a Python worker beside a full JVM has no room for that.
+pa.set_memory_pool(pa.system_memory_pool())
+
 #: Word separators of the contracts: space and the bytes 09 to 0D.
 WORD = "[^\\x20\\x09-\\x0D]+"
 

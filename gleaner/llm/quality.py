@@ -45,7 +45,7 @@ from pyspark.sql import functions as F
 from gleaner.llm.common import bounded_batches, discard, shuffles, stash, table
 
 NO_LANG = "\x00"
-BLOCK, HOT, FAN, FILTER_MB = 800_000, 64, 16, 16
+BLOCK, HOT, FAN, FILTER_MB = 400_000, 64, 16, 16
 #: Numbers of the start and the end of a text, which no word has.
 START, END = 1, 2
 U = np.uint64
