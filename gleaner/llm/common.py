@@ -40,7 +40,7 @@ def _buf(x: pa.Scalar):
     return x.as_buffer() if x.is_valid else None
 
 
-def bounded_batches(spark: SparkSession, size: str = "4m") -> None:
+def bounded_batches(spark: SparkSession, size: str = "2m") -> None:
     """Python workers get batches of bounded bytes, whatever the length of the texts; plans made from now on use it."""
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", size)
 
