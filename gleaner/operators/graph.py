@@ -103,7 +103,8 @@ def _unfinished(pair: DataFrame) -> bool:
 def connected_components(edges: DataFrame, max_rounds: int = 200, chunk: int = 500_000) -> DataFrame:
     """(src, dst) edges of any direction -> (node, component), the component being its smallest node.
 
-    Every partition first contracts its own edges, `chunk` at a time, to a star per part; what is left goes through
+    Edges are dealt evenly, and every partition contracts its own, `chunk` at a time, to a star per part (behind an
+    exchange, so that no task has two Python workers); what is left goes through
     alternating large-star and small-star rounds, each contracted in the same way and written to the shared folder. Few
     edges lie in one partition and are done at once. Rounds map edges to edges (never pairs of a group) and end when
     what is left are stars; ValueError if they are not after `max_rounds`. Nodes with no edge do not appear. Nulls and
@@ -116,7 +117,7 @@ def connected_components(edges: DataFrame, max_rounds: int = 200, chunk: int = 5
     )
     shrink = lambda df: df.mapInArrow(lambda it: _contracted(it, chunk), "u long, v long")
     files = max(1, int(edges.sparkSession.conf.get("spark.sql.shuffle.partitions")) // 8)  # contracted edges are few and short
-    pair = stash(shrink(shrink(pair).hint("rebalance")), "cc", files)
+    pair = stash(shrink(pair.hint("rebalance")), "cc", files)
     rounds = 0
     while _unfinished(pair):
         if (rounds := rounds + 1) > max_rounds:
