@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from gleaner.llm.common import WORD, shuffles, table
+from gleaner.llm.common import WORD, table
 
 _SRC = ["no_source", "src"]
 
