@@ -19,7 +19,7 @@ def expected(texts):
     return [(len((x or "").encode()), len(t.encode(x or "", add_special_tokens=False).ids)) for x in texts]
 
 
-@pytest.mark.parametrize("block,shard", [(8_000_000, 4_000_000), (40, 30)])
+@pytest.mark.parametrize("block,shard", [(8_000_000, 4_000_000), (40, 60)])
 def test_counts_equal_the_library(spark, block, shard):
     rows = [(i, t) for i, t in enumerate(TEXTS)] + [(4, TEXTS[4]), (None, "no id")]
     docs = spark.createDataFrame(rows, "doc_id long, text string")
