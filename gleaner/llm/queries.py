@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from gleaner.llm import exact_dedup, langid, licenses, mixing, packing, quality, secrets, simhash, substrings, tokens, topk
+from gleaner.llm import exact_dedup, langid, licenses, mixing, packing, quality, secrets, simhash, spelling, substrings, tokens, topk
 
 QUERIES = {
     "op1_secret_scan": secrets.op1_secret_scan,
@@ -15,6 +15,7 @@ QUERIES = {
     "op8_license_scan": licenses.op8_license_scan,
     "op9_language_id": langid.op9_language_id,
     "op10_substring_dedup": substrings.op10_substring_dedup,
+    "op11_spelling_variants": spelling.op11_spelling_variants,
     "op12_token_counts": tokens.op12_token_counts,
 }
 
