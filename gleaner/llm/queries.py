@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from gleaner.llm import exact_dedup, langid, licenses, mixing, packing, quality, secrets, simhash, spelling, substrings, tokens, topk
+from gleaner.llm import conversations, exact_dedup, langid, licenses, mixing, packing, quality, secrets, simhash, spelling, substrings, tokens, topk
 
 QUERIES = {
     "op1_secret_scan": secrets.op1_secret_scan,
@@ -17,10 +17,12 @@ QUERIES = {
     "op10_substring_dedup": substrings.op10_substring_dedup,
     "op11_spelling_variants": spelling.op11_spelling_variants,
     "op12_token_counts": tokens.op12_token_counts,
+    "op13_conversation_trie": conversations.op13_conversation_trie,
 }
 
 ORACLES = {
     "op3_exact_top_k": topk.ORACLE_OP3,
     "op6_exact_dedup": exact_dedup.ORACLE_OP6,
     "op7_source_mixing": mixing.ORACLE_OP7,
+    "op13_conversation_trie": conversations.ORACLE_OP13,
 }

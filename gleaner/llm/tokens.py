@@ -36,7 +36,7 @@ from pyspark.sql import functions as F
 
 from gleaner.llm.common import bounded_batches, shuffles, stash, table
 
-BLOCKS = "block long, words array<string>, word_bytes long, doc_id array<long>, n_bytes array<long>, special array<long>, n_words array<int>, gaps binary, times binary"
+BLOCKS = "block long, sizes binary, letters binary, word_bytes long, doc_id array<long>, n_bytes array<long>, special array<long>, n_words array<int>, gaps binary, times binary"
 _zstd = pa.Codec("zstd", compression_level=1)
 
 
@@ -82,8 +82,8 @@ class Vocabulary:
             found.update(self._found(p))
         return found, len(parts) - 1
 
-    def pieces(self, pre_token: str) -> int:
-        return len(self.model.tokenize(pre_token.encode().decode("latin-1").translate(self.alphabet)))
+    def pieces(self, pre_token: bytes) -> int:
+        return len(self.model.tokenize(pre_token.decode("latin-1").translate(self.alphabet)))
 
 
 _loaded: dict[str, Vocabulary] = {}
@@ -117,8 +117,8 @@ class _Block:
         self.bytes += n
 
     def out(self, number: int) -> pa.RecordBatch:
-        words = list(self.known)
-        hashes = np.fromiter((zlib.crc32(w.encode()) for w in words), np.int64, len(words))
+        words = [w.encode() for w in self.known]
+        hashes = np.fromiter(map(zlib.crc32, words), np.int64, len(words))
         order = np.argsort(hashes, kind="stable")
         place = np.empty(len(words), np.int64)
         place[order] = np.arange(len(words))
@@ -130,19 +130,31 @@ class _Block:
         gaps = np.diff(at, prepend=0)  # within a document places rise, so gaps are short
         times = np.concatenate(self.times)[by]
         words = [words[i] for i in order]
-        values = [[number], [words], [sum(map(len, words))], [doc_ids], [n_bytes], [special], [lens], [_packed(gaps)], [_packed(times)]]
-        types = (pa.int64(), pa.list_(pa.string()), pa.int64(), *[pa.list_(pa.int64())] * 3, pa.list_(pa.int32()), pa.binary(), pa.binary())
-        return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(values, types)], names=["block", "words", "word_bytes", "doc_id", "n_bytes", "special", "n_words", "gaps", "times"])
+        values = [[number], [_packed(np.fromiter(map(len, words), np.int64, len(words)))], [_small(b"".join(words))], [sum(map(len, words))], [doc_ids], [n_bytes], [special], [lens], [_packed(gaps)], [_packed(times)]]
+        types = (pa.int64(), pa.binary(), pa.binary(), pa.int64(), *[pa.list_(pa.int64())] * 3, pa.list_(pa.int32()), pa.binary(), pa.binary())
+        return pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(values, types)], names=["block", "sizes", "letters", "word_bytes", "doc_id", "n_bytes", "special", "n_words", "gaps", "times"])
 
 
-def _packed(x: np.ndarray) -> bytes:
-    raw = x.astype("<i4").tobytes()
+def _small(raw: bytes) -> bytes:
     return len(raw).to_bytes(8, "little") + (_zstd.compress(raw, asbytes=True) if raw else b"")
 
 
-def _unpacked(x: bytes) -> np.ndarray:
+def _large(x: bytes) -> bytes:
     n = int.from_bytes(x[:8], "little")
-    return np.frombuffer(_zstd.decompress(x[8:], n, asbytes=True) if n else b"", "<i4").astype(np.int64)
+    return _zstd.decompress(x[8:], n, asbytes=True) if n else b""
+
+
+def _packed(x: np.ndarray) -> bytes:
+    return _small(x.astype("<i4").tobytes())
+
+
+def _unpacked(x: bytes) -> np.ndarray:
+    return np.frombuffer(_large(x), "<i4").astype(np.int64)
+
+
+def _words(sizes: bytes, letters: bytes) -> list[bytes]:
+    raw, ends = _large(letters), np.cumsum(_unpacked(sizes)).tolist()
+    return [raw[a:b] for a, b in zip([0, *ends], ends)]
 
 
 def frequencies(docs: DataFrame, path: str | None = None, block_bytes: int = 8_000_000) -> DataFrame:
@@ -164,18 +176,19 @@ def frequencies(docs: DataFrame, path: str | None = None, block_bytes: int = 8_0
 
 
 def _dealt(shards: int):
-    """(block, words) -> one row per shard that has words of the block: they are neighbours in the block's list."""
+    """(block, sizes, letters) -> one row per shard that has words of the block: they are neighbours in the block's list."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for block, words in zip(b.column(0).to_pylist(), b.column(1)):
-                values = words.values
-                if not len(values):
-                    continue
-                shard = np.fromiter((zlib.crc32(w.encode()) for w in values.to_pylist()), np.int64, len(values)) * shards >> 32
-                starts = np.flatnonzero(np.diff(shard, prepend=-1))
-                lists = pa.ListArray.from_arrays(pa.array([*starts, len(values)], pa.int32()), values)
-                yield pa.RecordBatch.from_arrays([pa.array([block] * len(starts)), pa.array(shard[starts]), pa.array(starts), lists], names=["block", "shard", "start", "words"])
+            for block, sizes, letters in zip(*(c.to_pylist() for c in b.columns)):
+                words = _words(sizes, letters)
+                shard = np.fromiter(map(zlib.crc32, words), np.int64, len(words)) * shards >> 32
+                starts = np.flatnonzero(np.diff(shard, prepend=-1)).tolist()
+                parts = [words[i:j] for i, j in zip(starts, [*starts[1:], len(words)])]
+                packed = [[_packed(np.fromiter(map(len, p), np.int64, len(p))) for p in parts], [_small(b"".join(p)) for p in parts]]
+                values = [[block] * len(starts), shard[starts], starts, *packed]
+                types = (*[pa.int64()] * 3, pa.binary(), pa.binary())
+                yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(values, types)], names=["block", "shard", "start", "sizes", "letters"])
 
     return run
 
@@ -187,9 +200,10 @@ def _counted(path: str | None):
         vocab, pieces, last = vocabulary(path), {}, None
         for b in batches:
             packed = []
-            for shard, words in zip(b.column("shard").to_pylist(), b.column("words").to_pylist()):
+            for shard, sizes, letters in zip(*(b.column(c).to_pylist() for c in ("shard", "sizes", "letters"))):
                 if shard != last:
                     pieces, last = {}, shard
+                words = _words(sizes, letters)
                 for w in words:
                     if w not in pieces:
                         pieces[w] = vocab.pieces(w)
@@ -223,11 +237,11 @@ def token_counts(docs: DataFrame, path: str | None = None, limit: int = 1024, bl
     spark = docs.sparkSession
     found = blocks.agg(F.sum("word_bytes")).first()[0] or 0
     shards = max(shuffles(spark), -(-found // shard_bytes))
-    sent = blocks.select("block", "words").mapInArrow(_dealt(shards), "block long, shard long, start long, words array<string>")
+    sent = blocks.select("block", "sizes", "letters").mapInArrow(_dealt(shards), "block long, shard long, start long, sizes binary, letters binary")
     sent = sent.repartition(shards, "shard").sortWithinPartitions("shard")
     answers = sent.mapInArrow(_counted(path), "block long, start long, pieces binary")
     answers = answers.groupBy("block").agg(F.collect_list(F.struct("start", "pieces")).alias("answers"))
-    met = blocks.drop("words", "word_bytes").join(answers, "block", "left")
+    met = blocks.drop("sizes", "letters", "word_bytes").join(answers, "block", "left")
     return met.mapInArrow(_summed(limit), "doc_id long, n_bytes long, n_tokens long, over_limit boolean")
 
 
