@@ -1,7 +1,8 @@
 """HTML pages: anchors, visible text, language, forms, structured data.
 
-SQL's xpath needs well-formed markup, so whole pages go through the standard library's parser, which never fails, in
-Arrow batches. Anchors alone are cut out by pattern, some ten times as fast.
+SQL's xpath needs well-formed markup, so pages are cut into tags and texts by pattern, in Arrow batches. Elements are
+ranges of tags; what is hidden or switched off follows from how many such ranges a place lies in, forms are ranges with
+the fields in them. Anchors alone are cut out by a pattern of their own.
 """
 
 from __future__ import annotations
@@ -9,7 +10,7 @@ from __future__ import annotations
 import html as entities
 import json
 import re
-from html.parser import HTMLParser
+from itertools import accumulate
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -37,79 +38,109 @@ _PAGE = T.StructType(
 )
 
 
-class _Page(HTMLParser):
-    def __init__(self) -> None:
-        super().__init__(convert_charrefs=True)
-        self.lang: str | None = None
-        self.words: list[str] = []
-        self.size = 0
-        self.scripts: list[str] = []
-        self.script: list[str] | None = None
-        self.form = self.applies = self.for_candidates = False
-        self.forms: list[set[str]] = []
-        self.open: list[tuple[str, bool, bool]] = []
-        self.hidden = self.disabled = 0
-
-    def handle_starttag(self, tag: str, attrs: list) -> None:
-        a = {k: v or "" for k, v in attrs}
-        style = re.sub(r"\s+", "", a.get("style", "").lower())
-        hides = tag in SILENT or "hidden" in a or a.get("aria-hidden", "").lower() == "true" or "display:none" in style or "visibility:hidden" in style
-        if tag == "html" and self.lang is None:
-            known = a.get("lang", "").strip().lower().split("-")[0]
-            self.lang = known if known in LANGUAGES else None
-        if tag == "script" and a.get("type", "").lower() == "application/ld+json":
-            self.script = []
-        if tag not in VOID:
-            off = tag == "fieldset" and "disabled" in a
-            self.open.append((tag, hides, off))
-            self.hidden += hides
-            self.disabled += off
-        if tag == "form" and not self.hidden:
-            self.form = True
-            self.forms.append(set())
-        elif self.forms and not (self.hidden or hides or self.disabled or "disabled" in a):
-            self.forms[-1] |= self.field(tag, a.get("type", "").lower(), a.get("name", "").lower())
-
-    @staticmethod
-    def field(tag: str, kind: str, name: str) -> set[str]:
-        if tag == "button":
-            return {"submit"} if kind in ("submit", "") else set()
-        if tag != "input" or kind == "hidden":
-            return set()
-        checks = {"candidate": kind == "file" or name in CANDIDATE_FIELDS, "email": kind == "email" or name in EMAIL_FIELDS, "submit": kind == "submit"}
-        return {k for k, holds in checks.items() if holds}
-
-    def handle_endtag(self, tag: str) -> None:
-        if tag == "script" and self.script is not None:
-            text = "".join(self.script)
-            if len(text) <= MOST_TEXT and len(self.scripts) < MOST_SCRIPTS:
-                self.scripts.append(text)
-            self.script = None
-        if tag == "form" and self.forms:
-            has = self.forms.pop()
-            self.applies |= {"email", "submit"} <= has
-            self.for_candidates |= {"email", "submit", "candidate"} <= has
-        if any(t == tag for t, _, _ in self.open):
-            while self.open:
-                t, hides, off = self.open.pop()
-                self.hidden -= hides
-                self.disabled -= off
-                if t == tag:
-                    break
-
-    def handle_data(self, data: str) -> None:
-        if self.script is not None:
-            self.script.append(data)
-        elif not self.hidden and self.size < MOST_TEXT:
-            self.words.append(data)
-            self.size += len(data)
+#: A comment or declaration; an element whose content is no markup, with its content; any other tag. What lies between is text.
+_PART = re.compile(
+    r"""(?isx) <!--.*?(?:-->|\Z) | <[!?][^>]*+>
+    | <(?P<raw>script|style)\b(?P<with>(?:"[^"]*"|'[^']*'|[^>])*+)> (?P<body>.*?) (?:</(?P=raw)\s*>|\Z)
+    | <(?P<end>/?)(?P<name>[a-z][^\s/>]*)(?P<attrs>(?:"[^"]*"|'[^']*'|[^>])*+)>"""
+)
+_ATTRIBUTE = re.compile(r"""(?s)([^\s"'>/=][^\s>/=]*)(?:\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+)))?""")
+_UNSEEN = re.compile(r"display:none|visibility:hidden")
+#: What a form has, by tag: kinds and names of the fields that show it. Fields of kind "hidden" show nothing.
+_SHOWS = {
+    "input": (("candidate", {"file"}, CANDIDATE_FIELDS), ("email", {"email"}, EMAIL_FIELDS), ("submit", {"submit"}, ())),
+    "button": (("submit", {"submit", ""}, ()),),
+}
+
+
+def _attributes(text: str) -> dict[str, str]:
+    return {m[1].lower(): entities.unescape(m[2] or m[3] or m[4] or "") for m in reversed(list(_ATTRIBUTE.finditer(text)))}
+
+
+def _tags(html: str) -> tuple[list[tuple], list[tuple[int, str]], list[str]]:
+    """Tags (name, attributes or None for an end tag, whether it ends itself), texts (number of tags before, text) and structured data."""
+    tags, texts, data, at = [], [], [], 0
+    for m in _PART.finditer(html):
+        texts.append((len(tags), html[at : m.start()]))
+        at = m.end()
+        if m["raw"] and _attributes(m["with"]).get("type", "").lower() == "application/ld+json":
+            data.append(m["body"])
+        elif m["name"]:
+            name = m["name"].lower()
+            tags.append((name, None, False) if m["end"] else (name, _attributes(m["attrs"]), name in VOID or m["attrs"].endswith("/")))
+    texts.append((len(tags), html[at:]))
+    return tags, texts, data
+
+
+def _extents(tags: list[tuple]) -> list[int]:
+    """Per tag the number of the tag that ends it; an end tag ends what was opened after its start, too; never ended: to the page's end."""
+    until = [len(tags)] * len(tags)
+    going: list[int] = []
+    for i, (name, attrs, alone) in enumerate(tags):
+        if attrs is not None:
+            if alone:
+                until[i] = i
+            else:
+                going.append(i)
+            continue
+        mine = next((k for k in reversed(range(len(going))) if tags[going[k]][0] == name), len(going))
+        for k in going[mine:]:
+            until[k] = i
+        del going[mine:]
+    return until
+
+
+def _inside(picked: list[bool], until: list[int]) -> list[int]:
+    """Per place between tags, in how many of the picked elements it lies; place i is before tag i."""
+    change = [0] * (len(picked) + 1)
+    for i, yes in enumerate(picked):
+        if yes and until[i] > i:
+            change[i + 1] += 1
+            if until[i] + 1 < len(change):
+                change[until[i] + 1] -= 1
+    return list(accumulate(change))
+
+
+def _conceals(name: str, a: dict[str, str]) -> bool:
+    return name in SILENT or "hidden" in a or a.get("aria-hidden", "").lower() == "true" or bool(_UNSEEN.search("".join(a.get("style", "").lower().split())))
+
+
+def _shown(name: str, a: dict[str, str]) -> set[str]:
+    kind, called = a.get("type", "").lower(), a.get("name", "").lower()
+    return {what for what, kinds, names in _SHOWS.get(name, ()) if kind != "hidden" and (kind in kinds or called in names)}
+
+
+def _forms(tags: list[tuple], unseen: list[int]) -> tuple[bool, list[tuple[int, int]]]:
+    """Whether a visible form starts, and (start, end) of those that end; one inside another starts anew."""
+    ranges, depth, start = [], 0, None
+    for i, (name, attrs, _) in enumerate(tags):
+        if name != "form":
+            continue
+        if attrs is not None and not unseen[i] and not _conceals(name, attrs):
+            depth, start = depth + 1, i
+        elif attrs is None and depth:
+            depth -= 1
+            ranges.append((start, i))
+    return start is not None, ranges
 
 
 def read_page(html: str | None) -> tuple:
-    p = _Page()
-    p.feed(html or "")
-    p.close()
-    return p.lang, " ".join(" ".join(p.words).split()), p.form, p.applies, p.for_candidates, p.scripts
+    """lang, visible text, has_form, application_form, candidate_form, structured data of a page; broken markup is read as far as it goes."""
+    tags, texts, data = _tags(html or "")
+    until = _extents(tags)
+    unseen = _inside([a is not None and _conceals(n, a) for n, a, _ in tags], until)
+    off = _inside([n == "fieldset" and a is not None and "disabled" in a for n, a, _ in tags], until)
+    lang = next((k for n, a, _ in tags if n == "html" and a is not None and (k := a.get("lang", "").strip().lower().split("-")[0]) in LANGUAGES), None)
+    words, size = [], 0
+    for place, text in texts:
+        if text and not unseen[place] and size < MOST_TEXT:
+            words.append(entities.unescape(text))
+            size += len(words[-1])
+    any_form, ranges = _forms(tags, unseen)
+    fields = [(i, _shown(n, a)) for i, (n, a, _) in enumerate(tags) if n in _SHOWS and a is not None and not (unseen[i] or off[i] or "disabled" in a or _conceals(n, a))]
+    has = [set().union(*(what for i, what in fields if lo < i < hi)) for lo, hi in ranges]
+    scripts = [t for t in data if len(t) <= MOST_TEXT][:MOST_SCRIPTS]
+    return lang, " ".join(" ".join(words).split()), any_form, any({"email", "submit"} <= h for h in has), any({"email", "submit", "candidate"} <= h for h in has), scripts
 
 
 @F.pandas_udf(_PAGE)
