@@ -30,6 +30,7 @@ from collections.abc import Iterator
 import ahocorasick
 import numpy as np
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -139,28 +140,40 @@ def _scanned(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 
 _BASE = 0x9E3779B97F4A7C15 | 1  # any odd number: false meetings are compared, none is missed
+SHORT = 64
 
 
-def _keys(rest: str) -> np.ndarray:
-    """Hashes of a text and of it with any one character taken out."""
+def _keys(rest: str) -> list[int]:
+    """64-bit hashes of a text and of it with any one character taken out; long ones in time in proportion to the length."""
+    n = len(rest)
+    if n <= SHORT:
+        return [xxhash.xxh64_intdigest(v) - (1 << 63) for v in {rest, *(rest[:i] + rest[i + 1 :] for i in range(n))}]
     x = np.frombuffer(rest.encode("utf-32-le"), "<u4").astype(np.uint64)
-    power = np.full(len(x) + 1, _BASE, np.uint64)
+    power = np.full(n + 1, _BASE, np.uint64)
     power[0] = 1
-    upto = np.zeros(len(x) + 1, np.uint64)
+    upto = np.zeros(n + 1, np.uint64)
     np.cumsum(x * np.cumprod(power)[:-1], out=upto[1:])
+    keys = upto[-1:].view(np.int64).tolist()
+    if n == SHORT + 1:  # without one character it is a short text
+        return keys + [xxhash.xxh64_intdigest(v) - (1 << 63) for v in {rest[:i] + rest[i + 1 :] for i in range(n)}]
     after = (upto[-1] - upto[1:]) * np.uint64(pow(_BASE, -1, 1 << 64))
-    return np.unique(np.append(upto[:-1] + after, upto[-1:])).view(np.int64)
+    return keys + np.unique(upto[:-1] + after).view(np.int64).tolist()
 
 
 def _keyed(rows: DataFrame) -> DataFrame:
     """end, half, word, n of hot halves -> the same and key, one row per key of what is beside the half."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def run(batches: Iterator[pa.RecordBatch], most: int = 200_000) -> Iterator[pa.RecordBatch]:
         for b in batches:
+            at, keys = [], []
             for i, (end, half, word) in enumerate(zip(*(b.column(c).to_pylist() for c in ("end", "half", "word")))):
-                keys = _keys(word[len(half) :] if end == "L" else word[: len(word) - len(half)])
-                same = b.take(pa.array(np.full(len(keys), i)))
-                yield pa.RecordBatch.from_arrays([*same.columns, pa.array(keys, pa.int64())], names=[*b.schema.names, "key"])
+                own = _keys(word[len(half) :] if end == "L" else word[: len(word) - len(half)])
+                at += [i] * len(own)
+                keys += own
+                if len(keys) >= most or i + 1 == b.num_rows:
+                    same = b.take(pa.array(at, pa.int64()))
+                    yield pa.RecordBatch.from_arrays([*same.columns, pa.array(keys, pa.int64())], names=[*b.schema.names, "key"])
+                    at, keys = [], []
 
     return rows.mapInArrow(run, "end string, half string, word string, n long, key long")
 

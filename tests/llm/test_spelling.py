@@ -76,6 +76,15 @@ def test_equals_brute_force(spark, hot, halves):
     assert result(spelling.variants(docs, hot=hot, shard_halves=halves)) == want
 
 
+def test_long_and_short_words_share_keys():
+    r = np.random.default_rng(1)
+    for n in (3, 63, 64, 65, 66, 200):
+        a = "".join(r.choice(list("abc"), n))
+        for b in (a[:1] + a[2:], a[: n // 2] + "z" + a[n // 2 :], a[:2] + "z" + a[3:]):
+            assert set(spelling._keys(a)) & set(spelling._keys(b))
+        assert not set(spelling._keys(a)) & set(spelling._keys(a[::-1] + "zz"))
+
+
 def test_query_equals_brute_force(spark):
     rows = [(r.doc_id, r.text) for r in spark.read.parquet("/root/testdata/sf0.001/documents.parquet").collect()]
     assert result(spelling.op11_spelling_variants(spark, "/root/testdata/sf0.001")) == plain(rows)
