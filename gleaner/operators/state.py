@@ -1,18 +1,20 @@
 """Durable job state between runs: identities, change detection, upsert, missing runs and closing, source health.
 
 State is a set of tables; every operator reads the old version and returns the new one, so nothing reads what it
-overwrites. Versions are written to new folders (`save`) and become visible by a pointer file. Orders within a batch
+overwrites. Versions are committed atomically (`commits.py`), each after the one it was made from. Orders within a batch
 come from `ordinal`; job ids are digests of the first identity key, so reruns agree.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from collections.abc import Callable
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
+from gleaner.operators import commits
 from gleaner.operators.canonical import clusters
 from gleaner.operators.graph import stash
 
@@ -32,6 +34,8 @@ class State:
     snapshots: DataFrame
     memberships: DataFrame
     runs: DataFrame
+    version: int = 0
+    label: str = ""
 
     @classmethod
     def empty(cls, spark: SparkSession) -> State:
@@ -39,20 +43,16 @@ class State:
 
     @classmethod
     def load(cls, spark: SparkSession, root: str) -> State:
-        """The version that the pointer names; empty where there is none."""
-        try:
-            version = spark.read.text(f"{root}/current").first()[0]
-        except Exception as e:
-            if "PATH_NOT_FOUND" in str(e):
-                return cls.empty(spark)
-            raise
-        return cls(**{n: spark.read.schema(s).parquet(f"{root}/{version}/{n}") for n, s in TABLES.items()})
-
-    def save(self, root: str, version: str) -> State:
+        """The last committed version; empty where there was never one."""
+        last = commits.latest(spark, root)
+        if last is None:
+            return cls.empty(spark)
+        return cls(**{n: spark.read.schema(s).parquet(f"{last.folder}/{n}") for n, s in TABLES.items()}, version=last.number, label=last.label)
+
+    def save(self, root: str, label: str = "") -> State:
+        """Commit this state after the version that it was loaded from; commits.Conflict if another one came between."""
         spark = self.jobs.sparkSession
-        for n in TABLES:
-            getattr(self, n).write.parquet(f"{root}/{version}/{n}")
-        spark.createDataFrame([(version,)], "v string").coalesce(1).write.mode("overwrite").text(f"{root}/current")
+        commits.commit(spark, root, {n: getattr(self, n) for n in TABLES}, self.version, label)
         return State.load(spark, root)
 
 
@@ -80,27 +80,47 @@ def duplicate_in_batch(batch: DataFrame, keys: str = "keys") -> DataFrame:
     return batch.join(late, "ordinal", "left").withColumn("duplicate", F.coalesce("duplicate", F.lit(False)))
 
 
-def upsert(batch: DataFrame, state: State, *, instance: str, run_id: str, now: str, authoritative: bool = True, complete: bool = True, close_threshold: int = 2) -> tuple[State, DataFrame]:
-    """Apply a batch (ordinal, keys, canonical_url, content_hash, payload, snippet); the new state and the counters.
+def resolved(rows: DataFrame, state: State) -> tuple[DataFrame, DataFrame, Callable[[DataFrame], DataFrame]]:
+    """rows (ordinal, keys) -> (ordinal, keys, part), (part, job_id, merged, least_key) and what takes stored tables to the parts' ids.
 
     Rows are tied to stored jobs and to each other by shared keys; a part takes the least stored id, or a digest of its
-    least key. Row by row effects inside a part (each row compares with the one before) are a lag over the ordinal.
+    least key.
     """
-    rows = batch.where(F.size("keys") > 0)
     stored = state.identities.select(F.col("identity_key").alias("key"), "job_id")
     # parts over batch rows, then over the stored jobs that they touch
-    linked = clusters(rows.select("ordinal", "keys"), F.col("keys"))
+    linked = clusters(rows, F.col("keys"))
     touched = linked.select("cluster", F.explode("keys").alias("key")).join(stored, "key").select("cluster", "job_id").distinct()
     bridge = clusters(touched.groupBy("cluster").agg(F.collect_set("job_id").alias("ids")).withColumnRenamed("cluster", "ordinal"), F.col("ids"))
     part = linked.join(bridge.select(F.col("ordinal").alias("cluster"), F.col("cluster").alias("_whole")), "cluster", "left").withColumn("part", F.coalesce("_whole", "cluster"))
     ids = part.join(touched, "cluster", "left").groupBy("part").agg(F.min("job_id").alias("old"), F.collect_set("job_id").alias("merged"), F.min(F.array_min("keys")).alias("least_key"))
-    part = stash(part.select("ordinal", "keys", "cluster", "part"), "parts")
+    part = stash(part.select("ordinal", "keys", "part"), "parts")
     ids = stash(ids.withColumn("job_id", F.coalesce("old", F.sha2(F.col("least_key"), 256))), "ids")
     moved = ids.select(F.explode("merged").alias("from"), "job_id").where(F.col("from") != F.col("job_id"))
 
     def follow(df: DataFrame) -> DataFrame:
         return df.join(moved.withColumnRenamed("job_id", "_to"), df["job_id"] == F.col("from"), "left").withColumn("job_id", F.coalesce("_to", "job_id")).drop("_to", "from")
 
+    return part, ids, follow
+
+
+def merged_jobs(state: State, ids: DataFrame, follow: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """Stored jobs under the parts' ids; of those that became one, the one that keeps its id stays."""
+    moved = ids.select(F.explode("merged").alias("from"), "job_id").where(F.col("from") != F.col("job_id"))
+    kept = W.partitionBy("job_id").orderBy(F.col("_moved"), F.col("last_seen_at").desc())
+    jobs = follow(state.jobs.withColumn("_id", F.col("job_id"))).withColumn("_moved", F.col("_id") != F.col("job_id"))
+    jobs = jobs.join(moved.select("job_id").distinct(), "job_id", "left_semi").withColumn("_r", F.row_number().over(kept)).where("_r = 1").unionByName(
+        jobs.join(moved.select("job_id").distinct(), "job_id", "left_anti").withColumn("_r", F.lit(1))
+    )
+    return jobs.drop("_id", "_moved", "_r")
+
+
+def upsert(batch: DataFrame, state: State, *, instance: str, run_id: str, now: str, authoritative: bool = True, complete: bool = True, close_threshold: int = 2) -> tuple[State, DataFrame]:
+    """Apply a batch (ordinal, keys, canonical_url, content_hash, payload, snippet); the new state and the counters.
+
+    Row by row effects inside a part (each row compares with what the one before left) are a lag over the ordinal.
+    """
+    rows = batch.where(F.size("keys") > 0)
+    part, ids, follow = resolved(rows.select("ordinal", "keys"), state)
     members = follow(state.memberships)
     if not authoritative:
         members = members.where(F.col("source_instance") != instance)
@@ -108,18 +128,16 @@ def upsert(batch: DataFrame, state: State, *, instance: str, run_id: str, now: s
         F.min("missing_runs").alias("missing_runs"), F.max("last_seen_run").alias("last_seen_run"), F.max("close_threshold").alias("close_threshold")
     )
     owned = members.select("job_id").distinct().withColumn("_owned", F.lit(True))
-    jobs_old = follow(state.jobs)
-    kept = W.partitionBy("job_id").orderBy(F.col("_moved"), F.col("last_seen_at").desc())
-    jobs_old = jobs_old.join(moved.select(F.col("job_id").alias("_j")).distinct(), F.col("_j") == F.col("job_id"), "left").withColumn("_moved", F.col("_j").isNotNull()).drop("_j")
-    jobs_old = jobs_old.withColumn("_r", F.row_number().over(kept)).where("_r = 1").drop("_r", "_moved")
-
+    jobs_old = merged_jobs(state, ids, follow)
     seen = part.select("ordinal", "part").join(ids.select("part", "job_id"), "part").join(rows.drop("keys"), "ordinal")
     seen = seen.join(jobs_old.select("job_id", F.col("content_hash").alias("_stored")), "job_id", "left").join(owned, "job_id", "left")
     quiet = F.coalesce(F.col("snippet"), F.lit(False)) | (F.lit(not authoritative) & F.coalesce(F.col("_owned"), F.lit(False)))
     order = W.partitionBy("job_id").orderBy("ordinal")
-    effective = F.when(~quiet, F.col("content_hash"))
-    before = F.coalesce(F.last(effective, True).over(order.rowsBetween(W.unboundedPreceding, -1)), F.col("_stored"))
     fresh = F.col("_stored").isNull() & (F.row_number().over(order) == 1)
+    seen = seen.withColumn("_fresh", fresh)
+    fresh = F.col("_fresh")
+    effective = F.when(fresh | ~quiet, F.col("content_hash"))
+    before = F.coalesce(F.last(effective, True).over(order.rowsBetween(W.unboundedPreceding, -1)), F.col("_stored"))
     seen = seen.withColumn("change", F.when(fresh, "new").when(quiet, "unchanged").when(before == F.col("content_hash"), "unchanged").otherwise("updated"))
     seen = stash(seen.withColumn("writes", fresh | ~quiet), "seen")
 
@@ -159,7 +177,7 @@ def upsert(batch: DataFrame, state: State, *, instance: str, run_id: str, now: s
     counters = seen.agg(*[F.count_if(F.col("change") == c).alias(c) for c in ("new", "updated", "unchanged")])
     counters = counters.crossJoin(duplicate_in_batch(batch).agg(F.count_if("duplicate").alias("duplicate"))).crossJoin(jobs.agg(F.count_if(ends).alias("closed")))
     jobs = jobs.withColumn("closed_at", F.when(ends, F.lit(now)).otherwise(F.col("closed_at"))).withColumn("status", F.when(ends, "closed").otherwise(F.col("status"))).drop("_close")
-    return State(jobs, identities, snapshots, members, state.runs), counters
+    return replace(state, jobs=jobs, identities=identities, snapshots=snapshots, memberships=members), counters
 
 
 def merge_snapshots(df: DataFrame) -> DataFrame:

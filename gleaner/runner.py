@@ -1,7 +1,7 @@
 """Runs over sources: payloads to observations to the versioned state, with a log, a review queue and a document.
 
-One source's failure is recorded and the others go on. Sources are applied one after the other in the order of their
-instances, as a later one sees what an earlier one stored; reading and normalizing all of them is one pass before that.
+One source's failure is recorded and the others go on. Sources are applied in the order of their instances, a later one
+seeing what an earlier one stored, all in one upsert (`run_upsert.py`).
 """
 
 from __future__ import annotations
@@ -9,12 +9,14 @@ from __future__ import annotations
 from dataclasses import dataclass, replace
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from gleaner.operators import coverage, planning
 from gleaner.operators.canonical import identity_keys
 from gleaner.operators.graph import stash
-from gleaner.operators.state import State, change_state, source_health, upsert
+from gleaner.operators.run_upsert import upsert_sources
+from gleaner.operators.state import State, source_health
 from gleaner.sources import providers
 
 MOST_SOURCES = 300
@@ -32,11 +34,11 @@ class Run:
 
 
 def batch_of(rows: DataFrame) -> DataFrame:
-    """Observations of one source as a batch for the state."""
+    """Observations as a batch for the state; ordinals count in each source."""
     fields = [c for c in rows.columns if c not in ("error", "problem", "max_jobs", "ordinal")]
     snippet = F.col("source_type").isin("search", "discovery") & (F.length(F.coalesce("description", F.lit(""))) < 400)
     return rows.select(
-        F.col("ordinal").cast("long").alias("ordinal"), identity_keys(rows, False).alias("keys"), "canonical_url", "content_hash", F.to_json(F.struct(*fields)).alias("payload"), F.coalesce(snippet, F.lit(False)).alias("snippet")
+        "source_instance", F.col("ordinal").cast("long").alias("ordinal"), identity_keys(rows, False).alias("keys"), "canonical_url", "content_hash", F.to_json(F.struct(*fields)).alias("payload"), F.coalesce(snippet, F.lit(False)).alias("snippet")
     )
 
 
@@ -44,25 +46,17 @@ def ingest(spark: SparkSession, raw: DataFrame, state: State, run_id: str, now:
     """Apply all sources of raw payloads to a state."""
     rows = stash(providers.records(raw, now), "records")
     table = stash(providers.runs(rows, now), "runs")
-    todo = table.select("source_instance", "success", "complete_snapshot", "fetched", "failure_category").orderBy("source_instance").collect()  # a register's sources
-    if len(todo) > MOST_SOURCES:
+    fine = table.where("success").select("source_instance", F.col("complete_snapshot").alias("complete"))
+    if table.count() > MOST_SOURCES:
         raise ValueError(f"a run takes at most {MOST_SOURCES} sources")
-    review, counted = None, []
-    for r in todo:
-        if not r["success"]:
-            continue
-        own = rows.where((F.col("source_instance") == r["source_instance"]) & F.col("error").isNull() & F.col("problem").isNull())
-        batch = stash(batch_of(own), "batch")
-        authoritative = r["source_instance"].split(":", 1)[0] in providers.COMPLETE
-        changed = change_state(batch, state, r["source_instance"], authoritative).where("change in ('new', 'updated')").select("ordinal", F.col("change").alias("ingestion_change"))
-        mine = stash(own.join(changed, "ordinal"), "review")
-        review = mine if review is None else review.unionByName(mine)
-        state, counters = upsert(batch, state, instance=r["source_instance"], run_id=run_id, now=now, authoritative=authoritative, complete=r["complete_snapshot"], close_threshold=close_threshold)
-        state = State(**{n: stash(getattr(state, n), n) for n in ("jobs", "identities", "snapshots", "memberships")}, runs=state.runs)
-        counted.append((r["source_instance"], *(int(counters.first()[c]) for c in ("new", "updated", "unchanged", "duplicate", "closed"))))
-    tally = spark.createDataFrame(counted, "source_instance string, new long, updated long, unchanged long, duplicate_observations long, closed long")
-    runs = table.join(tally, "source_instance", "left").fillna(0, ["new", "updated", "unchanged", "duplicate_observations", "closed"])
-    return Run(replace(state, runs=state.runs.unionByName(run_log(table, run_id, now))), rows, runs, review if review is not None else rows.limit(0).withColumn("ingestion_change", F.lit("")))
+    sources = fine.withColumn("position", F.row_number().over(W.orderBy("source_instance"))).withColumn("authoritative", F.split_part("source_instance", F.lit(":"), F.lit(1)).isin(*providers.COMPLETE))
+    own = rows.where(F.col("error").isNull() & F.col("problem").isNull()).join(F.broadcast(fine.select("source_instance")), "source_instance", "left_semi")  # at most MOST_SOURCES
+    batch = stash(batch_of(own), "batch")
+    new, tally, changes = upsert_sources(batch, stash(sources, "sources"), state, run_id=run_id, now=now, close_threshold=close_threshold)
+    new = replace(new, **{n: stash(getattr(new, n), n) for n in ("jobs", "identities", "snapshots", "memberships")})
+    review = own.join(changes.where("review in ('new', 'updated')").select("source_instance", "ordinal", F.col("review").alias("ingestion_change")), ["source_instance", "ordinal"])
+    runs = table.join(tally.withColumnRenamed("duplicate", "duplicate_observations"), "source_instance", "left").fillna(0, ["new", "updated", "unchanged", "duplicate_observations", "closed"])
+    return Run(replace(new, runs=state.runs.unionByName(run_log(table, run_id, now))), rows, stash(runs, "runs"), stash(review, "review"))
 
 
 def run_log(table: DataFrame, run_id: str, now: str) -> DataFrame:

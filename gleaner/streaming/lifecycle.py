@@ -18,17 +18,16 @@ def fresh_reports(reports: DataFrame, now: str, late: str = "3 hours", early: st
 def upsert_stream(batches: DataFrame, root: str, instance: str, checkpoint: str, clock: str, **options: object) -> DataStreamWriter:
     """Writer over batches (ordinal, keys, canonical_url, content_hash, payload, snippet).
 
-    The state's version is the batch id, so a batch that is run again after a failure reads the version before it and
-    writes the same one.
+    Each batch is committed with its id as the label, so a batch that is run again after its commit changes nothing, and
+    one that died before it starts from the version before.
     """
 
     def apply(batch: DataFrame, batch_id: int) -> None:
         state = State.load(batch.sparkSession, root)
-        version = f"v{batch_id:09d}"
-        current = batch.sparkSession.read.text(f"{root}/current").first()[0] if batch_id and state.jobs.inputFiles() else ""
-        if current == version:
+        label = f"v{batch_id:09d}"
+        if state.label >= label:
             return
-        new, _ = upsert(batch, state, instance=instance, run_id=version, now=f"{clock}#{batch_id:09d}", **options)
-        new.save(root, version)
+        new, _ = upsert(batch, state, instance=instance, run_id=label, now=f"{clock}#{batch_id:09d}", **options)
+        new.save(root, label)
 
     return batches.writeStream.foreachBatch(apply).option("checkpointLocation", checkpoint).trigger(availableNow=True)
