@@ -15,8 +15,8 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from gleaner.functions import urls
-from gleaner.operators import assessment, canonical, coverage, planning, ranking, requirements, review, screening, state
-from gleaner.operators.graph import shared_dir
+from gleaner.operators import assessment, canonical, coverage, planning, ranking, requirements, review, run_upsert, screening, state
+from gleaner.operators.graph import shared_dir, stash
 from gleaner.sources import pages as html_pages
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -345,6 +345,34 @@ def q26(spark, sf_dir):
     return counters
 
 
+@query(
+    "q27_run_upsert",
+    """WITH s AS (SELECT event_type, row_number() OVER (ORDER BY event_type) AS pos, event_type NOT IN ('click', 'view') AS auth FROM (SELECT DISTINCT event_type FROM events)),
+    r AS (SELECT user_id, event_id, event_type, pos, auth, floor(value / 25) AS h, min(CASE WHEN auth THEN pos END) OVER (PARTITION BY user_id) AS shown,
+        row_number() OVER (PARTITION BY user_id ORDER BY pos, event_id) = 1 AS fresh, row_number() OVER (PARTITION BY user_id, event_type ORDER BY event_id) > 1 AS dup FROM events JOIN s USING (event_type)),
+    w AS (SELECT *, coalesce(NOT auth AND shown < pos, false) AS quiet FROM r),
+    b AS (SELECT *, last_value(CASE WHEN fresh OR NOT quiet THEN h END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY pos, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS before FROM w),
+    c AS (SELECT *, CASE WHEN fresh THEN 'new' WHEN quiet OR before = h THEN 'unchanged' ELSE 'updated' END AS change FROM b),
+    e AS (SELECT pos, count(*) AS closed FROM (SELECT user_id, max(pos) AS pos FROM r WHERE auth GROUP BY user_id) GROUP BY pos)
+    SELECT event_type AS source_instance, count(*) FILTER (change = 'new') AS new, count(*) FILTER (change = 'updated') AS updated, count(*) FILTER (change = 'unchanged') AS unchanged,
+      count(*) FILTER (dup) AS duplicate, coalesce(any_value(closed), 0) AS closed FROM c LEFT JOIN e USING (pos) GROUP BY event_type""",
+)
+def q27(spark, sf_dir):
+    e = read(spark, sf_dir, "events")
+    batch = e.select(
+        F.col("event_type").alias("source_instance"), F.col("event_id").alias("ordinal"), F.array(F.concat(F.lit("u"), "user_id")).alias("keys"), F.lit("").alias("canonical_url"),
+        F.floor(F.col("value") / 25).cast("string").alias("content_hash"), F.lit("").alias("payload"), F.lit(False).alias("snippet"),
+    )
+    sources = e.select(F.col("event_type").alias("source_instance")).distinct().withColumn("position", F.row_number().over(W.orderBy("source_instance")))
+    sources = stash(sources.withColumn("authoritative", ~F.col("source_instance").isin("click", "view")).withColumn("complete", F.lit(True)), "sources")
+    one, counts, _ = run_upsert.upsert_sources(batch, sources, state.State.empty(spark), run_id="1", now="2001-01-01")
+    # no source shows a job again, so those that return all close what they had after two runs
+    for k in ("2", "3"):
+        one = replace(one, **{n: stash(getattr(one, n), n) for n in ("jobs", "identities", "snapshots", "memberships")})
+        one, ended, _ = run_upsert.upsert_sources(batch.limit(0), sources, one, run_id=k, now=f"2001-01-0{k}")
+    return counts.drop("closed").join(ended.select("source_instance", "closed"), "source_instance")
+
+
 # ---------------------------------------------------------------- screening
 @query("q30_history_anti_join", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F')")
 def q30(spark, sf_dir):
