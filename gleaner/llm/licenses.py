@@ -2,7 +2,7 @@
 
 Templates are the licences' own texts, standard notices, SPDX tags and one-sentence forms. A file is compared by its
 units: each sentence or line, each paragraph and each block of comment lines (wrapped lines joined, comment signs taken
-off), and the whole file if it has at most `WHOLE` words. Document frequencies of all words are counted over all files.
+off), and the whole file; units have any size. Document frequencies of all words are counted over all files.
 
 Two steps find the cosines. First, in one pass over the texts, a prefix filter looks for the rarest words of each
 template (those it leaves out can't reach the threshold alone), and units that hold one get an upper bound of their
@@ -136,7 +136,6 @@ LICENSE_FILES = r"(?i)^(licen[sc]e|copying|notice)([.-][^/]*)?$"
 WORD = re.compile(r"[^\W_]+(?:[.-][^\W_]+)*")
 CUT = re.compile(r"\n|(?<=[.!?])\s+(?=[^\W\d_])")
 COMMENT = re.compile(r"^[ \t]*(?:/\*+|\*+/|\*+|//+!?|#+|;+|--+|<!--|%+|\"\"\"|''')[ \t]?")
-WHOLE = 3000
 
 
 def words(text: str) -> list[str]:
@@ -172,8 +171,7 @@ def units(text: str) -> list[str]:
             close(block)
     close(paragraph)
     close(block)
-    if len(text) <= 20 * WHOLE:
-        out[" ".join(COMMENT.sub("", x).strip() for x in text.split("\n"))] = None
+    out[" ".join(COMMENT.sub("", x).strip() for x in text.split("\n"))] = None
     return [u for u in out if u]
 
 
@@ -189,6 +187,10 @@ class Matcher:
         self.idf = {w: idf(files, seen.get(w, 0)) for w in vocabulary()}
         self.vectors = [(name, {w: n * self.idf[w] for w, n in Counter(words(t)).items()}) for name, t in TEMPLATES]
         self.norms = [math.sqrt(sum(x * x for x in v.values())) for _, v in self.vectors]
+        self.held: dict[str, list[tuple[int, float]]] = {w: [] for w in self.idf}  # by word: templates that have it
+        for k, (_, v) in enumerate(self.vectors):
+            for w, x in v.items():
+                self.held[w].append((k, x))
         keep = set()
         for _, v in self.vectors:  # rarest words until those left are too short for the threshold
             rest = norm = sum(x * x for x in v.values())
@@ -206,7 +208,7 @@ class Matcher:
         out, seen = [], set()
         for unit in units(text):
             tokens = words(unit)
-            if len(tokens) > 3 * WHOLE or self.prefix.isdisjoint(tokens):
+            if self.prefix.isdisjoint(tokens):
                 continue
             count = Counter(tokens)
             if (key := frozenset(count.items())) in seen:
@@ -216,8 +218,11 @@ class Matcher:
             other = {w: n for w, n in count.items() if w not in self.idf}
             inside = sum(x * x for x in v.values())
             least = math.sqrt(inside + sum(n * n for n in other.values()))  # no word weighs less than 1
-            for (name, t), norm in zip(self.vectors, self.norms):
-                dot = sum(x * v[w] for w, x in t.items() if w in v)
+            dots = [0.0] * len(self.vectors)
+            for w, x in v.items():
+                for k, y in self.held[w]:
+                    dots[k] += x * y
+            for (name, _), norm, dot in zip(self.vectors, self.norms, dots):
                 if dot >= 0.999 * self.threshold * least * norm:
                     out.append((name, dot, inside, norm, list(other), list(other.values())))
         return out
@@ -264,8 +269,8 @@ def own_licenses(files: DataFrame, threshold: float = 0.7, salts: int = 16) -> D
             found = [[dict(zip(names, c)) for c in matcher.candidates(t or "")] for t in b.column("text").to_pylist()]
             yield pa.record_batch([b.column("id"), b.column("path"), pa.array(found, kind)], names=["id", "path", "cands"])
 
-    rows = stash(files.select("id", "path", "text").mapInArrow(run, f"id long, path string, cands {_CANDS}"), "candidates")
-    rows = rows.withColumn("row", F.monotonically_increasing_id())
+    rows = files.select("id", "path", "text").mapInArrow(run, f"id long, path string, cands {_CANDS}")
+    rows = stash(rows.withColumn("row", F.monotonically_increasing_id()), "candidates")
     each = rows.select("row", F.posexplode("cands").alias("k", "c")).select("row", "k", "c.*")
     asked = each.select("row", "k", F.explode(F.arrays_zip("words", "counts")).alias("w")).select("row", "k", F.col("w.words").alias("word"), F.col("w.counts").alias("c"))
     asked = asked.withColumn("salt", F.pmod(F.hash("row", "k"), F.lit(salts)))

@@ -529,6 +529,8 @@ def licence_files():
     bsd = lambda three: "\n\n".join(["Copyright (c) 2019, Jane Roe", licenses._BSD_OPEN, "1. " + licenses._BSD_1, "2. " + licenses._BSD_2, *(["3. " + licenses._BSD_3] if three else []), licenses._BSD_AS_IS])
     code = "\n\nint main(void) { return compute(17); }\n"
     return [
+        ("MIT", " ".join([(licenses._MIT + " " + licenses._AS_IS).replace(".", "")] * 70)),  # over 11,000 words without a full stop
+        ("MIT", "\n".join([licenses._MIT, licenses._AS_IS] * 70)),
         ("MIT", "MIT License\n\nCopyright (c) 2020 Jane Roe\n\n" + wrapped(licenses._MIT) + "\n\n" + wrapped(licenses._AS_IS)),
         ("MIT", wrapped(licenses._MIT, "//") + code),
         ("ISC", "ISC License\n\nCopyright 2021 Jane Roe\n\n" + wrapped(licenses._ISC) + "\n\n" + wrapped(licenses._ISC_AS_IS)),
