@@ -82,12 +82,16 @@ def _kind(token: str) -> str:
     return "number" if any(c.isdigit() for c in token) else "word" if token[0].isalnum() else "sign"
 
 
-def _class(c: str) -> str:
-    return "d" if "0" <= c <= "9" else "U" if "A" <= c <= "Z" else "l" if "a" <= c <= "z" else "s"
+class _Classes(dict):
+    def __missing__(self, c: int) -> str:
+        return "s"
+
+
+_CLASSES = _Classes({c: k for k, signs in (("d", "0123456789"), ("U", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"), ("l", "abcdefghijklmnopqrstuvwxyz")) for c in map(ord, signs)})
 
 
 def _shape(t: str) -> list[str]:
-    of = list(map(_class, t[:256]))
+    of = t.translate(_CLASSES)
     changes = sum(map(str.__ne__, of, of[1:]))
     size = 0 if len(t) < 12 else 1 if len(t) < 20 else 2 if len(t) < 32 else 3
     classes = "".join(k for k in "Ulds" if k in of)
