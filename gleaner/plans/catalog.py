@@ -18,6 +18,7 @@ from gleaner.functions import urls
 from gleaner.operators import assessment, canonical, coverage, planning, ranking, requirements, review, run_upsert, screening, state
 from gleaner.operators.graph import shared_dir, stash
 from gleaner.sources import pages as html_pages
+from gleaner.streaming import keyed
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLES: dict[str, str] = {}
@@ -373,6 +374,43 @@ def q27(spark, sf_dir):
     return counts.drop("closed").join(ended.select("source_instance", "closed"), "source_instance")
 
 
+def streamed(spark: SparkSession, rows: DataFrame, day: str, make, timers: bool = False) -> DataFrame:
+    """What a stream over rows gives that come in two parts, by day, with a restart from its checkpoint between them."""
+    root = f"{shared_dir(spark)}/stream-{uuid.uuid4().hex}"
+    for late in (False, True):
+        rows.where((F.col(day) >= F.lit("2024-01-16")) == F.lit(late)).drop(day).write.mode("append").parquet(f"{root}/in")
+        source = spark.readStream.schema(rows.drop(day).schema).parquet(f"{root}/in")
+        keyed.run_to_table(make(source), f"{root}/out", f"{root}/checkpoint", timers)
+    return spark.read.parquet(f"{root}/out")
+
+
+@query("q28_stream_missing_runs", f"WITH {MISSING} SELECT * FROM m")
+def q28(spark, sf_dir):
+    e = read(spark, sf_dir, "events").select(F.col("event_type").alias("source_instance"), F.col("user_id").cast("string").alias("job"), F.to_date("ts").cast("string").alias("run_no")).distinct()
+    ends = e.select("source_instance", F.lit(None).cast("string").alias("job"), "run_no").distinct()
+    out = streamed(spark, e.union(ends).withColumn("day", F.col("run_no")), "day", lambda s: keyed.sights_stream(s, buckets=16))
+    total = out.where("event = 'runs'").groupBy("source_instance").agg(F.max("run_number").alias("total"))
+    last = out.where("event in ('seen', 'back')").groupBy("source_instance", "job").agg(F.max("run_number").alias("last"))
+    return last.join(total, "source_instance").select(F.col("source_instance").alias("instance"), F.col("job").cast("long").alias("job"), (F.col("total") - F.col("last")).cast("int").alias("missing"))
+
+
+@query(
+    "q29_stream_source_health",
+    """WITH s AS (SELECT user_id, max(CASE WHEN event_type <> 'error' THEN ts END) AS ok, max(CASE WHEN event_type = 'error' THEN ts END) AS bad, count(*) AS runs FROM events GROUP BY user_id),
+    f AS (SELECT e.user_id, count(*) AS streak FROM events e JOIN s USING (user_id) WHERE event_type = 'error' AND (ok IS NULL OR ts > ok) GROUP BY e.user_id)
+    SELECT s.user_id AS source, coalesce(streak, 0) AS consecutive_failures, runs AS run_count, round(greatest(coalesce(epoch_us(ok) / 1000000.0::DOUBLE + 900, 0), CASE WHEN streak > 0
+      THEN epoch_us(bad) / 1000000.0::DOUBLE + 60 * least(240.0, 15 * pow(2, least(5, least(10, streak) - 1))) ELSE 0 END), 3) AS due_at FROM s LEFT JOIN f USING (user_id)""",
+)
+def q29(spark, sf_dir):
+    e = read(spark, sf_dir, "events").select(
+        F.col("user_id").cast("string").alias("source_instance"), (F.unix_micros(F.col("ts").cast("timestamp")) / 1000000.0).alias("at"), (F.col("event_type") != "error").alias("success"),
+        F.lit(900.0).alias("cadence"), F.lit(None).cast("double").alias("retry_at"), F.to_date("ts").cast("string").alias("day"),
+    )
+    out = streamed(spark, e, "day", keyed.source_health_stream, timers=True).where("event = 'run'")
+    last = out.groupBy("source_instance").agg(F.max_by(F.struct("consecutive_failures", "run_count", "due_at"), "run_count").alias("h"))
+    return last.select(F.col("source_instance").cast("long").alias("source"), "h.consecutive_failures", "h.run_count", F.round("h.due_at", 3).alias("due_at"))
+
+
 # ---------------------------------------------------------------- screening
 @query("q30_history_anti_join", "SELECT c_custkey FROM customer WHERE c_custkey NOT IN (SELECT o_custkey FROM orders WHERE o_orderstatus = 'F')")
 def q30(spark, sf_dir):
