@@ -54,14 +54,14 @@ def identity_name(x: Column) -> Column:
     return F.replace(F.lower(clean(F.replace(x, F.lit("-"), F.lit(" ")))), F.lit("ß"), F.lit("ss"))
 
 
-def page_signals(pages: DataFrame, html: str = "html", most: int = 256 * 1024) -> DataFrame:
+def page_signals(pages: DataFrame, html: str = "html", most: int = 256 * 1024, today: Column | None = None) -> DataFrame:
     """pages (html, title, employer, ...) with page_language, visible_text, forms, structured and status.
 
     Structured data counts only if exactly one job posting has the role's title and employer and the title is visible.
     """
     read = pages.withColumn("_p", page(F.substring(html, 1, most)))
-    own = lambda s: (identity_name(s["title"]) == identity_name(F.col("title"))) & (identity_name(s["organization"]) == identity_name(F.col("employer")))
-    found = F.filter(F.transform(job_postings(F.col("_p.json_ld")), posting_signals), lambda s: F.coalesce(own(s), F.lit(False)))
+    own = lambda s: (identity_name(s["title"]) == identity_name(F.col("title"))) & (identity_name(s["hiring_organization"]) == identity_name(F.col("employer")))
+    found = F.filter(F.transform(job_postings(F.col("_p.json_ld")), lambda j: posting_signals(j, today)), lambda s: F.coalesce(own(s), F.lit(False)))
     staged = read.withColumn("_found", found).withColumn("_seen", F.lower(F.col("_p.text")).contains(F.lower(clean(F.col("title")))))
     status = (
         F.when(F.size("_found") != 1, "no_unique_matching_first_party_jobposting")
@@ -83,14 +83,14 @@ def path_of(url: Column) -> Column:
     return F.regexp_replace(F.regexp_extract(url, r"^[A-Za-z]+://[^/?#]*([^?#]*)", 1), "/+$", "")
 
 
-def official_evidence(rows: DataFrame, fetched: DataFrame) -> DataFrame:
+def official_evidence(rows: DataFrame, fetched: DataFrame, today: Column | None = None) -> DataFrame:
     """Evidence of the exact job page and its application route, for rows of a verified account.
 
     rows: canonical_url, apply_url, title, employer, provider, account (null where the account is not verified).
     fetched: url, http_status, html, at most one row a URL. Rows are told apart by canonical_url.
     """
     job = rows.where("provider is not null and account is not null").join(fetched.select(F.col("url").alias("canonical_url"), F.col("http_status").alias("job_http_status"), "html"), "canonical_url", "left")
-    seen = page_signals(job.where("job_http_status = 200 and html is not null"))
+    seen = page_signals(job.where("job_http_status = 200 and html is not null"), today=today)
     apply = F.coalesce(F.nullif("apply_url", F.lit("")), F.col("canonical_url"))
     own = trusted_tenant(apply, F.col("provider"), F.col("account")) & F.coalesce(
         (path_of(apply) == path_of(F.col("canonical_url"))) | path_of(apply).isin(F.concat(path_of(F.col("canonical_url")), F.lit("/apply")), F.concat(path_of(F.col("canonical_url")), F.lit("/application"))),

@@ -79,13 +79,13 @@ def evaluate(
     judged = stash(screened(o, known, weak, active, policy, today, limit), "judged")
     kept = judged.where("reject_reason is null and verified_account").withColumn("canonical_url", F.col("url"))
     kept = stash(planning.page_budget(kept, "canonical_url", [F.col("ordinal")], page_budget), "kept")
-    pages = stash(assessment.official_evidence(kept.where("in_budget"), fetched), "pages")
+    pages = stash(assessment.official_evidence(kept.where("in_budget"), fetched, F.lit(today)), "pages")
     bound = assessment.bind(kept, pages, config, claims)
     seen = kept.join(pages.withColumnRenamed("status", "page_status"), "canonical_url", "left").join(bound, "canonical_url", "left")
     signals = F.col("structured")
     seen = seen.withColumns({
-        "date_posted": signals["date_posted"], "page_date_posted": signals["date_posted"], "expired": iso_date(F.substring(signals["valid_through"], 1, 10)) < F.lit(today), "remote_signal": signals["telecommute"],
-        "applicant_locations": F.when(signals.isNotNull(), F.array(F.coalesce(F.col("location"), F.lit("")))), "form_detected": F.col("application_form_detected"), "from_official_feed": F.lit(True),
+        "date_posted": signals["date_posted"], "page_date_posted": signals["date_posted"], "expired": signals["expired_by_valid_through"], "remote_signal": signals["remote_signal"],
+        "applicant_locations": signals["applicant_locations"], "form_detected": F.col("application_form_detected"), "from_official_feed": F.lit(True),
         "account_verified": F.lit(True), "role_family_hints": F.col("hints"), "requirement_status": F.lit(None).cast("string"), "technical_requirements": F.lit(None).cast("int"),
     })
     seen = seen.withColumn("_s", evidence.official_status(today, policy)).withColumns({"official_role": F.col("_s.official_role"), "remote_check": F.col("_s.remote"), "netherlands": F.col("_s.netherlands")})

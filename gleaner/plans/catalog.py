@@ -702,6 +702,42 @@ def q81(spark, sf_dir):
     return assessment.page_signals(job_pages(spark, sf_dir)).select("c_custkey", "page_language", "status", F.col("structured.title").alias("title"))
 
 
+@query(
+    "q89_posting_signals",
+    """SELECT c_custkey, '1.0' AS structured_contract_version, c_custkey % 7 <> 3 AS is_job_posting, CASE c_custkey % 4 WHEN 0 THEN c_custkey::VARCHAR WHEN 1 THEN 'id ' || c_custkey WHEN 2 THEN 'n' || c_custkey END AS identifier, c_name AS title,
+      CASE WHEN c_custkey % 5 < 3 THEN c_mktsegment END AS hiring_organization, CASE WHEN c_custkey % 6 < 3 THEN '2001-08-0' || (c_custkey % 6 + 1) END AS date_posted, CASE WHEN c_custkey % 6 <> 5 THEN c_custkey % 6 < 3 END AS date_posted_valid,
+      CASE WHEN c_custkey % 6 < 3 THEN c_custkey % 6 > 0 END AS date_posted_future, CASE WHEN c_custkey % 3 = 0 THEN '2001-07-31' END AS valid_through, CASE WHEN c_custkey % 3 < 2 THEN c_custkey % 3 = 0 END AS valid_through_valid,
+      CASE WHEN c_custkey % 3 = 0 THEN true END AS expired_by_valid_through, c_custkey % 2 = 0 AS remote_signal, CASE c_custkey % 3 WHEN 0 THEN 'Netherlands' WHEN 1 THEN 'Belgium,nation ' || c_nationkey ELSE '' END AS applicant_locations,
+      CASE WHEN c_custkey % 2 = 0 THEN 'nation ' || c_nationkey ELSE '' END AS job_locations, CASE WHEN c_custkey % 2 = 0 THEN 'CONTRACT,FULL_TIME' ELSE 'FULL_TIME' END AS employment_types, CASE WHEN c_custkey % 3 < 2 THEN c_custkey % 3 = 0 END AS direct_apply,
+      c_custkey % 5 <> 4 AS base_salary_present, CASE WHEN c_custkey % 5 < 3 THEN 'EUR' END AS base_salary_currency, CASE WHEN c_custkey % 5 < 2 THEN 'YEAR' END AS base_salary_unit, CASE WHEN c_custkey % 5 = 0 THEN c_acctbal END AS base_salary_value,
+      CASE WHEN c_custkey % 5 < 2 THEN c_custkey::DOUBLE END AS base_salary_min_value, NULL::DOUBLE AS base_salary_max_value FROM customer""",
+)
+def q89(spark, sf_dir):
+    k, nation = F.col("c_custkey"), F.concat(F.lit("nation "), F.col("c_nationkey"))
+    quoted = lambda v: F.concat(F.lit('"'), v, F.lit('"'))
+    field = lambda name, v: F.when(v.isNotNull(), F.concat(F.lit(f'"{name}":'), v))
+    pick = lambda by, *values: F.element_at(F.array(*values), (k % by + 1).cast("int"))
+    raw, none = F.lit, F.lit(None).cast("string")
+    obj = lambda inner: F.concat(F.lit("{"), inner, F.lit("}"))
+    amount = F.concat(F.lit('"unitText":" YEAR ","minValue":'), k.cast("string"), F.lit(',"maxValue":"many"'))
+    members = [
+        field("@type", F.when(k % 7 == 3, raw('"Thing"')).when(k % 7 == 4, raw('["Thing","JobPosting"]')).otherwise(raw('"jobPosting"'))),
+        field("identifier", pick(4, quoted(k.cast("string")), obj(F.concat(F.lit('"value":" id  '), k.cast("string"), F.lit('"'))), obj(F.concat(F.lit('"value":5,"name":"n'), k.cast("string"), F.lit('"'))), raw('["a"]'))),
+        field("title", quoted(F.concat(F.lit("  "), F.col("c_name")))),
+        field("hiringOrganization", pick(5, quoted(F.col("c_mktsegment")), obj(F.concat(F.lit('"name":'), quoted(F.col("c_mktsegment")))), obj(F.concat(F.lit('"name":'), quoted(F.col("c_mktsegment")), F.lit(',"url":1'))), raw("17"), raw("null"))),
+        field("datePosted", pick(6, raw('"2001-08-01"'), raw('"2001-08-02T10:00:00Z"'), raw('" 2001-08-03 "'), raw('"2001-8-3"'), raw("20010803"), none)),
+        field("validThrough", pick(3, raw('"2001-07-31"'), raw('"soon"'), none)),
+        field("jobLocationType", pick(2, raw('["TELECOMMUTE"]'), raw('"office"'))),
+        field("applicantLocationRequirements", pick(3, raw('{"name":"Netherlands"}'), F.concat(F.lit('["'), nation, F.lit('",{"name":"Belgium"},"Belgium",4]')), raw("4"))),
+        field("jobLocation", pick(2, F.concat(F.lit('[{"name":"'), nation, F.lit('"}]')), raw("{}"))),
+        field("employmentType", pick(2, raw('["FULL_TIME","CONTRACT"," FULL_TIME",{}]'), raw('"FULL_TIME "'))),
+        field("directApply", pick(3, raw("true"), raw("false"), raw('"true"'))),
+        field("baseSalary", pick(5, obj(F.concat(F.lit('"currency":"EUR","value":{"value":'), F.col("c_acctbal").cast("string"), F.lit(","), amount, F.lit("}"))), obj(F.concat(F.lit('"currency":"EUR","value":{'), amount, F.lit("}"))), raw('{"currency":"EUR","value":3}'), raw("50000"), none)),
+    ]
+    made = read(spark, sf_dir, "customer").select(k, html_pages.posting_signals(obj(F.concat_ws(",", *members)), F.lit(TODAY)).alias("s")).select("c_custkey", "s.*")
+    return made.withColumns({c: F.array_join(c, ",") for c in ("applicant_locations", "job_locations", "employment_types")})
+
+
 @query(
     "q82_official_routes",
     """SELECT p_partkey, CASE p_partkey % 5 WHEN 0 THEN 'matching_first_party_jobposting' WHEN 1 THEN 'closed_at_exact_ats_route' WHEN 2 THEN 'application_route_unverified' WHEN 3 THEN 'unverified' ELSE 'matching_first_party_jobposting' END AS status,

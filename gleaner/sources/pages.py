@@ -17,6 +17,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from gleaner.functions.text import clean, iso_date, variant_number
+
 VOID = frozenset(("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "param", "source", "track", "wbr"))
 SILENT = frozenset(("script", "style", "noscript", "template"))
 #: Names of fields by which a form is one for candidates, and page languages that are told apart.
@@ -200,22 +202,91 @@ def links(pages: DataFrame, html: str = "html") -> DataFrame:
     return pages.withColumn("_a", anchors(F.col(html))).select(*[c for c in pages.columns if c != html], F.posexplode("_a").alias("position", "_a")).select("*", "_a.href", "_a.label").drop("_a")
 
 
-def posting_signals(posting: Column) -> Column:
-    """struct of the fields of a JobPosting's JSON; names are text or objects with a name."""
-    v = F.try_parse_json(posting)
-    get = lambda p: F.nullif(F.trim(F.try_variant_get(v, p, "string")), F.lit(""))
-    named = lambda p: F.when(F.schema_of_variant(F.try_variant_get(v, p, "variant")).startswith("OBJECT"), get(f"{p}.name")).otherwise(get(p))
+#: Version of the contract that the signals follow, and the members that they are read from.
+SIGNALS_CONTRACT = "1.0"
+MEMBERS = ("@type", "identifier", "title", "hiringOrganization", "datePosted", "validThrough", "jobLocationType", "applicantLocationRequirements", "jobLocation", "employmentType", "directApply", "baseSalary")
+
+
+def _kind(v: Column) -> Column:
+    """TEXT, OBJECT, ARRAY, NUMBER, BOOLEAN or OTHER of a VARIANT; null where there is none."""
+    t = F.schema_of_variant(v)
+    return (
+        F.when(t.startswith("OBJECT"), "OBJECT").when(t.startswith("ARRAY"), "ARRAY").when(t == "STRING", "TEXT").when(t == "BOOLEAN", "BOOLEAN")
+        .when(t.rlike("^(BIGINT|INT|DOUBLE|FLOAT|DECIMAL)"), "NUMBER").when(t.isNotNull(), "OTHER")
+    )
+
+
+def _at(v: Column, key: str) -> Column:
+    """A member of an object, as VARIANT; null where v is none, the member is missing or a JSON null."""
+    got = F.try_variant_get(v, f"$['{key}']", "variant")
+    return F.when(~F.is_variant_null(got), got)
+
+
+def _text(v: Column) -> Column:
+    return F.when(_kind(v) == "TEXT", clean(F.try_variant_get(v, "$", "string")))
+
+
+def _items(v: Column) -> Column:
+    """The elements of a list, or the one value."""
+    return F.when(_kind(v) == "ARRAY", F.try_variant_get(v, "$", "array<variant>")).when(v.isNotNull(), F.array(v))
+
+
+def _texts(v: Column, each) -> Column:
+    found = F.array_sort(F.array_distinct(F.filter(F.transform(_items(v), each), lambda x: x.isNotNull())))
+    return F.coalesce(found, F.array().cast("array<string>"))
+
+
+def _one_of(v: Column, word: str) -> Column:
+    """Whether a text, or a text in a list, is the word, in any case."""
+    return F.coalesce(F.exists(_items(v), lambda x: F.lower(F.when(_kind(x) == "TEXT", F.try_variant_get(x, "$", "string"))).eqNullSafe(F.lit(word))), F.lit(False))
+
+
+def posting_signals(posting: Column, today: Column | None = None) -> Column:
+    """struct of the 22 signals of a JobPosting's JSON; each field is read by what it holds, a text, a list or an object.
+
+    Texts are whitespace-folded, blank ones null. Names are texts or objects with a name, alone or in a list. Dates must be
+    whole ISO dates or times (valid: null where there is none). Numbers are finite numbers, never text or booleans. What
+    compares with today is null without it. Unreadable JSON gives no signals: null or empty fields, false flags.
+    """
+    today = F.lit(None).cast("date") if today is None else today
+    members = lambda v: F.struct(*[_at(v, k).alias(k.lstrip("@")) for k in MEMBERS])
+    return _bound(F.try_parse_json(posting), lambda v: _bound(members(v), lambda m: _signals(m, today)))
+
+
+def _bound(x: Column, f) -> Column:
+    """f(x), x being evaluated once however often f names it."""
+    return F.element_at(F.transform(F.array(x), f), 1)
+
+
+def _signals(m: Column, today: Column) -> Column:
+    get = lambda key: m[key]
+    inner = lambda x, key: F.when(_kind(x) == "OBJECT", _text(_at(x, key)))
+    name = lambda x: F.coalesce(_text(x), inner(x, "name"))
+    day = lambda x: F.when(_kind(x) == "TEXT", iso_date(F.try_variant_get(x, "$", "string")))
+    valid = lambda x: F.when(x.isNotNull(), day(x).isNotNull())
+    posted, through, salary = get("datePosted"), get("validThrough"), get("baseSalary")
+    amount = F.when((_kind(salary) == "OBJECT") & (_kind(_at(salary, "value")) == "OBJECT"), _at(salary, "value"))
     return F.struct(
-        get("$.title").alias("title"),
-        named("$.hiringOrganization").alias("organization"),
-        F.coalesce(get("$.identifier.value"), get("$.identifier")).alias("identifier"),
-        get("$.datePosted").alias("date_posted"),
-        get("$.validThrough").alias("valid_through"),
-        (F.upper(get("$.jobLocationType")) == "TELECOMMUTE").alias("telecommute"),
-        F.coalesce(F.array_sort(F.array_distinct(F.try_variant_get(v, "$.employmentType", "array<string>"))), F.array_compact(F.array(get("$.employmentType")))).alias("employment_types"),
-        F.try_variant_get(v, "$.directApply", "boolean").alias("direct_apply"),
-        get("$.baseSalary.currency").alias("currency"),
-        F.try_variant_get(v, "$.baseSalary.value.minValue", "double").alias("salary_min"),
-        F.try_variant_get(v, "$.baseSalary.value.maxValue", "double").alias("salary_max"),
-        get("$.baseSalary.value.unitText").alias("salary_unit"),
+        F.lit(SIGNALS_CONTRACT).alias("structured_contract_version"),
+        _one_of(get("type"), "jobposting").alias("is_job_posting"),
+        F.coalesce(_text(get("identifier")), inner(get("identifier"), "value"), inner(get("identifier"), "name")).alias("identifier"),
+        _text(get("title")).alias("title"),
+        name(get("hiringOrganization")).alias("hiring_organization"),
+        day(posted).cast("string").alias("date_posted"),
+        valid(posted).alias("date_posted_valid"),
+        (day(posted) > today).alias("date_posted_future"),
+        day(through).cast("string").alias("valid_through"),
+        valid(through).alias("valid_through_valid"),
+        (day(through) < today).alias("expired_by_valid_through"),
+        _one_of(get("jobLocationType"), "telecommute").alias("remote_signal"),
+        _texts(get("applicantLocationRequirements"), name).alias("applicant_locations"),
+        _texts(get("jobLocation"), name).alias("job_locations"),
+        _texts(get("employmentType"), _text).alias("employment_types"),
+        F.when(_kind(get("directApply")) == "BOOLEAN", F.try_variant_get(get("directApply"), "$", "boolean")).alias("direct_apply"),
+        salary.isNotNull().alias("base_salary_present"),
+        inner(salary, "currency").alias("base_salary_currency"),
+        inner(amount, "unitText").alias("base_salary_unit"),
+        variant_number(_at(amount, "value")).alias("base_salary_value"),
+        variant_number(_at(amount, "minValue")).alias("base_salary_min_value"),
+        variant_number(_at(amount, "maxValue")).alias("base_salary_max_value"),
     )

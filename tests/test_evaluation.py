@@ -28,7 +28,7 @@ def test_one_pass(spark):
         obs(8, employer="Old Co"), obs(9, provider=None, location="India"), obs(10, published_at="2026-10-01"), obs(11), obs(12, canonical_url=f"{BASE}1-dev", url=f"{BASE}1-dev", source_job_id="acme:1"),
     ]
     df = spark.createDataFrame(rows, OBS)
-    page = html(LD(title="WordPress developer", jobLocationType="TELECOMMUTE"), body="<h1>WordPress developer</h1><p>fully remote in the Netherlands posted 1 September you speak English We ask for WordPress apply in English</p>", form=FORM)
+    page = html(LD(title="WordPress developer", jobLocationType="TELECOMMUTE", applicantLocationRequirements=[{"@type": "Country", "name": "Netherlands"}]), body="<h1>WordPress developer</h1><p>fully remote in the Netherlands posted 1 September you speak English We ask for WordPress apply in English</p>", form=FORM)
     fetched = spark.createDataFrame([(f"{BASE}1-dev", 200, page), (f"{BASE}11-dev", 410, None)], "url string, http_status int, html string")
     claims = spark.createDataFrame([("e1", CLAIM, "github", "repo", "README", "high", "true", "2026-09-01")], "evidence_id string, claim string, source_type string, source_ref string, source_locator string, confidence string, active string, verified_at string")
     config = spark.createDataFrame([("k", "v")], "key string, value string")
@@ -36,7 +36,7 @@ def test_one_pass(spark):
     weak = spark.createDataFrame([("old co", "wordpress developer")], "employer string, title string")
     active = spark.createDataFrame([("lever",)], "source_id string")
     kept = df.where("ordinal = 1").withColumn("canonical_url", F.col("url"))
-    seen = A.official_evidence(kept, fetched)
+    seen = A.official_evidence(kept, fetched, F.lit(DAY))
     b = A.bind(kept, seen, config, claims).first().asDict()
     note = good() | {k: b[k] for k in ("policy_sha256", "candidate_evidence_sha256", "observation_sha256", "official_page_sha256")} | {"canonical_url": f"{BASE}1-dev"}
     note["employer_verification"]["official_role_url"] = f"{BASE}1-dev"

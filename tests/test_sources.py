@@ -45,10 +45,58 @@ def test_pages(spark):
     r = df.where("page_id = 1").select("p.*", "a", pages.job_postings(F.col("p.json_ld")).alias("j")).first()
     assert (r.lang, r.text, r.has_form, [tuple(a) for a in r.a], len(r.j)) == ("nl", "t See én one two", False, [("/a", "one two")], 1)
     s = df.where("page_id = 1").select(pages.posting_signals(pages.job_postings(F.col("p.json_ld"))[0]).alias("s")).first().s
-    assert (s.title, s.organization, s.employment_types) == ("Dev", "Acme", ["A", "B"])
+    assert (s.title, s.hiring_organization, s.employment_types) == ("Dev", "Acme", ["A", "B"])
     assert df.count() == 3
 
 
+def plain_signals(v, today):
+    """The same signals from the parsed JSON, case by case."""
+    from datetime import date, datetime
+
+    text = lambda x: (" ".join(x.split()) or None) if isinstance(x, str) else None
+    items = lambda x: x if isinstance(x, list) else [x]
+    named = lambda x: text(x) if isinstance(x, str) else text(x.get("name")) if isinstance(x, dict) else None
+    number = lambda x: float(x) if isinstance(x, (int, float)) and not isinstance(x, bool) else None
+    several = lambda x, f: sorted({y for i in items(x) if (y := f(i))})
+    has = lambda x, w: any(isinstance(i, str) and i.lower() == w for i in items(x))
+
+    def day(x):
+        try:
+            return datetime.fromisoformat(x.strip()).date() if isinstance(x, str) and len(x.strip()) >= 10 else None
+        except ValueError:
+            return None
+
+    posted, through, pay, ident = v.get("datePosted"), v.get("validThrough"), v.get("baseSalary"), v.get("identifier")
+    value = pay.get("value") if isinstance(pay, dict) and isinstance(pay.get("value"), dict) else {}
+    iso = lambda d: d.isoformat() if d else None
+    return (
+        "1.0", has(v.get("@type"), "jobposting"), text(ident) if isinstance(ident, str) else (text(ident.get("value")) or text(ident.get("name"))) if isinstance(ident, dict) else None, text(v.get("title")), named(v.get("hiringOrganization")),
+        iso(day(posted)), None if posted is None else day(posted) is not None, day(posted) > today if day(posted) else None, iso(day(through)), None if through is None else day(through) is not None, day(through) < today if day(through) else None,
+        has(v.get("jobLocationType"), "telecommute"), several(v.get("applicantLocationRequirements"), named), several(v.get("jobLocation"), named), several(v.get("employmentType"), text),
+        v.get("directApply") if isinstance(v.get("directApply"), bool) else None, pay is not None, text(pay.get("currency")) if isinstance(pay, dict) else None, text(value.get("unitText")), number(value.get("value")), number(value.get("minValue")), number(value.get("maxValue")),
+    )
+
+
+def test_posting_signals_by_type(spark):
+    import datetime
+    import itertools
+    import random
+
+    rng, today = random.Random(4), datetime.date(2026, 9, 6)
+    some = [None, "", "  a  b ", 7, True, {"name": " N "}, {"value": "v", "name": "n"}, {"value": 3}, ["x", {"name": "y"}, 3, None, "x"], [], [["z"]]]
+    days = [None, "2026-09-07", " 2026-09-05T10:00:00+02:00 ", "2026-9-5", 20260905, "2026-13-01", "soon"]
+    pays = [None, 5, "5", {}, {"currency": " EUR ", "value": 3}, {"currency": 3, "value": {"unitText": "YEAR", "value": 1.5, "minValue": "2", "maxValue": True}}, {"value": {"minValue": 10, "maxValue": 2e3}}, [{"currency": "EUR"}]]
+    postings = []
+    for _ in range(150):
+        v = {k: rng.choice(some) for k in ("identifier", "title", "hiringOrganization", "applicantLocationRequirements", "jobLocation", "employmentType", "directApply")}
+        v |= {"datePosted": rng.choice(days), "validThrough": rng.choice(days), "baseSalary": rng.choice(pays), "@type": rng.choice(["JobPosting", ["Thing", "jobposting"], None, 3]), "jobLocationType": rng.choice(["TELECOMMUTE", ["x", "Telecommute"], None, {}])}
+        postings.append({k: x for k, x in v.items() if x is not None or rng.random() < 0.5})
+    df = spark.createDataFrame([(i, json.dumps(v)) for i, v in enumerate(postings)] + [(-1, "{broken"), (-2, None)], "i int, j string")
+    got = {r.i: tuple(r.s) for r in df.select("i", pages.posting_signals(F.col("j"), F.lit(today)).alias("s")).collect()}
+    for i, v in itertools.chain(enumerate(postings), ((-1, {}), (-2, {}))):
+        assert got[i] == plain_signals(v, today), v
+
+
 def test_requirements_and_geography(spark):
     text = "About us: we love Ruby. Requirements: PHP and WordPress. React or Vue. 3 years of Python. Nice to have: Docker.\nKnowledge of MySQL is needed."
     c = requirements.requirement_clauses(spark.createDataFrame([(1, text)], "ordinal long, description string"))
