@@ -17,6 +17,7 @@ from pyspark.sql import functions as F
 from gleaner.functions import urls
 from gleaner.operators import assessment, canonical, coverage, planning, ranking, requirements, review, run_upsert, screening, state
 from gleaner.operators.graph import shared_dir, stash
+from gleaner.sources import discovery
 from gleaner.sources import pages as html_pages
 from gleaner.streaming import keyed
 
@@ -262,6 +263,26 @@ def q17(spark, sf_dir):
     return p.select("page_id", "p.text", "p.has_form")
 
 
+@query(
+    "q18_page_discovery",
+    """WITH p AS (SELECT page_id, page_id % 4 AS f, 'https://jobs.acme.com/p/' || page_id AS u FROM pages)
+    SELECT page_id, 0 AS position, u || '/1' AS url, 'WordPress developer ' || page_id AS title, CASE f WHEN 0 THEN 'Remote - NL, BE' WHEN 2 THEN 'Remote - Netherlands' ELSE 'Remote' END AS location, CASE f WHEN 0 THEN 'Acme' WHEN 2 THEN 'Acme' ELSE 'Source' END AS employer FROM p
+    UNION ALL SELECT page_id, 1, u || '/2', 'Remote website builder', 'Remote', 'Source' FROM p WHERE f = 2""",
+)
+def q18(spark, sf_dir):
+    k = F.col("page_id")
+    url = F.concat(F.lit("https://jobs.acme.com/p/"), k)
+    title = F.concat(F.lit("WordPress developer "), k)
+    listed = F.concat(F.lit('{"data":{"jobs":[{"jobUrl":"'), url, F.lit('/1?utm_source=x","title":"'), title, F.lit('","remote":true,"company":{"name":"Acme"},"location":[{"name":"NL"},"BE"]},{"url":"'), url, F.lit('/1","title":"'), title, F.lit('","remote":true},{"url":"'), url, F.lit('/3","title":"Cook","remote":true}]}}'))
+    fed = F.concat(F.lit('<?xml version="1.0"?><rss><channel><item><title>'), title, F.lit("</title><link>"), url, F.lit("/1</link><description>fully remote</description></item><item><title>WordPress on-site</title><link>https://x.nl/2</link></item></channel></rss>"))
+    posted = F.concat(F.lit('<script type="application/ld+json">{"@graph":[{"@type":"JobPosting","title":"'), title, F.lit('","url":"/p/'), k, F.lit('/1","jobLocationType":"TELECOMMUTE","applicantLocationRequirements":{"name":"Netherlands"},"hiringOrganization":{"name":"Acme"}}]}</script><a href="/url?q=https://jobs.acme.com/p/'), k, F.lit('/2&x=1">Remote website builder</a>'), F.col("html"))
+    linked = F.concat(F.col("html"), F.lit('<a href="/p/'), k, F.lit('/1?gclid=5#top">'), title, F.lit('<b></b></a><a href="/jobs">remote website</a><a href="/p/'), k, F.lit('/1">'), title, F.lit(" remote</a>"))
+    body = F.when(k % 4 == 0, listed).when(k % 4 == 1, fed).when(k % 4 == 2, posted).otherwise(F.replace(linked, F.lit("<b></b>"), F.lit("")))
+    pages = read(spark, sf_dir, "pages").select(F.lit("s").alias("source_id"), F.lit("board").alias("source_type"), F.lit("Source").alias("source_name"), F.concat(url, F.lit("/list")).alias("url"), body.alias("html"))
+    found = discovery.discover(pages).withColumn("title", F.regexp_replace("title", "^(WordPress developer [0-9]+) remote$", "$1"))
+    return found.select(F.regexp_extract("page_url", "([0-9]+)/list$", 1).cast("long").alias("page_id"), F.col("position").cast("int").alias("position"), "url", "title", "location", "employer")
+
+
 # ---------------------------------------------------------------- state
 @query(
     "q20_change_detection",
