@@ -133,3 +133,20 @@ def connected_components(edges: DataFrame, max_rounds: int = 200, chunk: int = 5
         pair = stash(shrink(small.select("e.*").where("u <> v").distinct()), "cc", files)
     stars = pair.select(F.col("u").alias("node"), F.col("v").alias("component"))
     return stars.union(stars.select(F.col("component"), F.col("component"))).distinct()
+
+
+def merge_components(components: DataFrame, edges: DataFrame, **options: int) -> DataFrame:
+    """Components so far (node, component) and a batch's edges (src, dst) -> components of both.
+
+    Ends are replaced by the components that they are in, so the rounds run over the batch's edges alone; of the earlier
+    rows only those of joined components change. Equal to all edges at once, batch for batch. As there, nulls and
+    self-loops are ignored, and a component is named by its smallest node.
+    """
+    ends = edges.where("src is not null and dst is not null and src <> dst").select(F.col("src").cast("long").alias("src"), F.col("dst").cast("long").alias("dst"))
+    known = components.select("node", "component")
+    named = ends.join(known.toDF("src", "a"), "src", "left").join(known.toDF("dst", "b"), "dst", "left")
+    named = stash(named.select("src", "dst", F.coalesce("a", "src").alias("a"), F.coalesce("b", "dst").alias("b")), "ends")
+    joined = stash(connected_components(named.select(F.col("a").alias("src"), F.col("b").alias("dst")), **options).toDF("was", "now"), "joined")
+    seen = named.select(F.explode(F.array(F.struct(F.col("src").alias("node"), F.col("a").alias("component")), F.struct(F.col("dst").alias("node"), F.col("b").alias("component")))).alias("e")).select("e.*").distinct()
+    both = known.union(seen.join(known.select("node"), "node", "left_anti"))
+    return both.join(joined, both["component"] == joined["was"], "left").select("node", F.coalesce("now", "component").alias("component"))

@@ -15,8 +15,9 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from gleaner.functions import urls
-from gleaner.operators import assessment, canonical, coverage, planning, ranking, requirements, review, run_upsert, screening, state
+from gleaner.operators import assessment, canonical, coverage, graph, planning, ranking, requirements, review, run_upsert, screening, state
 from gleaner.operators.graph import shared_dir, stash
+from gleaner.operators.known_keys import KnownKeys
 from gleaner.sources import discovery
 from gleaner.sources import pages as html_pages
 from gleaner.streaming import keyed
@@ -283,6 +284,36 @@ def q18(spark, sf_dir):
     return found.select(F.regexp_extract("page_url", "([0-9]+)/list$", 1).cast("long").alias("page_id"), F.col("position").cast("int").alias("position"), "url", "title", "location", "employer")
 
 
+@query(
+    "q19_components_by_batches",
+    """WITH g AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY text) AS component, count(*) OVER (PARTITION BY text) AS n FROM documents WHERE text IS NOT NULL)
+    SELECT doc_id AS node, component FROM g WHERE n > 1""",
+)
+def q19(spark, sf_dir):
+    d = read(spark, sf_dir, "documents").where("text is not null").select("doc_id", F.sha2("text", 256).alias("h"))
+    chain = d.select(F.col("doc_id").alias("src"), F.lag("doc_id").over(W.partitionBy("h").orderBy("doc_id")).alias("dst")).where("dst is not null")
+    edges, grown = stash(chain, "edges"), spark.createDataFrame([], "node long, component long")
+    for k in range(3):  # every link of the chains comes in one of three batches
+        grown = stash(graph.merge_components(grown, edges.where(F.pmod(F.hash("src"), F.lit(3)) == k)), "grown")
+    return grown
+
+
+@query(
+    "q72_known_keys",
+    """WITH k AS (SELECT DISTINCT event_type || ':' || user_id || ':' || floor(value / 5)::BIGINT AS key, least(day(ts) // 10, 2) AS run FROM events), f AS (SELECT key, min(run) AS first FROM k GROUP BY key)
+    SELECT run, count(*) AS asked, count(*) FILTER (first < run) AS known FROM k JOIN f USING (key) GROUP BY run""",
+)
+def q72(spark, sf_dir):
+    k = read(spark, sf_dir, "events").select(F.concat_ws(":", "event_type", "user_id", F.floor(F.col("value") / 5)).alias("key"), F.least(F.floor(F.dayofmonth("ts") / 10), F.lit(2)).alias("run")).distinct()
+    log, out = KnownKeys.load(spark, f"{shared_dir(spark)}/keys-{uuid.uuid4().hex}"), None
+    for run in range(3):
+        mine = k.where(F.col("run") == run).select("key")
+        asked = stash(mine.join(log.find(mine).withColumn("known", F.lit(True)), "key", "left").agg(F.lit(run).alias("run"), F.count("*").alias("asked"), F.count("known").alias("known")), "asked")
+        out = asked if out is None else out.union(asked)
+        log = log.add(mine, f"run {run}")
+    return out
+
+
 # ---------------------------------------------------------------- state
 @query(
     "q20_change_detection",

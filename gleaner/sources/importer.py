@@ -331,11 +331,11 @@ def admitted_specs(specs: DataFrame, active: DataFrame) -> DataFrame:
     )
 
 
-def worker_rows(observations: DataFrame, sources: DataFrame, known: DataFrame, old_keys: DataFrame, family: str, now_s: float, max_age_days: int = 7) -> DataFrame:
-    """New leads of the worker's report: relevant, remote, not known by URL or key, each URL once; with review status.
+def worker_candidates(observations: DataFrame, sources: DataFrame, family: str, now_s: float, max_age_days: int = 7) -> DataFrame:
+    """Leads of the worker's report, known or not: relevant and remote, with candidate_key and review status (_r).
 
     observations: ordinal, source_id, job_id, title, description, location, url, employer, published_hint, evidence,
-    review_status; sources: source_id, source_type, source_name; known: url; old_keys: candidate_key.
+    review_status; sources: source_id, source_type, source_name.
     """
     cut = lambda c, n: F.substring(F.coalesce(F.col(c), F.lit("")), 1, n)
     o = observations.where((F.col("ordinal") < MOST_ROWS) & (F.col("review_status") == "unverified")).withColumns({"title": cut("title", 180), "description": cut("description", 800), "location": cut("location", 180), "url": lead_url(F.col("url"))})
@@ -350,7 +350,16 @@ def worker_rows(observations: DataFrame, sources: DataFrame, known: DataFrame, o
     o = o.where(is_true(fine)).withColumns({"employer": employer, "job_id": job})
     o = o.withColumn("candidate_key", observation_key(F.lit("public_browser"), F.col("source_id"), F.col("job_id"), F.col("url"), F.col("employer"), F.col("title"))).where("candidate_key <> ''")
     o = o.withColumn("_r", review.lead_status(review.publication_seconds(F.col("published_hint")), F.col("location"), F.col("description"), F.lit(now_s), max_age_days))
-    o = o.where(~F.col("_r.status").isin("not_fully_remote_review", "geography_restricted_review"))
+    return o.where(~F.col("_r.status").isin("not_fully_remote_review", "geography_restricted_review"))
+
+
+def worker_rows(observations: DataFrame, sources: DataFrame, known: DataFrame, old_keys: DataFrame, family: str, now_s: float, max_age_days: int = 7) -> DataFrame:
+    """New leads of the worker's report: its candidates that are not known by url or candidate_key, each of these once."""
+    return worker_new(worker_candidates(observations, sources, family, now_s, max_age_days), known, old_keys)
+
+
+def worker_new(o: DataFrame, known: DataFrame, old_keys: DataFrame) -> DataFrame:
+    """Rows for the leads' sheet of those candidates whose url (known) and candidate_key (old_keys) are new."""
     o = o.join(old_keys.select("candidate_key").distinct(), "candidate_key", "left_anti").join(known.select("url").distinct(), "url", "left_anti")
     for key in ("url", "candidate_key"):
         o = o.withColumn("_n", F.row_number().over(W.partitionBy(key).orderBy("ordinal"))).where("_n = 1").drop("_n")

@@ -35,6 +35,16 @@ def test_components_with_a_hub(spark, chunk):
     assert got == sorted((x, top(x)) for x in linked)
 
 
+def test_components_grow_by_batches(spark):
+    r = np.random.default_rng(5)
+    edges = [(int(a), int(b)) for a, b in zip(r.integers(0, 120, 90), r.integers(0, 120, 90))] + [(None, 1), (4, 4)]
+    make = lambda rows: spark.createDataFrame(rows, "src long, dst long")
+    grown = spark.createDataFrame([], "node long, component long")
+    for k in range(0, len(edges), 31):
+        grown = graph.stash(graph.merge_components(grown, make(edges[k : k + 31])), "grown")
+        assert sorted(map(tuple, grown.collect())) == sorted(map(tuple, graph.connected_components(make(edges[: k + 31])).collect()))
+
+
 def test_components_that_do_not_end_are_an_error(spark):
     chain = spark.createDataFrame([(i, i + 1) for i in range(500)], "src long, dst long").repartition(5)
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", 20)
