@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
-from gleaner.functions import urls
+from gleaner.functions import hashing, urls
 from gleaner.operators import assessment, canonical, coverage, graph, planning, ranking, requirements, review, run_upsert, screening, state
 from gleaner.operators.graph import shared_dir, stash
 from gleaner.operators.known_keys import KnownKeys
@@ -314,6 +314,23 @@ def q72(spark, sf_dir):
     return out
 
 
+@query(
+    "q73_content_digest",
+    """SELECT c_custkey, sha256('{"apply_url":"https://acme.nl/j/' || c_custkey || '","description":null,"employer":"' || c_mktsegment || '","employment_type":null,"listing_language":"en","location":null,"remote":' || CASE WHEN c_custkey % 3 = 0 THEN 'true' ELSE 'null' END
+      || ',"salary":' || CASE c_custkey % 4 WHEN 0 THEN '{"max":' || c_nationkey || ',"parts":[{"a":null,"b":"x y"},2.50e0]}' WHEN 1 THEN '"about ' || c_nationkey || '"' WHEN 2 THEN '[1,[2,null]]' ELSE 'null' END || ',"title":"' || c_name || '","workplace_type":null}') AS digest FROM customer""".replace("2.50e0", "2.5"),
+)
+def q73(spark, sf_dir):
+    k, n = F.col("c_custkey"), F.col("c_nationkey")
+    salary = F.when(k % 4 == 0, F.concat(F.lit('{"parts": [{"b": " x   y ", "a": ""}, 2.50], "max": '), n, F.lit("}"))).when(k % 4 == 1, F.concat(F.lit("  about "), n)).when(k % 4 == 2, F.lit("[1, [2, null]]"))
+    return read(spark, sf_dir, "customer").select(
+        k,
+        hashing.content_digest(
+            title=F.concat(F.lit(" "), F.col("c_name"), F.lit("\n")), employer=F.col("c_mktsegment"), salary=salary, apply_url=F.concat(F.lit("https://ACME.nl/j/"), k, F.lit("/?utm_source=x")), remote=F.when(k % 3 == 0, F.lit(True)),
+            listing_language=F.lit("en"), description=F.lit("   "),
+        ).alias("digest"),
+    )
+
+
 # ---------------------------------------------------------------- state
 @query(
     "q20_change_detection",

@@ -17,6 +17,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from gleaner.functions.hashing import CONTENT, content_digest
 from gleaner.functions.text import clean, stringify
 from gleaner.functions.urls import parts
 from gleaner.operators.canonical import fingerprint
@@ -369,7 +370,6 @@ def records(raw: DataFrame, now: str, adapters: list[str] | None = None) -> Data
             F.when(url.isNull() & (F.col("source_id").isNull() | F.col("o.job_id").isNull()), "no_identity"),
         ),
     )
-    content = ["employer", "title", "location", "description", "published_at", "valid_through", "employment_type", "salary", "apply_url", "listing_language"]
     shown = rows.select(
         "source_id", "source_type", F.when(F.col("o.job_id").isNotNull(), job).alias("source_job_id"), F.concat_ws(":", "adapter", "account").alias("source_instance"), "o.source_url",
         url.alias("canonical_url"), url.alias("url"), "o.title", *[f"o.{k}" for k in _TARGET], "o.salary", "listing_language", "o.remote", F.col("adapter").alias("provider"), "ordinal", "max_jobs",
@@ -379,7 +379,7 @@ def records(raw: DataFrame, now: str, adapters: list[str] | None = None) -> Data
         shown.withColumn("observation_contract_version", F.lit(CONTRACT))
         .withColumns({c: F.lit(now) for c in ("ingestion_timestamp", "first_seen_at", "last_seen_at")})
         .withColumn("duplicate_candidate_fingerprint", fingerprint(F.col("employer"), F.col("title"), F.col("location")))
-        .withColumn("content_hash", F.sha2(F.to_json(F.struct(*content), {"ignoreNullFields": "false"}), 256))
+        .withColumn("content_hash", content_digest(**{c: F.col(c) for c in CONTENT if c in shown.columns}))
     )
 
 
