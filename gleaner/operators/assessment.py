@@ -28,7 +28,6 @@ PAGE_FIELDS = (
     "status", "job_http_status", "apply_http_status", "page_language", "application_language", "application_page_language", "application_form_detected", "structured",
     "visible_text", "application_visible_text",
 )
-REVIEWER = "vacature-search"
 FACTS = ("fully_remote", "netherlands_execution", "original_publication", "application_language", "required_languages")
 ANCHORS = {
     "core_fit": (CORE_STEPS, ("skills", "responsibilities")),
@@ -166,12 +165,12 @@ def claim_digest(claim: Column) -> Column:
     return F.sha2(quoted.cast("binary"), 256)
 
 
-def validate(rows: DataFrame, assessments: DataFrame, evidence: DataFrame, today: date, policy: Policy, canonical_cv: str = "") -> DataFrame:
+def validate(rows: DataFrame, assessments: DataFrame, evidence: DataFrame, today: date, policy: Policy, canonical_cv: str = "", *, reviewer: str) -> DataFrame:
     """canonical_url, status (pending, ineligible, verified), missing, reasons, and the fields that ranking takes.
 
     rows hold, beside a posting's columns, its page (visible_text, application_visible_text, page_date_posted,
     page_language), `blockers`, `account_verified`, `role_family_hints` and the four digests of bind(). assessments hold
-    canonical_url and assessment, a JSON text; a URL that has several is an error. Checks come in stages; the first stage
+    canonical_url and assessment, a JSON text; a URL that has several is an error. Only those by `reviewer` count. Checks come in stages; the first stage
     that fails ends an assessment, so a reviewer sees what to mend next.
     """
     several = assessments.groupBy("canonical_url").count().where("count > 1")
@@ -206,7 +205,7 @@ def validate(rows: DataFrame, assessments: DataFrame, evidence: DataFrame, today
     digests = F.lit(True)
     for d in ("policy_sha256", "candidate_evidence_sha256", "observation_sha256", "official_page_sha256"):
         digests = digests & (a(d) == F.col(d))
-    current = (a("schema_version") == 1) & (a("reviewer") == REVIEWER) & (a("reviewed_on") == day) & (a("canonical_url") == F.col("canonical_url"))
+    current = (a("schema_version") == 1) & (a("reviewer") == reviewer) & (a("reviewed_on") == day) & (a("canonical_url") == F.col("canonical_url"))
     one = lambda cond, name: F.when(no(cond), F.array(F.lit(name)))
     found = F.array_compact(F.array(*unseen))
     stages = [

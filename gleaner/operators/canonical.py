@@ -3,7 +3,6 @@
 from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame
-from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from gleaner.functions.text import clean, fold
@@ -103,8 +102,11 @@ def canonicalize(df: DataFrame) -> DataFrame:
 
 
 def mark_duplicates(df: DataFrame, key: str = "duplicate_candidate_fingerprint") -> DataFrame:
-    n = F.when(F.col(key).isNotNull(), F.count("*").over(W.partitionBy(key))).otherwise(0).cast("int")
-    return df.withColumn("duplicate_candidate_count", n).withColumn("duplicate_candidate", F.col("duplicate_candidate_count") > 1)
+    """df with how many rows share the key (0 for null); rows without one are spread, and a frequent key is counted before it moves."""
+    counts = df.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("_shared")).agg(F.count("*").cast("int").alias("duplicate_candidate_count"))
+    shared = F.coalesce(F.col(key), F.concat(F.lit("\x00"), F.pmod(F.xxhash64(*df.columns), F.lit(4096)).cast("string")))
+    out = df.withColumn("_key", shared).join(counts, F.col("_key") == F.col("_shared"), "left").drop("_key", "_shared")
+    return out.withColumn("duplicate_candidate_count", F.coalesce("duplicate_candidate_count", F.lit(0))).withColumn("duplicate_candidate", F.col("duplicate_candidate_count") > 1)
 
 
 def output_order(df: DataFrame) -> DataFrame:

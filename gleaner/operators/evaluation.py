@@ -68,7 +68,7 @@ def screened(observations: DataFrame, known: DataFrame, weak: DataFrame, active:
 
 def evaluate(
     observations: DataFrame, known: DataFrame, weak: DataFrame, active: DataFrame, fetched: DataFrame, assessments: DataFrame, claims: DataFrame, config: DataFrame, policy: Policy, today: date,
-    limit: int = 60, page_budget: int = 10,
+    limit: int = 60, page_budget: int = 10, *, reviewer: str,
 ) -> Evaluation:
     """Screen, look at pages, validate and rank.
 
@@ -91,7 +91,7 @@ def evaluate(
     seen = seen.withColumn("_s", evidence.official_status(today, policy)).withColumns({"official_role": F.col("_s.official_role"), "remote_check": F.col("_s.remote"), "netherlands": F.col("_s.netherlands")})
     seen = seen.withColumn("exclusion", evidence.page_exclusion(today, policy)).withColumn("blockers", evidence.blockers(today, policy))
     seen = stash(seen.drop("_s"), "seen")
-    decided = stash(assessment.validate(seen.where("in_budget and exclusion is null"), assessments, claims, today, policy), "decided")
+    decided = stash(assessment.validate(seen.where("in_budget and exclusion is null"), assessments, claims, today, policy, reviewer=reviewer), "decided")
     recommended = evidence.rank_verified(decided.where("status = 'verified'"), today, policy)
     result = decided.select(F.col("canonical_url").alias("url"), "status", "missing")
     out = judged.join(seen.select("ordinal", "page_status", "exclusion", "in_budget"), "ordinal", "left").join(result, "url", "left")

@@ -848,7 +848,7 @@ def q83(spark, sf_dir):
     anchor = lambda v, i: F.struct(v.alias("value"), F.lit("seen").alias("rationale"), F.array(F.lit(i)).alias("requirement_ids"))
     met = F.lit("met")
     text = F.to_json(F.struct(
-        F.lit(1).alias("schema_version"), F.lit(assessment.REVIEWER).alias("reviewer"), F.when(k % 8 == 2, "2001-07-31").otherwise(today).alias("reviewed_on"), url.alias("canonical_url"),
+        F.lit(1).alias("schema_version"), F.lit("reviewer").alias("reviewer"), F.when(k % 8 == 2, "2001-07-31").otherwise(today).alias("reviewed_on"), url.alias("canonical_url"),
         *[(F.when(k % 8 == 3, "0").otherwise(v) if n == "policy_sha256" else v).alias(n) for n, v in digests.items()],
         F.struct(F.lit("verified").alias("status"), F.lit(today).alias("checked_on"), F.lit("https://acme.nl/").alias("employer_url"), url.alias("official_role_url"), F.lit("imprint").alias("ownership_evidence")).alias("employer_verification"),
         F.struct(fact(F.lit(True), "fully remote").alias("fully_remote"), fact(F.lit(True), "from the Netherlands").alias("netherlands_execution"), fact(F.lit("2001-07-01"), "posted in July").alias("original_publication"),
@@ -864,7 +864,7 @@ def q83(spark, sf_dir):
         F.concat(F.lit("e"), n).alias("evidence_id"), F.concat(F.lit("Built WordPress sites, "), n).alias("claim"), F.lit("github").alias("source_type"), F.lit("repo").alias("source_ref"),
         F.lit("README").alias("source_locator"), F.lit("high").alias("confidence"), F.lit("TRUE").alias("active"), F.lit("2001-07-01").alias("verified_at"),
     )
-    out = assessment.validate(rows, notes, evidence, TODAY, POLICY).join(rows.select("canonical_url", k), "canonical_url")
+    out = assessment.validate(rows, notes, evidence, TODAY, POLICY, reviewer="reviewer").join(rows.select("canonical_url", k), "canonical_url")
     return out.select("p_partkey", "status", F.array_join("missing", ",").alias("missing"), F.array_join("reasons", ",").alias("reasons"))
 
 

@@ -80,7 +80,7 @@ def good():
     req = lambda i, kind, **kw: {"id": i, "kind": kind, "mandatory": True, "outcome": "met", "quote": "We ask for WordPress", "rationale": "shown", "candidate_evidence": ref, **kw}
     fact = lambda v, q: {"value": v, "quote": q}
     return {
-        "schema_version": 1, "reviewer": "vacature-search", "reviewed_on": "2026-09-06", "canonical_url": URL, **{k: k[0] * 64 for k in ("policy_sha256", "candidate_evidence_sha256", "observation_sha256", "official_page_sha256")},
+        "schema_version": 1, "reviewer": "reviewer", "reviewed_on": "2026-09-06", "canonical_url": URL, **{k: k[0] * 64 for k in ("policy_sha256", "candidate_evidence_sha256", "observation_sha256", "official_page_sha256")},
         "employer_verification": {"status": "verified", "checked_on": "2026-09-06", "employer_url": "https://acme.nl/about", "official_role_url": URL, "ownership_evidence": "imprint"},
         "facts": {"fully_remote": fact(True, "fully remote"), "netherlands_execution": fact(True, "in the Netherlands"), "original_publication": fact("2026-09-01", "posted 1 September"),
                   "application_language": fact("en", "apply in English"), "required_languages": fact(["en"], "you speak English")},
@@ -127,7 +127,7 @@ def test_validation(spark, text, status, missing):
     rows = spark.createDataFrame([row], ROW)
     notes = spark.createDataFrame([(URL, text)], "canonical_url string, assessment string")
     ev = spark.createDataFrame([EVIDENCE], "evidence_id string, claim string, source_type string, source_ref string, source_locator string, confidence string, active string, verified_at string")
-    r = A.validate(rows, notes, ev, DAY, POLICY).first()
+    r = A.validate(rows, notes, ev, DAY, POLICY, reviewer="reviewer").first()
     assert r.status == status, r
     if missing is not None:
         own = ["verified_core_duties_and_score_anchors"] if missing and missing[0].split(":")[0] in ("specialist_evidence_assessment", "current_exact_role_assessment", "assessment_inputs_changed", "independent_employer_and_ats_ownership_evidence", "visible_employer_fact", "employer_remote_and_netherlands_confirmation", "consistent_original_publication_date", "allowed_employer_languages", "all_requirement_dimensions_reviewed", "complete_requirement_matrix") else []
@@ -143,7 +143,7 @@ def test_verified_mismatch_is_ineligible_and_double_assessments_fail(spark):
     a["requirements"].append({**a["requirements"][0], "id": "r9", "outcome": "not_met"})
     ev = spark.createDataFrame([EVIDENCE], "evidence_id string, claim string, source_type string, source_ref string, source_locator string, confidence string, active string, verified_at string")
     notes = spark.createDataFrame([(URL, json.dumps(a))], "canonical_url string, assessment string")
-    r = A.validate(spark.createDataFrame([row], ROW), notes, ev, DAY, POLICY).first()
+    r = A.validate(spark.createDataFrame([row], ROW), notes, ev, DAY, POLICY, reviewer="reviewer").first()
     assert (r.status, r.reasons) == ("ineligible", ["verified_mandatory_requirement_mismatch"])
     with pytest.raises(ValueError, match="several"):
-        A.validate(spark.createDataFrame([row], ROW), notes.union(notes), ev, DAY, POLICY)
+        A.validate(spark.createDataFrame([row], ROW), notes.union(notes), ev, DAY, POLICY, reviewer="reviewer")

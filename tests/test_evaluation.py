@@ -41,7 +41,7 @@ def test_one_pass(spark):
     note = good() | {k: b[k] for k in ("policy_sha256", "candidate_evidence_sha256", "observation_sha256", "official_page_sha256")} | {"canonical_url": f"{BASE}1-dev"}
     note["employer_verification"]["official_role_url"] = f"{BASE}1-dev"
     notes = spark.createDataFrame([(f"{BASE}1-dev", json.dumps(note))], "canonical_url string, assessment string")
-    out = E.evaluate(df, known, weak, active, fetched, notes, claims, config, POLICY, DAY)
+    out = E.evaluate(df, known, weak, active, fetched, notes, claims, config, POLICY, DAY, reviewer="reviewer")
     got = {r.ordinal: (r.reject_reason, r.status) for r in out.judged.collect()}
     assert {k: v[0] for k, v in got.items()} == {
         1: None, 2: "unapproved_source", 3: "unsafe_link", 4: "previously_registered", 5: "source_expired", 6: "explicit_mismatch", 7: "off_target", 8: "possible_prior_match", 9: "source_location_restricted", 10: "explicit_mismatch",
@@ -53,7 +53,7 @@ def test_one_pass(spark):
         assert set(first.missing) <= {"netherlands_executable_from_employer", "verified_listing_language"}, first.missing
     else:
         assert [r.canonical_url for r in out.recommended.collect()] == [f"{BASE}1-dev"]
-    none = E.evaluate(df, known, weak, active, fetched, notes, claims, config, POLICY, DAY, page_budget=0)
+    none = E.evaluate(df, known, weak, active, fetched, notes, claims, config, POLICY, DAY, page_budget=0, reviewer="reviewer")
     assert none.judged.where("ordinal = 1").first().missing == ["official_page_check_budget_reached"]
 
 
