@@ -98,3 +98,30 @@ def evaluate(
     late = F.when(F.col("exclusion").isNotNull(), F.col("exclusion")).when(F.col("status") == "ineligible", "verified_mandatory_requirement_mismatch")
     out = out.withColumn("reject_reason", F.coalesce("reject_reason", late)).withColumn("missing", F.when(is_true(~F.col("in_budget")), F.array(F.lit("official_page_check_budget_reached"))).otherwise(F.col("missing")))
     return Evaluation(out, recommended, screening.reason_counts(out))
+
+
+@dataclass
+class Pass:
+    evaluation: Evaluation
+    rounds: list[tuple[int, int]]  # batch and verified roles after it; a run has few batches
+    stop_reason: str
+
+
+def one_pass(observations: DataFrame, batches: DataFrame, *, target: int, exhaustive: bool = False, **inputs) -> Pass:
+    """Batches of sources one after the other (planning.batch_plan), each judged with all before it, until `target` roles are verified.
+
+    observations: source_instance and evaluate()'s columns; batches: source_instance, batch; inputs: evaluate()'s others.
+    An instance counts in its first batch. Exhaustive runs take all batches and judge once, as they can't stop early.
+    """
+    first = batches.groupBy("source_instance").agg(F.min("batch").alias("batch"))
+    numbers = [r[0] for r in first.select("batch").distinct().orderBy("batch").collect()]
+    rows = stash(observations.join(first, "source_instance"), "gathered")
+    rounds: list[tuple[int, int]] = []
+    out, reason = None, "planned_sources_exhausted"
+    for b in numbers[-1:] if exhaustive else numbers:
+        out = evaluate(rows.where(F.col("batch") <= b).drop("batch"), **inputs)
+        rounds.append((b, out.recommended.count()))
+        if not exhaustive and rounds[-1][1] >= target:
+            reason = "verified_target_reached"
+            break
+    return Pass(out or evaluate(rows.limit(0).drop("batch"), **inputs), rounds, reason)

@@ -57,6 +57,25 @@ def test_one_pass(spark):
     assert none.judged.where("ordinal = 1").first().missing == ["official_page_check_budget_reached"]
 
 
+def test_batches_until_the_target(spark, monkeypatch):
+    seen = []
+
+    def judge(rows, *, policy):
+        seen.append(sorted(r.source_instance for r in rows.collect()))
+        return E.Evaluation(rows, rows.where("good"), rows)
+
+    monkeypatch.setattr(E, "evaluate", judge)
+    rows = spark.createDataFrame([("a", False), ("b", True), ("c", True), ("d", True), ("x", True)], "source_instance string, good boolean")
+    plan = spark.createDataFrame([("a", 0), ("b", 1), ("c", 1), ("d", 2), ("b", 2)], "source_instance string, batch int")
+    got = E.one_pass(rows, plan, target=2, policy=1)
+    assert (got.rounds, got.stop_reason, seen) == ([(0, 0), (1, 2)], "verified_target_reached", [["a"], ["a", "b", "c"]])
+    got = E.one_pass(rows, plan, target=9, policy=1)
+    assert (got.rounds, got.stop_reason) == ([(0, 0), (1, 2), (2, 3)], "planned_sources_exhausted")
+    assert E.one_pass(rows, plan, target=1, exhaustive=True, policy=1).rounds == [(2, 3)]
+    none = E.one_pass(rows, plan.limit(0), target=1, policy=1)
+    assert (none.rounds, none.evaluation.judged.count()) == ([], 0)
+
+
 def test_requests_take_turns(spark):
     q = spark.createDataFrame([(0, "first query"), (1, " second query"), (2, "first query")], "query_index int, query string")
     assert [(r.query, r.page) for r in S.request_plan(q, 2, 3).orderBy("turn").collect()] == [("first query", 1), ("second query", 1), ("first query", 2)]
