@@ -7,8 +7,8 @@ length under a tree is the exact sum over all its bytes; the shortest one wins,
 and the score is its share of probability against the other languages. Bytes that no sample holds are one symbol, as
 all trees treat them alike, so a context's tables are dense and texts are scored whole with three look-ups a byte.
 
-Sample: per language `per_lang` documents at most, the first by a hash of the id and text, and of each at most its first
-`max_bytes` bytes, so that languages of long documents are learned too; no document with crc32(doc_id) mod 4 = 2 is
+Sample: per language `per_lang` documents at most, the first by a hash of the id and text, and of each at most a run of
+`max_bytes` bytes that starts where the hash says, so that languages of long documents are learned too; no document with crc32(doc_id) mod 4 = 2 is
 among them. Both bounds limit what the driver holds for a language; a repeated doc_id counts by row.
 
 Text that is null or has no letter gives `und` and score 0, as does every text when nothing could be learned. A null
@@ -17,6 +17,7 @@ doc_id is not held out and not learned from. Repeated rows are answered each; fu
 
 from __future__ import annotations
 
+import hashlib
 from collections.abc import Iterator
 
 import numpy as np
@@ -28,7 +29,7 @@ from pyspark.sql import functions as F
 from gleaner.llm.common import bounded_batches, crc32_id, slices, table
 
 ORDER = 3
-_trees: dict[int, tuple] = {}
+_trees: dict[bytes, tuple] = {}
 
 
 class Tree:
@@ -102,7 +103,9 @@ def training_sample(docs: DataFrame, per_lang: int = 96, max_bytes: int = 16384,
     keyed = fit.select("lang", "doc_id", key.alias("key"), F.pmod(key, F.lit(salts)).alias("salt"))
     ids = keyed.withColumn("r", F.row_number().over(order)).where(F.col("r") <= max(1, per_lang // salts)).select("doc_id", "key").distinct()
     out: dict[str, list[bytes]] = {}
-    part = F.substring(F.col("text").cast("binary"), 1, max_bytes).alias("t")
+    whole = F.col("text").cast("binary")
+    start = F.pmod(F.col("key"), F.greatest(F.lit(1), F.octet_length(whole) - max_bytes + 1)).cast("int") + 1  # any run of a longer text
+    part = F.substring(whole, start, F.lit(max_bytes)).alias("t")
     rows = fit.withColumn("key", key).join(F.broadcast(ids), ["doc_id", "key"]).select("lang", "doc_id", part).distinct().collect()
     for r in sorted(rows, key=lambda r: (r["lang"], r["doc_id"], bytes(r["t"]))):
         out.setdefault(r["lang"], []).append(bytes(r["t"]))
@@ -118,7 +121,7 @@ def identify(docs: DataFrame, samples: dict[str, list[bytes]]) -> DataFrame:
         model = None
         for b in batches:
             if model is None and shared.value:
-                key = hash(tuple((k, tuple(map(len, v))) for k, v in sorted(shared.value.items())))
+                key = hashlib.sha256(repr(sorted(shared.value.items())).encode()).digest()
                 if key not in _trees:
                     _trees.clear()
                     _trees[key] = learn(shared.value)
