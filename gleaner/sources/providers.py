@@ -342,8 +342,8 @@ PARSERS = {parse_json: tuple(PROVIDERS), parse_rss: RSS, parse_personio: ("perso
 ADAPTERS: dict[str, Callable[[DataFrame], DataFrame]] = {a: f for f, names in PARSERS.items() for a in names}
 
 
-def records(raw: DataFrame, now: str, adapters: list[str] | None = None) -> DataFrame:
-    """All providers' records up to each source's cap, with problem (null: an observation), and pages that failed, with error.
+def records(raw: DataFrame, now: str, adapters: list[str] | None = None, most_feed: int | None = MOST_FEED_RECORDS) -> DataFrame:
+    """All providers' records up to each source's cap (of feeds also `most_feed`; None: all), with problem (null: an observation), and pages that failed, with error.
 
     Each kind of payload is read in one pass, whatever the number of providers. Problems: filtered (what a provider says
     is not listed, or lacks a title, URL or id), repeated (a feed's record under an id that came before), no_identity,
@@ -358,7 +358,7 @@ def records(raw: DataFrame, now: str, adapters: list[str] | None = None) -> Data
     feed = F.col("adapter").isin("publicfeed", "workingnomads")
     key = F.when(feed & F.col("o.keep"), F.coalesce("o.job_id", "o.url"))
     first = F.row_number().over(W.partitionBy("source_id", "account", F.coalesce(key, F.concat(F.lit("\x00"), "ordinal"))).orderBy("ordinal"))
-    within = F.col("ordinal") <= F.least(F.coalesce("max_jobs", F.lit(2**31 - 1)), F.when(feed, MOST_FEED_RECORDS).otherwise(2**31 - 1))
+    within = F.col("ordinal") <= F.least(F.coalesce("max_jobs", F.lit(2**31 - 1)), F.when(feed, most_feed or 2**31 - 1).otherwise(2**31 - 1))
     rows = out.withColumn("_first", F.when(F.col("error").isNull() & feed, first).otherwise(1)).where(F.col("error").isNotNull() | within)
     job, url = F.concat_ws(":", "account", "o.job_id"), F.col("o.url")
     problem = F.when(
@@ -383,9 +383,9 @@ def records(raw: DataFrame, now: str, adapters: list[str] | None = None) -> Data
     )
 
 
-def observations(raw: DataFrame, now: str, adapters: list[str] | None = None) -> DataFrame:
+def observations(raw: DataFrame, now: str, adapters: list[str] | None = None, most_feed: int | None = MOST_FEED_RECORDS) -> DataFrame:
     """The observations among records()."""
-    return records(raw, now, adapters).where("error is null and problem is null").drop("error", "problem", "max_jobs")
+    return records(raw, now, adapters, most_feed).where("error is null and problem is null").drop("error", "problem", "max_jobs")
 
 
 def runs(rows: DataFrame, started_at: str, registry_ids: Column | None = None) -> DataFrame:

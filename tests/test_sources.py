@@ -177,3 +177,10 @@ def test_relevance_and_reasons(spark):
     assert tuple(lead("Remote", "work anywhere in Europe")) == ("remote_nl_unknown_review", False, "Full remote and NL eligibility still unverified")
     assert tuple(lead("Remote", "work from anywhere in Europe")) == ("needs_official_review", True, "Recent remote/NL signal; official verification still required")
     assert lead("Hybrid, Utrecht", "").reason == "Location indicates hybrid/on-site"
+
+
+def test_feeds_beyond_their_cap_when_all_is_asked(spark):
+    jobs = [{"url": f"https://www.workingnomads.com/job/go/{i}/", "title": "Dev"} for i in range(130)]
+    raw = spark.createDataFrame([("s", "ats", "workingnomads", "acct", None, None, "en", None, 0, json.dumps(jobs))], RAW)
+    assert providers.observations(raw, "2026-09-06", ["workingnomads"]).count() == 120
+    assert providers.observations(raw, "2026-09-06", ["workingnomads"], most_feed=None).count() == 130
