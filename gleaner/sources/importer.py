@@ -202,15 +202,15 @@ def _shape(**said: Column) -> Column:
     return F.struct(*[F.coalesce(v.cast("string"), F.lit("")).alias(k) if k != "keep" else F.coalesce(v, F.lit(False)).alias(k) for k, v in said.items()])
 
 
-def candidates(raw: DataFrame) -> DataFrame:
-    """Leads of raw payloads (source_id, source_type, adapter, account, employer, payload), up to a cap per source."""
+def candidates(raw: DataFrame, most: int | None = MOST_PER_SOURCE) -> DataFrame:
+    """Leads of raw payloads (source_id, source_type, adapter, account, employer, payload), of each payload's first `most` records (None: all)."""
     json = raw.where(F.col("adapter").isin(*FEEDS)).withColumn("v", F.try_parse_json("payload"))
     records = _per_adapter({a: F.coalesce(*[F.try_variant_get("v", p, "array<variant>") for p in f.records]) for a, f in FEEDS.items()})
     lead = lambda f: _shape(keep=f.keep(F.col("rec")) & F.schema_of_variant("rec").startswith("OBJECT"), title=f.title(F.col("rec")), url=f.url(F.col("rec")), job=f.job(F.col("rec")), date=f.date(F.col("rec")), place=f.place(F.col("rec")), body=f.body(F.col("rec")), note=F.lit(f.note))
     rows = json.select("source_id", "source_type", "adapter", "account", "employer", F.posexplode(records).alias("pos", "rec")).withColumn("o", _per_adapter({a: lead(f) for a, f in FEEDS.items()})).drop("rec")
     rows = rows.unionByName(_xml(raw))
     url = lead_url(F.col("o.url"))
-    out = rows.where((F.col("pos") < MOST_PER_SOURCE) & F.col("o.keep") & (F.col("o.title") != "")).withColumn("_url", url).where("_url is not null")
+    out = rows.where((F.col("pos") < (most or 2**31 - 1)) & F.col("o.keep") & (F.col("o.title") != "")).withColumn("_url", url).where("_url is not null")
     return out.select(
         "source_id", "source_type", "adapter", F.concat_ws(":", "account", F.coalesce(F.nullif("o.job", F.lit("")), F.col("_url"))).alias("job_id"), F.coalesce(F.nullif("employer", F.lit("")), F.col("account")).alias("employer"),
         F.col("o.title").alias("title"), F.col("_url").alias("url"), F.col("o.date").alias("published_hint"), F.col("o.place").alias("location"), F.col("o.body").alias("description"), F.col("o.note").alias("note"),

@@ -136,3 +136,9 @@ def test_hints_and_ages(spark):
     assert hints("Software Engineer", "We use WooCommerce", "board") == [] and hints("Accountant", "WooCommerce", "ats") == []
     age = lambda s, p: ask(spark, lambda a, b: review.observed_age(a, b, F.lit("2026-09-06").cast("date")), s, p)
     assert age("ats", "2026-09-01T10:00:00Z") == 5 and age("board", "2026-09-01") is None and age("ats", "2026-9-1") is None
+
+
+def test_candidates_beyond_the_cap_when_all_is_asked(spark):
+    jobs = json.dumps([{"id": str(i), "text": "Dev", "hostedUrl": f"https://x.nl/{i}", "workplaceType": "remote"} for i in range(260)])
+    raw = spark.createDataFrame([("s", "ats", "lever", "acme", None, jobs)], "source_id string, source_type string, adapter string, account string, employer string, payload string")
+    assert I.candidates(raw).count() == 250 and I.candidates(raw, most=None).count() == 260
