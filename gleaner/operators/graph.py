@@ -40,9 +40,14 @@ def stash(df: DataFrame, label: str = "t", files: int | None = None) -> DataFram
     return spark.read.schema(df.schema).parquet(path)
 
 
+def tasks_for(table: DataFrame, rows: int = 4000) -> int:
+    """Number of tasks of about `rows` rows each."""
+    return max(1, -(-table.count() // rows))
+
+
 def spread(table: DataFrame, key: str, rows: int = 4000) -> DataFrame:
     """A stored table dealt over tasks of about `rows` rows: where rows are short and costly, one split of a file holds all of them."""
-    return table.repartition(max(1, -(-table.count() // rows)), key)
+    return table.repartition(tasks_for(table, rows), key)
 
 
 def discard(*tables: DataFrame) -> None:
