@@ -8,6 +8,7 @@ in the order of time (a run reports when it ends). Rows with null keys are left
 from __future__ import annotations
 
 import sys
+from array import array
 from collections.abc import Iterator
 
 import pandas as pd
@@ -22,6 +23,7 @@ cloudpickle.register_pickle_by_value(sys.modules[__name__])
 _STORE = "spark.sql.streaming.stateStore.providerClass"
 _ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 HEALTH = "source_instance string, event string, last_success double, last_failure double, consecutive_failures long, run_count long, due_at double"
+NEVER = float("-inf")
 SIGHTS = "source_instance string, job string, event string, run_number long"
 
 
@@ -35,56 +37,86 @@ def backoff_seconds(failures: int) -> float:
 
 
 class _Health(StatefulProcessor):
-    """Per source: last success and failure, failures since then, number of runs; a timer for when it is due."""
+    """Per bucket of sources, for each: last success and failure, failures since then, number of runs, and when a timer is to
+    fire; the bucket's own timer is that of the source that is due first.
+
+    A call into the store or a data frame costs more than a source's rows do, so a bucket is read and written as a whole.
+    """
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.health = handle.getValueState("health", "ok double, bad double, failures long, runs long, cadence double, retry_at double")
+        self.health = handle.getListState("health", "source string, ok double, bad double, failures long, runs long, retry_at double, timer long")
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        ok, bad, failures, runs, cadence, retry_at = self.health.get() if self.health.exists() else (None, None, 0, 0, None, None)
-        since: list[float] = []  # failures of this micro-batch after the last success so far
+        stored = {source: h for source, *h in self.health.get()}
+        now, soon = {}, timerValues.getCurrentProcessingTimeInMs() + 1
         for part in rows:
-            good = part.loc[part["success"], "at"].max()
-            if pd.notna(good) and (ok is None or good > ok):
-                failures = failures if bad is not None and bad > good else 0
-                ok = float(good)
-            fails = part.loc[~part["success"], "at"]
-            since = [t for t in [*since, *fails.astype(float)] if ok is None or t > ok]
-            if len(fails):
-                bad = max(float(fails.max()), bad if bad is not None else float("-inf"))
-            runs += len(part)
-            cadence = float(part["cadence"].iloc[-1])
-            wait = part["retry_at"].max()
-            retry_at = max(float(wait), retry_at or 0.0) if pd.notna(wait) else retry_at
-        failures += len(since)
-        self.health.update((ok, bad, failures, runs, cadence, retry_at))
-        due = max(x for x in (0.0, ok + cadence if ok is not None else 0.0, bad + backoff_seconds(failures) if failures else 0.0, retry_at or 0.0))
-        for t in list(self.handle.listTimers()):
-            self.handle.deleteTimer(t)
-        self.handle.registerTimer(max(int(due * 1000), timerValues.getCurrentProcessingTimeInMs() + 1))
-        yield self._row(key[0], "run", ok, bad, failures, runs, due)
+            for source, at, success, cadence, wait in zip(*(part[c].tolist() for c in ("source_instance", "at", "success", "cadence", "retry_at"))):
+                if source not in now:
+                    ok, bad, _, _, retry_at, _ = stored.get(source, [None] * 6)
+                    now[source] = [NEVER if ok is None else ok, NEVER if bad is None else bad, 0, None, retry_at or 0.0, array("d")]
+                h = now[source]
+                if not success:
+                    h[5].append(at)
+                    h[1] = max(h[1], at)
+                elif at > h[0]:
+                    h[0] = at
+                h[2] += 1
+                h[3] = cadence
+                if wait > h[4]:  # no wait is not above anything
+                    h[4] = wait
+        out = []
+        for source, (ok, bad, n, cadence, retry_at, fails) in now.items():
+            ok_before, bad_before, failures, runs, _, _ = stored.get(source, (None, None, 0, 0, None, None))
+            if ok > (NEVER if ok_before is None else ok_before) and not (bad_before is not None and bad_before > ok):
+                failures = 0
+            failures, runs = failures + sum(t > ok for t in fails), runs + n
+            due = max(0.0, ok + cadence, bad + backoff_seconds(failures) if failures else 0.0, retry_at)
+            ok, bad = (None if x == NEVER else x for x in (ok, bad))
+            stored[source] = [ok, bad, failures, runs, retry_at or None, max(int(due * 1000), soon)]
+            out.append((source, "run", ok, bad, failures, runs, due))
+        self._keep(stored)
+        yield self._rows(out)
 
     def handleExpiredTimer(self, key, timerValues, expiredTimerInfo) -> Iterator[pd.DataFrame]:
-        ok, bad, failures, runs, _, _ = self.health.get()
-        yield self._row(key[0], "due", ok, bad, failures, runs, expiredTimerInfo.getExpiryTimeInMs() / 1000.0)
-
-    def _row(self, *values) -> pd.DataFrame:
-        return pd.DataFrame([values], columns=[f.split()[0] for f in HEALTH.split(", ")])
+        upto = max(expiredTimerInfo.getExpiryTimeInMs(), timerValues.getCurrentProcessingTimeInMs())
+        stored, out = {source: h for source, *h in self.health.get()}, []
+        for source, h in stored.items():
+            if h[5] is not None and h[5] <= upto:
+                out.append((source, "due", *h[:4], h[5] / 1000.0))
+                h[5] = None
+        if out:
+            self._keep(stored)
+            yield self._rows(out)
+
+    def _keep(self, stored: dict[str, list]) -> None:
+        self.health.put([(source, *h) for source, h in stored.items()])
+        first = min((h[5] for h in stored.values() if h[5] is not None), default=None)
+        timers = list(self.handle.listTimers())
+        for t in timers:
+            if t != first:
+                self.handle.deleteTimer(t)
+        if first is not None and first not in timers:
+            self.handle.registerTimer(first)
+
+    def _rows(self, rows: list[tuple]) -> pd.DataFrame:
+        return pd.DataFrame(rows, columns=[f.split()[0] for f in HEALTH.split(", ")])
 
     def close(self) -> None:
         pass
 
 
-def source_health_stream(runs: DataFrame) -> DataFrame:
+def source_health_stream(runs: DataFrame, buckets: int = 1024) -> DataFrame:
     """runs (source_instance, at (epoch seconds), success, cadence (seconds between runs), retry_at (null: none)) -> HEALTH.
 
     One row, event run, per source and micro-batch with its health so far, and one, event due, once processing time has
     reached the source's due time: its cadence after the last success, its backoff after the last failure (`due` in
-    review.py) and what a server asked to wait, whichever is last. A new run moves the timer.
+    review.py) and what a server asked to wait, whichever is last. A new run moves the timer. Sources are dealt over
+    `buckets` keys, which a stream keeps for as long as its checkpoint lives; a bucket may have some thousand sources.
     """
-    rows = runs.where("source_instance is not null and at is not null").select("source_instance", F.col("at").cast("double").alias("at"), F.coalesce("success", F.lit(False)).alias("success"), F.col("cadence").cast("double").alias("cadence"), F.col("retry_at").cast("double").alias("retry_at"))
-    return rows.groupBy("source_instance").transformWithStateInPandas(_Health(), HEALTH, "Append", "ProcessingTime")
+    bucket = F.pmod(F.hash("source_instance"), F.lit(buckets)).alias("bucket")
+    rows = runs.where("source_instance is not null and at is not null").select(bucket, "source_instance", F.col("at").cast("double").alias("at"), F.coalesce("success", F.lit(False)).alias("success"), F.col("cadence").cast("double").alias("cadence"), F.col("retry_at").cast("double").alias("retry_at"))
+    return rows.groupBy("bucket").transformWithStateInPandas(_Health(), HEALTH, "Append", "ProcessingTime")
 
 
 class _Sights(StatefulProcessor):
