@@ -3,8 +3,8 @@
 Sources come one after the other by `position`, and each sees what earlier ones left. That order is a fold over (job,
 position, ordinal): what a row compares with is the last written hash before it, whether a source may write depends on
 the memberships left at its turn, and whether it closes a job depends on which memberships have run out by then. Each is
-a window or a sum along the order, taken in steps (rows in a chunk, chunks of a source, sources of a job), so that a job
-that a third of all rows belong to is spread over many tasks.
+a window or a sum along the order. For a job with more rows than a chunk it is taken in steps (rows in a chunk, chunks of a
+source, sources of a job), so that a job that a third of all rows belong to is spread over many tasks.
 
 Rows are tied together for the run as a whole: jobs that any source of the run shows to be one are one from its start.
 Where no later source joins jobs that an earlier one of the same run made, the result is that of one source after the
@@ -20,7 +20,7 @@ from pyspark.sql import Window as W
 from pyspark.sql import functions as F
 
 from gleaner.operators.graph import stash
-from gleaner.operators.state import State, duplicate_in_batch, merge_snapshots, merged_jobs, resolved
+from gleaner.operators.state import State, merge_snapshots, merged_jobs, resolved
 
 SHIFT = 40  # rows of a source are numbered below 2**40
 
@@ -65,43 +65,62 @@ def upsert_sources(batch: DataFrame, sources: DataFrame, state: State, *, run_id
     what was stored before its source's turn)."""
     turns = sources.select("source_instance", F.col("position").cast("long").alias("position"), "authoritative", "complete")
     rows = batch.join(turns.select("source_instance", "position", "authoritative"), "source_instance").where(F.size("keys") > 0).withColumn("node", F.shiftleft("position", SHIFT) + F.col("ordinal"))
-    rows = stash(rows, "rows")
-    part, ids, follow = resolved(rows.select(F.col("node").alias("ordinal"), "keys"), state)
-    named = part.select(F.col("ordinal").alias("node"), "part").join(ids.select("part", "job_id"), "part").drop("part")
-    seen = stash(rows.drop("keys").join(named, "node").withColumn("snippet", F.coalesce("snippet", F.lit(False))), "seen")
+    rows = stash(rows.withColumn("snippet", F.coalesce("snippet", F.lit(False))), "rows")
+    # jobs are found from each source's sets of keys, which are fewer than rows
+    met = stash(rows.groupBy("keys", "position").agg(F.min("node").alias("node"), F.count("*").alias("n"), F.bool_or(F.col("authoritative") & ~F.col("snippet")).alias("shown")), "met")
+    part, ids, follow = resolved(met.groupBy("keys").agg(F.min("node").alias("ordinal")), state)
+    met = stash(met.join(part.select("keys", "part"), "keys"), "met")
 
-    present = seen.where("authoritative and not snippet").groupBy("source_instance", "job_id").agg(F.first("position").alias("position"))
+    present = met.where("shown").select("part", "position").distinct().join(ids.select("part", "job_id"), "part").join(turns.select("source_instance", "position"), "position")
     members = stash(memberships_after(state, follow, present, turns, run_id, close_threshold), "members")
     old = merged_jobs(state, ids, follow)
     held = members.where("stored").groupBy("job_id").agg(F.max(F.when(F.col("removed"), F.col("position")).otherwise(F.lit(2**62))).alias("held_until"))
     facts = (
-        seen.groupBy("job_id").agg(F.min("node").alias("first_node"), F.min(F.when(F.col("authoritative") & ~F.col("snippet"), F.col("position"))).alias("shown_at"))
-        .join(old.select("job_id", F.col("content_hash").alias("stored_hash"), F.lit(True).alias("known")), "job_id", "left").join(held, "job_id", "left")
+        met.groupBy("part").agg(F.min("node").alias("first_node"), F.min(F.when(F.col("shown"), F.col("position"))).alias("shown_at"), (F.sum("n") > chunk).alias("large"))
+        .join(ids.select("part", "job_id"), "part")
+        .join(old.select("job_id", F.col("content_hash").alias("stored_hash"), F.lit(True).alias("known")), "job_id", "left").join(held, "job_id", "left").drop("job_id")
     )
+    facts = stash(met.groupBy("keys", "part").agg((F.sum("n") > chunk).alias("hot")).join(facts, "part"), "facts")
+    # rows of frequent sets meet their job by broadcast: there are at most rows / chunk such sets
+    hot = F.broadcast(facts.where("hot"))
+    rest = rows.join(hot.select("keys"), "keys", "left_anti")
     owned = F.coalesce(F.col("held_until") > F.col("position"), F.lit(False)) | F.coalesce(F.col("shown_at") < F.col("position"), F.lit(False))
-    quiet = F.col("snippet") | (~F.col("authoritative") & owned)
-    fresh = F.col("known").isNull() & (F.col("node") == F.col("first_node"))
-    rows = seen.join(facts, "job_id").withColumn("quiet", quiet).withColumn("fresh", fresh).withColumn("owned", owned)
-    rows = rows.withColumn("writes", F.col("fresh") | ~F.col("quiet")).withColumn("written", F.when(F.col("writes"), F.col("content_hash"))).withColumn("chunk", F.floor(F.col("ordinal") / chunk))
-    rows = stash(rows, "rows")
 
-    # the last hash written before a row: in its chunk, else in its source's earlier chunks, else by earlier sources, else stored
+    def judged(df: DataFrame) -> DataFrame:
+        quiet = F.col("snippet") | (~F.col("authoritative") & owned)
+        fresh = F.col("known").isNull() & (F.col("node") == F.col("first_node"))
+        df = df.withColumns({"quiet": quiet, "fresh": fresh, "owned": owned}).drop("keys", "hot", "large", "held_until", "shown_at")
+        return df.withColumn("writes", F.col("fresh") | ~F.col("quiet")).withColumn("written", F.when(F.col("writes"), F.col("content_hash")))
+
+    # the last hash written before a row: by the job's rows before it, else stored
+    line, wrote_at = W.partitionBy("part"), F.when(F.col("written").isNotNull(), F.col("node"))
+    light = judged(rest.join(facts.where("not large"), "keys"))
+    light = _last(light, ["part"], "node", "written", "inside").withColumn("chunks", F.lit(None).cast("string"))
+    light = light.withColumn("earlier", F.max_by("written", wrote_at).over(line.orderBy("position").rangeBetween(W.unboundedPreceding, -1)))
+    # of a job with more rows than a chunk, in the row's chunk, else in its source's earlier chunks, else by earlier sources
+    heavy = rows.join(hot, "keys").unionByName(rest.join(facts.where("large and not hot"), "keys"))
+    heavy = stash(judged(heavy).withColumn("chunk", F.floor(F.col("ordinal") / chunk)), "heavy")
     when = F.when(F.col("written").isNotNull(), F.col("ordinal"))
-    per_chunk = rows.groupBy("job_id", "position", "chunk").agg(F.max_by("written", when).alias("end"))
-    per_source = per_chunk.groupBy("job_id", "position").agg(F.max_by("end", F.when(F.col("end").isNotNull(), F.col("chunk"))).alias("source_end"))
-    entry = _last(per_source, ["job_id"], "position", "source_end", "earlier").drop("source_end")
-    entry = _last(per_chunk, ["job_id", "position"], "chunk", "end", "chunks").drop("end").join(entry, ["job_id", "position"])
-    rows = _last(rows, ["job_id", "position", "chunk"], "ordinal", "written", "inside").join(entry, ["job_id", "position", "chunk"])
+    per_chunk = heavy.groupBy("part", "position", "chunk").agg(F.max_by("written", when).alias("end"))
+    per_source = per_chunk.groupBy("part", "position").agg(F.max_by("end", F.when(F.col("end").isNotNull(), F.col("chunk"))).alias("source_end"))
+    entry = _last(per_source, ["part"], "position", "source_end", "earlier").drop("source_end")
+    entry = _last(per_chunk, ["part", "position"], "chunk", "end", "chunks").drop("end").join(entry, ["part", "position"])
+    heavy = _last(heavy, ["part", "position", "chunk"], "ordinal", "written", "inside").join(entry, ["part", "position", "chunk"]).drop("chunk")
+    rows = light.unionByName(heavy)
     start = F.coalesce("earlier", "stored_hash")
     before = F.coalesce(F.col("inside"), F.col("chunks"), start)
     change = F.when(F.col("fresh"), "new").when(F.col("quiet"), "unchanged").when(before == F.col("content_hash"), "unchanged").otherwise("updated")
     first_turn = F.col("known").isNull() & (F.shiftright("first_node", SHIFT) == F.col("position"))
     same = (~F.col("authoritative") & F.col("owned")) | F.col("snippet") | (start == F.col("content_hash"))
     review = F.when(first_turn, "new").when(same, "unchanged").otherwise("updated")
-    changes = stash(rows.select("source_instance", "position", "ordinal", "node", "job_id", "canonical_url", "content_hash", "payload", "writes", change.alias("change"), review.alias("review")), "changes")
+    changes = stash(rows.select("source_instance", "position", "ordinal", "node", "part", "canonical_url", "content_hash", "payload", "writes", change.alias("change"), review.alias("review")), "changes")
+    named = ids.select("part", "job_id")
+    wrote_at = F.when(F.col("writes"), F.col("node"))
+    ended = changes.groupBy("part", "position").agg(F.max_by(F.struct("canonical_url", "content_hash", "payload"), wrote_at).alias("last"), F.max(wrote_at).alias("at"))
+    ended = stash(ended.join(named, "part").drop("part"), "ended")
 
     # a job's status follows from its last event: a write makes it active, a closing ends it
-    wrote = changes.where("writes").groupBy("job_id", "position").agg(F.lit(0).alias("kind"))
+    wrote = ended.where("at is not null").select("job_id", "position", F.lit(0).alias("kind"))
     events = wrote.unionByName(closings(members).withColumn("kind", F.lit(1)))
     line = W.partitionBy("job_id").orderBy("position", "kind")
     events = events.withColumn("prior", F.lag("kind").over(line)).join(old.select("job_id", "status"), "job_id", "left")
@@ -109,8 +128,8 @@ def upsert_sources(batch: DataFrame, sources: DataFrame, state: State, *, run_id
     events = stash(events.select("job_id", "position", "kind", ends.alias("ends")), "events")
     outcome = events.groupBy("job_id").agg(F.max_by("kind", F.struct("position", "kind")).alias("last_kind"), F.bool_or("ends").alias("ended"))
 
-    last = lambda c: F.max_by(c, F.when(F.col("writes"), F.col("node")))
-    new = changes.groupBy("job_id").agg(last("canonical_url").alias("n_url"), last("content_hash").alias("n_hash"), last("payload").alias("n_payload"), F.lit(True).alias("here"))
+    new = ended.groupBy("job_id").agg(F.max_by("last", "at").alias("n"), F.lit(True).alias("here"))
+    new = new.select("job_id", F.col("n.canonical_url").alias("n_url"), F.col("n.content_hash").alias("n_hash"), F.col("n.payload").alias("n_payload"), "here")
     wrote_last, closed_last = F.coalesce(F.col("last_kind") == 0, F.lit(False)), F.coalesce(F.col("last_kind") == 1, F.lit(False))
     jobs = old.join(new, "job_id", "full").join(outcome, "job_id", "left").select(
         "job_id",
@@ -124,16 +143,19 @@ def upsert_sources(batch: DataFrame, sources: DataFrame, state: State, *, run_id
     )
     keys = part.select("part", F.explode("keys").alias("identity_key")).join(ids.select("part", "job_id"), "part").select("identity_key", "job_id").distinct()
     identities = follow(state.identities).join(keys.select("identity_key"), "identity_key", "left_anti").unionByName(keys)
-    shot = changes.where(F.col("writes") & (F.coalesce("content_hash", F.lit("")) != "")).select("job_id", "content_hash", "payload", F.lit(now).alias("first_seen_at"), F.lit(now).alias("last_seen_at"))
+    shot = changes.where(F.col("writes") & (F.coalesce("content_hash", F.lit("")) != "")).groupBy("part", "content_hash").agg(F.max("payload").alias("payload"))
+    shot = shot.join(named, "part").select("job_id", "content_hash", "payload", F.lit(now).alias("first_seen_at"), F.lit(now).alias("last_seen_at"))
     snapshots = merge_snapshots(follow(state.snapshots).unionByName(shot))
     kept = members.where("not removed").select("source_instance", "job_id", "missing_runs", "last_seen_run", "close_threshold")
 
-    repeats = duplicate_in_batch(batch.join(turns.select("source_instance", "position"), "source_instance").select(
-        "source_instance", (F.shiftleft("position", SHIFT) + F.col("ordinal")).alias("ordinal"), F.transform("keys", lambda k: F.concat_ws("\x1f", "source_instance", k)).alias("keys")
-    ))
+    # a source's first row with a key is the only one of its set that is no repeat of that key
+    each = met.select("position", "node", "n", F.explode("keys").alias("key"))
+    first = each.groupBy("position", "key").agg(F.min("node").alias("first"))
+    repeats = each.join(first, ["position", "key"]).groupBy("position", "node", "n").agg(F.min("first").alias("first"))
+    repeats = repeats.groupBy("position").agg(F.sum(F.col("n") - (F.col("first") == F.col("node")).cast("long")).alias("duplicate"))
     counts = turns.select("source_instance", "position").join(
         changes.groupBy("source_instance").agg(*[F.count_if(F.col("change") == c).alias(c) for c in ("new", "updated", "unchanged")]), "source_instance", "left"
     )
-    counts = counts.join(repeats.groupBy("source_instance").agg(F.count_if("duplicate").alias("duplicate")), "source_instance", "left")
+    counts = counts.join(repeats, "position", "left")
     counts = counts.join(events.groupBy("position").agg(F.count_if("ends").alias("closed")), "position", "left").fillna(0).drop("position")
-    return replace(state, jobs=jobs, identities=identities, snapshots=snapshots, memberships=kept), counts, changes.select("source_instance", "ordinal", "job_id", "change", "review")
+    return replace(state, jobs=jobs, identities=identities, snapshots=snapshots, memberships=kept), counts, changes.join(named, "part").select("source_instance", "ordinal", "job_id", "change", "review")

@@ -96,6 +96,8 @@ def resolved(rows: DataFrame, state: State) -> tuple[DataFrame, DataFrame, Calla
     part = stash(part.select("ordinal", "keys", "part"), "parts")
     ids = stash(ids.withColumn("job_id", F.coalesce("old", F.sha2(F.col("least_key"), 256))), "ids")
     moved = ids.select(F.explode("merged").alias("from"), "job_id").where(F.col("from") != F.col("job_id"))
+    if moved.isEmpty():  # stored tables stay where they are
+        return part, ids, lambda df: df
 
     def follow(df: DataFrame) -> DataFrame:
         return df.join(moved.withColumnRenamed("job_id", "_to"), df["job_id"] == F.col("from"), "left").withColumn("job_id", F.coalesce("_to", "job_id")).drop("_to", "from")
@@ -106,6 +108,8 @@ def resolved(rows: DataFrame, state: State) -> tuple[DataFrame, DataFrame, Calla
 def merged_jobs(state: State, ids: DataFrame, follow: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """Stored jobs under the parts' ids; of those that became one, the one that keeps its id stays."""
     moved = ids.select(F.explode("merged").alias("from"), "job_id").where(F.col("from") != F.col("job_id"))
+    if moved.isEmpty():
+        return state.jobs
     kept = W.partitionBy("job_id").orderBy(F.col("_moved"), F.col("last_seen_at").desc())
     jobs = follow(state.jobs.withColumn("_id", F.col("job_id"))).withColumn("_moved", F.col("_id") != F.col("job_id"))
     jobs = jobs.join(moved.select("job_id").distinct(), "job_id", "left_semi").withColumn("_r", F.row_number().over(kept)).where("_r = 1").unionByName(

@@ -151,3 +151,27 @@ def test_no_rows_and_no_sources(spark):
     assert s.jobs.count() == 0 and [(r.new, r.closed) for r in c.collect()] == [(0, 0)]
     s, c, _ = upsert_sources(none, spark.createDataFrame([], SOURCES), s, run_id="r", now="t")
     assert s.jobs.count() == 0 and c.count() == 0
+
+
+def test_rows_are_moved_about_twice(spark):
+    # two sources; a third of the rows belong to one job, which is more than a chunk
+    n, job = 20_000, lambda k: 0 if k % 3 == 0 else 1 + k // 2 % 97
+    rows = [(f"s{k % 2}", k, [f"j{job(k)}"], "u", f"h{k % 5}", "{}", False) for k in range(n)]
+    batch = graph.stash(spark.createDataFrame(rows, BATCH))
+    sources = graph.stash(spark.createDataFrame([("s0", 1, True, True), ("s1", 2, True, True)], SOURCES))
+    sc = spark.sparkContext
+    moved = lambda: sum(x.shuffleWriteRecords() for x in sc._gateway.jvm.scala.jdk.javaapi.CollectionConverters.asJava(sc._jsc.sc().statusStore().stageList(None, False, False, sc._gateway.new_array(sc._gateway.jvm.double, 0), sc._gateway.jvm.java.util.ArrayList())))
+    before = moved()
+    _, c, _ = upsert_sources(batch, sources, state.State.empty(spark), run_id="r", now="t")
+    got = {r.source_instance: (r.new, r.updated, r.unchanged, r.duplicate) for r in c.collect()}
+    sc._jsc.sc().listenerBus().waitUntilEmpty()
+    assert moved() - before < 3 * n
+
+    last, want = {}, {"s0": [0] * 4, "s1": [0] * 4}
+    met = set()
+    for name, _, (key,), _, h, *_ in sorted(rows):
+        want[name][0 if key not in last else 2 if last[key] == h else 1] += 1
+        want[name][3] += (name, key) in met
+        met.add((name, key))
+        last[key] = h
+    assert got == {k: tuple(v) for k, v in want.items()}
